@@ -1,7 +1,9 @@
 """Loads every job module and exposes the registered jobs."""
 
 from dwellkit.plans import (  # noqa: F401
+    aggregate_jobs,
     join_jobs,
+    scalar_jobs,
     survival_jobs,
     window_jobs,
 )
