@@ -3,6 +3,8 @@
 from dwellkit.plans import (  # noqa: F401
     aggregate_jobs,
     join_jobs,
+    label_jobs,
+    quality_jobs,
     scalar_jobs,
     survival_jobs,
     window_jobs,
