@@ -4,7 +4,9 @@ from dwellkit.plans import (  # noqa: F401
     aggregate_jobs,
     join_jobs,
     label_jobs,
+    metric_jobs,
     quality_jobs,
+    resample_jobs,
     scalar_jobs,
     survival_jobs,
     window_jobs,
