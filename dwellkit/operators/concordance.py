@@ -18,17 +18,18 @@ from dwellkit.operators.running import running
 
 
 def pair_counts(df: DataFrame, code: Column, anchor: Column, score: str,
-                weight: Column | None = None, bits: int | None = None) -> DataFrame:
-    """One row: weighted comparable, concordant and tied pairs.
+                weight: Column | None = None, bits: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """One row (per ``by`` group): weighted comparable, concordant and tied pairs.
 
     ``code`` is a non-negative integer, larger for the later time; ``anchor`` marks rows
     that may be the earlier member; ``weight`` multiplies an anchor's pairs.
     """
-    cells = (df.select(code.cast("bigint").alias("_code"), anchor.alias("_anchor"),
+    by = by or []
+    cells = (df.select(*by, code.cast("bigint").alias("_code"), anchor.alias("_anchor"),
                        F.col(score).cast("double").alias("_score"),
                        (F.lit(1.0) if weight is None else weight).alias("_w"))
              .filter(F.col("_score").isNotNull())
-             .groupBy("_code", "_anchor", "_score", "_w").agg(F.count(F.lit(1)).alias("_n")))
+             .groupBy(*by, "_code", "_anchor", "_score", "_w").agg(F.count(F.lit(1)).alias("_n")))
     if bits is None:
         top = cells.agg(F.max("_code")).first()[0]
         bits = max(1, int(top or 0).bit_length())
@@ -36,39 +37,47 @@ def pair_counts(df: DataFrame, code: Column, anchor: Column, score: str,
     at = cells.withColumn("_level", levels)
     at = (at.withColumn("_prefix", F.expr("shiftright(_code, _level + 1)"))
           .withColumn("_later", F.expr("shiftright(_code, _level) & 1") == 1))
-    per = at.groupBy("_level", "_prefix", "_score").agg(
+    per = at.groupBy(*by, "_level", "_prefix", "_score").agg(
         F.sum(F.when(F.col("_later"), F.col("_n")).otherwise(0)).alias("_nj"),
         F.sum(F.when(~F.col("_later") & F.col("_anchor"), F.col("_n") * F.col("_w"))
               .otherwise(0.0)).alias("_wi"))
-    run = running(per, "_score", {"_j": F.col("_nj")}, ["_level", "_prefix"])
+    run = running(per, "_score", {"_j": F.col("_nj")}, [*by, "_level", "_prefix"])
     above = F.col("_j_total") - F.col("_j_before") - F.col("_nj")
-    return run.agg(F.sum(F.col("_wi") * F.col("_j_total")).alias("comparable"),
-                   F.sum(F.col("_wi") * above).alias("concordant"),
-                   F.sum(F.col("_wi") * F.col("_nj")).alias("tied"))
+    return run.groupBy(*by).agg(F.sum(F.col("_wi") * F.col("_j_total")).alias("comparable"),
+                                F.sum(F.col("_wi") * above).alias("concordant"),
+                                F.sum(F.col("_wi") * F.col("_nj")).alias("tied"))
 
 
 def _index(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.withColumn(name, safe_div(F.col("concordant") + 0.5 * F.col("tied"), F.col("comparable")))
 
 
-def harrell(df: DataFrame, time: str, event: str, score: str) -> DataFrame:
+def harrell(df: DataFrame, time: str, event: str, score: str, by: list[str] | None = None) -> DataFrame:
     """Harrell's C; a higher score means a longer time. Whole-number times.
 
     Equal times are comparable when the other one is censored: the code is twice the time,
     plus one for a censored row.
     """
     code = F.col(time) * 2 + (1 - F.col(event))
-    return _index(pair_counts(df, code, F.col(event) == 1, score), "c_index")
+    return _index(pair_counts(df, code, F.col(event) == 1, score, by=by), "c_index")
 
 
 def uno(df: DataFrame, time: str, event: str, score: str, g_curve: DataFrame,
-        tau: Column | None = None) -> DataFrame:
-    """Uno's C: later times strictly larger, anchors up to tau, weight 1 / G(T)^2."""
-    g = g_curve.select(F.col(time).alias("_gt"), F.col("g").alias("_g"))
-    if tau is None:
-        tau = df.filter(F.col(event) == 1).agg(F.max(time)).scalar()
-    rows = (df.join(g, F.col(time) == F.col("_gt"), "left")
+        tau: Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """Uno's C: later times strictly larger, anchors up to tau, weight 1 / G(T)^2.
+
+    ``g_curve`` has one row per time (and ``by`` group). Without ``tau`` it is the largest
+    event time, which every anchor satisfies. A time that G lacks reads the last one before.
+    """
+    from dwellkit.operators.stints import step_read
+
+    by = by or []
+    times = df.select(*by, time).distinct()
+    g = step_read(times, time, g_curve.withColumnRenamed(time, "_gt"), "_gt", "g", by, empty=1.0)
+    g = g.select(*by, time, F.col("g").alias("_g"))
+    tau = F.lit(float("inf")) if tau is None else tau
+    rows = (df.join(g, [*by, time])
             .withColumn("_anchor_row", (F.col(event) == 1) & (F.col(time) <= tau))
             .withColumn("_weight", F.lit(1.0) / F.pow(F.greatest("_g", F.lit(1e-8)), 2)))
-    pairs = pair_counts(rows, F.col(time), F.col("_anchor_row"), score, F.col("_weight"))
+    pairs = pair_counts(rows, F.col(time), F.col("_anchor_row"), score, F.col("_weight"), by=by)
     return _index(pairs, "c_uno")

@@ -59,10 +59,11 @@ def km_median_ci(curve: DataFrame, time: str, by: list[str] | None = None) -> Da
     return curve.groupBy(*by).agg(*out) if by else curve.agg(*out)
 
 
-def censoring_curve(df: DataFrame, time: str, event: str, name: str = "g") -> DataFrame:
+def censoring_curve(df: DataFrame, time: str, event: str, name: str = "g", by: list[str] | None = None) -> DataFrame:
     """G(t): Kaplan-Meier of the censoring time (events flipped)."""
-    flipped = df.select(F.col(time), (1 - F.col(event)).alias("_c"))
-    return km_curve(flipped, time, "_c").select(time, F.col("s").alias(name))
+    by = by or []
+    flipped = df.select(*by, F.col(time), (1 - F.col(event)).alias("_c"))
+    return km_curve(flipped, time, "_c", by).select(*by, time, F.col("s").alias(name))
 
 
 def logrank(df: DataFrame, time: str, event: str, group: Column) -> DataFrame:

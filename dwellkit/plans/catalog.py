@@ -5,6 +5,7 @@ from dwellkit.plans import (  # noqa: F401
     join_jobs,
     label_jobs,
     metric_jobs,
+    model_jobs,
     quality_jobs,
     resample_jobs,
     scalar_jobs,
