@@ -12,7 +12,7 @@ from dwellkit.operators.concordance import harrell, uno
 from dwellkit.operators.hypothesis import t_interval
 from dwellkit.operators.splits import split_random, subsample
 from dwellkit.operators.survival import censoring_curve
-from dwellkit.session import checkpoint_root
+from dwellkit.session import materialized
 
 
 def stability_selection(df: DataFrame, group: str, duration: str, event: str, features: list[str], ks: list[int],
@@ -53,11 +53,7 @@ def bakeoff(df: DataFrame, group: str, duration: str, event: str, features: list
             penalizer: float = 0.1) -> DataFrame:
     """Long (seed, model, metric, value) of Harrell's and Uno's C on the test side."""
     rows = seed_splits(df, group, seeds, fraction)
-    # Written once to the shared folder: every model reads the same rows, and no cached
-    # block is lost with an executor.
-    path = f"{checkpoint_root(df.sparkSession)}/bakeoff-{id(rows)}"
-    rows.write.mode("overwrite").parquet(path)
-    rows = df.sparkSession.read.parquet(path)
+    rows = materialized(rows)  # every model reads the same rows
     train, test = rows.filter("side = 'train'"), rows.filter("side = 'test'")
     out = None
     scored = []

@@ -31,10 +31,12 @@ def pair_counts(df: DataFrame, code: Column, anchor: Column, score: str,
              .filter(F.col("_score").isNotNull())
              .groupBy(*by, "_code", "_anchor", "_score", "_w").agg(F.count(F.lit(1)).alias("_n")))
     if bits is None:
-        top = cells.agg(F.max("_code")).first()[0]
-        bits = max(1, int(top or 0).bit_length())
-    levels = F.explode(F.array(*[F.lit(b) for b in range(bits)]))
-    at = cells.withColumn("_level", levels)
+        # Bit levels up to the largest code, found while the job runs.
+        top = cells.agg(F.greatest(F.max("_code"), F.lit(1))).scalar()
+        last = F.length(F.bin(top)) - 1
+    else:
+        last = F.lit(bits - 1)
+    at = cells.withColumn("_level", F.explode(F.sequence(F.lit(0), last)))
     at = (at.withColumn("_prefix", F.expr("shiftright(_code, _level + 1)"))
           .withColumn("_later", F.expr("shiftright(_code, _level) & 1") == 1))
     per = at.groupBy(*by, "_level", "_prefix", "_score").agg(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dwellkit.session import shuffle_partitions
+from dwellkit.session import materialized, shuffle_partitions
 
 RANGE = "_range"
 
@@ -49,12 +49,13 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: list[str] |
 
     ``before`` sums over strictly smaller ``order`` values of the same ``by`` group, so
     ``df`` needs one row per (by, order). Pass ``ranged=True`` when the range column is
-    already there.
+    already there. The input is read for the cut points, the range totals and the rows, so
+    it is written once to the shared folder instead of being computed three times.
     """
     by = by or []
-    src = df if ranged else with_ranges(df, order)
-    for name, expr in sums.items():
-        src = src.withColumn(f"_v_{name}", expr)
+    src = materialized(df.withColumns({f"_v_{name}": expr for name, expr in sums.items()}))
+    if not ranged:
+        src = with_ranges(src, order)
     keys = [*by, RANGE]
     totals = src.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     # One row per range and group meets here, not one per input row.

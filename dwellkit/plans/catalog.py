@@ -9,6 +9,7 @@ from dwellkit.plans import (  # noqa: F401
     quality_jobs,
     resample_jobs,
     scalar_jobs,
+    source_jobs,
     survival_jobs,
     window_jobs,
 )

@@ -10,6 +10,7 @@ from pyspark.ml.classification import (LinearSVC, LogisticRegression, Multilayer
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dwellkit.functions.hashing import hash_int
@@ -18,15 +19,21 @@ from dwellkit.models import aft, cox, explain, impute, ordinal, select
 from dwellkit.operators import metrics as mt
 from dwellkit.operators import splits as sp
 from dwellkit.operators.concordance import harrell
-from dwellkit.plans.base import FEATURES, features, rnd, sql, table, targets
+from dwellkit.plans.base import FEATURES, rnd, sql, table, targets
+from dwellkit.plans.base import features as lazy_features
 from dwellkit.plans.registry import job
 from dwellkit.plans.resample_jobs import J, int_of
 from dwellkit.functions.dist import t_quantile
-from dwellkit.session import checkpoint_root
+from dwellkit.session import checkpoint_root, materialized
 
 COX = ["prior_orders", "mean_filled", "gap_filled", "acctbal", "nation"]
 
 
+def features(spark, sf):
+    """The feature table, written once: a fit reads it many times."""
+    return materialized(lazy_features(spark, sf))
+
+
 def panel(spark, sf):
     """Features with the two that are missing at a first stint filled by their column mean."""
     f = features(spark, sf)
@@ -113,14 +120,14 @@ def expected_vs_null(spark, sf):
 # ------------------------------------------------------------------ preparation
 
 @job("impute_mean", sql(f"""
-SELECT entity, start_season, {rnd('coalesce(mean_price, (SELECT avg(mean_price) FROM features WHERE start_season < 2000))')} AS mean_price,
-  {rnd('coalesce(gap, (SELECT avg(gap) FROM features WHERE start_season < 2000))')} AS gap,
+SELECT entity, start_season, {rnd('coalesce(mean_price, (SELECT avg(mean_price) FROM features WHERE start_season < 2000))', 12)} AS mean_price,
+  {rnd('coalesce(gap, (SELECT avg(gap) FROM features WHERE start_season < 2000))', 12)} AS gap,
   {rnd('coalesce(CASE WHEN start_season > 2050 THEN acctbal END, 0)')} AS never FROM features""", "features"))
 def impute_mean(spark, sf):
     # "never" has no training value at all, so it becomes 0.
     f = features(spark, sf).withColumn("never", F.when(F.col("start_season") > 2050, F.col("acctbal")))
     means = impute.column_means(f.filter("start_season < 2000"), ["mean_price", "gap", "never"])
-    return impute.impute_mean(f, means).select("entity", "start_season", *[rounded(F.col(c)).alias(c) for c in ("mean_price", "gap", "never")])
+    return impute.impute_mean(f, means).select("entity", "start_season", *[rounded(F.col(c), 12).alias(c) for c in ("mean_price", "gap", "never")])
 
 
 @job("standardize", sql(f"""
@@ -229,7 +236,7 @@ def tune_random_search(spark, sf):
     scores = cv.fit(data).avgMetrics
     data.unpersist()
     best = max(scores)
-    return spark.createDataFrame([(t, d, float(s), s == best) for (t, d), s in zip(grid, scores)],
+    return spark.createDataFrame([(t, d, float(s), bool(s == best)) for (t, d), s in zip(grid, scores)],
                                  "trees int, depth int, kappa double, best boolean")
 
 
@@ -251,23 +258,26 @@ def _ranked(train):
     return [r["feature"] for r in cox.importance(train.sparkSession, cox.fit(train, "duration", "event", COX, penalizer=0.1)).orderBy("rank").collect()]
 
 
-def _test_c(train, test, feats):
-    m = cox.fit(train, "duration", "event", feats, penalizer=0.1)[0]
-    return harrell(test.withColumn("score", -m.linear_predictor()), "duration", "event", "score").select("c_index")
+def _scored(train, test, feats):
+    if not feats:
+        return test.withColumn("score", F.lit(0.0))
+    return test.withColumn("score", -cox.fit(train, "duration", "event", feats, penalizer=0.1)[0].linear_predictor())
 
 
 @job("topk_sweep")
 def topk_sweep(spark, sf):
     """C on the test side for the k best features, ranked on the training side."""
     train, test = split(panel(spark, sf))
-    train, order, out = train.persist(), None, None
+    train, out = train.persist(), None
     order = _ranked(train)
     for k in (1, 2, 3, 5):
-        row = _test_c(train, test, order[:k]).select(F.lit(k).alias("k"), "c_index")
+        row = _scored(train, test, order[:k]).withColumn("k", F.lit(k))
         out = row if out is None else out.unionByName(row)
-    best = out.agg(F.max_by("k", F.struct("c_index", -F.col("k")))).scalar()
     train.unpersist()
-    return out.withColumn("best", F.col("k") == best)
+    per = harrell(out, "duration", "event", "score", by=["k"]).select("k", "c_index")
+    # One row per k reaches the window.
+    best = F.max_by("k", F.struct("c_index", -F.col("k"))).over(W.partitionBy(F.lit(0)))
+    return per.withColumn("best", F.col("k") == best)
 
 
 BLOCKS = {"none": [], "history": ["prior_orders", "mean_filled"], "timing": ["gap_filled"], "profile": ["acctbal", "nation"], "all": COX}
@@ -279,12 +289,11 @@ def block_ablation(spark, sf):
     train, test = split(panel(spark, sf))
     train, out = train.persist(), None
     for name, feats in BLOCKS.items():
-        c = (_test_c(train, test, feats) if feats else
-             harrell(test.withColumn("score", F.lit(0.0)), "duration", "event", "score").select("c_index"))
-        row = c.select(F.lit(name).alias("block"), F.lit(len(feats)).alias("n_features"), "c_index")
+        row = _scored(train, test, feats).withColumns({"block": F.lit(name), "n_features": F.lit(len(feats))})
         out = row if out is None else out.unionByName(row)
     train.unpersist()
-    return out
+    by = ["block", "n_features"]
+    return harrell(out, "duration", "event", "score", by=by).select(*by, "c_index")
 
 
 @job("stability_selection")

@@ -266,7 +266,7 @@ WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '2000-01
 def filter_population(spark, sf):
     # Ranges on the stored date (not on year(date)) reach the file scan.
     return (table(spark, sf, "orders")
-            .filter((F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp"))
-                    & (F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp"))
+            .filter((F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+                    & (F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz"))
                     & (F.col("o_orderstatus") != "P"))
             .select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("season")))

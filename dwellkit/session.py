@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +32,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and cuts the lineage of a loop."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint()
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Write a table that several jobs will read to the shared folder and read it back.
+
+    Upstream work then runs once, column pruning still works, the size is known to the
+    optimizer, and a lost executor costs a re-read instead of a recomputation.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
