@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+def _directory() -> Column:
+    """Name of the directory a row's file lies in (the value of a ``key=value`` one)."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))  # the path is percent-encoded
+
+
 def read_entity_dirs(spark: SparkSession, root: str, name: str, schema: StructType | str, entity: str = "entity") -> DataFrame:
     """One kind of CSV under ``root/<entity>/``; the directory name becomes a column.
 
@@ -15,28 +21,27 @@ def read_entity_dirs(spark: SparkSession, root: str, name: str, schema: StructTy
     """
     df = (spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True)
           .option("pathGlobFilter", name).csv(root))
-    directory = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]+=)?([^/]+)/[^/]+$", 1)
-    return df.select("*", F.url_decode(F.replace(directory, F.lit("+"), F.lit("%2B"))).alias(entity))
+    return df.select("*", _directory().alias(entity))
+
+
+def _csv_cells(line: Column) -> Column:
+    """Fields of one CSV line: split at commas outside quotes, then unquote."""
+    parts = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(parts, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
 
 
-def read_by_header(spark: SparkSession, root: str, name: str, columns: dict[str, str], width: int = 64,
-                   entity: str = "entity") -> DataFrame:
+def read_by_header(spark: SparkSession, root: str, name: str, columns: dict[str, str], entity: str = "entity") -> DataFrame:
     """Like ``read_entity_dirs`` for files whose headers differ: columns are found by name.
 
     A column a file lacks is NULL, a short row is padded, an unreadable number is NULL. Files
     of this kind hold one entity each, so a file is one record of the scan.
     """
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root)
-             .select("value", F.regexp_extract(F.col("_metadata.file_path"), r"/(?:[^/=]+=)?([^/]+)/[^/]+$", 1).alias(entity)))
-    lines = files.select(entity, F.split(F.regexp_replace(F.rtrim("value"), "\r", ""), "\n").alias("_l"))
-    cells = ", ".join(f"c{i} string" for i in range(width))
-
-    def parsed(line):
-        s = F.from_csv(line, cells, {"mode": "PERMISSIVE"})
-        return F.array(*[s.getField(f"c{i}") for i in range(width)])
-    rows = (lines.select(entity, parsed(F.col("_l")[0]).alias("_h"), F.posexplode("_l").alias("_no", "_line"))
+    files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
+             .select("value", _directory().alias(entity)))
+    lines = files.select(entity, F.split("value", "\r?\n").alias("_l"))
+    rows = (lines.select(entity, _csv_cells(F.col("_l")[0]).alias("_h"), F.posexplode("_l").alias("_no", "_line"))
             .filter((F.col("_no") > 0) & (F.trim("_line") != ""))
-            .select(entity, "_no", "_h", parsed(F.col("_line")).alias("_v")))
+            .select(entity, "_no", "_h", _csv_cells(F.col("_line")).alias("_v")))
     out = []
     for c, kind in columns.items():
         at = F.array_position("_h", c)
