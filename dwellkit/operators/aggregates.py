@@ -57,6 +57,22 @@ def weighted_collapse(blocks: list[tuple[Column, Column]]) -> Column:
     return F.when(den > 0, safe_div(num, den))
 
 
+def distinct_by_condition(df: DataFrame, by: list[str], key: str, conditions: dict[str, Column],
+                          extra: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+    """Distinct keys per group under each condition, plus further sums, minima or maxima.
+
+    Several ``count(distinct)`` in one aggregation would copy every row once per distinct
+    column. Collapsing to (group, key) first needs one combined pass and no copies. ``extra``
+    maps a name to (expression, "sum" | "min" | "max").
+    """
+    extra = extra or {}
+    how = {"sum": F.sum, "min": F.min, "max": F.max}
+    first = df.groupBy(*by, key).agg(*[F.max(c.cast("int")).alias(f"_c_{n}") for n, c in conditions.items()],
+                                     *[how[h](e).alias(f"_e_{n}") for n, (e, h) in extra.items()])
+    return first.groupBy(*by).agg(*[F.sum(f"_c_{n}").alias(n) for n in conditions],
+                                  *[how[h](f"_e_{n}").alias(n) for n, (_, h) in extra.items()])
+
+
 def distinct_in_window(df: DataFrame, unit: str, season: str, member: str, anchors: DataFrame,
                        anchor: str, back: int, name: str = "n_distinct") -> DataFrame:
     """Distinct members of a unit in [anchor - back, anchor - 1].

@@ -108,14 +108,16 @@ def kruskal(df: DataFrame, value: str, sample: str) -> DataFrame:
              .agg(F.count(F.lit(1)).alias("_k")))
     by_value = cells.groupBy("value").agg(F.sum("_k").alias("n"), F.collect_list(F.struct("_s", "_k")).alias("_parts"))
     ranks = average_ranks(by_value, "value")  # the list is as long as there are samples
-    ties = ranks.agg(F.sum(F.pow(F.col("n"), 3) - F.col("n")).alias("ties"), F.max("n_all").alias("n"))
-    sums = (ranks.select("avg_rank", F.explode("_parts").alias("_p"))
-            .groupBy("_p._s").agg(F.sum("_p._k").alias("ni"), F.sum(F.col("_p._k") * F.col("avg_rank")).alias("ri")))
-    t = ties.select(F.struct("ties", "n")).scalar()
-    n = t.getField("n").cast("double")
-    tie = 1.0 - safe_div(t.getField("ties"), n * n * n - n)
-    out = sums.agg(F.sum(F.col("ri") * F.col("ri") / F.col("ni")).alias("_q"), (F.count(F.lit(1)) - 1).alias("df"))
-    out = out.withColumn("h", safe_div((12.0 / (n * (n + 1))) * F.col("_q") - 3.0 * (n + 1), tie)).drop("_q")
+    # Sum over values of n^3 - n, split over the samples: each row of a tie of n adds n^2 - 1.
+    k, tied = F.col("_p._k"), F.col("n").cast("double")
+    sums = (ranks.select("avg_rank", "n", "n_all", F.explode("_parts").alias("_p"))
+            .groupBy("_p._s").agg(F.sum(k).alias("ni"), F.sum(k * F.col("avg_rank")).alias("ri"),
+                                  F.sum(k * (tied * tied - 1)).alias("ti"), F.max("n_all").alias("n_all")))
+    out = sums.agg(F.sum(F.col("ri") * F.col("ri") / F.col("ni")).alias("_q"), (F.count(F.lit(1)) - 1).alias("df"),
+                   F.sum("ti").alias("_t"), F.max("n_all").cast("double").alias("_n"))
+    n = F.col("_n")
+    tie = 1.0 - safe_div(F.col("_t"), n * n * n - n)
+    out = out.withColumn("h", safe_div((12.0 / (n * (n + 1))) * F.col("_q") - 3.0 * (n + 1), tie)).drop("_q", "_t", "_n")
     return out.withColumn("p", chi2_sf_col(F.col("h"), F.col("df").cast("double")))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from dwellkit.functions.numeric import bin_right_closed, safe_div
 from dwellkit.operators.aggregates import unpivot_row
 from dwellkit.operators.running import average_ranks, exact_quantiles, running
+from dwellkit.session import materialized
 
 
 def _add(cols):
@@ -128,7 +129,7 @@ def regression_summary(df: DataFrame, truth: str, pred: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation of average ranks; the rank mean (N + 1) / 2 is known beforehand."""
     pairs = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
-    cells = pairs.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    cells = materialized(pairs.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
 
     def ranks(col, name):
         r = average_ranks(cells.groupBy(col).agg(F.sum("_n").alias("n")), col)

@@ -104,8 +104,7 @@ def curated_truth(actual: DataFrame, expected: DataFrame, keys: list[str], value
     hit = actual.select(*keys, F.col(value).alias("actual"))
     verdict = (F.when(F.col("actual").isNull(), "n.a.").when(F.col("actual") == F.col("expected"), "OK")
                .otherwise("WRONG"))
-    # The curated table is a short literal list, so it is the side sent to every task.
-    return F.broadcast(e).join(hit, keys, "left").withColumn("verdict", verdict)
+    return e.join(hit, keys, "left").withColumn("verdict", verdict)
 
 
 def tolerance_check(actual: DataFrame, published: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def with_ranges(df: DataFrame, order: str, n_ranges: int | None = None) -> DataF
     The cut points are approximate quantiles, so ranges hold similar row counts; the result
     of the operators below is exact wherever the cuts fall.
     """
-    n = n_ranges or shuffle_partitions(df.sparkSession)
+    n = n_ranges or min(4096, shuffle_partitions(df.sparkSession))
     probs = [i / n for i in range(1, n)]
     cuts = sorted(set(df.select(F.col(order).cast("double").alias(order))
                       .approxQuantile(order, probs, 1.0 / (4 * n))))
@@ -49,13 +49,13 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: list[str] |
 
     ``before`` sums over strictly smaller ``order`` values of the same ``by`` group, so
     ``df`` needs one row per (by, order). Pass ``ranged=True`` when the range column is
-    already there. The input is read for the cut points, the range totals and the rows, so
-    it is written once to the shared folder instead of being computed three times.
+    already there. Otherwise the input is read for the cut points, the range totals and the
+    rows, so it is written once to the shared folder instead of being computed three times.
     """
     by = by or []
-    src = materialized(df.withColumns({f"_v_{name}": expr for name, expr in sums.items()}))
+    src = df.withColumns({f"_v_{name}": expr for name, expr in sums.items()})
     if not ranged:
-        src = with_ranges(src, order)
+        src = with_ranges(materialized(src), order)
     keys = [*by, RANGE]
     totals = src.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     # One row per range and group meets here, not one per input row.

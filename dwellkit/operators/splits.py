@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dwellkit.functions.hashing import hash_hex
 from dwellkit.operators.running import running, with_hash_ranges
 from dwellkit.operators.stints import mode_per_group
+from dwellkit.session import materialized
 
 
 def _running_hash(df: DataFrame, sums, by=None) -> DataFrame:
@@ -21,7 +22,7 @@ def _running_hash(df: DataFrame, sums, by=None) -> DataFrame:
 def split_stratified(df: DataFrame, group: str, label: str, fraction: float, seed: int) -> DataFrame:
     """(group, stratum, n_rows, side): per modal class, groups in hash order go to the test
     side until its row quota floor(rows of the class x fraction) is reached."""
-    modes = mode_per_group(df, [group], label, "stratum").select(group, "stratum", "n_rows")
+    modes = materialized(mode_per_group(df, [group], label, "stratum").select(group, "stratum", "n_rows"))
     quota = df.groupBy(F.col(label).alias("stratum")).agg(
         F.floor(F.count(F.lit(1)) * F.lit(fraction)).alias("_quota"))
     ordered = _running_hash(modes.withColumn("_h", hash_hex(seed, F.col(group))), {"r": F.col("n_rows")}, ["stratum"])
@@ -31,7 +32,7 @@ def split_stratified(df: DataFrame, group: str, label: str, fraction: float, see
 
 def split_random(df: DataFrame, group: str, fraction: float, seed: int) -> DataFrame:
     """(group, side): the first floor(groups x fraction) groups in hash order are the test side."""
-    groups = df.select(group).distinct().withColumn("_h", hash_hex(seed, F.col(group)))
+    groups = materialized(df.select(group).distinct()).withColumn("_h", hash_hex(seed, F.col(group)))
     ordered = _running_hash(groups, {"g": F.lit(1)})
     side = F.when(F.col("g_before") < F.floor(F.col("g_total") * F.lit(fraction)), "test").otherwise("train")
     return ordered.select(group, side.alias("side"))
@@ -48,14 +49,15 @@ def kfold(df: DataFrame, group: str, k: int, seed: int, label: str | None = None
     else:
         groups, by = mode_per_group(df, [group], label, "stratum").select(group, "stratum"), ["stratum"]
         size = F.greatest(F.lit(1), F.floor(F.col("g_total") / k))
-    ordered = _running_hash(groups.withColumn("_h", hash_hex(seed, F.col(group))), {"g": F.lit(1)}, by)
+    groups = materialized(groups).withColumn("_h", hash_hex(seed, F.col(group)))
+    ordered = _running_hash(groups, {"g": F.lit(1)}, by)
     fold = F.when(size > 0, F.least(F.floor(F.col("g_before") / size), F.lit(k - 1))).otherwise(k - 1)
     return ordered.select(group, *(by or []), fold.cast("int").alias("fold"))
 
 
 def subsample(df: DataFrame, group: str, fraction: float, times: int, seed: int) -> DataFrame:
     """(b, group): max(1, floor(groups x fraction)) groups without replacement, B times."""
-    groups = df.select(group).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    groups = materialized(df.select(group).distinct()).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
     groups = groups.withColumn("_h", hash_hex(seed, F.col("b"), F.col(group)))
     ordered = _running_hash(groups, {"g": F.lit(1)}, ["b"])
     take = F.greatest(F.lit(1), F.floor(F.col("g_total") * F.lit(fraction)))

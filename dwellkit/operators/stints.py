@@ -104,9 +104,11 @@ def dedupe_keep_first(df: DataFrame, keys: list[str], order: list[str],
     one row per map task instead of a sort of all copies.
     """
     rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.struct(*order))
-    kept = (df.filter(~keep_all).groupBy(*keys).agg(first.alias("_r"))
-            .select(*keys, "_r.*"))
+    once = df.filter(~keep_all).groupBy(*keys)
+    if rest == order and len(order) == 1:
+        kept = once.agg(F.min(order[0]).alias(order[0]))
+    else:
+        kept = once.agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
     return kept.select(df.columns).unionByName(df.filter(keep_all))
 
 

@@ -82,12 +82,12 @@ SELECT entity, count(DISTINCT CASE WHEN status = 'F' THEN priority END) AS n_f_k
   coalesce(bool_or(priority = '1-URGENT' AND status = 'F'), false) AS ever_f_urgent FROM history GROUP BY 1""", "history"))
 def distinct_counts(spark, sf):
     f = F.col("status") == "F"
-    return history(spark, sf).groupBy("entity").agg(
-        F.count_distinct(F.when(f, F.col("priority"))).alias("n_f_keys"),
-        F.count_distinct(F.when(~f, F.col("priority"))).alias("n_other_keys"),
-        rounded(F.count_if(f) / F.count(F.lit(1))).alias("f_share"),
-        F.min(F.when(f, F.col("season"))).alias("first_f"),
-        F.bool_or(f & (F.col("priority") == "1-URGENT")).alias("ever_f_urgent"))
+    out = ag.distinct_by_condition(
+        history(spark, sf), ["entity"], "priority", {"n_f_keys": f, "n_other_keys": ~f},
+        {"n_f": (f.cast("int"), "sum"), "n": (F.lit(1), "sum"), "first_f": (F.when(f, F.col("season")), "min"),
+         "urgent": ((f & (F.col("priority") == "1-URGENT")).cast("int"), "max")})
+    return out.select("entity", "n_f_keys", "n_other_keys", rounded(F.col("n_f") / F.col("n")).alias("f_share"),
+                      "first_f", (F.col("urgent") == 1).alias("ever_f_urgent"))
 
 
 HEADS = """SELECT c_nationkey AS unit, season, arg_max(entity, (spend, -entity)) AS head

@@ -6,7 +6,7 @@ orders of an entity in a year; a stint is a run of consecutive seasons.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,15 +26,22 @@ def history(spark, sf) -> DataFrame:
         F.col("o_totalprice").alias("price"))
 
 
+def record_order() -> Column:
+    """Day, then record number, as one long: an aggregate ordered by it stays a hash aggregate."""
+    return F.unix_date(F.col("placed").cast("date")).cast("bigint") * F.lit(2 ** 47) + F.col("record")
+
+
 def seasons(spark, sf) -> DataFrame:
-    """One row per (entity, season)."""
-    last = F.struct("placed", "record")
-    return history(spark, sf).groupBy("entity", "season").agg(
+    """One row per (entity, season). Only the measures a job uses are computed; the two text
+    columns need a sort-based aggregate, ``last_is_p`` does not."""
+    last = F.col("_order")
+    return history(spark, sf).withColumn("_order", record_order()).groupBy("entity", "season").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("status") == "F").alias("w"),
         F.count_if(F.col("status") == "O").alias("l"),
         F.count_if(F.col("status") == "P").alias("t"),
         F.sum("price").alias("spend"),
+        F.max_by((F.col("status") == "P").cast("int"), last).alias("last_is_p"),
         F.max_by("status", last).alias("last_status"),
         F.max_by("priority", last).alias("last_priority"))
 
@@ -54,9 +61,9 @@ def targets(spark, sf) -> DataFrame:
     boundary = history(spark, sf).agg(F.max("season").alias("b")).scalar()
     out = marked.groupBy("entity", "stint_no").agg(
         F.min("season").alias("start_season"), F.max("season").alias("end_season"),
-        F.max_by("last_status", "season").alias("last_status"))
+        F.max_by("last_is_p", "season").alias("last_is_p"))
     cause = (F.when(F.col("end_season") >= boundary, 0)
-             .when(F.col("last_status") == "P", 2).otherwise(1))
+             .when(F.col("last_is_p") == 1, 2).otherwise(1))
     return (out.withColumn("duration", (F.col("end_season") - F.col("start_season") + 1).cast("int"))
             .withColumn("cause", cause)
             .withColumn("event", (F.col("cause") == 1).cast("int"))

@@ -73,8 +73,7 @@ SIGNALS = """SELECT k.entity, k.start_season, k.end_season, k.stint_key, count(a
 
 def _keyed(spark, sf):
     """Stints with the unit key of their first season."""
-    last = F.struct("placed", "record")
-    per = history(spark, sf).groupBy("entity", "season").agg(F.max_by("priority", last).alias("priority"))
+    per = seasons(spark, sf).select("entity", "season", F.col("last_priority").alias("priority"))
     marked = st.number_islands(per, "entity", "season")
     return marked.groupBy("entity", "stint_no").agg(
         F.min("season").alias("start_season"), F.max("season").alias("end_season"),
@@ -143,11 +142,11 @@ def tenure_class_final(spark, sf):
     marked = st.number_islands(seasons(spark, sf), "entity", "season")
     s = marked.groupBy("entity", "stint_no").agg(
         F.min("season").alias("start_season"), F.max("season").alias("end_season"),
-        F.max_by("last_status", "season").alias("last_status"))
-    last = s.groupBy("entity").agg(F.max_by(F.struct("start_season", "end_season", "last_status"), "stint_no").alias("_s"))
-    last = last.select("entity", "_s.*")
+        F.max_by("last_is_p", "season").alias("last_is_p"))
+    last = s.groupBy("entity").agg(F.max("start_season").alias("start_season"), F.max("end_season").alias("end_season"),
+                                   F.max_by("last_is_p", "stint_no").alias("last_is_p"))
     return last.select("entity", "start_season", "end_season", lb.final_class(
-        F.col("start_season"), F.col("end_season"), 2000, 1998, F.col("last_status") == "P").alias("final_class"))
+        F.col("start_season"), F.col("end_season"), 2000, 1998, F.col("last_is_p") == 1).alias("final_class"))
 
 
 PANEL = """SELECT a.entity, a.anchor, CAST(coalesce(sum(q.n_rows), 0) AS BIGINT) AS prior_orders, count(q.season) AS prior_seasons,

@@ -14,6 +14,7 @@ from dwellkit.operators import splits as sp
 from dwellkit.plans.base import history, rnd, seasons, sql, table, targets
 from dwellkit.plans.registry import job
 from dwellkit.plans.survival_jobs import two_sided
+from dwellkit.session import materialized
 
 SEED, FRACTION, FOLDS, B = 42, 0.2, 5, 60
 
@@ -119,7 +120,7 @@ def bootstrap_ci(spark, sf):
   {rnd(f'quantile_cont(a.{m} - c.{m}, 0.975)')} AS ci_high, {rnd(f'avg(CAST(a.{m} - c.{m} {">=" if m == "mae" else "<="} 0 AS INTEGER))')} AS p FROM sa a JOIN sb c USING (b)""" for m in METRICS),
     "targets", scored=SCORED, blocks=BLOCKS, drawn=DRAWN, sa=_stats("pred_a"), sb=_stats("pred_b")))
 def bootstrap_paired(spark, sf):
-    cells = _drawn(spark, sf)
+    cells = materialized(_drawn(spark, sf))  # both models read the same draws
     other = _metrics(cells, "pred_b").withColumnsRenamed({m: f"o_{m}" for m in METRICS})
     both = _metrics(cells, "pred_a").join(other, "b").select("b", *[(F.col(m) - F.col(f"o_{m}")).alias(m) for m in METRICS])
     ci = rs.percentile_ci(both, METRICS)

@@ -119,9 +119,11 @@ FROM (SELECT o_custkey AS entity,
 def pattern_background(spark, sf):
     role = F.col("role")
     other = ~F.lower(role).contains("head coach")
-    counts = role_rows(spark, sf).groupBy(F.col("o_custkey").alias("entity")).agg(
-        F.count_if(other & tx.pattern_match(role, tx.OFFENSE_PATTERNS)).alias("first_count"),
-        F.count_if(other & tx.pattern_match(role, tx.DEFENSE_PATTERNS)).alias("second_count"))
+    # The patterns run once per (entity, role text), not once per record.
+    texts = role_rows(spark, sf).groupBy(F.col("o_custkey").alias("entity"), "role").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.groupBy("entity").agg(
+        F.sum(F.when(other & tx.pattern_match(role, tx.OFFENSE_PATTERNS), F.col("n")).otherwise(0)).alias("first_count"),
+        F.sum(F.when(other & tx.pattern_match(role, tx.DEFENSE_PATTERNS), F.col("n")).otherwise(0)).alias("second_count"))
     return counts.withColumn("background", tx.background_of(F.col("first_count"), F.col("second_count")))
 
 

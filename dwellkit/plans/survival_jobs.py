@@ -9,6 +9,7 @@ from dwellkit.operators import survival as sv
 from dwellkit.operators.concordance import harrell, uno
 from dwellkit.plans.base import rnd, sql, targets
 from dwellkit.plans.registry import job
+from dwellkit.session import materialized
 
 RISK = """SELECT duration, sum(count(*)) OVER (ORDER BY duration DESC) AS n, count(*) FILTER (event = 1) AS d,
   count(*) FILTER (event = 0) AS c FROM targets GROUP BY duration"""
@@ -122,7 +123,7 @@ FROM (SELECT cells.*, 1.0 / pow(greatest(g, 1e-8), 2) AS w FROM cells JOIN g ON
 JOIN cells j ON i.e = 1 AND j.t > i.t AND i.t <= (SELECT max(t) FROM cells WHERE e = 1)""",
     "targets", cells=CELLS, risk=RISK, g=G))
 def concordance_uno(spark, sf):
-    t = targets(spark, sf)
+    t = materialized(targets(spark, sf))  # read by the curve and by the score
     g = sv.censoring_curve(t, "duration", "event")
     out = uno(t, "duration", "event", "start_season", g)
     return out.select(rounded(F.col("c_uno")).alias("c_uno"))
@@ -145,7 +146,7 @@ BRIER = " UNION ALL ".join(_brier_sql(h) for h in (2, 4, 6))
 
 
 def _brier(spark, sf):
-    t = targets(spark, sf)
+    t = materialized(targets(spark, sf))  # read by the curve and by the score
     g = sv.censoring_curve(t, "duration", "event")
     for h in (2, 4, 6):
         t = t.withColumn(f"p{h}", _predicted(h))
