@@ -17,7 +17,11 @@ def hash_int(seed, *keys: Column) -> Column:
     return F.conv(F.substring(hash_hex(seed, *keys), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_wide(seed, *keys: Column) -> Column:
+    """First 60 bits of the hash as a non-negative long; orders rows like the hash itself."""
+    return F.conv(F.substring(hash_hex(seed, *keys), 1, 15), 16, 10).cast("bigint")
+
+
 def hash_below(n, seed, *keys: Column) -> Column:
     """Uniform long in [0, n); 60 hash bits keep the modulo unbiased for any table size."""
-    wide = F.conv(F.substring(hash_hex(seed, *keys), 1, 15), 16, 10).cast("bigint")
-    return wide % (n if isinstance(n, Column) else F.lit(n))
+    return hash_wide(seed, *keys) % (n if isinstance(n, Column) else F.lit(n))

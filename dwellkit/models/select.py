@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dwellkit.functions.hashing import hash_wide
 from dwellkit.models import aft, cox
 from dwellkit.operators.concordance import harrell, uno
 from dwellkit.operators.hypothesis import t_interval
-from dwellkit.operators.splits import split_random, subsample
+from dwellkit.operators.running import mark_first
+from dwellkit.operators.splits import subsample
 from dwellkit.operators.survival import censoring_curve
 from dwellkit.session import materialized
 
@@ -35,11 +37,12 @@ def membership(ranks: DataFrame, ks: list[int], threshold: float = 0.6) -> DataF
 
 def seed_splits(df: DataFrame, group: str, seeds: list[int], fraction: float = 0.2) -> DataFrame:
     """Rows copied per seed with their side of that seed's grouped split."""
-    out = None
-    for s in seeds:
-        part = df.join(split_random(df, group, fraction, s), group).withColumn("seed", F.lit(s))
-        out = part if out is None else out.unionByName(part)
-    return out
+    groups = materialized(df.select(group).distinct())
+    each = groups.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    each = each.withColumn("_h", hash_wide(F.col("seed"), F.col(group)))
+    marked = mark_first(each, "_h", group, lambda n: F.floor(n * F.lit(fraction)), ["seed"])
+    sides = marked.select(group, "seed", F.when(F.col("picked"), "test").otherwise("train").alias("side"))
+    return df.join(sides, group)
 
 
 def _score_linear(test: DataFrame, models: dict, expr: Callable) -> DataFrame:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,9 @@ def assemble(df: DataFrame, features: list[str], keep: dict[str, "F.Column"]) ->
 def keyed_sums(rows: DataFrame, keys: dict[str, str], contribution: Callable[[pd.DataFrame], dict]) -> dict:
     """Sum vectors per key: ``contribution(batch)`` gives {key tuple: vector}.
 
-    A task adds its batches up locally and emits one vector per key; Spark then adds the
-    vectors element by element, so the driver receives keys x vector length numbers however
-    many tasks there were.
+    A task adds its batches up locally and emits one vector per key. Spark's vector sum adds
+    those up inside the JVM with one running buffer per key, so the driver receives keys x
+    vector length numbers however many tasks there were.
     """
     names = list(keys)
     schema = ", ".join(f"{n} {t}" for n, t in keys.items()) + (", " if keys else "") + "v array<double>"
@@ -38,18 +40,9 @@ def keyed_sums(rows: DataFrame, keys: dict[str, str], contribution: Callable[[pd
             yield out
 
     partial = rows.mapInPandas(run, schema)
-    total = (partial.select(*names, F.posexplode("v").alias("_pos", "_val"))
-             .groupBy(*names, "_pos").agg(F.sum("_val").alias("_val")))
-    got: dict = {}
-    for r in total.collect():
-        got.setdefault(tuple(r[n] for n in names), []).append((r["_pos"], r["_val"]))
-    out = {}
-    for key, cells in got.items():
-        vec = np.zeros(max(p for p, _ in cells) + 1)
-        for p, v in cells:
-            vec[p] = v
-        out[key] = vec
-    return out
+    vectors = partial.select(*names, array_to_vector("v").alias("v"))
+    total = vectors.groupBy(*names).agg(Summarizer.sum(F.col("v")).alias("v"))
+    return {tuple(r[n] for n in names): r["v"].toArray() for r in total.collect()}
 
 
 def scale_of(rows: DataFrame, features: list[str], fit: str = "fit") -> dict:

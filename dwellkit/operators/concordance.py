@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dwellkit.functions.numeric import safe_div
 from dwellkit.operators.running import running
+from dwellkit.session import materialized
 
 
 def pair_counts(df: DataFrame, code: Column, anchor: Column, score: str,
@@ -30,6 +31,7 @@ def pair_counts(df: DataFrame, code: Column, anchor: Column, score: str,
                        (F.lit(1.0) if weight is None else weight).alias("_w"))
              .filter(F.col("_score").isNotNull())
              .groupBy(*by, "_code", "_anchor", "_score", "_w").agg(F.count(F.lit(1)).alias("_n")))
+    cells = materialized(cells)  # read for the largest code and for the pairs
     if bits is None:
         # Bit levels up to the largest code, found while the job runs.
         top = cells.agg(F.greatest(F.max("_code"), F.lit(1))).scalar()

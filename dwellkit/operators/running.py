@@ -9,6 +9,8 @@ shared by a third of all rows is one row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -38,17 +40,46 @@ def with_ranges(df: DataFrame, order: str, n_ranges: int | None = None) -> DataF
             .withColumn(RANGE, F.col("_range_d").cast("int")).drop("_order_d", "_range_d"))
 
 
-def with_hash_ranges(df: DataFrame, order: str, digits: int = 3) -> DataFrame:
-    """Ranges for an order by hex hash: its leading digits are evenly spread already."""
-    return df.withColumn(RANGE, F.conv(F.substring(F.col(order), 1, digits), 16, 10).cast("int"))
+def with_hash_ranges(df: DataFrame, order: str) -> DataFrame:
+    """4096 ranges for an order by 60-bit hash: its leading bits are evenly spread already."""
+    return df.withColumn(RANGE, F.shiftright(order, 48).cast("int"))
+
+
+def mark_first(rows: DataFrame, order: str, key: str, take: Callable[[Column], Column],
+               by: list[str] | None = None, name: str = "picked") -> DataFrame:
+    """Mark the first ``take(total)`` rows of each group in hash order, without sorting them.
+
+    Counting rows per hash range shows in which range the cut lies. Rows of other ranges are
+    decided by their range alone and stay where they are; only the one range with the cut is
+    ranked, by hash and then key.
+    """
+    by = by or []
+    src = with_hash_ranges(rows, order)
+    cells = src.groupBy(*by, RANGE).agg(F.count(F.lit(1)).alias("_n"))
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    # At most 4096 rows per group here.
+    seen = cells.withColumn("_take", take(F.sum("_n").over(group)).cast("bigint")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(group.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    cut = seen.filter((F.col("_before") < F.col("_take")) & (F.col("_take") <= F.col("_before") + F.col("_n")))
+    cut = materialized(cut.select(*by, F.col(RANGE).alias("_cut"), "_before", "_take"))
+    if by:
+        src = src.join(cut, by, "left")
+    else:
+        one = cut.select(F.struct("_cut", "_before", "_take")).scalar()
+        src = src.withColumn("_c", one).select(src.columns + ["_c.*"])
+    at_cut = F.coalesce(F.col(RANGE) == F.col("_cut"), F.lit(False))
+    clear = src.filter(~at_cut).withColumn(name, F.coalesce(F.col(RANGE) < F.col("_cut"), F.lit(False)))
+    rank = F.row_number().over(group.orderBy(order, key))
+    ranked = src.filter(at_cut).withColumn(name, rank + F.col("_before") <= F.col("_take"))
+    return clear.unionByName(ranked).drop(RANGE, "_cut", "_before", "_take")
 
 
 def running(df: DataFrame, order: str, sums: dict[str, Column], by: list[str] | None = None,
-            ranged: bool = False) -> DataFrame:
+            ranged: bool = False, tie: str | None = None) -> DataFrame:
     """Add ``<name>_before`` and ``<name>_total`` for each summed expression.
 
     ``before`` sums over strictly smaller ``order`` values of the same ``by`` group, so
-    ``df`` needs one row per (by, order). Pass ``ranged=True`` when the range column is
+    ``df`` needs one row per (by, order), or per (by, order, tie). Pass ``ranged=True`` when the range column is
     already there. Otherwise the input is read for the cut points, the range totals and the
     rows, so it is written once to the shared folder instead of being computed three times.
     """
@@ -66,7 +97,7 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: list[str] |
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(group).alias(f"{n}_total") for n in sums])
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    inside = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*keys).orderBy(order, *([tie] if tie else [])).rowsBetween(W.unboundedPreceding, -1)
     out = src.join(offsets, on).drop(*[f"_k_{k}" for k in keys])
     for n in sums:
         out = out.withColumn(

@@ -183,12 +183,17 @@ def step_read(points: DataFrame, at: str, curve: DataFrame, time: str, value: st
               keys: list[str] | None = None, empty: float = 0.0) -> DataFrame:
     """Value of a step function at each point: last step at or before it, else ``empty``.
 
-    The curve is turned into half-open intervals [time, next time), so the join keeps at
-    most one step per point and nothing is aggregated afterwards. A curve has one row per
-    distinct time.
+    A curve has one row per distinct season. With keys it is turned into half-open intervals
+    [time, next time), so the join keeps at most one step per point; without keys the whole
+    curve is one small array next to every point and no join is needed.
     """
     keys = keys or []
-    order = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(time)
+    if not keys:
+        pairs = curve.agg(F.collect_list(F.struct(F.col(time).alias("t"), F.col(value).alias("v")))).scalar()
+        last = F.array_max(F.filter("_curve", lambda p: p["t"] <= F.col(at)))
+        return (points.withColumn("_curve", pairs)
+                .withColumn(value, F.coalesce(last.getField("v"), F.lit(empty))).drop("_curve"))
+    order = W.partitionBy(*keys).orderBy(time)
     steps = curve.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(time).alias("_from"),
                          F.lead(time).over(order).alias("_to"), F.col(value).alias(f"_{value}"))
     on = [F.col(k) == F.col(f"_{k}") for k in keys]

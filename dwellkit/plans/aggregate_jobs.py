@@ -9,6 +9,7 @@ from dwellkit.operators import aggregates as ag
 from dwellkit.operators import pit
 from dwellkit.plans.base import FEATURES, features, history, rnd, seasons, sql, stints, table, targets
 from dwellkit.plans.registry import job
+from dwellkit.session import materialized
 from dwellkit.plans.units import SIDES_SQL, UNITS_SQL, unit_seasons, unit_sides
 
 
@@ -221,7 +222,7 @@ SELECT category, {rnd('sum(value)')} AS total, {rnd('avg(value)')} AS mean, coun
 FROM importance GROUP BY category""", "features", importance=IMPORTANCE))
 def category_rollup(spark, sf):
     imp = ag.corr_with_target(features(spark, sf), FEATURES, "duration").select("feature", F.abs("r").alias("value"))
-    roll = ag.category_rollup(imp, CATEGORY)
+    roll = materialized(ag.category_rollup(imp, CATEGORY))
     ratio = ag.two_group_ratio(roll, "history", "profile").scalar()
     return roll.select("category", rounded(F.col("total")).alias("total"), rounded(F.col("mean")).alias("mean"),
                        "n_features", rounded(ratio, 4).alias("ratio"))

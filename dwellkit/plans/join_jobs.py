@@ -10,6 +10,7 @@ from dwellkit.operators import lookups as lk
 from dwellkit.operators import pit
 from dwellkit.plans.base import history, rnd, seasons, sql, stints, table, targets
 from dwellkit.plans.registry import job
+from dwellkit.session import materialized
 from dwellkit.plans.units import SIDES_SQL, UNITS_SQL, unit_seasons, unit_sides
 
 HASH10 = "('0x' || substr(md5(concat_ws(':', '7', CAST(entity AS VARCHAR))), 1, 8))::BIGINT % 10"
@@ -33,7 +34,7 @@ FROM (SELECT *, CASE cause WHEN 1 THEN 'event' ELSE 'censor' END AS auto FROM ta
 LEFT JOIN (SELECT entity, end_season, CASE WHEN h < 5 THEN 'event' ELSE 'censor' END AS label
   FROM (SELECT *, {HASH10} AS h FROM targets) WHERE h IN (0, 3, 6, 9) AND cause = 2) v USING (entity, end_season)""", "targets"))
 def override_merge(spark, sf):
-    t = targets(spark, sf).withColumn(
+    t = materialized(targets(spark, sf)).withColumn(
         "auto", F.when(F.col("cause") == 1, "event").otherwise("censor"))
     h = hash_int(7, F.col("entity")) % 10
     verdicts = (t.filter((F.col("cause") == 2) & h.isin(0, 3, 6, 9))
@@ -78,7 +79,7 @@ LEFT JOIN existing e ON e.n_nationkey = c.n_nationkey AND e.season = u.season
 GROUP BY 1, 2""", units=UNITS_SQL, existing="""SELECT s_nationkey AS n_nationkey, season FROM units
   JOIN supplier ON s_suppkey = unit GROUP BY 1, 2 HAVING 3 * sum(n_returned) > sum(n_lines)"""))
 def candidate_first_match(spark, sf):
-    nation, units = table(spark, sf, "nation"), unit_seasons(spark, sf)
+    nation, units = table(spark, sf, "nation"), materialized(unit_seasons(spark, sf))
     supplier = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("unit"), "s_nationkey")
     # Own nation first, then the nations of its region by key.
     others = nation.groupBy("n_regionkey").agg(F.sort_array(F.collect_set("n_nationkey")).alias("all"))
@@ -243,7 +244,7 @@ SELECT entity, start_season, CASE WHEN entity IN (SELECT entity FROM targets WHE
 FROM targets WHERE cause <> 0 AND (entity, start_season) NOT IN
   (SELECT entity, min(start_season) FROM targets WHERE cause = 2 GROUP BY entity)""", "targets"))
 def anti_exclusions(spark, sf):
-    t = targets(spark, sf)
+    t = materialized(targets(spark, sf))
     listed = t.filter("cause = 2").groupBy("entity").agg(F.min("start_season").alias("start_season"))
     rows = lk.without(t.filter("cause <> 0"), listed, ["entity", "start_season"])
     active = t.filter("cause = 0").select("entity").distinct()

@@ -11,13 +11,15 @@ from dwellkit.operators import pit
 from dwellkit.operators import stints as st
 from dwellkit.plans.base import history, rnd, seasons, sql, stints, table
 from dwellkit.plans.registry import job
+from dwellkit.session import materialized
 
 # A season's primary flag: unknown for single-record seasons, else more wins than losses.
 PRIMARY = "CASE WHEN n_rows > 1 THEN w > l END"
 
 
-def primary_flags(spark, sf):
-    return seasons(spark, sf).select("entity", "season", F.when(F.col("n_rows") > 1, F.col("w") > F.col("l")).alias("primary"))
+def season_rows(spark, sf):
+    """The season table, written once: stints, flags and features all read it."""
+    return materialized(seasons(spark, sf))
 
 
 ANCHOR = f"""SELECT s.entity, s.stint_no, s.start_season, s.end_season, s.duration,
@@ -28,14 +30,15 @@ ANCHOR = f"""SELECT s.entity, s.stint_no, s.start_season, s.end_season, s.durati
       ON q.entity = s.entity AND q.season BETWEEN s.start_season AND s.end_season GROUP BY ALL) s"""
 
 
-def _anchored(spark, sf):
-    s = stints(spark, sf).drop("n_seasons")
-    return lb.classify_anchor(s, primary_flags(spark, sf), ["entity"], "season", "primary")
+def _anchored(per):
+    s = st.stint_islands(per.select("entity", "season"), "entity", "season").drop("n_seasons")
+    flags = per.select("entity", "season", F.when(F.col("n_rows") > 1, F.col("w") > F.col("l")).alias("primary"))
+    return lb.classify_anchor(s, flags, ["entity"], "season", "primary")
 
 
 @job("classify_anchor", sql("SELECT * FROM anchored", "stints", anchored=ANCHOR))
 def classify_anchor(spark, sf):
-    return _anchored(spark, sf)
+    return _anchored(season_rows(spark, sf))
 
 
 @job("clean_population", sql("""SELECT entity, start_season, anchor, anchor_kind FROM anchored WHERE anchor_kind <> 'interim_only'
@@ -43,7 +46,7 @@ def classify_anchor(spark, sf):
 def clean_population(spark, sf):
     listed = (stints(spark, sf).filter("duration = 1").groupBy("entity")
               .agg(F.max("start_season").alias("start_season")))
-    return lb.clean_population(_anchored(spark, sf), listed, ["entity", "start_season"]).select(
+    return lb.clean_population(_anchored(season_rows(spark, sf)), listed, ["entity", "start_season"]).select(
         "entity", "start_season", "anchor", "anchor_kind")
 
 
@@ -71,9 +74,9 @@ SIGNALS = """SELECT k.entity, k.start_season, k.end_season, k.stint_key, count(a
     ON a.entity = k.entity AND a.season > k.end_season GROUP BY 1, 2, 3, 4"""
 
 
-def _keyed(spark, sf):
+def _keyed(per):
     """Stints with the unit key of their first season."""
-    per = seasons(spark, sf).select("entity", "season", F.col("last_priority").alias("priority"))
+    per = per.select("entity", "season", F.col("last_priority").alias("priority"))
     marked = st.number_islands(per, "entity", "season")
     return marked.groupBy("entity", "stint_no").agg(
         F.min("season").alias("start_season"), F.max("season").alias("end_season"),
@@ -89,7 +92,7 @@ def _signals(spark, sf, stint_rows):
 @job("post_exit_signals", sql("SELECT entity, start_season, end_season, stint_key, active_after, head_elsewhere_after, head_elsewhere_next FROM signals",
                               "stints", keyed=KEYED, signals=SIGNALS))
 def post_exit_signals(spark, sf):
-    return _signals(spark, sf, _keyed(spark, sf))
+    return _signals(spark, sf, _keyed(seasons(spark, sf)))
 
 
 # The season note an entity gets from the priority of its last record.
@@ -109,10 +112,11 @@ SELECT entity, start_season, label, kind, confidence, needs_check FROM (SELECT e
     "stints", "boundary", keyed=KEYED, signals=SIGNALS))
 def event_label_rules(spark, sf):
     note = F.coalesce(*[F.when(F.col("last_priority") == p, F.lit(n)) for p, n in NOTES.items()])
-    last = seasons(spark, sf).select("entity", F.col("season").alias("end_season"), note.alias("note"),
+    per = season_rows(spark, sf)
+    last = per.select("entity", F.col("season").alias("end_season"), note.alias("note"),
                                      ratio_with_ties(F.col("w"), F.col("l"), F.col("t")).alias("ratio"))
-    s = _signals(spark, sf, _keyed(spark, sf)).join(last, ["entity", "end_season"])
-    boundary = history(spark, sf).agg(F.max("season")).scalar()
+    s = _signals(spark, sf, _keyed(per)).join(last, ["entity", "end_season"])
+    boundary = per.agg(F.max("season")).scalar()
     # A stint always ends in a gap here, so "elsewhere next" looks past the gap.
     lab = lb.event_label(F.col("end_season"), boundary, tx.keyword_flag(F.col("note"), tx.FORCED_WORDS),
                          tx.keyword_flag(F.col("note"), tx.RESIGNED_WORDS),
@@ -165,8 +169,8 @@ FROM pop p JOIN panel k USING (entity, anchor) LEFT JOIN seasons c ON c.entity =
 GROUP BY ALL""", "stints", anchored=ANCHOR, pop=POP, panel=PANEL))
 def build_panel(spark, sf):
     """Anchors, era filter, hygiene, relabelling, features, targets: one lazy plan."""
-    per = seasons(spark, sf)
-    pop = (_anchored(spark, sf).filter("start_season >= 1996").filter("anchor_kind <> 'interim_only'")
+    per = season_rows(spark, sf)
+    pop = (_anchored(per).filter("start_season >= 1996").filter("anchor_kind <> 'interim_only'")
            .withColumn("duration", (F.col("end_season") - F.col("anchor") + 1).cast("int"))
            .select("entity", "anchor", "duration"))
     x = pit.pit_features(pop, per, ["entity"], "anchor", "season",

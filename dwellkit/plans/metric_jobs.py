@@ -8,6 +8,7 @@ from dwellkit.functions.numeric import rounded
 from dwellkit.operators import metrics as mt
 from dwellkit.plans.base import features, rnd, sql, table, targets
 from dwellkit.plans.registry import job
+from dwellkit.session import materialized
 
 PAIR = """SELECT l_orderkey, l_linenumber, CAST(least(2, floor(l_quantity / 17)) AS INTEGER) AS truth,
   CAST(least(2, floor(l_discount * 100 / 4)) AS INTEGER) AS pred, l_returnflag AS flag, year(l_shipdate) AS season,
@@ -71,7 +72,7 @@ def _auc_sql(c):
 @job("auroc_ovr_macro", sql(f"""SELECT cls AS class, support, {rnd('auroc')} AS auroc, {rnd('avg(auroc) OVER ()')} AS auroc_macro FROM auc""",
                             pair=PAIR, auc=" UNION ALL ".join(_auc_sql(c) for c in range(3))))
 def auroc_ovr_macro(spark, sf):
-    per = mt.auroc_ovr(pairs(spark, sf), "truth", {0: "p0", 1: "p1", 2: "p2"})
+    per = materialized(mt.auroc_ovr(pairs(spark, sf), "truth", {0: "p0", 1: "p1", 2: "p2"}))
     macro = mt.macro_auroc(per).scalar()
     return per.select("class", "support", rounded(F.col("auroc")).alias("auroc"), rounded(macro).alias("auroc_macro"))
 

@@ -10,6 +10,7 @@ from dwellkit.operators import quality as ql
 from dwellkit.operators import stints as st
 from dwellkit.plans.base import features, history, rnd, seasons, sql, stints, table, targets
 from dwellkit.plans.registry import job
+from dwellkit.session import materialized
 from dwellkit.plans.window_jobs import RUNS
 
 # A second version of orders: some prices raised, statuses blanked, rows dropped, keys moved.
@@ -75,7 +76,7 @@ SELECT entity, start_season, 'train' AS origin FROM targets WHERE NOT ({TEST}) A
 UNION ALL SELECT entity, start_season, 'open' FROM targets WHERE cause = 0 AND entity NOT IN (SELECT entity FROM targets WHERE {TEST} AND cause <> 0)""",
     "targets"))
 def union_augment(spark, sf):
-    t = targets(spark, sf)
+    t = materialized(targets(spark, sf))
     known, test = t.filter("cause <> 0"), in_test()
     train = known.filter(~test).select("entity", "start_season", F.lit("train").alias("origin"))
     held_out = known.filter(test).select("entity").distinct()
@@ -128,7 +129,7 @@ WITH m AS (SELECT o_orderpriority AS alias, lower(o_orderpriority) AS key FROM o
 SELECT DISTINCT o_orderpriority AS code, 'uncovered' AS issue FROM orders WHERE o_orderpriority NOT IN (SELECT alias FROM m)
 UNION ALL SELECT DISTINCT alias, 'alias_and_key' FROM m WHERE alias IN (SELECT key FROM m)""")
 def dq_mapping_cover(spark, sf):
-    codes = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("code")).distinct()
+    codes = materialized(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("code")).distinct())
     mapping = (codes.filter("code < '4'").select(F.col("code").alias("alias"), F.lower("code").alias("key"))
                .unionByName(codes.filter("code < '2'").select(F.lower("code").alias("alias"), F.lit("low").alias("key"))))
     return ql.mapping_cover(codes, mapping, "code")

@@ -41,7 +41,7 @@ SELECT entity, stratum, n_rows, CASE WHEN before < floor(q.n * {FRACTION}) THEN
   SELECT *, coalesce(sum(n_rows) OVER (PARTITION BY stratum ORDER BY {md5_of(f"'{SEED}'", 'entity')} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM modes)
 JOIN (SELECT label, count(*) AS n FROM targets GROUP BY 1) q ON q.label = stratum""", "targets", modes=MODES))
 def group_split_stratified(spark, sf):
-    return sp.split_stratified(targets(spark, sf), "entity", "label", FRACTION, SEED)
+    return sp.split_stratified(materialized(targets(spark, sf)), "entity", "label", FRACTION, SEED)
 
 
 @job("group_kfold_stratified", sql(f"""
@@ -333,7 +333,7 @@ def sign_test(spark, sf):
 @job("seed_summary", sql(" UNION ALL ".join(f"""SELECT '{m}' AS model, count(*) AS n, {rnd(f'avg({m})')} AS mean, {rnd(f'stddev_pop({m})')} AS sd, {rnd(f'min({m})')} AS low, {rnd(f'max({m})')} AS high,
   {rnd(f'quantile_cont({m}, 0.025)')} AS p025, {rnd(f'quantile_cont({m}, 0.975)')} AS p975, count(*) FILTER ({m} > {o}) AS wins FROM by_seed""" for m, o in ("ab", "ba")), "targets", by_seed=BY_SEED))
 def seed_summary(spark, sf):
-    wide = by_seed(spark, sf)
+    wide = materialized(by_seed(spark, sf))
     long = wide.withColumn("_m", F.explode(F.array(*[F.struct(
         F.lit(m).alias("model"), F.col(m).alias("value"), (F.col(m) > F.col(o)).cast("int").alias("win")) for m, o in ("ab", "ba")])))
     long = long.select("_m.*")

@@ -40,10 +40,10 @@ ANCHORS = """SELECT s.entity, s.start_season, q.last_priority AS priority FROM s
 
 def anchors(spark, sf):
     """Stint starts with the unit (priority) of their first season."""
-    per = seasons(spark, sf).select("entity", "season", F.col("last_priority").alias("priority"))
-    s = stints(spark, sf).select(F.col("entity").alias("e"), "start_season")
-    return (per.join(s, (F.col("entity") == F.col("e")) & (F.col("season") == F.col("start_season")))
-            .select("entity", "start_season", "priority"))
+    per = seasons(spark, sf).select("entity", "season", "last_priority")
+    return (st.number_islands(per, "entity", "season").groupBy("entity", "stint_no")
+            .agg(F.min("season").alias("start_season"), F.min_by("last_priority", "season").alias("priority"))
+            .drop("stint_no"))
 
 
 @job("tenure_run_forward", sql("""
