@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.functions.hashing import hash_wide
+from dwellkit.functions.hashing import hash_hex
 from dwellkit.models import aft, cox
 from dwellkit.operators.concordance import harrell, uno
 from dwellkit.operators.hypothesis import t_interval
@@ -39,7 +39,7 @@ def seed_splits(df: DataFrame, group: str, seeds: list[int], fraction: float = 0
     """Rows copied per seed with their side of that seed's grouped split."""
     groups = materialized(df.select(group).distinct())
     each = groups.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    each = each.withColumn("_h", hash_wide(F.col("seed"), F.col(group)))
+    each = each.withColumn("_h", hash_hex(F.col("seed"), F.col(group)))
     marked = mark_first(each, "_h", group, lambda n: F.floor(n * F.lit(fraction)), ["seed"])
     sides = marked.select(group, "seed", F.when(F.col("picked"), "test").otherwise("train").alias("side"))
     return df.join(sides, group)

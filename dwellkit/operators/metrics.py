@@ -110,8 +110,9 @@ def auroc_ovr(df: DataFrame, truth: str, scores: dict[int, str]) -> DataFrame:
                                                 (F.count(F.lit(1)) - F.sum("pos")).alias("n_neg"))
     run = running(counts, "score", {"neg": F.col("n_neg")}, ["class"])
     won = F.sum(F.col("n_pos") * (F.col("neg_before") + F.col("n_neg") / 2.0))
+    pairs = F.sum("n_pos").cast("double") * F.max("neg_total")
     return run.groupBy("class").agg(
-        safe_div(won, F.sum("n_pos") * F.max("neg_total")).alias("auroc"), F.sum("n_pos").alias("support"))
+        safe_div(won, pairs).alias("auroc"), F.sum("n_pos").alias("support"))
 
 
 def macro_auroc(per_class: DataFrame) -> DataFrame:

@@ -41,8 +41,8 @@ def with_ranges(df: DataFrame, order: str, n_ranges: int | None = None) -> DataF
 
 
 def with_hash_ranges(df: DataFrame, order: str) -> DataFrame:
-    """4096 ranges for an order by 60-bit hash: its leading bits are evenly spread already."""
-    return df.withColumn(RANGE, F.shiftright(order, 48).cast("int"))
+    """4096 ranges for an order by hex hash: its leading digits are evenly spread already."""
+    return df.withColumn(RANGE, F.conv(F.substring(F.col(order), 1, 3), 16, 10).cast("int"))
 
 
 def mark_first(rows: DataFrame, order: str, key: str, take: Callable[[Column], Column],
@@ -69,6 +69,7 @@ def mark_first(rows: DataFrame, order: str, key: str, take: Callable[[Column], C
         src = src.withColumn("_c", one).select(src.columns + ["_c.*"])
     at_cut = F.coalesce(F.col(RANGE) == F.col("_cut"), F.lit(False))
     clear = src.filter(~at_cut).withColumn(name, F.coalesce(F.col(RANGE) < F.col("_cut"), F.lit(False)))
+    # Only 1 / 4096 of the rows are left to rank.
     rank = F.row_number().over(group.orderBy(order, key))
     ranked = src.filter(at_cut).withColumn(name, rank + F.col("_before") <= F.col("_take"))
     return clear.unionByName(ranked).drop(RANGE, "_cut", "_before", "_take")

@@ -1,6 +1,6 @@
 """Grouped splits and subsamples in a reproducible hash order.
 
-A group is ordered by md5(seed:group). The leading hash bits cut that order into even ranges,
+A group is ordered by md5(seed:group). The leading hash digits cut that order into even ranges,
 so quotas and fold positions come from running sums and never from one sorted task.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.functions.hashing import hash_wide
+from dwellkit.functions.hashing import hash_hex
 from dwellkit.operators.running import mark_first, running, with_hash_ranges
 from dwellkit.operators.stints import mode_per_group
 from dwellkit.session import materialized
@@ -25,14 +25,14 @@ def split_stratified(df: DataFrame, group: str, label: str, fraction: float, see
     modes = materialized(mode_per_group(df, [group], label, "stratum").select(group, "stratum", "n_rows"))
     quota = df.groupBy(F.col(label).alias("stratum")).agg(
         F.floor(F.count(F.lit(1)) * F.lit(fraction)).alias("_quota"))
-    ordered = _running_hash(modes.withColumn("_h", hash_wide(seed, F.col(group))), group, {"r": F.col("n_rows")}, ["stratum"])
+    ordered = _running_hash(modes.withColumn("_h", hash_hex(seed, F.col(group))), group, {"r": F.col("n_rows")}, ["stratum"])
     side = F.when(F.col("r_before") < F.col("_quota"), "test").otherwise("train")
     return ordered.join(quota, "stratum", "left").select(group, "stratum", "n_rows", side.alias("side"))
 
 
 def split_random(df: DataFrame, group: str, fraction: float, seed: int) -> DataFrame:
     """(group, side): the first floor(groups x fraction) groups in hash order are the test side."""
-    groups = materialized(df.select(group).distinct()).withColumn("_h", hash_wide(seed, F.col(group)))
+    groups = materialized(df.select(group).distinct()).withColumn("_h", hash_hex(seed, F.col(group)))
     marked = mark_first(groups, "_h", group, lambda n: F.floor(n * F.lit(fraction)))
     return marked.select(group, F.when(F.col("picked"), "test").otherwise("train").alias("side"))
 
@@ -48,7 +48,7 @@ def kfold(df: DataFrame, group: str, k: int, seed: int, label: str | None = None
     else:
         groups, by = mode_per_group(df, [group], label, "stratum").select(group, "stratum"), ["stratum"]
         size = F.greatest(F.lit(1), F.floor(F.col("g_total") / k))
-    groups = materialized(groups).withColumn("_h", hash_wide(seed, F.col(group)))
+    groups = materialized(groups).withColumn("_h", hash_hex(seed, F.col(group)))
     ordered = _running_hash(groups, group, {"g": F.lit(1)}, by)
     fold = F.when(size > 0, F.least(F.floor(F.col("g_before") / size), F.lit(k - 1))).otherwise(k - 1)
     return ordered.select(group, *(by or []), fold.cast("int").alias("fold"))
@@ -57,6 +57,6 @@ def kfold(df: DataFrame, group: str, k: int, seed: int, label: str | None = None
 def subsample(df: DataFrame, group: str, fraction: float, times: int, seed: int) -> DataFrame:
     """(b, group): max(1, floor(groups x fraction)) groups without replacement, B times."""
     groups = materialized(df.select(group).distinct()).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    groups = groups.withColumn("_h", hash_wide(seed, F.col("b"), F.col(group)))
+    groups = groups.withColumn("_h", hash_hex(seed, F.col("b"), F.col(group)))
     marked = mark_first(groups, "_h", group, lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(fraction))), ["b"])
     return marked.filter("picked").select("b", group)

@@ -19,6 +19,11 @@ def _group(by: list[str]):
     return W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
 
 
+def _real(count: str) -> Column:
+    """A count as a double: products of large counts leave the range of a long."""
+    return F.col(count).cast("double")
+
+
 def life_table(df: DataFrame, time: str, counts: dict[str, Column], by: list[str] | None = None) -> DataFrame:
     """Per distinct time: the number at risk and a count for each named condition."""
     by = by or []
@@ -34,7 +39,7 @@ def km_curve(df: DataFrame, time: str, event: str, by: list[str] | None = None)
     by = by or []
     t = life_table(df, time, {"d": F.col(event) == 1, "c": F.col(event) == 0}, by)
     upto = _group(by).orderBy(time).rowsBetween(W.unboundedPreceding, 0)
-    n, d = F.col("n_risk"), F.col("d")
+    n, d = _real("n_risk"), _real("d")
     green = safe_div(d, n * (n - d))
     s = F.product(1.0 - safe_div(d, n)).over(upto)
     out = (t.withColumn("s", s)
@@ -72,7 +77,7 @@ def logrank(df: DataFrame, time: str, event: str, group: Column) -> DataFrame:
     t = life_table(df, time, {"d": F.col(event) == 1, "d1": (F.col(event) == 1) & flag, "n1_at": flag})
     after = _group([]).orderBy(time).rowsBetween(0, W.unboundedFollowing)
     t = t.withColumn("n1", F.sum("n1_at").over(after))
-    n, d, n1 = F.col("n_risk"), F.col("d"), F.col("n1")
+    n, d, n1 = _real("n_risk"), _real("d"), _real("n1")
     e = safe_div(d * n1, n)
     v = F.coalesce(safe_div(d * n1 * (n - n1) * (n - d), n * n * (n - 1)), F.lit(0.0))
     out = t.agg(F.sum("d1").alias("observed"), F.sum(e).alias("expected"), F.sum(v).alias("variance"))
@@ -92,12 +97,12 @@ def aalen_johansen(df: DataFrame, time: str, cause: str, causes: list[int],
     order = _group(by).orderBy(time)
     upto, before = (order.rowsBetween(W.unboundedPreceding, 0),
                     order.rowsBetween(W.unboundedPreceding, -1))
-    n, d = F.col("n_risk"), F.col("d_any")
+    n, d = _real("n_risk"), _real("d_any")
     t = (t.withColumn("s", F.product(1.0 - safe_div(d, n)).over(upto))
          .withColumn("s_before", F.coalesce(F.product(1.0 - safe_div(d, n)).over(before), F.lit(1.0))))
     s = F.col("s_before")
     for k in causes:
-        dk = F.col(f"d_{k}")
+        dk = _real(f"d_{k}")
         t = t.withColumn(f"cif_{k}", F.sum(s * safe_div(dk, n)).over(upto))
         # Var = sum_i [(F(t)-F_i)^2 a_i + S_i^2 b_i - 2 (F(t)-F_i) S_i c_i]
         f = F.col(f"cif_{k}")

@@ -32,18 +32,29 @@ def record_order() -> Column:
 
 
 def seasons(spark, sf) -> DataFrame:
-    """One row per (entity, season). Only the measures a job uses are computed; the two text
-    columns need a sort-based aggregate, ``last_is_p`` does not."""
-    last = F.col("_order")
-    return history(spark, sf).withColumn("_order", record_order()).groupBy("entity", "season").agg(
+    """One row per (entity, season); only the measures a job uses are computed.
+
+    The last status and priority are aggregated as positions in their short closed lists and
+    turned back into text afterwards: numbers keep the aggregate hash-based, text would make
+    it sort all records.
+    """
+    last, hist = F.col("_order"), history(spark, sf)
+    lists = {c: hist.agg(F.sort_array(F.collect_set(c))).scalar() for c in ("status", "priority")}
+
+    def code(c):
+        return F.array_position(lists[c], F.col(c)).cast("int")
+
+    out = hist.withColumn("_order", record_order()).groupBy("entity", "season").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.col("status") == "F").alias("w"),
         F.count_if(F.col("status") == "O").alias("l"),
         F.count_if(F.col("status") == "P").alias("t"),
         F.sum("price").alias("spend"),
         F.max_by((F.col("status") == "P").cast("int"), last).alias("last_is_p"),
-        F.max_by("status", last).alias("last_status"),
-        F.max_by("priority", last).alias("last_priority"))
+        F.max_by(code("status"), last).alias("_status"), F.max_by(code("priority"), last).alias("_priority"))
+    return out.select(*[c for c in out.columns if not c.startswith("_")],
+                      F.element_at(lists["status"], F.col("_status")).alias("last_status"),
+                      F.element_at(lists["priority"], F.col("_priority")).alias("last_priority"))
 
 
 def stints(spark, sf) -> DataFrame:

@@ -103,14 +103,15 @@ CELLS = "SELECT duration AS t, event AS e, start_season AS score, count(*) AS n
 
 
 @job("concordance_harrell", sql(f"""
-SELECT CAST(sum(i.n * j.n) AS BIGINT) AS comparable,
-  CAST(sum(CASE WHEN j.score > i.score THEN i.n * j.n ELSE 0 END) AS BIGINT) AS concordant,
-  CAST(sum(CASE WHEN j.score = i.score THEN i.n * j.n ELSE 0 END) AS BIGINT) AS tied,
+SELECT CAST(sum(i.n * j.n) AS DOUBLE) AS comparable,
+  CAST(sum(CASE WHEN j.score > i.score THEN i.n * j.n ELSE 0 END) AS DOUBLE) AS concordant,
+  CAST(sum(CASE WHEN j.score = i.score THEN i.n * j.n ELSE 0 END) AS DOUBLE) AS tied,
   {rnd('sum(i.n * j.n * CASE WHEN j.score > i.score THEN 1.0 WHEN j.score = i.score THEN 0.5 ELSE 0 END) / sum(i.n * j.n)')} AS c_index
 FROM cells i JOIN cells j ON i.e = 1 AND (j.t > i.t OR (j.t = i.t AND j.e = 0))""", "targets", cells=CELLS))
 def concordance_harrell(spark, sf):
     out = harrell(targets(spark, sf), "duration", "event", "start_season")
-    return out.select(*[F.col(c).cast("bigint").alias(c) for c in ("comparable", "concordant", "tied")],
+    # Pair counts are doubles: at scale they leave the range of a long.
+    return out.select(*[rounded(F.col(c), 0).alias(c) for c in ("comparable", "concordant", "tied")],
                       rounded(F.col("c_index")).alias("c_index"))
 
 
