@@ -181,12 +181,12 @@ def rank_to_percentile(spark, sf):
 
 @job("orient_sign", sql(f"""
 SELECT unit, season, side, {rnd("CASE side WHEN 'own' THEN price ELSE -price END", 2)} AS price,
-  {rnd("CASE side WHEN 'own' THEN -discount ELSE discount END")} AS "Int discount" FROM sides""", sides=SIDES_SQL))
+  {rnd("CASE side WHEN 'own' THEN -discount ELSE discount END", 12)} AS "Int discount" FROM sides""", sides=SIDES_SQL))
 def orient_sign(spark, sf):
     side = F.when(F.col("side") == "own", 1.0).otherwise(-1.0)
     named = unit_sides(spark, sf).withColumnRenamed("discount", "Int discount")
     return named.select("unit", "season", "side", *[
-        rounded(F.col(c) * nm.measure_sign(c) * side, d).alias(c) for c, d in (("price", 2), ("Int discount", 6))])
+        rounded(F.col(c) * nm.measure_sign(c) * side, d).alias(c) for c, d in (("price", 2), ("Int discount", 12))])
 
 
 @job("role_selected_column", f"""
