@@ -20,10 +20,15 @@ from dwellkit.llm.common import hot_keys, text_or_empty, width
 HEAD_BYTES = 16
 
 
+ADDED = ("_sha256", "_keep_id", "_size", "_kept")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
                 normalise: Callable[[Column], Column] | None = None, n_ranges: int | None = None) -> DataFrame:
     """Every input row and column, plus ``_sha256`` (binary), ``_keep_id``, ``_size`` and ``_kept``.
 
+    Input columns of these four names give way to them.
+
     Texts are equal when their normalised bytes are. Of a group the row with the smallest
     (``keep="max"``: largest) identifier stays, exactly one row even if identifiers repeat; a
     null identifier loses to any other. Null texts count as empty, and empty texts are
@@ -35,6 +40,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     which carries the group's result too. Within a part whole texts are compared; parts of
     one group meet by their SHA-256.
     """
+    marked, columns = _marked(docs, id_col, text_col, keep, normalise, n_ranges)
+    return marked.select(*[e.alias(c) for c, e in columns.items() if c not in ADDED], *ADDED)
+
+
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
+              normalise: Callable[[Column], Column] | None = None, n_ranges: int | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns."""
+    marked, columns = _marked(docs, id_col, text_col, keep, normalise, n_ranges)
+    return marked.filter("_kept").select(*[e.alias(c) for c, e in columns.items()])
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, keep: str, normalise: Callable[[Column], Column] | None,
+            n_ranges: int | None) -> tuple[DataFrame, dict[str, Column]]:
+    """The decisions on each row, and how the input columns are read from it."""
     parts = n_ranges or width(docs)
     text = text_or_empty(text_col)
     best = F.max if keep == "max" else F.min
@@ -63,13 +82,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep_id = F.when(whole, F.col("_near_id")).otherwise(F.col("_hot_top"))
     original = F.col("_row")[text_col] if normalise else F.when(~F.col("_null"), F.col("_text"))
     # Rows with equal identifiers share a part, so the first row of the part with the kept one is unique.
-    return out.select(
-        *[original.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns],
-        F.col("_sha256"), keep_id.alias("_keep_id"),
+    decided = out.select(
+        "_row", "_null", "_text", "_sha256", keep_id.alias("_keep_id"),
         F.when(whole, F.col("_near_n")).otherwise(F.col("_hot_n")).alias("_size"),
         (F.col("_first") & F.col("_id").eqNullSafe(keep_id)).alias("_kept"))
-
-
-def kept_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns."""
-    return exact_dedup(docs, **options).filter("_kept").select(*docs.columns)
+    return decided, {c: original if c == text_col else F.col("_row")[c] for c in docs.columns}

@@ -37,9 +37,12 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 NAME_PART = re.compile(r"[A-Za-z]+")
 SPACE = re.compile(r"\s+")
 
-#: Weights before any page is seen, and how many tokens they count for in the fit.
+#: Weights before any page is seen, and how many tokens they count for in the fit. Tags of running
+#: text, and those in a part that is left out anyway, cost little.
 PRIOR_WORD, PRIOR_TAG, PRIOR_TOKENS = 1.0, -3.0, 4.0
 INLINE_TAG = -0.01
+PROSE = ("a abbr b bdi bdo big blockquote br cite code del dfn em font h1 h2 h3 h4 h5 h6 i img ins kbd mark p pre q rp rt ruby s samp small "
+         "span strike strong sub sup time tt u var wbr").split()
 _RAW, _BOILER, _BLOCK, _VOID, _ARTICLE, _MARKS = map(frozenset, (RAW, BOILERPLATE, BLOCKS, VOID, ARTICLE, MARKS))
 _KNOWN = _RAW | _BOILER | _BLOCK | _VOID | frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output picture progress q rp rt ruby s samp small span "
@@ -119,8 +122,19 @@ class Scanner:
         return False
 
 
+SKIPPED = "skipped"
+
+
 def _feature(kind: str, name: str, boiler: bool) -> str:
-    return f"{'skipped ' if boiler else ''}{'/' if kind == 'close' else ''}{name if name in _KNOWN else 'other'}"
+    if boiler:
+        return SKIPPED
+    return f"{'/' if kind == 'close' else ''}{name if name in _KNOWN else 'other'}"
+
+
+def prior(feature: str) -> float:
+    if feature == "word":
+        return PRIOR_WORD
+    return INLINE_TAG if feature == SKIPPED or feature.lstrip("/") in PROSE else PRIOR_TAG
 
 
 def count_tokens(page: str, found: Counter) -> None:
@@ -148,12 +162,11 @@ def weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """
     total = {side: sum(n for (_, s), n in counts.items() if s is side) + 1.0 for side in (True, False)}
     out = {"word": PRIOR_WORD}
-    for feature in {f for f, _ in counts}:
-        prior = PRIOR_WORD if feature == "word" else PRIOR_TAG
+    for feature in {f for f, _ in counts} - {SKIPPED}:
         n_in, n_out = counts.get((feature, True), 0), counts.get((feature, False), 0)
         odds = math.log((n_in + 0.5) / total[True]) - math.log((n_out + 0.5) / total[False])
         share = (n_in + n_out) / (n_in + n_out + PRIOR_TOKENS)
-        w = share * odds + (1 - share) * prior
+        w = share * odds + (1 - share) * prior(feature)
         out[feature] = max(w, 0.05) if feature == "word" else min(w, INLINE_TAG)
     return out
 
@@ -176,7 +189,8 @@ def content(page: str, weight: dict[str, float]) -> str:
                 best, span = score, (begin, len(runs))
             continue
         boiler = scan.step(kind, name, text)
-        score += weight.get(_feature(kind, name, boiler), PRIOR_TAG)
+        feature = _feature(kind, name, boiler)
+        score += weight[feature] if feature in weight else prior(feature)
         if score < 0:
             score, begin = 0.0, len(runs)
         if name in _BLOCK:

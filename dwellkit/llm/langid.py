@@ -38,9 +38,10 @@ def gram_slices(codes: np.ndarray, buckets: int, orders=ORDERS) -> Iterator[np.n
     """
     letter = _letters()[codes]
     plain = np.where(letter, codes, np.uint32(32))
-    keep = np.ones(len(plain), np.bool_)
-    keep[1:] = letter[1:] | letter[:-1]
-    plain = np.concatenate(([32], plain[keep], [32])).astype(np.uint64)
+    # A space stays right behind a letter only.
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]
+    plain = np.concatenate(([32], plain[keep], [32][:int(letter[-1:].all())])).astype(np.uint64)
     for at in range(0, len(plain), SLICE):
         part = plain[at:at + SLICE + max(orders) - 1]
         out = []

@@ -216,10 +216,10 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = 1, weights=WE
     last = drawn.filter(F.col("pass") == F.col("passes")).select(
         F.col("source").alias("_s"), F.col("block").alias("_b"), "words")
     low = F.greatest("start", F.col("block") * block)
-    high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("words"))
+    high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.coalesce("words", F.lit(0)))
     ranges = (pieces(placed, block)
               .join(last, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
-              .withColumns({"_from": low - F.col("start"), "_n": F.greatest(F.lit(0), F.coalesce(high - low, F.lit(0)))})
+              .withColumns({"_from": low - F.col("start"), "_n": F.greatest(F.lit(0), high - low)})
               .groupBy("source", "start").agg(
                   F.any_value("id").alias("id"), F.any_value("size").alias("size"), F.sum("_n").alias("_drawn"),
                   F.sort_array(F.collect_list(F.when(F.col("_n") > 0, F.struct("_from", "_n")))).alias("_ranges")))

@@ -112,12 +112,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 
 # ------------------------------------------------------------------ plan
 
-def _complement(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that add up to ``gap``, larger ones first; None if there are none."""
+def _complement(left: np.ndarray, gap: int, most: int = 3) -> tuple[int, ...] | None:
+    """Up to ``most`` (three) available lengths that add up to ``gap``, larger ones first; None if there are none."""
     if gap <= 0:
         return ()
     if left[gap]:
         return (gap,)
+    if most < 2:
+        return None
     there = np.flatnonzero(left[:gap] > 0)
 
     def pair(total: int, spare: int = 0) -> tuple[int, int] | None:
@@ -128,7 +130,7 @@ def _complement(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
         hit = np.flatnonzero(good)
         return (int(a[hit[-1]]), int(b[hit[-1]])) if len(hit) else None
     two = pair(gap)
-    if two:
+    if two or most < 3:
         return two
     for c in there[(there * 3 >= gap) & (there < gap - 1)][::-1].tolist():
         two = pair(gap - c, spare=c)
@@ -140,27 +142,37 @@ def _complement(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
 def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how many sequences use each; ``counts[l]`` pieces of length l are all placed.
 
-    The largest length left is the anchor of its sequences. If one, two or three lengths fill
-    its gap exactly, they are used as often as they last. Anchors without such a complement
-    stay, and what is left at the end goes by best fit, large lengths first.
+    Complements of more lengths use up small pieces that best fit may need later, so plans with
+    up to three, two, one and no lengths in a complement are made, and the shortest is taken.
+    """
+    plans = [_plan(counts, capacity, most) for most in (3, 2, 1, 0)]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: np.ndarray, capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with complements of up to ``most`` lengths.
+
+    First single lengths, then pairs, then triples: each length, largest first, is the
+    anchor of its sequences, and a combination that fills its gap exactly is used as often as it
+    lasts. What is left goes by best fit, large lengths first.
     """
     left = np.zeros(capacity + 1, np.int64)
     left[:len(counts)] = counts
     out: list[tuple[tuple[int, ...], int]] = []
-    rest = np.zeros(capacity + 1, np.int64)
-    for anchor in range(capacity, 0, -1):
-        while left[anchor]:
-            left[anchor] -= 1
-            mates = _complement(left, capacity - anchor)
-            left[anchor] += 1
-            if mates is None:
-                rest[anchor], left[anchor] = left[anchor], 0
-                break
-            pattern = (anchor, *mates)
-            lengths, uses = np.unique(pattern, return_counts=True)
-            times = int((left[lengths] // uses).min())
-            left[lengths] -= times * uses
-            out.append((pattern, times))
+    for size in range(1, most + 1):
+        for anchor in range(capacity, 0, -1):
+            while left[anchor]:
+                left[anchor] -= 1
+                mates = _complement(left, capacity - anchor, size)
+                left[anchor] += 1
+                if mates is None:
+                    break
+                pattern = (anchor, *mates)
+                lengths, uses = np.unique(pattern, return_counts=True)
+                times = int((left[lengths] // uses).min())
+                left[lengths] -= times * uses
+                out.append((pattern, times))
+    rest = left
     # Best fit over classes of equal sequences: gap -> {pattern: number}.
     open_: dict[int, dict[tuple[int, ...], int]] = {}
     for length in range(capacity, 0, -1):

@@ -129,8 +129,9 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
             following = text.find("-----BEGIN ", m.end())
             if upto < 0 or 0 <= following < upto:
                 continue
-            lines = [x for x in re.split(r"\s+", text[m.end():upto]) if x and ":" not in x]
-            data = decoded("".join(lines))
+            # Header lines hold a colon, base64 never does.
+            lines = [x for x in text[m.end():upto].splitlines() if ":" not in x]
+            data = decoded("".join("".join(lines).split()))
             if data and (is_der(data) or is_ssh(data)):
                 end = upto + len(close)
                 found.append((m.start(), end, "armour"))

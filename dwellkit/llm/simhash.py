@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.llm.common import width
+from dwellkit.llm.common import text_or_empty, width
 from dwellkit.session import materialized
 
 BITS = 64
@@ -52,11 +52,12 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): the fingerprint of every row as a signed long with the same bits."""
+    """(id, h, fp): a hash of the text and the fingerprint of every row, as a signed long with the same bits."""
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
-    return docs.select(F.col(id_col).alias("id"), of(F.col(text_col).cast("string")).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("h"),
+                       of(F.col(text_col).cast("string")).alias("fp"))
 
 
 class BkTree:
@@ -214,7 +215,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """(id, fp, component_id) for every row; ``component_id`` is the smallest id that links reach.
+    """(id, h, fp, component_id) for every row; ``component_id`` is the smallest id that links reach.
 
     Null and empty texts, and texts of white space, have fingerprint 0 and link like any
     other; a text of fewer words than a shingle is one shingle. Rows that repeat an id each
@@ -228,11 +229,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "_root")
     named = materialized(grouped.join(smallest, F.col("root") == F.col("_root")).select(
         F.col("fp").alias("_fp"), "component_id"))
-    return marked.join(named, F.col("fp") == F.col("_fp")).select("id", "fp", "component_id")
+    return marked.join(named, F.col("fp") == F.col("_fp")).select("id", "h", "fp", "component_id")
 
 
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group, with their columns."""
+    """The rows of ``docs`` whose doc_id is the smallest of their group, with their columns.
+
+    Rows that share that doc_id all stay, as do those without one in a group that has none.
+    """
     decided = near_duplicates(docs.select("doc_id", "text"), **options)
-    dropped = decided.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_dropped")), "left_anti")
+    dropped = decided.filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(
+        F.col("id").alias("_id"), F.col("h").alias("_h")).distinct()
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(text_or_empty()).alias("_text_hash"))
+    kept = rows.join(dropped, (F.col("_text_hash") == F.col("_h")) & F.col("_row.doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
