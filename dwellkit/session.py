@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,13 +17,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on
-    one machine) is a temporary folder used.
+    The cluster names it in ``spark.checkpoint.dir``. Only a ``local`` master, where driver
+    and executors are one process, may leave it unset and gets a temporary folder; elsewhere
+    executors would write to disks that nobody else reads, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if root is None:
-        root = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        root = sc.getCheckpointDir()
+    if root is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
