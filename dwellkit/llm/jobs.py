@@ -101,14 +101,13 @@ def _mix_sql() -> str:
     w = mixing.WEIGHTS
     steps = []
     for r in range(1, rounds + 1):
-        # The round's key, the partner of i, and the bit of the larger of both.
-        k = f"((((key * 48271 + {r} * 69621 + 12345) % {p}) * ((key * 48271 + {r} * 69621 + 12345) % {p}) + {r}) % {p})"
-        steps.append(f"k{r} AS (SELECT *, {k} AS k FROM i{r - 1})")
-        steps.append(f"o{r} AS (SELECT *, ((k % blocks - i) % blocks + blocks) % blocks AS o FROM k{r})")
-        steps.append(f"a{r} AS (SELECT *, (greatest(i, o) % {p} + k) % {p} AS a FROM o{r})")
-        steps.append(f"b{r} AS (SELECT *, (a * a + 1013904223 + k) % {p} AS b FROM a{r})")
+        # The round's keys, the partner of i, and the bit of the larger of both.
+        k = f"((key * 48271 + {r} * 69621 + 12345) % {p})"
+        steps.append(f"k{r} AS (SELECT *, ({k} * ((key * 16807 + {r} * 40692 + 1) % {p})) % blocks AS c, "
+                     f"({k} * {k} + {r}) % {p} AS m FROM i{r - 1})")
+        steps.append(f"o{r} AS (SELECT *, ((c - i) % blocks + blocks) % blocks AS o FROM k{r})")
         steps.append(f"i{r} AS (SELECT source, pass, first_i, blocks, key, source_size, passes, rest, "
-                     f"CASE WHEN ((b * b) % {p}) % 2 = 1 THEN o ELSE i END AS i FROM b{r})")
+                     f"CASE WHEN ((greatest(i, o) % {p}) * m) % {p} > {p // 2} THEN o ELSE i END AS i FROM o{r})")
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source,
     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),

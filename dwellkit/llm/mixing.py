@@ -18,9 +18,9 @@ from dwellkit.llm.common import text_or_empty, width
 from dwellkit.session import materialized
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK = 128
+BLOCK = 512
 SHARD_SLOTS = 8192
-ROUNDS = 20
+ROUNDS = 24
 PRIME = 2147483647
 MAX_REPEAT = 3
 WEIGHTS = (5, 2, 1)
@@ -57,27 +57,28 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) ->
                        F.when(held.isNull(), F.col("_cap")).otherwise(held * F.col("_w")).alias("target"))
 
 
-def mixed_bits(x: Column, key: Column) -> Column:
-    """A pseudorandom bit of (x, key), in arithmetic that every SQL engine has: squares modulo a prime."""
-    a = F.pmod(x % PRIME + key, F.lit(PRIME))
-    b = F.pmod(a * a + 1013904223 + key, F.lit(PRIME))
-    return F.pmod(F.pmod(b * b, F.lit(PRIME)), F.lit(2)) == 1
+def round_keys(n: Column, key: Column, rounds: int = ROUNDS) -> Column:
+    """For each round of ``permuted`` its centre below n and its multiplier, from a key below PRIME."""
+    def one(r):
+        k = F.pmod(key * 48271 + r * 69621 + 12345, F.lit(PRIME))
+        return F.struct(F.pmod(k * F.pmod(key * 16807 + r * 40692 + 1, F.lit(PRIME)), n).alias("c"),
+                        F.pmod(k * k + r, F.lit(PRIME)).alias("m"))
+    return F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(rounds).cast("bigint")), one)
 
 
-def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS, inverse: bool = False) -> Column:
+def permuted(index: Column, n: Column, keys: Column) -> Column:
     """A pseudorandom permutation of 0 .. n - 1 by the swap-or-not shuffle, for any n.
 
     Each round pairs i with (c - i) mod n and swaps the pair if a bit of the pair's larger
     member says so; both members see the same bit, so the round is its own inverse, and the
-    rounds in reverse order are the inverse permutation.
+    keys in reverse order give the inverse permutation. All of it is plain arithmetic on
+    longs: sums stay below 2 n and products below PRIME squared.
     """
-    def round_(i, r):
-        k = F.pmod(key * 48271 + r * 69621 + 12345, F.lit(PRIME))
-        k = F.pmod(k * k + r, F.lit(PRIME))
-        other = F.pmod(k % n - i, n)
-        return F.when(mixed_bits(F.greatest(i, other), k), other).otherwise(i)
-    ends = (rounds, 1) if inverse else (1, rounds)
-    return F.aggregate(F.sequence(*[F.lit(r).cast("bigint") for r in ends]), index, round_)
+    def round_(i, k):
+        other = F.pmod(k["c"] - i, n)
+        bit = F.pmod(F.pmod(F.greatest(i, other), F.lit(PRIME)) * k["m"], F.lit(PRIME)) > PRIME // 2
+        return F.when(bit, other).otherwise(i)
+    return F.aggregate(keys, index, round_)
 
 
 def pass_key(seed: int, number: Column) -> Column:
@@ -122,7 +123,10 @@ def quotas(sizes: DataFrame, block: int = BLOCK, seed: int = 1, weights=WEIGHTS,
     order = W.partitionBy(F.lit(0)).orderBy(F.asc_nulls_last("source"))
     t = t.withColumns({"rank": F.row_number().over(order).cast("bigint"),
                        "short": F.col("blocks") * block - F.col("source_size")})
-    short_at = F.when(F.col("blocks") > 0, permuted(F.col("blocks") - 1, F.col("blocks"), pass_key(seed, F.col("passes")), inverse=True))
+    t = t.withColumn("keys", F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(max_repeat).cast("bigint")),
+                                         lambda p: round_keys(F.col("blocks"), pass_key(seed, p))))
+    last_keys = F.reverse(F.get("keys", F.col("passes").cast("int")))
+    short_at = F.when(F.col("blocks") > 0, permuted(F.col("blocks") - 1, F.col("blocks"), last_keys))
     t = t.withColumn("short_at", F.coalesce(short_at, F.lit(0)))
     least = F.ceil(F.col("rest") / F.lit(block))
     one_more = (least * block - F.when(F.col("short_at") < least, F.col("short")).otherwise(0)) < F.col("rest")
@@ -147,8 +151,10 @@ def draw(quota: DataFrame, block: int = BLOCK, seed: int = 1, shard_slots: int =
         F.col("_chunk") * chunk, F.least(F.col("_chunk") * chunk + chunk, F.col("slots")) - 1)))
     slots = slots.withColumns({"pass": F.floor(F.col("_k") / F.col("blocks")), "_i": F.col("_k") % F.col("blocks")})
     slots = slots.withColumns({
-        "block": permuted(F.col("_i"), F.col("blocks"), pass_key(seed, F.col("pass"))),
-        "_place": permuted(F.col("slots_before") + F.col("_k"), F.col("all_slots"), F.lit(seed).cast("bigint"))})
+        # Never null, which saves the join a test that would compute it twice.
+        "block": F.coalesce(permuted(F.col("_i"), F.col("blocks"), F.get("keys", F.col("pass").cast("int"))), F.lit(0)),
+        "_place": permuted(F.col("slots_before") + F.col("_k"), F.col("all_slots"),
+                           round_keys(F.col("all_slots"), F.lit(seed).cast("bigint")))})
     full = F.least(F.lit(block), F.col("source_size") - F.col("block") * block)
     left = F.when((F.col("pass") == F.col("passes")) & (F.col("_i") == F.col("rest_slots") - 1),
                   F.col("rest") - F.col("_i") * block + F.when(F.col("short_at") < F.col("_i"), F.col("short")).otherwise(0)
@@ -181,6 +187,8 @@ def mix_counts(docs: DataFrame, block: int = BLOCK, seed: int = 1, weights=WEIGH
         F.count_if(~F.col("cut")).alias("_full"), F.max(F.when(F.col("cut"), F.col("words"))).alias("_cut"))
     drawn = drawn.withColumnsRenamed({"source": "_s", "block": "_b"})
     low, high = F.greatest("start", F.col("block") * block), F.col("start") + F.col("size")
+    # The slots come from a row per source, so Spark takes them for a small table; they are not.
+    drawn = drawn.hint("merge")
     whole = F.least(high, (F.col("block") + 1) * block) - low
     part = F.greatest(F.lit(0), F.least(high, F.col("block") * block + F.coalesce("_cut", F.lit(0))) - low)
     taken = (pieces(placed, block)
@@ -214,7 +222,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = 1, weights=WE
     drawn = draw(quota, block, seed)
     drawn = drawn.join(of_source, F.col("source").eqNullSafe(F.col("_q")))
     last = drawn.filter(F.col("pass") == F.col("passes")).select(
-        F.col("source").alias("_s"), F.col("block").alias("_b"), "words")
+        F.col("source").alias("_s"), F.col("block").alias("_b"), "words").hint("merge")
     low = F.greatest("start", F.col("block") * block)
     high = F.least(F.col("start") + F.col("size"), F.col("block") * block + F.coalesce("words", F.lit(0)))
     ranges = (pieces(placed, block)
@@ -225,7 +233,7 @@ def mix_documents(docs: DataFrame, block: int = BLOCK, seed: int = 1, weights=WE
                   F.sort_array(F.collect_list(F.when(F.col("_n") > 0, F.struct("_from", "_n")))).alias("_ranges")))
     plan = ranges.join(of_source, F.col("source").eqNullSafe(F.col("_q"))).filter("passes > 0 OR _drawn > 0").select(
         F.col("source").alias("_source"), F.col("id.id").alias("_id"), F.col("id.h").alias("_h"), "passes", "_drawn", "_ranges",
-        (F.col("_drawn") == F.col("size")).alias("_all"))
+        (F.col("_drawn") == F.col("size")).alias("_all")).hint("merge")
     rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(text).alias("_text_hash"))
     joined = rows.join(plan, (F.col("_text_hash") == F.col("_h")) & F.col("_row.doc_id").eqNullSafe(F.col("_id"))
                        & F.col("_row.source").eqNullSafe(F.col("_source")))
