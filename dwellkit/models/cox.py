@@ -52,36 +52,47 @@ class CoxModel:
         return out
 
 
-def _psi_sums(a: float, d: int) -> tuple[float, float, float]:
-    """Sums over l < d of 1/(a-l), 1/(a-l)^2 and log(a-l); closed form for many ties."""
-    if d <= 5000:
-        v = a - np.arange(d)
-        return float((1 / v).sum()), float((1 / v ** 2).sum()), float(np.log(v).sum())
-
-    def tail(x):  # digamma and trigamma by recurrence and asymptotic series
-        p = t = 0.0
-        while x < 20:
-            p -= 1 / x
-            t += 1 / (x * x)
-            x += 1
-        i = 1 / (x * x)
-        return (p + math.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i / 252)),
-                t + 1 / x + i / 2 + i / x * (1 / 6 - i * (1 / 30 - i / 42)))
-    (p1, t1), (p0, t0) = tail(a + 1), tail(a - d + 1)
-    return p1 - p0, t0 - t1, math.lgamma(a + 1) - math.lgamma(a - d + 1)
-
-
-def _efron(s0: float, e0: float, d: int) -> tuple:
+#: Terms next to the smallest risk set that are added one by one.
+DIRECT_TERMS = 2000
+_NODES, _NODE_WEIGHTS = np.polynomial.legendre.leggauss(20)
+
+
+def _terms(u: np.ndarray, s0: float, e0: float) -> np.ndarray:
+    phi = s0 - u * e0
+    return np.array([1 / phi, u / phi, 1 / phi ** 2, u / phi ** 2, (u / phi) ** 2, np.log(phi)])
+
+
+def _slopes(u: float, s0: float, e0: float) -> np.ndarray:
+    phi = s0 - u * e0
+    return np.array([e0 / phi ** 2, s0 / phi ** 2, 2 * e0 / phi ** 3, 1 / phi ** 2 + 2 * u * e0 / phi ** 3,
+                     2 * u / phi ** 2 + 2 * u * u * e0 / phi ** 3, -e0 / phi])
+
+
+def _efron(s0: float, e0: float, d: int) -> np.ndarray:
     """Over the d tied events with u = l/d and phi = s0 - u e0: sums of 1/phi, u/phi,
-    1/phi^2, u/phi^2, u^2/phi^2 and log phi."""
-    a = s0 * d / e0
-    h1, h2, lg = _psi_sums(a, d)
-    r = d / e0
-    i0, u1 = r * h1, (a * h1 - d) / e0
-    q0 = r * r * h2
-    q1 = (r / e0) * (a * h2 - h1)
-    q2 = (a * a * h2 - 2 * a * h1 + d) / (e0 * e0)
-    return i0, u1, q0, q1, q2, lg + d * math.log(e0 / d)
+    1/phi^2, u/phi^2, u^2/phi^2 and log phi.
+
+    The last terms, where phi may come near zero, are added directly, all before them by
+    Euler-Maclaurin. Every part is a sum of terms of one sign, so nothing cancels however
+    large the risk set is against the ties. The integral is cut at halving distances from the
+    pole at s0 / e0.
+    """
+    first = max(0, d - DIRECT_TERMS)
+    total = _terms(np.arange(first, d) / d, s0, e0).sum(axis=1)
+    if first == 0:
+        return total
+    end, pole = first / d, s0 / e0
+    cuts = [0.0]
+    while pole - cuts[-1] > 2 * (pole - end):
+        cuts.append(min(end, (cuts[-1] + pole) / 2))
+    cuts.append(end)
+    area = np.zeros(6)
+    for lo, hi in zip(cuts, cuts[1:]):
+        half = (hi - lo) / 2
+        area += (_terms((lo + hi) / 2 + half * _NODES, s0, e0) * _NODE_WEIGHTS).sum(axis=1) * half
+    ends = _terms(np.array([0.0, end]), s0, e0)
+    return (total + d * area + (ends[:, 0] - ends[:, 1]) / 2
+            + (_slopes(end, s0, e0) - _slopes(0.0, s0, e0)) / (12 * d))
 
 
 def _unpack(table: dict, k: int):

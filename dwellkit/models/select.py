@@ -17,13 +17,29 @@ from dwellkit.operators.survival import censoring_curve
 from dwellkit.session import materialized
 
 
+def fill_from(train: DataFrame, rows: DataFrame, fill: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Add each column of ``fill`` (new name -> source): the source, or its mean over the training rows.
+
+    With ``by`` every fit (seed, subsample) has means of its own. Rows outside the training side never
+    enter a mean; a source without any training value becomes 0.
+    """
+    by = by or []
+    means = train.groupBy(*by).agg(*[F.avg(F.when(~F.isnan(F.col(c).cast("double")), F.col(c))).alias(f"_m_{n}") for n, c in fill.items()])
+    out = rows.join(means, by) if by else rows.withColumns({f"_m_{n}": means.select(f"_m_{n}").scalar() for n in fill})
+    out = out.withColumns({n: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), f"_m_{n}", F.lit(0.0)) for n, c in fill.items()})
+    return out.drop(*[f"_m_{n}" for n in fill])
+
+
 def stability_selection(df: DataFrame, group: str, duration: str, event: str, features: list[str], ks: list[int],
-                        times: int = 10, fraction: float = 0.5, seed: int = 0, penalizer: float = 0.1,
-                        threshold: float = 0.6) -> DataFrame:
+                        times: int = 2000, fraction: float = 0.5, seed: int = 0, penalizer: float = 0.1,
+                        threshold: float = 0.6, fill: dict[str, str] | None = None) -> DataFrame:
     """(k, feature, frequency, selected): how often a feature ranks in the top k over group
-    subsamples. All subsamples are fitted by the same jobs."""
+    subsamples. All subsamples are fitted by the same jobs; ``fill`` (see ``fill_from``) takes its
+    means from each subsample."""
     taken = subsample(df, group, fraction, times, seed)
     rows = df.join(taken, group)
+    if fill:
+        rows = fill_from(rows, rows, fill, ["b"])
     ranks = cox.importance(df.sparkSession, cox.fit(rows, duration, event, features, "b", penalizer))
     return membership(ranks, ks, threshold)
 
@@ -53,9 +69,14 @@ def _score_linear(test: DataFrame, models: dict, expr: Callable) -> DataFrame:
 
 def bakeoff(df: DataFrame, group: str, duration: str, event: str, features: list[str], seeds: list[int],
             models: tuple[str, ...] = ("null", "cox", "lognormal", "loglogistic"), fraction: float = 0.2,
-            penalizer: float = 0.1) -> DataFrame:
-    """Long (seed, model, metric, value) of Harrell's and Uno's C on the test side."""
+            penalizer: float = 0.1, fill: dict[str, str] | None = None) -> DataFrame:
+    """Long (seed, model, metric, value) of Harrell's and Uno's C on the test side.
+
+    ``fill`` (see ``fill_from``) takes its means from the training side of each seed.
+    """
     rows = seed_splits(df, group, seeds, fraction)
+    if fill:
+        rows = fill_from(rows.filter("side = 'train'"), rows, fill, ["seed"])
     rows = materialized(rows)  # every model reads the same rows
     train, test = rows.filter("side = 'train'"), rows.filter("side = 'test'")
     out = None

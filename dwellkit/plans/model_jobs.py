@@ -22,10 +22,11 @@ from dwellkit.operators.concordance import harrell
 from dwellkit.plans.base import FEATURES, rnd, sql, table, targets
 from dwellkit.plans.base import features as lazy_features
 from dwellkit.plans.registry import job
-from dwellkit.plans.resample_jobs import J, int_of
+from dwellkit.plans.resample_jobs import J, int_of, md5_of
 from dwellkit.functions.dist import t_quantile
 from dwellkit.session import checkpoint_root, materialized
 
+SEEDS = list(range(50))
 COX = ["prior_orders", "mean_filled", "gap_filled", "acctbal", "nation"]
 
 
@@ -42,6 +43,16 @@ def panel(spark, sf):
             .withColumn("gap_filled", F.coalesce("gap", F.lit(means["gap"]))))
 
 
+#: Columns that are missing at a first stint, filled by a mean of training rows.
+FILL = {"mean_filled": "mean_price", "gap_filled": "gap"}
+
+
+def filled_split(spark, sf, seed=42):
+    """Train and test side; the missing values of both are filled from the training side."""
+    train, test = split(features(spark, sf), seed)
+    return select.fill_from(train, train, FILL), select.fill_from(train, test, FILL)
+
+
 def split(df, seed=42):
     sides = sp.split_stratified(df, "entity", "label", 0.2, seed).select("entity", "side")
     both = df.join(sides, "entity")
@@ -76,8 +87,9 @@ def cox_survival_at(spark, sf):
 
 @job("aft_weibull")
 def aft_weibull(spark, sf):
-    _, score = aft.fit_weibull(panel(spark, sf), "duration", "event", COX)
-    return score(panel(spark, sf)).select("entity", "stint_no", "duration", "log_time")
+    p = panel(spark, sf)
+    _, score = aft.fit_weibull(p, "duration", "event", COX)
+    return score(p).select("entity", "stint_no", "duration", "log_time")
 
 
 def _aft(spark, sf, kind):
@@ -98,14 +110,26 @@ def aft_loglogistic(spark, sf):
 
 @job("aft_boosted")
 def aft_boosted(spark, sf):
-    train, test = split(panel(spark, sf))
+    train, test = filled_split(spark, sf)
     _, score = aft.fit_boosted(train, "duration", "event", COX, max_iter=5)
     return score(test).select("entity", "stint_no", "duration", "log_time")
 
 
 @job("survival_bakeoff")
 def survival_bakeoff(spark, sf):
-    return select.bakeoff_table(select.bakeoff(panel(spark, sf), "entity", "duration", "event", COX, [0, 1, 2]))
+    return select.bakeoff_table(select.bakeoff(features(spark, sf), "entity", "duration", "event", COX, SEEDS, fill=FILL))
+
+
+@job("split_train_means", sql(f"""
+SELECT seed, {rnd('avg(mean_price)')} AS mean_price, {rnd('avg(gap)')} AS gap, count(*) AS n_train FROM (
+  SELECT r.seed, entity, row_number() OVER (PARTITION BY r.seed ORDER BY {md5_of('r.seed', 'entity')}) - 1 AS i, count(*) OVER (PARTITION BY r.seed) AS n
+  FROM (SELECT DISTINCT entity FROM features), (SELECT CAST(seed AS INTEGER) AS seed FROM range({len(SEEDS)}) s(seed)) r) JOIN features USING (entity)
+WHERE i >= floor(n * 0.2) GROUP BY 1""", "features"))
+def split_train_means(spark, sf):
+    """The means that fill both sides of each split of the bake-off: of its training rows only."""
+    rows = select.seed_splits(features(spark, sf), "entity", SEEDS)
+    return rows.filter("side = 'train'").groupBy("seed").agg(
+        rounded(F.avg("mean_price")).alias("mean_price"), rounded(F.avg("gap")).alias("gap"), F.count(F.lit(1)).alias("n_train"))
 
 
 @job("expected_vs_null")
@@ -244,10 +268,10 @@ def tune_random_search(spark, sf):
 def oof_predictions(spark, sf):
     """Every row predicted exactly once by a model that has not seen its entity."""
     f = features(spark, sf)
-    data = f.join(sp.kfold(f, "entity", 3, 42), "entity").persist()
+    data = materialized(f.join(sp.kfold(f, "entity", 5, 42), "entity"))
     pipe = Pipeline(stages=[*ordinal.preparation(FEATURES), LinearRegression(labelCol="duration", regParam=0.1)])
     out = None
-    for k in range(3):
+    for k in range(5):
         part = pipe.fit(data.filter(F.col("fold") != k)).transform(data.filter(F.col("fold") == k))
         part = part.select("entity", "start_season", "fold", "duration", "prediction")
         out = part if out is None else out.unionByName(part)
@@ -267,7 +291,7 @@ def _scored(train, test, feats):
 @job("topk_sweep")
 def topk_sweep(spark, sf):
     """C on the test side for the k best features, ranked on the training side."""
-    train, test = split(panel(spark, sf))
+    train, test = filled_split(spark, sf)
     train, out = train.persist(), None
     order = _ranked(train)
     for k in (1, 2, 3, 5):
@@ -286,7 +310,7 @@ BLOCKS = {"none": [], "history": ["prior_orders", "mean_filled"], "timing": ["ga
 @job("block_ablation")
 def block_ablation(spark, sf):
     """C on the test side by named feature block; without features it is one half."""
-    train, test = split(panel(spark, sf))
+    train, test = filled_split(spark, sf)
     train, out = train.persist(), None
     for name, feats in BLOCKS.items():
         row = _scored(train, test, feats).withColumns({"block": F.lit(name), "n_features": F.lit(len(feats))})
@@ -298,7 +322,7 @@ def block_ablation(spark, sf):
 
 @job("stability_selection")
 def stability_selection(spark, sf):
-    return select.stability_selection(panel(spark, sf), "entity", "duration", "event", COX, [1, 2, 3], times=10)
+    return select.stability_selection(features(spark, sf), "entity", "duration", "event", COX, [1, 2, 3], fill=FILL)
 
 
 @job("importance_rank")
