@@ -16,7 +16,8 @@ from dwellkit.plans.registry import job
 from dwellkit.plans.survival_jobs import two_sided
 from dwellkit.session import materialized
 
-SEED, FRACTION, FOLDS, B = 42, 0.2, 5, 60
+#: Resamples of the metric and value bootstraps, and subsamples of the groups.
+SEED, FRACTION, FOLDS, B, SUBSAMPLES = 42, 0.2, 5, 1000, 2000
 
 
 def md5_of(*parts):
@@ -68,9 +69,9 @@ def group_kfold_random(spark, sf):
 
 @job("group_subsample", sql(f"""
 SELECT b, entity FROM (SELECT CAST(b AS INTEGER) AS b, entity, row_number() OVER (PARTITION BY b ORDER BY {md5_of(f"'{SEED}'", 'b', 'entity')}) - 1 AS i, count(*) OVER (PARTITION BY b) AS n
-  FROM (SELECT DISTINCT entity FROM targets), range(6) r(b)) WHERE i < greatest(1, floor(n * 0.5))""", "targets"))
+  FROM (SELECT DISTINCT entity FROM targets), range({SUBSAMPLES}) r(b)) WHERE i < greatest(1, floor(n * 0.5))""", "targets"))
 def group_subsample(spark, sf):
-    return sp.subsample(targets(spark, sf), "entity", 0.5, 6, SEED)
+    return sp.subsample(targets(spark, sf), "entity", 0.5, SUBSAMPLES, SEED)
 
 
 # Test set of the class metrics: the label of each stint, and two simple predictions of it.
@@ -181,7 +182,7 @@ def permutation_test(spark, sf):
 
 
 # One value per seed and model, as repeated train/test splits give them.
-J = 10
+J = 50
 BY_SEED = f"""SELECT seed, avg(duration) AS a, avg(2.0 * label + 1.2) AS b FROM (SELECT CAST(seed AS INTEGER) AS seed, duration, label
   FROM targets, range({J}) r(seed) WHERE {int_of('seed', 'entity')} % 5 = 0) GROUP BY 1"""
 T9 = t_quantile(0.975, J - 1)
@@ -217,16 +218,19 @@ def nb_interval(spark, sf):
     return _rounded_all(hy.t_interval(_models(spark, sf), ["model"], "value", FRACTION), ["model", "n"], ["mean", "sd", "ci_low", "ci_high"])
 
 
-# Upper tail of t with 9 degrees of freedom in closed form.
-def t9_upper(t):
-    th = f"atan({t} / 3.0)"
-    c = f"cos({th})"
-    return (f"(0.5 - ({th} + sin({th}) * ({c} + 2.0 / 3 * pow({c}, 3) + 8.0 / 15 * pow({c}, 5) + 48.0 / 105 * pow({c}, 7))) / pi())")
+def t_upper(t, df):
+    """Upper tail of t for an odd number of degrees of freedom, in closed form: a sum of powers of a cosine."""
+    th = f"atan({t} / sqrt({float(df)}))"
+    terms, factor = [], 1.0
+    for power in range(1, df - 1, 2):
+        terms.append(f"{factor!r} * pow(cos({th}), {power})")
+        factor *= (power + 1) / (power + 2)
+    return f"(0.5 - ({th} + sin({th}) * ({' + '.join(terms)})) / pi())"
 
 
 def _ttest_sql(factor):
     t = f"(avg(a - b) / sqrt({factor} * var_samp(a - b)))"
-    return f"""SELECT count(*) AS n, {rnd('avg(a - b)')} AS mean, {rnd(t)} AS t, {rnd('2 * ' + t9_upper(f'abs({t})'))} AS p_two_sided, {rnd(t9_upper(t))} AS p_greater FROM by_seed"""
+    return f"""SELECT count(*) AS n, {rnd('avg(a - b)')} AS mean, {rnd(t)} AS t, {rnd('2 * ' + t_upper(f'abs({t})', J - 1))} AS p_two_sided, {rnd(t_upper(t, J - 1))} AS p_greater FROM by_seed"""
 
 
 @job("nb_ttest", sql(_ttest_sql(NB), "targets", by_seed=BY_SEED))
