@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dwellkit.functions.numeric import safe_div
+from dwellkit.functions.numeric import nan_to_null, safe_div
 from dwellkit.operators.running import exact_quantiles
 
 
 def zscore_by_period(df: DataFrame, period: str, columns: list[str], omit_missing: bool = False) -> DataFrame:
     """Standardise each column within its period (population sd).
 
-    A missing value makes the whole period missing unless ``omit_missing``; so does a zero
-    sd. Moments are aggregated per period and joined back: a window would pull a whole
+    A missing value (NULL or NaN) makes the whole period missing unless ``omit_missing``; so does
+    a zero sd. Moments are aggregated per period and joined back: a window would pull a whole
     period into one task.
     """
+    df = df.withColumns({c: nan_to_null(F.col(c).cast("double")) for c in columns})
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in columns:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}"), F.count(c).alias(f"_c_{c}")]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dwellkit.functions.numeric import nan_to_null
 from dwellkit.operators.aggregates import unpivot_row
 
 
@@ -20,16 +21,19 @@ def key_set_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cell_diff(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], tolerance: float = 0.01) -> DataFrame:
-    """Cells that differ on shared keys: null change, numeric beyond the tolerance, or other.
+    """Cells that differ on shared keys: null change (NaN counts as null), numeric beyond the tolerance, or other.
 
     Rows are joined once by key and only differing cells are exploded.
     """
+    kinds = dict(a.dtypes)
     numeric = {n for n, t in a.dtypes if t in ("double", "float", "int", "bigint", "smallint")}
     right = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_n_{c}") for c in columns])
     joined = a.join(right, [F.col(k) == F.col(f"_k_{k}") for k in keys])
     cells = []
     for c in columns:
         old, new = F.col(c), F.col(f"_n_{c}")
+        if kinds[c] in ("double", "float"):
+            old, new = nan_to_null(old), nan_to_null(new)
         if c in numeric:
             change = F.when(F.abs(old - new) > tolerance, "numeric")
         else:

@@ -27,7 +27,7 @@ def with_ranges(df: DataFrame, order: str, n_ranges: int | None = None) -> DataF
     The cut points are approximate quantiles, so ranges hold similar row counts; the result
     of the operators below is exact wherever the cuts fall.
     """
-    n = n_ranges or min(4096, shuffle_partitions(df.sparkSession))
+    n = n_ranges or shuffle_partitions(df.sparkSession)
     probs = [i / n for i in range(1, n)]
     cuts = sorted(set(df.select(F.col(order).cast("double").alias(order))
                       .approxQuantile(order, probs, 1.0 / (4 * n))))
@@ -40,13 +40,19 @@ def with_ranges(df: DataFrame, order: str, n_ranges: int | None = None) -> DataF
             .withColumn(RANGE, F.col("_range_d").cast("int")).drop("_order_d", "_range_d"))
 
 
-def with_hash_ranges(df: DataFrame, order: str) -> DataFrame:
-    """4096 ranges for an order by hex hash: its leading digits are evenly spread already."""
-    return df.withColumn(RANGE, F.conv(F.substring(F.col(order), 1, 3), 16, 10).cast("int"))
+HASH_DIGITS = 3
+
+
+def with_hash_ranges(df: DataFrame, order: str, digits: int = HASH_DIGITS) -> DataFrame:
+    """16 ** digits ranges for an order by hex hash: its leading digits are evenly spread already.
+
+    A range meets in one task, so take a digit more for each 16-fold of rows beyond some 1e10.
+    """
+    return df.withColumn(RANGE, F.conv(F.substring(F.col(order), 1, digits), 16, 10).cast("bigint"))
 
 
 def mark_first(rows: DataFrame, order: str, key: str, take: Callable[[Column], Column],
-               by: list[str] | None = None, name: str = "picked") -> DataFrame:
+               by: list[str] | None = None, name: str = "picked", digits: int = HASH_DIGITS) -> DataFrame:
     """Mark the first ``take(total)`` rows of each group in hash order, without sorting them.
 
     Counting rows per hash range shows in which range the cut lies. Rows of other ranges are
@@ -54,10 +60,10 @@ def mark_first(rows: DataFrame, order: str, key: str, take: Callable[[Column], C
     ranked, by hash and then key.
     """
     by = by or []
-    src = with_hash_ranges(rows, order)
+    src = with_hash_ranges(rows, order, digits)
     cells = src.groupBy(*by, RANGE).agg(F.count(F.lit(1)).alias("_n"))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    # At most 4096 rows per group here.
+    # One row per range and group here.
     seen = cells.withColumn("_take", take(F.sum("_n").over(group)).cast("bigint")).withColumn(
         "_before", F.coalesce(F.sum("_n").over(group.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     cut = seen.filter((F.col("_before") < F.col("_take")) & (F.col("_take") <= F.col("_before") + F.col("_n")))
@@ -69,7 +75,7 @@ def mark_first(rows: DataFrame, order: str, key: str, take: Callable[[Column], C
         src = src.withColumn("_c", one).select(src.columns + ["_c.*"])
     at_cut = F.coalesce(F.col(RANGE) == F.col("_cut"), F.lit(False))
     clear = src.filter(~at_cut).withColumn(name, F.coalesce(F.col(RANGE) < F.col("_cut"), F.lit(False)))
-    # Only 1 / 4096 of the rows are left to rank.
+    # Only the rows of one range are left to rank.
     rank = F.row_number().over(group.orderBy(order, key))
     ranked = src.filter(at_cut).withColumn(name, rank + F.col("_before") <= F.col("_take"))
     return clear.unionByName(ranked).drop(RANGE, "_cut", "_before", "_take")
@@ -88,23 +94,25 @@ def running(df: DataFrame, order: str, sums: dict[str, Column], by: list[str] |
     src = df.withColumns({f"_v_{name}": expr for name, expr in sums.items()})
     if not ranged:
         src = with_ranges(materialized(src), order)
-    keys = [*by, RANGE]
+    # A null key becomes a marker and a value, so that the join and the window share plain keys,
+    # and with them one exchange of the rows.
+    named = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(by)}
+    named |= {f"_n{i}": F.col(k).isNull() for i, k in enumerate(by)}
+    src = src.withColumns(named) if named else src
+    groups, keys = list(named), [*named, RANGE]
     totals = src.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     # One row per range and group meets here, not one per input row.
-    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    group = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     earlier = group.orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        *keys,
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(group).alias(f"{n}_total") for n in sums])
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     inside = W.partitionBy(*keys).orderBy(order, *([tie] if tie else [])).rowsBetween(W.unboundedPreceding, -1)
-    out = src.join(offsets, on).drop(*[f"_k_{k}" for k in keys])
-    for n in sums:
-        out = out.withColumn(
-            f"{n}_before",
-            F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)))
-    return out.drop(RANGE, *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+    out = src.join(offsets, keys)
+    out = out.withColumns({f"{n}_before": F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) for n in sums})
+    wanted = [*df.columns, *[f"{n}_total" for n in sums], *[f"{n}_before" for n in sums]]
+    return out.select(*[c for c in wanted if c != RANGE])
 
 
 def average_ranks(values: DataFrame, value: str, n: str = "n", by: list[str] | None = None) -> DataFrame:

@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dwellkit.functions.numeric import nan_to_null
 from dwellkit.operators import stints as st
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; a NaN in it is a missing value."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df.withColumns({c: nan_to_null(F.col(c)) for c, kind in df.dtypes if kind in ("double", "float")})
 
 
 def history(spark, sf) -> DataFrame:

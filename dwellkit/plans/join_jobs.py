@@ -178,10 +178,10 @@ def interval_contains(spark, sf):
 @job("stint_spans_points", sql("""
 SELECT s.entity, s.stint_no, count(p.season) AS n_points, min(p.season) AS first_point
 FROM stints s LEFT JOIN (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS season, month(l_shipdate) AS m
-  FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.0 AND l_quantity = 50) p
+  FROM lineitem) p
   ON p.season BETWEEN s.start_season AND s.end_season GROUP BY 1, 2""", "stints"))
 def stint_spans_points(spark, sf):
-    li = table(spark, sf, "lineitem").filter("l_discount = 0.1 AND l_tax = 0.0 AND l_quantity = 50")
+    li = table(spark, sf, "lineitem")
     points = li.select(F.year("l_shipdate").alias("season"), F.month("l_shipdate").alias("m")).distinct()
     out = pit.spans_of_points(stints(spark, sf), points, "season", ["entity", "stint_no"])
     return out.select("entity", "stint_no", "n_points", "first_point")

@@ -123,6 +123,18 @@ def session_stints(spark, sf):
     return ev.session_stints(table(spark, sf, "events"), "user_id", "ts", GAP)
 
 
+@job("session_stints_stream", f"""
+SELECT user_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM (
+  SELECT user_id, us, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS stint FROM (
+    SELECT user_id, us, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= {GAP} THEN 0 ELSE 1 END AS new
+    FROM (SELECT user_id, epoch_us(ts) AS us FROM events))) GROUP BY user_id, stint
+HAVING max(us) + {GAP} <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events)""")
+def session_stints_stream(spark, sf):
+    """The stints that the watermark, one hour behind the latest event, has passed."""
+    stream = ev.session_stream(ev.read_stream(spark, sf, "events.parquet"), "user_id", "ts", GAP, "1 hour")
+    return ev.run_available(stream, partial_merge=True)
+
+
 @job("stream_counts_by_period", f"""
 SELECT event_type, start_us, start_us + 21600000000 AS end_us, count(*) AS n, {rnd('sum(value)', 4)} AS total FROM (
   SELECT event_type, value, epoch_us(ts) // 21600000000 * 21600000000 AS start_us FROM events)

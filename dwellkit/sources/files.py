@@ -58,16 +58,15 @@ def union_variants(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def write_by_season(df: DataFrame, path: str, season: str, kind: str | None = None) -> None:
+def write_by_season(df: DataFrame, path: str, season: str, kind: str | None = None, max_records: int = 5_000_000) -> None:
     """One directory per season (and kind), so that a reader opens only the seasons it needs.
 
-    Rows are brought together by directory plus a salt, so a season with very many rows is
-    still written by many tasks and small seasons do not end up in many tiny files.
+    ``rebalance`` brings the rows of a directory together and lets Spark split a season that is
+    larger than a task's advisory size and merge small ones, so the number of writers follows the data.
     """
     keys = [season] if kind is None else [kind, season]
-    salt = (F.xxhash64(*[c for c in df.columns if c not in keys]) % 8)
-    (df.withColumn("_salt", salt).repartition(*keys, "_salt").drop("_salt")
-     .write.mode("overwrite").partitionBy(*keys).parquet(path))
+    (df.hint("rebalance", *[F.col(k) for k in keys])
+     .write.mode("overwrite").option("maxRecordsPerFile", max_records).partitionBy(*keys).parquet(path))
 
 
 def read_season(spark: SparkSession, path: str, season: str, *years: int) -> DataFrame:

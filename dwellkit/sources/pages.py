@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dwellkit.operators.running import RANGE, with_ranges
+from dwellkit.session import materialized
 
 
 def discover_links(pages: DataFrame, html: str, prefix: str, suffix: str, manual: list[str]) -> DataFrame:
@@ -44,18 +46,19 @@ def dedupe_headers(headers: DataFrame, keys: list[str], position: str, name: str
     return marked.withColumn("unique_name", F.when(F.col("_rep") == 1, listed).otherwise(F.col(name))).drop("_rep", "_no")
 
 
-def fill_forward(df: DataFrame, keys: list[str], order: str, value: Column, name: str, block: int = 100_000) -> DataFrame:
+def fill_forward(df: DataFrame, keys: list[str], order: str, value: Column, name: str) -> DataFrame:
     """The last non-null value at or before each row of its group.
 
-    The group is cut into blocks of the order; a task fills one block and takes what the
-    earlier blocks of the group left, so a group of any length is spread over tasks.
+    The order (numeric) is cut into ranges of even row counts; a task fills one range and takes what the
+    earlier ranges of the group left, so a group of any length is spread over tasks.
     """
-    src = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(order) / block))
-    left = (src.filter(F.col("_value").isNotNull()).groupBy(*keys, "_block").agg(F.max_by("_value", order).alias("_last")))
-    blocks = src.select(*keys, "_block").distinct().join(left, [*keys, "_block"], "left")
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    src = with_ranges(materialized(df.withColumn("_value", value)), order)
+    cut = [*keys, RANGE]
+    left = (src.filter(F.col("_value").isNotNull()).groupBy(*cut).agg(F.max_by("_value", order).alias("_last")))
+    blocks = src.select(*cut).distinct().join(left, cut, "left")
+    before = W.partitionBy(*keys).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
     carried = blocks.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last")
-    inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    out = src.join(carried, [*keys, "_block"])
+    inside = W.partitionBy(*cut).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = src.join(carried, cut)
     return out.withColumn(name, F.coalesce(F.last("_value", ignorenulls=True).over(inside), "_carried")).drop(
-        "_value", "_block", "_carried")
+        "_value", RANGE, "_carried")

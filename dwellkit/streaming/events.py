@@ -53,21 +53,24 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_available(stream: DataFrame, partial_merge: bool = False) -> DataFrame:
-    """Process what is there, append finished rows to a table in the shared folder, read it.
+def run_available(stream: DataFrame, path: str | None = None, partial_merge: bool = False) -> DataFrame:
+    """Process what is there, append finished rows to a table under ``path``, read the table.
 
-    The checkpoint lies next to the table, so a restarted query goes on where it stopped.
+    The checkpoint lies next to the table: a later call with the same ``path`` reads only what has come
+    since, and keeps open windows and sessions. Without one the run has a folder of its own.
     ``partial_merge`` lets sessions combine before the shuffle.
     """
     spark = stream.sparkSession
-    path = f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
+    path = path or f"{checkpoint_root(spark)}/stream-{uuid.uuid4().hex}"
     key = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
     before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true" if partial_merge else before)
+    if partial_merge:
+        spark.conf.set(key, "true")
     try:
         query = (stream.writeStream.format("parquet").option("path", f"{path}/data")
                  .option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before)
+        if partial_merge:
+            spark.conf.set(key, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/data")

@@ -54,13 +54,13 @@ def test_cox_covariance_is_the_inverse_curvature(sample):
     assert m.cov / np.outer(m.sd, m.sd) == pytest.approx(cov, rel=1e-3)
 
 
-def test_many_ties_closed_form():
-    for s0, e0, d in ((50.0, 20.0, 6000), (20.0, 20.0, 6000)):
-        got = cox._efron(s0, e0, d)
-        phi = s0 - np.arange(d) / d * e0
-        u = np.arange(d) / d
-        want = ((1 / phi).sum(), (u / phi).sum(), (1 / phi ** 2).sum(), (u / phi ** 2).sum(), (u * u / phi ** 2).sum(), np.log(phi).sum())
-        assert got == pytest.approx(want, rel=1e-6)
+@pytest.mark.parametrize("s0,e0,d", [(50.0, 20.0, 6000), (20.0, 20.0, 6000), (20.0, 20.0, 2001), (5.0, 4.999999, 10 ** 6), (1e3, 1.0, 1999),
+                                     (1e9, 1e4, 10 ** 4), (1e11, 1e4, 10 ** 4), (1e12, 1e6, 10 ** 6), (3.0, 2.0, 1)])
+def test_tied_sums_equal_direct_sums(s0, e0, d):
+    u = np.arange(d) / d
+    phi = s0 - u * e0
+    want = [math.fsum(x) for x in (1 / phi, u / phi, 1 / phi ** 2, u / phi ** 2, (u / phi) ** 2, np.log(phi))]
+    assert cox._efron(s0, e0, d) == pytest.approx(want, rel=1e-9)
 
 
 def test_lasso_drops_features_and_many_fits_agree(spark, sample):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dwellkit.functions import dist
 from dwellkit.functions.numeric import normal_two_sided
+from dwellkit.operators import aggregates as ag
 from dwellkit.operators import hypothesis as hy
 from dwellkit.operators import metrics as mt
 from dwellkit.operators import resample as rs
@@ -126,6 +127,44 @@ def test_poisson_weights_have_mean_one(spark):
     assert all(r["v"] == 2.0 * r["n"] for r in out)
 
 
-def test_bootstrap_cells_refuses_many_combinations(spark):
-    with pytest.raises(ValueError):
-        rs.bootstrap_cells(spark.range(50), ["id"], 2, 1, max_cells=10)
+def test_bootstrap_cells_of_many_combinations_are_the_draws(spark):
+    rows = [(i % 7, i * i % 11) for i in range(300)]
+    df = spark.createDataFrame(rows, "x int, y int")
+    got = {(r["b"], r["x"], r["y"]): r["n"] for r in rs.bootstrap_cells(df, ["x", "y"], 5, 1).collect()}
+    ordered, want = sorted(rows), {}
+    for r in rs.draws(spark, len(rows), 5, 1).collect():
+        key = (r["b"], *ordered[r["u"]])
+        want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+def test_zscore_with_nan(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, float("nan")), (1, 3.0), (2, 5.0), (2, 7.0)], "p int, v double")
+    every = sorted((r["p"], r["v"]) for r in ag.zscore_by_period(df, "p", ["v"]).collect() if r["v"] is not None)
+    assert every == [(2, -1.0), (2, 1.0)]
+    some = [(r["p"], r["v"]) for r in ag.zscore_by_period(df, "p", ["v"], omit_missing=True).collect()]
+    assert sorted(x for x in some if x[1] is not None) == [(1, -1.0), (1, 1.0), (2, -1.0), (2, 1.0)]
+    assert (1, None) in some
+
+
+def test_running_exchanges_its_rows_once(spark):
+    src = spark.range(1000).select((F.col("id") % 3).alias("g"), "id", F.lit(0).alias(rn.RANGE))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = rn.running(src, "id", {"s": F.col("id")}, ["g"], ranged=True)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    top, below = plan.split("SortMergeJoin", 1)
+    assert "Exchange" not in top and below[:below.index("Window")].count("Exchange") == 1
+
+
+def test_running_keeps_null_groups(spark):
+    src = spark.range(100).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), "id")
+    got = rn.running(src, "id", {"s": F.lit(1)}, ["g"])
+    per = {r["g"]: (r["n"], r["t"], r["b"]) for r in got.groupBy("g").agg(
+        F.count("*").alias("n"), F.max("s_total").alias("t"), F.max("s_before").alias("b")).collect()}
+    assert per == {None: (34, 34, 33), 1: (33, 33, 32), 2: (33, 33, 32)}
