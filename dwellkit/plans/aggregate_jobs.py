@@ -188,9 +188,18 @@ def corr_matrix(spark, sf):
         "a", "b", rounded(F.col("r")).alias("r"), (F.abs("r") > 0.5).alias("strong"))
 
 
-@job("vif")
+VIF = ["prior_orders", "acctbal", "nation"]
+# With three columns the inverse correlation matrix has a closed form.
+VIF_SQL = " UNION ALL ".join(f"""SELECT '{a}' AS feature, {rnd('(1 - bc * bc) / det')} AS vif FROM (
+  SELECT bc, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM (
+    SELECT corr({a}, {b}) AS ab, corr({a}, {c}) AS ac, corr({b}, {c}) AS bc FROM features))"""
+                             for a, b, c in ((VIF[0], VIF[1], VIF[2]), (VIF[1], VIF[0], VIF[2]), (VIF[2], VIF[0], VIF[1])))
+
+
+@job("vif", sql(VIF_SQL, "features"))
 def vif(spark, sf):
-    return ag.vif(features(spark, sf), ["prior_orders", "prior_spend", "mean_price", "acctbal"])
+    out = ag.vif(features(spark, sf), VIF)
+    return out.select("feature", rounded(F.col("vif")).alias("vif"))
 
 
 @job("slope_last_k", sql(f"""

@@ -65,8 +65,12 @@ def exit_type(spark, sf):
     return out.select("entity", "start_season", "end_season", "age", "exit_kind", lb.exit_event(F.col("exit_kind")).alias("event"))
 
 
-KEYED = """SELECT s.entity, s.start_season, s.end_season, q.last_priority AS stint_key FROM stints s
-  JOIN seasons q ON q.entity = s.entity AND q.season = s.start_season"""
+# A stint at one unit: it ends with a gap or when the unit changes, so an entity may be elsewhere the very next season.
+KEYED = """SELECT entity, min(season) AS start_season, max(season) AS end_season, stint_key FROM (
+  SELECT *, sum(new) OVER (PARTITION BY entity ORDER BY season) AS no FROM (
+    SELECT entity, season, last_priority AS stint_key, CASE WHEN season - lag(season) OVER w <= 1
+      AND last_priority = lag(last_priority) OVER w THEN 0 ELSE 1 END AS new
+    FROM seasons WINDOW w AS (PARTITION BY entity ORDER BY season))) GROUP BY entity, no, stint_key"""
 SIGNALS = """SELECT k.entity, k.start_season, k.end_season, k.stint_key, count(a.entity) > 0 AS active_after,
   coalesce(bool_or(a.h AND a.priority <> k.stint_key), false) AS head_elsewhere_after,
   coalesce(bool_or(a.h AND a.priority <> k.stint_key AND a.season = k.end_season + 1), false) AS head_elsewhere_next
@@ -75,9 +79,9 @@ SIGNALS = """SELECT k.entity, k.start_season, k.end_season, k.stint_key, count(a
 
 
 def _keyed(per):
-    """Stints with the unit key of their first season."""
+    """Stints of consecutive seasons at one unit, with that unit."""
     per = per.select("entity", "season", F.col("last_priority").alias("priority"))
-    marked = st.number_islands(per, "entity", "season")
+    marked = st.number_islands(per, "entity", "season", st.same_value("entity", "season", "priority"))
     return marked.groupBy("entity", "stint_no").agg(
         F.min("season").alias("start_season"), F.max("season").alias("end_season"),
         F.min_by("priority", "season").alias("stint_key"))
@@ -106,9 +110,9 @@ SELECT entity, start_season, label, kind, confidence, needs_check FROM (SELECT e
   k NOT IN ('active', 'fired_notes', 'losing_finale') AS needs_check
   FROM (SELECT s.entity, s.start_season, CASE WHEN s.end_season >= (SELECT b FROM boundary) THEN 'active'
       WHEN q.last_priority = '1-URGENT' THEN 'fired_notes' WHEN q.last_priority = '2-HIGH' THEN 'resigned_notes'
-      WHEN (q.w + 0.5 * q.t) / (q.w + q.l + q.t) < 0.5 THEN 'losing_finale' WHEN s.active_after THEN 'moved_team?'
+      WHEN (q.w + 0.5 * q.t) / (q.w + q.l + q.t) < 0.5 THEN 'losing_finale' WHEN s.head_elsewhere_next THEN 'moved_team?'
       WHEN q.last_priority = '3-MEDIUM' THEN 'voluntary_note?' ELSE 'nonlosing_left?' END AS k
-    FROM (SELECT * REPLACE (head_elsewhere_after AS active_after) FROM signals) s JOIN seasons q ON q.entity = s.entity AND q.season = s.end_season))""",
+    FROM signals s JOIN seasons q ON q.entity = s.entity AND q.season = s.end_season))""",
     "stints", "boundary", keyed=KEYED, signals=SIGNALS))
 def event_label_rules(spark, sf):
     note = F.coalesce(*[F.when(F.col("last_priority") == p, F.lit(n)) for p, n in NOTES.items()])
@@ -117,10 +121,9 @@ def event_label_rules(spark, sf):
                                      ratio_with_ties(F.col("w"), F.col("l"), F.col("t")).alias("ratio"))
     s = _signals(spark, sf, _keyed(per)).join(last, ["entity", "end_season"])
     boundary = per.agg(F.max("season")).scalar()
-    # A stint always ends in a gap here, so "elsewhere next" looks past the gap.
     lab = lb.event_label(F.col("end_season"), boundary, tx.keyword_flag(F.col("note"), tx.FORCED_WORDS),
                          tx.keyword_flag(F.col("note"), tx.RESIGNED_WORDS),
-                         tx.keyword_flag(F.col("note"), tx.VOLUNTARY_WORDS), F.col("ratio"), F.col("head_elsewhere_after"))
+                         tx.keyword_flag(F.col("note"), tx.VOLUNTARY_WORDS), F.col("ratio"), F.col("head_elsewhere_next"))
     return s.select("entity", "start_season", lab.alias("_l")).select("entity", "start_season", "_l.*")
 
 
@@ -168,7 +171,7 @@ SELECT p.entity, p.anchor, k.prior_orders, k.prior_seasons, {rnd('k.prior_spend'
 FROM pop p JOIN panel k USING (entity, anchor) LEFT JOIN seasons c ON c.entity = p.entity AND c.season IN (p.anchor - 1, p.anchor - 2)
 GROUP BY ALL""", "stints", anchored=ANCHOR, pop=POP, panel=PANEL))
 def build_panel(spark, sf):
-    """Anchors, era filter, hygiene, relabelling, features, targets: one lazy plan."""
+    """Anchors, era filter, hygiene, relabelling, features, targets, from a season table that is written first."""
     per = season_rows(spark, sf)
     pop = (_anchored(per).filter("start_season >= 1996").filter("anchor_kind <> 'interim_only'")
            .withColumn("duration", (F.col("end_season") - F.col("anchor") + 1).cast("int"))

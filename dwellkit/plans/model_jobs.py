@@ -22,7 +22,7 @@ from dwellkit.operators.concordance import harrell
 from dwellkit.plans.base import FEATURES, rnd, sql, table, targets
 from dwellkit.plans.base import features as lazy_features
 from dwellkit.plans.registry import job
-from dwellkit.plans.resample_jobs import J, int_of, md5_of
+from dwellkit.plans.resample_jobs import J, MODES, int_of, md5_of
 from dwellkit.functions.dist import t_quantile
 from dwellkit.session import checkpoint_root, materialized
 
@@ -177,12 +177,22 @@ def impute_lowrank(spark, sf):
     return fitted.transform(rows, "x")
 
 
-@job("leakage_free_split")
+SIDES = f"""SELECT entity, CASE WHEN before < floor(q.n * 0.2) THEN 'test' ELSE 'train' END AS side FROM (
+  SELECT *, coalesce(sum(n_rows) OVER (PARTITION BY stratum ORDER BY {md5_of("'42'", 'entity')} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM modes)
+JOIN (SELECT label, count(*) AS n FROM targets GROUP BY 1) q ON q.label = stratum"""
+
+
+@job("leakage_free_split", sql(f"""
+SELECT entity, start_season, side, label, {", ".join(
+    f"{rnd(f'coalesce({c}, (SELECT avg({c}) FROM features JOIN sides USING (entity) WHERE side = {chr(39)}train{chr(39)}))', 12)} AS {c}__filled"
+    for c in FEATURES)}
+FROM features JOIN sides USING (entity)""", "features", modes=MODES, sides=SIDES))
 def leakage_free_split(spark, sf):
     """Grouped split; means are fitted on the training side only and applied to both."""
     train, test = split(features(spark, sf))
     prep = Pipeline(stages=ordinal.preparation(FEATURES)).fit(train)
-    tag = lambda d, s: prep.transform(d).select("entity", "start_season", F.lit(s).alias("side"), "label", *[f"{c}__filled" for c in FEATURES])
+    tag = lambda d, s: prep.transform(d).select("entity", "start_season", F.lit(s).alias("side"), "label",
+                                                *[rounded(F.col(f"{c}__filled"), 12).alias(f"{c}__filled") for c in FEATURES])
     return tag(train, "train").unionByName(tag(test, "test"))
 
 
@@ -421,7 +431,7 @@ def quadrant_matrix(spark, sf):
     return explain.quadrant_matrix(features(spark, sf), F.col("label"), bin_right_closed(F.col("prior_spend"), [3, 9]))
 
 
-@job("model_persist")
+@job("model_persist", sql("SELECT count(*) AS n, 0.0::DOUBLE AS largest_gap FROM features", "features"))
 def model_persist(spark, sf):
     """Fit, save to the shared folder, load, predict: (rows, largest difference of predictions)."""
     f = features(spark, sf)

@@ -34,15 +34,16 @@ def stint_islands_either_key(spark, sf):
 RUNS = """SELECT entity, priority, min(season) AS run_start, max(season) AS run_end FROM (
   SELECT *, season - row_number() OVER (PARTITION BY entity, priority ORDER BY season) AS g
   FROM (SELECT DISTINCT entity, priority, season FROM history)) GROUP BY entity, priority, g"""
+# The unit of a stint's last season, looked up at its start: some entities were not there yet.
 ANCHORS = """SELECT s.entity, s.start_season, q.last_priority AS priority FROM stints s
-  JOIN seasons q ON q.entity = s.entity AND q.season = s.start_season"""
+  JOIN seasons q ON q.entity = s.entity AND q.season = s.end_season"""
 
 
 def anchors(spark, sf):
-    """Stint starts with the unit (priority) of their first season."""
+    """Stint starts with the unit (priority) of the stint's last season."""
     per = seasons(spark, sf).select("entity", "season", "last_priority")
     return (st.number_islands(per, "entity", "season").groupBy("entity", "stint_no")
-            .agg(F.min("season").alias("start_season"), F.min_by("last_priority", "season").alias("priority"))
+            .agg(F.min("season").alias("start_season"), F.max_by("last_priority", "season").alias("priority"))
             .drop("stint_no"))
 
 
@@ -108,9 +109,13 @@ def dedupe_keep_first(spark, sf):
 @job("close_previous", sql("""
 SELECT entity, start_season, lead(start_season) OVER w AS next_start,
   CAST(least(end_season + 1, coalesce(lead(start_season) OVER w, end_season + 1)) - start_season AS INTEGER) AS closed_length
-FROM stints WINDOW w AS (PARTITION BY entity ORDER BY start_season)""", "stints"))
+FROM (SELECT entity, run_start AS start_season, max(run_end) AS end_season FROM runs GROUP BY 1, 2)
+WINDOW w AS (PARTITION BY entity ORDER BY start_season)""", "history", runs=RUNS))
 def close_previous(spark, sf):
-    return (st.close_previous(stints(spark, sf), "entity")
+    """Runs at a unit, which overlap: a run is closed by the next one or by the gap after it."""
+    runs = st.run_islands(history(spark, sf), ["entity", "priority"], "season")
+    spells = runs.groupBy("entity", F.col("run_start").alias("start_season")).agg(F.max("run_end").alias("end_season"))
+    return (st.close_previous(spells, "entity")
             .select("entity", "start_season", "next_start", "closed_length"))
 
 

@@ -4,6 +4,7 @@ from dwellkit.operators import labels as lb
 from dwellkit.operators import pit
 from dwellkit.operators import stints as st
 from dwellkit.operators.aggregates import slope_last_k, zscore_by_period
+from dwellkit.plans.catalog import QUERIES
 
 
 def rows(df, *order):
@@ -93,3 +94,17 @@ def test_forward_mean_sentinel_only_for_recent(spark):
     anchors = spark.createDataFrame([("a", 1), ("a", 2), ("b", 9), ("c", 9), ("c", 1)], "e string, a int")
     out = pit.forward_mean(anchors, hist, ["e"], "a", "y", F.col("v"), recent_from=9).select("e", "a", "forward_mean")
     assert rows(out, "e", "a") == [("a", 1, 0.75), ("a", 2, 1.0), ("b", 9, 0.25), ("c", 1, None), ("c", 9, -1.0)]
+
+
+def test_every_branch_of_the_labels_occurs(spark):
+    sf = "/root/testdata/sf0.01"
+    for name, columns in {"post_exit_signals": ["active_after", "head_elsewhere_after", "head_elsewhere_next"]}.items():
+        rows = QUERIES[name](spark, sf).collect()
+        for c in columns:
+            assert {r[c] for r in rows} == {True, False}, (name, c)
+    kinds = {r["kind"] for r in QUERIES["event_label_rules"](spark, sf).select("kind").distinct().collect()}
+    assert kinds == {"active", "fired_notes", "resigned_notes", "losing_finale", "moved_team?", "voluntary_note?", "nonlosing_left?"}
+    closed = QUERIES["close_previous"](spark, sf).withColumn("cut", F.coalesce(F.col("next_start") <= F.col("start_season") + F.col("closed_length"), F.lit(False)))
+    assert {r["cut"] for r in closed.collect()} == {True, False}
+    tenures = QUERIES["tenure_run_forward"](spark, sf)
+    assert 0 < tenures.filter("tenure IS NULL").count() < tenures.count()
