@@ -1,7 +1,8 @@
 """Accelerated failure time models: log T = x b + sigma * error, with right censoring.
 
-Weibull is Spark's own estimator. Log-normal and log-logistic share one Newton loop: each
-step adds up gradient and Hessian over the rows (for all fits in one job) and solves locally.
+Log-normal, log-logistic and Weibull share one Newton loop: each step adds up gradient and
+Hessian over the rows (for all fits in one job) and solves locally. ``fit_weibull`` is Spark's own
+estimator, for a single fit.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.models.sums import assemble, keyed_sums, scale_of
+from dwellkit.models.sums import assemble, grouped, keyed_sums, matrix, scale_of
 from dwellkit.operators.stints import step_read
 from dwellkit.operators.survival import censoring_curve
 
@@ -42,7 +43,7 @@ class AftModel:
 
     def log_time(self) -> Column:
         """Predicted median log time; its exponential is the median."""
-        out = F.lit(float(self.theta[0]))
+        out = F.lit(float(self.theta[0]) + MEDIANS[self.kind] * self.sigma)
         for f, c, m in zip(self.features, self.coef, self.mean):
             out = out + F.lit(float(c)) * (F.col(f).cast("double") - F.lit(float(m)))
         return out
@@ -68,12 +69,20 @@ def _logistic(z, died):
     return ll, np.where(died, 1.0 - 2.0 * p, -p), np.where(died, -2.0 * p * (1 - p), -p * (1 - p))
 
 
-ERRORS = {"lognormal": _normal, "loglogistic": _logistic}
+def _extreme(z, died):
+    """Smallest extreme value, the error of a Weibull time."""
+    grow = np.exp(np.clip(z, -500, 500))
+    return np.where(died, z - grow, -grow), np.where(died, 1.0 - grow, -grow), -grow
+
+
+ERRORS = {"lognormal": _normal, "loglogistic": _logistic, "weibull": _extreme}
+#: Median of the error: what the median log time adds to the location, in units of sigma.
+MEDIANS = {"lognormal": 0.0, "loglogistic": 0.0, "weibull": math.log(math.log(2.0))}
 
 
 def fit(df: DataFrame, kind: str, duration: str, event: str, features: list[str], fit_col: str | None = None,
         max_iter: int = 40, tol: float = 1e-8) -> dict:
-    """{fit number: AftModel} for ``lognormal`` or ``loglogistic`` errors."""
+    """{fit number: AftModel} for ``lognormal``, ``loglogistic`` or ``weibull`` times."""
     err = ERRORS[kind]
     rows = assemble(df, features, {"fit": F.lit(0) if fit_col is None else F.col(fit_col).cast("int"),
                                    "y": F.ln(F.col(duration).cast("double")), "e": F.col(event).cast("int")}).persist()
@@ -111,29 +120,32 @@ def fit(df: DataFrame, kind: str, duration: str, event: str, features: list[str]
 
 
 def _contribution(theta, scale, err):
-    par = {f: (t, scale[f][1], scale[f][2]) for f, t in theta.items()}
+    fits_u = np.array(sorted(theta))
+    means, sds, thetas = (np.array([of(f) for f in fits_u.tolist()]) for of in (
+        lambda f: scale[f][1], lambda f: scale[f][2], lambda f: theta[f]))
 
     def contribution(pdf):
-        out = {}
-        x_all = np.array(pdf["x"].tolist(), dtype=float)
-        fits, ys, es = pdf["fit"].to_numpy(), pdf["y"].to_numpy(), pdf["e"].to_numpy()
-        for f in np.unique(fits):
-            f = int(f)
-            if f not in par:
-                continue
-            th, mean, sd = par[f]
-            mine = fits == f
-            x = np.column_stack([np.ones(mine.sum()), (x_all[mine] - mean) / sd])
-            sigma, died = math.exp(th[-1]), es[mine] == 1
-            z = (ys[mine] - x @ th[:-1]) / sigma
-            ll, a, b = err(z, died)
-            g = np.concatenate([-(a @ x) / sigma, [(-a * z - died).sum()]])
-            hbb = (x * b[:, None]).T @ x / sigma ** 2
-            hbs = ((b * z + a) @ x) / sigma
-            h = np.block([[hbb, hbs[:, None]], [hbs[None, :], np.array([[(b * z * z + a * z).sum()]])]])
-            total = (ll - np.where(died, th[-1] + ys[mine], 0.0)).sum()
-            out[(f,)] = np.concatenate([[total], g, h.ravel()])
-        return out
+        fits = pdf["fit"].to_numpy()
+        open_ = np.isin(fits, fits_u)
+        if not open_.any():
+            return {}
+        pdf, fits = pdf[open_], fits[open_]
+        i = np.searchsorted(fits_u, fits)
+        x = np.hstack([np.ones((len(pdf), 1)), (matrix(pdf["x"]) - means[i]) / sds[i]])
+        y, died, th = pdf["y"].to_numpy(), pdf["e"].to_numpy() == 1, thetas[i]
+        sigma = np.exp(th[:, -1])
+        z = (y - (x * th[:, :-1]).sum(axis=1)) / sigma
+        ll, a, b = err(z, died)
+        m = x.shape[1]
+        # Per row: log-likelihood, gradient and Hessian in (intercept and b, log sigma).
+        gradient = np.hstack([-(a / sigma)[:, None] * x, (-a * z - died)[:, None]])
+        hessian = np.empty((len(x), m + 1, m + 1))
+        hessian[:, :m, :m] = (x[:, :, None] * x[:, None, :]) * (b / sigma ** 2)[:, None, None]
+        hessian[:, :m, m] = hessian[:, m, :m] = ((b * z + a) / sigma)[:, None] * x
+        hessian[:, m, m] = b * z * z + a * z
+        total = ll - np.where(died, th[:, -1] + y, 0.0)
+        keys, sums = grouped(np.hstack([total[:, None], gradient, hessian.reshape(len(x), -1)]), fits)
+        return dict(zip(keys, sums))
 
     return contribution
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellkit.functions.dist import chi2_sf, norm_sf
-from dwellkit.models.sums import assemble, keyed_sums, scale_of
+from dwellkit.models.sums import assemble, grouped, keyed_sums, matrix, scale_of
 
 
 @dataclass
@@ -204,29 +204,24 @@ def fit(df: DataFrame, duration: str, event: str, features: list[str], fit_col:
 
 
 def _time_sums(rows: DataFrame, beta: dict, scale: dict, k: int) -> dict:
-    mean = {f: scale[f][1] for f in beta}
-    sd = {f: scale[f][2] for f in beta}
+    """Per (fit, time): rows, deaths, event sum of x, and the 0th to 2nd moments of x under w over all and over the dead."""
+    fits_u = np.array(sorted(beta))
+    means, sds, betas = (np.array([of(f) for f in fits_u.tolist()]) for of in (
+        lambda f: scale[f][1], lambda f: scale[f][2], lambda f: beta[f]))
 
     def contribution(pdf):
-        out = {}
-        x_all = np.array(pdf["x"].tolist(), dtype=float)
-        fits, ts, es = pdf["fit"].to_numpy(), pdf["t"].to_numpy(), pdf["e"].to_numpy()
-        for f in np.unique(fits):
-            f = int(f)
-            if f not in beta:
-                continue
-            mine = fits == f
-            x = (x_all[mine] - mean[f]) / sd[f]
-            w = np.exp(np.clip(x @ beta[f], -50, 50))
-            t_f, e_f = ts[mine], es[mine] == 1
-            for t in np.unique(t_f):
-                at = t_f == t
-                xa, wa, ea = x[at], w[at], e_f[at]
-                parts = [[len(xa), ea.sum()], xa[ea].sum(axis=0)]
-                for xs, ws in ((xa, wa), (xa[ea], wa[ea])):
-                    parts += [[ws.sum()], ws @ xs, ((xs * ws[:, None]).T @ xs).ravel()]
-                out[(f, float(t))] = np.concatenate([np.asarray(p, dtype=float) for p in parts])
-        return out
+        fits = pdf["fit"].to_numpy()
+        open_ = np.isin(fits, fits_u)
+        if not open_.any():
+            return {}
+        pdf, fits = pdf[open_], fits[open_]
+        i = np.searchsorted(fits_u, fits)
+        x = (matrix(pdf["x"]) - means[i]) / sds[i]
+        w = np.exp(np.clip((x * betas[i]).sum(axis=1), -50, 50))[:, None]
+        e = (pdf["e"].to_numpy() == 1).astype(float)[:, None]
+        moments = np.hstack([np.ones_like(w), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)]) * w
+        keys, sums = grouped(np.hstack([np.ones_like(e), e, e * x, moments, e * moments]), fits, pdf["t"].to_numpy())
+        return dict(zip(keys, sums))
 
     return keyed_sums(rows, {"fit": "int", "t": "double"}, contribution)
 
@@ -262,7 +257,7 @@ def cluster_covariance(df: DataFrame, model: CoxModel, duration: str, event: str
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = (np.array(pdf["x"].tolist(), dtype=float) - mean) / sd
+            x = (matrix(pdf["x"]) - mean) / sd
             w = np.exp(np.clip(x @ beta, -50, 50))[:, None]
             i = np.searchsorted(times, pdf["t"].to_numpy())
             died = (pdf["e"].to_numpy() == 1)[:, None]
@@ -313,6 +308,24 @@ def with_survival(df: DataFrame, model: CoxModel, horizons: list[float], prefix:
     return out.withColumn("median", F.get(reached, F.lit(0)).getField("t")).drop("_hz")
 
 
+def contrast(spark, model: CoxModel, feature: str, low: float, high: float, seasons: list[int]) -> DataFrame:
+    """(profile, value, season, survival, season_survival, median) of two rows at the feature means.
+
+    They differ in one feature only; ``season_survival`` is S(t) over S of the season before.
+    """
+    j = model.features.index(feature)
+    rows = []
+    for name, value in (("low", low), ("high", high)):
+        risk = math.exp(float(model.coef[j]) * (value - float(model.mean[j])))
+
+        def at(t, risk=risk):
+            i = int(np.searchsorted(model.times, t, side="right")) - 1
+            return math.exp(-risk * float(model.h0[i])) if i >= 0 else 1.0
+        reached = [float(t) for t, h in zip(model.times, model.h0) if risk * h >= math.log(2.0)]
+        rows += [(name, float(value), int(t), at(t), at(t) / at(t - 1), reached[0] if reached else None) for t in seasons]
+    return spark.createDataFrame(rows, "profile string, value double, season int, survival double, season_survival double, median double")
+
+
 def baseline(spark, model: CoxModel) -> DataFrame:
     rows = [(float(t), int(d), float(h), math.exp(-float(h))) for t, d, h in zip(model.times, model.deaths, model.h0)]
     return spark.createDataFrame(rows, "time double, deaths int, h0 double, s0 double")

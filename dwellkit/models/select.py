@@ -32,15 +32,19 @@ def fill_from(train: DataFrame, rows: DataFrame, fill: dict[str, str], by: list[
 
 def stability_selection(df: DataFrame, group: str, duration: str, event: str, features: list[str], ks: list[int],
                         times: int = 2000, fraction: float = 0.5, seed: int = 0, penalizer: float = 0.1,
-                        threshold: float = 0.6, fill: dict[str, str] | None = None) -> DataFrame:
+                        threshold: float = 0.6, fill: dict[str, str] | None = None,
+                        importance_fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(k, feature, frequency, selected): how often a feature ranks in the top k over group
     subsamples. All subsamples are fitted by the same jobs; ``fill`` (see ``fill_from``) takes its
-    means from each subsample."""
+    means from each subsample. ``importance_fn`` takes the rows with their subsample ``b`` and gives
+    (fit, feature, value, rank), so any model can rank; the default is Cox."""
     taken = subsample(df, group, fraction, times, seed)
     rows = df.join(taken, group)
     if fill:
         rows = fill_from(rows, rows, fill, ["b"])
-    ranks = cox.importance(df.sparkSession, cox.fit(rows, duration, event, features, "b", penalizer))
+    rank = importance_fn or (lambda r: cox.importance(
+        df.sparkSession, cox.fit(r, duration, event, features, "b", penalizer)))
+    ranks = rank(rows)
     return membership(ranks, ks, threshold)
 
 
@@ -68,10 +72,11 @@ def _score_linear(test: DataFrame, models: dict, expr: Callable) -> DataFrame:
 
 
 def bakeoff(df: DataFrame, group: str, duration: str, event: str, features: list[str], seeds: list[int],
-            models: tuple[str, ...] = ("null", "cox", "lognormal", "loglogistic"), fraction: float = 0.2,
+            models: tuple[str, ...] = ("null", "cox", "weibull", "lognormal", "loglogistic"), fraction: float = 0.2,
             penalizer: float = 0.1, fill: dict[str, str] | None = None) -> DataFrame:
     """Long (seed, model, metric, value) of Harrell's and Uno's C on the test side.
 
+    ``models`` may also name ``boosted``, whose trees are fitted seed by seed.
     ``fill`` (see ``fill_from``) takes its means from the training side of each seed.
     """
     rows = seed_splits(df, group, seeds, fraction)
@@ -87,6 +92,12 @@ def bakeoff(df: DataFrame, group: str, duration: str, event: str, features: list
         elif name == "cox":
             s = _score_linear(test, cox.fit(train, duration, event, features, "seed", penalizer),
                               lambda m: -m.linear_predictor())
+        elif name == "boosted":
+            s = None
+            for seed in seeds:
+                _, score = aft.fit_boosted(train.filter(F.col("seed") == seed), duration, event, features, seed=seed)
+                one = score(test.filter(F.col("seed") == seed)).withColumnRenamed("log_time", "score")
+                s = one if s is None else s.unionByName(one)
         else:
             s = _score_linear(test, aft.fit(train, name, duration, event, features, "seed"), lambda m: m.log_time())
         scored.append(s.withColumn("model", F.lit(name)))
@@ -104,3 +115,48 @@ def bakeoff(df: DataFrame, group: str, duration: str, event: str, features: list
 def bakeoff_table(results: DataFrame, fraction: float = 0.2) -> DataFrame:
     """Mean and corrected interval per model and metric."""
     return t_interval(results, ["model", "metric"], "value", fraction)
+
+
+def cox_builder(duration: str, event: str, features: list[str]) -> Callable[[dict], Callable]:
+    """builder(params) for ``tune``: penalised Cox; a larger score lives longer."""
+    def build(params):
+        def fit(train):
+            model = cox.fit(train, duration, event, features, penalizer=params["penalizer"], l1_ratio=params["l1_ratio"])[0]
+            return lambda test: test.withColumn("score", -model.linear_predictor())
+        return fit
+    return build
+
+
+def aft_builder(duration: str, event: str, features: list[str]) -> Callable[[dict], Callable]:
+    """builder(params) for ``tune``: an accelerated failure time model of the given kind."""
+    def build(params):
+        def fit(train):
+            model = aft.fit(train, params["kind"], duration, event, features)[0]
+            return lambda test: test.withColumn("score", model.log_time())
+        return fit
+    return build
+
+
+def tune(folded: DataFrame, spaces: list[tuple[str, Callable, list[dict]]], scorer: Callable[[DataFrame, list[str]], DataFrame],
+         folds: int, fill: dict[str, str] | None = None) -> DataFrame:
+    """(space, params, mean, sd, n): each setting of each space scored on every held-out ``fold``.
+
+    A space is (name, builder, settings); builder(params)(train) gives a function that adds ``score``
+    to other rows, and scorer(rows, by) gives one ``value`` for each ``by`` group. All held-out
+    rows of a space are scored in one job.
+    """
+    out = None
+    for name, builder, settings in spaces:
+        scored = None
+        for params in settings:
+            for k in range(folds):
+                train, test = folded.filter(F.col("fold") != k), folded.filter(F.col("fold") == k)
+                if fill:
+                    train, test = fill_from(train, train, fill), fill_from(train, test, fill)
+                one = builder(params)(train)(test).withColumns({"params": F.lit(str(params)), "fold": F.lit(k)})
+                scored = one if scored is None else scored.unionByName(one)
+        values = scorer(scored, ["params", "fold"]).groupBy("params").agg(
+            F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
+        values = values.withColumn("space", F.lit(name))
+        out = values if out is None else out.unionByName(values)
+    return out.select("space", "params", "mean", "sd", "n")

@@ -18,6 +18,20 @@ def assemble(df: DataFrame, features: list[str], keep: dict[str, "F.Column"]) ->
     return df.dropna(subset=features).select(*[e.alias(n) for n, e in keep.items()], x)
 
 
+def matrix(column: pd.Series) -> np.ndarray:
+    """An array column as rows x k doubles; Arrow gives each array as a numpy vector, so no value is boxed."""
+    return np.concatenate(column.to_numpy()).reshape(len(column), -1)
+
+
+def grouped(rows: np.ndarray, *keys: np.ndarray) -> tuple[list[tuple], np.ndarray]:
+    """Sums of the rows of each key combination: (keys in order, one sum per key)."""
+    order = np.lexsort(keys[::-1])
+    cols = [k[order] for k in keys]
+    new = np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])))
+    at = np.flatnonzero(new)
+    return list(zip(*[c[at].tolist() for c in cols])), np.add.reduceat(rows[order], at, axis=0)
+
+
 def keyed_sums(rows: DataFrame, keys: dict[str, str], contribution: Callable[[pd.DataFrame], dict]) -> dict:
     """Sum vectors per key: ``contribution(batch)`` gives {key tuple: vector}.
 

@@ -66,6 +66,19 @@ def cox_fit(spark, sf):
     return cox.hazard_ratios(spark, cox.fit(panel(spark, sf), "duration", "event", COX)[0])
 
 
+@job("cox_elastic_net")
+def cox_elastic_net(spark, sf):
+    """The published setting: penalizer 0.5, a quarter of it absolute; dropped features have a hazard ratio of 1."""
+    return cox.hazard_ratios(spark, cox.fit(panel(spark, sf), "duration", "event", COX, penalizer=0.5, l1_ratio=0.25)[0]).select(
+        "feature", "coef", "hr")
+
+
+@job("cox_profile_contrast")
+def cox_profile_contrast(spark, sf):
+    m = cox.fit(panel(spark, sf), "duration", "event", COX, penalizer=0.1)[0]
+    return cox.contrast(spark, m, "prior_orders", 0.0, 10.0, [1, 2, 3, 4, 5, 6])
+
+
 @job("cox_cluster_se")
 def cox_cluster_se(spark, sf):
     p = panel(spark, sf)
@@ -274,6 +287,18 @@ def tune_random_search(spark, sf):
                                  "trees int, depth int, kappa double, best boolean")
 
 
+@job("tune_survival_models")
+def tune_survival_models(spark, sf):
+    """Penalised Cox and accelerated failure models by C-index over grouped folds."""
+    f = features(spark, sf)
+    data = materialized(f.join(sp.kfold(f, "entity", 3, 42, "label").select("entity", "fold"), "entity"))
+    spaces = [("cox", select.cox_builder("duration", "event", COX),
+               [{"penalizer": p, "l1_ratio": r} for p in (0.01, 0.1) for r in (0.0, 0.5)]),
+              ("aft", select.aft_builder("duration", "event", COX), [{"kind": k} for k in ("weibull", "lognormal", "loglogistic")])]
+    return select.tune(data, spaces, lambda d, by: harrell(d, "duration", "event", "score", by=by).select(
+        *by, F.col("c_index").alias("value")), 3, FILL)
+
+
 @job("oof_predictions")
 def oof_predictions(spark, sf):
     """Every row predicted exactly once by a model that has not seen its entity."""
@@ -330,6 +355,20 @@ def block_ablation(spark, sf):
     return harrell(out, "duration", "event", "score", by=by).select(*by, "c_index")
 
 
+@job("population_ablation")
+def population_ablation(spark, sf):
+    """C on the test side when the training pool, its era or its open stints are left out."""
+    train, test = split(features(spark, sf))
+    pools = {"all": F.lit(True), "first stints": F.col("stint_no") == 1, "before 1998": F.col("start_season") < 1998,
+             "from 1998": F.col("start_season") >= 1998, "closed stints": F.col("cause") != 0}
+    out = None
+    for name, keep in pools.items():
+        part = train.filter(keep)
+        row = _scored(select.fill_from(part, part, FILL), select.fill_from(part, test, FILL), COX).withColumn("pool", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return harrell(out, "duration", "event", "score", by=["pool"]).select("pool", "c_index")
+
+
 @job("stability_selection")
 def stability_selection(spark, sf):
     return select.stability_selection(features(spark, sf), "entity", "duration", "event", COX, [1, 2, 3], fill=FILL)

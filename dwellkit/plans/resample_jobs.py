@@ -167,6 +167,25 @@ def bootstrap_median(spark, sf):
     return ci.select(rounded(observed).alias("observed"), *[rounded(F.col(c)).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
+def _side_sql(side):
+    return f"""SELECT d.b, median(p.v) AS m FROM (SELECT b, {wide_of(f"'{SEED}{side}'", 'b', 'i')} % (SELECT count(*) FROM {side}) AS u
+      FROM range({B}) r(b), range((SELECT count(*) FROM {side})) s(i)) d JOIN {side} p ON p.i = d.u GROUP BY 1"""
+
+
+SIDES = {side: f"""SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_acctbal AS v FROM customer
+  WHERE c_mktsegment {op} 'BUILDING'""" for side, op in (("a", "="), ("b", "<>"))}
+
+
+@job("bootstrap_median_diff", sql(f"""
+SELECT {rnd('avg(x.m - y.m)', 4)} AS mean, {rnd('quantile_cont(x.m - y.m, 0.025)', 4)} AS ci_low, {rnd('quantile_cont(x.m - y.m, 0.975)', 4)} AS ci_high
+FROM x JOIN y USING (b)""", **SIDES, x=_side_sql("a"), y=_side_sql("b")))
+def bootstrap_median_diff(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    diffs = rs.bootstrap_median_diff(c, "c_custkey", "c_acctbal", F.col("c_mktsegment") == "BUILDING", B, SEED)
+    ci = rs.percentile_ci(diffs, ["diff"])
+    return ci.select(*[rounded(F.col(x), 4).alias(x) for x in ("mean", "ci_low", "ci_high")])
+
+
 PERM = f"""SELECT b, avg(price) FILTER (i >= k) - avg(price) FILTER (i < k) AS diff FROM (
   SELECT b, price, row_number() OVER (PARTITION BY b ORDER BY {md5_of(f"'{SEED}'", 'b', 'record')}) - 1 AS i, (SELECT count(*) FROM sample WHERE status = 'F') AS k
   FROM sample, range(20) r(b)) GROUP BY b"""

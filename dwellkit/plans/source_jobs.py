@@ -34,6 +34,22 @@ def scan_entity_dirs(spark, sf):
     return back.groupBy("entity", "Year").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("Role").alias("n_roles"))
 
 
+@job("scan_header_variants", """
+SELECT CAST(c_nationkey AS VARCHAR) AS entity, CAST(year(o_orderdate) AS INTEGER) AS "Year", count(*) AS n,
+  count(CASE WHEN year(o_orderdate) < 1997 THEN o_orderpriority END) AS n_roles, count(CASE WHEN year(o_orderdate) >= 1997 THEN 1 END) AS n_levels
+FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""")
+def scan_header_variants(spark, sf):
+    """History files with two headers in one tree: older ones lack a column and have another order."""
+    nation = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("entity"))
+    rows = table(spark, sf, "orders").join(nation, "o_custkey").select(
+        "entity", F.year("o_orderdate").alias("Year"), F.col("o_orderpriority").alias("Role"), F.col("o_orderstatus").alias("Level"))
+    root = _folder(spark, "variants")
+    for part in (rows.filter("Year < 1997").select("entity", "Role", "Year"), rows.filter("Year >= 1997").select("entity", "Year", "Level")):
+        part.hint("rebalance", F.col("entity")).write.mode("append").partitionBy("entity").option("header", True).csv(root)
+    back = files.read_by_header(spark, root, "*.csv", {"Year": "int", "Role": "string", "Level": "string"})
+    return back.groupBy("entity", "Year").agg(F.count(F.lit(1)).alias("n"), F.count("Role").alias("n_roles"), F.count("Level").alias("n_levels"))
+
+
 @job("scan_union_by_name", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS price, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS priority,
   CASE WHEN o_orderstatus = 'P' THEN 'p' END AS extra FROM orders""")

@@ -24,30 +24,30 @@ def read_entity_dirs(spark: SparkSession, root: str, name: str, schema: StructTy
     return df.select("*", _directory().alias(entity))
 
 
-def _csv_cells(line: Column) -> Column:
-    """Fields of one CSV line: split at commas outside quotes, then unquote."""
-    parts = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
-
-
 def read_by_header(spark: SparkSession, root: str, name: str, columns: dict[str, str], entity: str = "entity") -> DataFrame:
     """Like ``read_entity_dirs`` for files whose headers differ: columns are found by name.
 
-    A column a file lacks is NULL, a short row is padded, an unreadable number is NULL. Files
-    of this kind hold one entity each, so a file is one record of the scan.
+    Spark reads the cells by position (quotes, line breaks in quotes and short rows are its
+    own matter) and skips the header lines; each file's header then says which position has which
+    name. A column a file lacks is NULL, an unreadable number is NULL.
     """
-    files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).text(root, wholetext=True)
-             .select("value", _directory().alias(entity)))
-    lines = files.select(entity, F.split("value", "\r?\n").alias("_l"))
-    rows = (lines.select(entity, _csv_cells(F.col("_l")[0]).alias("_h"), F.posexplode("_l").alias("_no", "_line"))
-            .filter((F.col("_no") > 0) & (F.trim("_line") != ""))
-            .select(entity, "_no", "_h", _csv_cells(F.col("_line")).alias("_v")))
+    options = {"recursiveFileLookup": True, "pathGlobFilter": name}
+    heads = spark.read.options(**options).text(root, wholetext=True).select(
+        F.col("_metadata.file_path").alias("_file"), F.regexp_extract("value", r"^\ufeff?([^\r\n]*)", 1).alias("_line"))
+    # One header line per file; the widest tells how many cells to read.
+    most = (heads.agg(F.max(F.size(F.split("_line", ",")))).first()[0] or 1)
+    cells = ", ".join(f"c{i} string" for i in range(most))
+    every = [f"c{i}" for i in range(most)]
+    heads = heads.withColumn("_h", F.from_csv("_line", cells)).select("_file", F.array(*[F.col(f"_h.{c}") for c in every]).alias("_names"))
+    rows = (spark.read.schema(cells).options(**options).option("header", True).option("enforceSchema", True).option("multiLine", True)
+            .csv(root).select(*every, F.col("_metadata.file_path").alias("_at"), _directory().alias(entity)))
+    rows = rows.join(heads, F.col("_at") == F.col("_file")).withColumn("_v", F.array(*every))
     out = []
     for c, kind in columns.items():
-        at = F.array_position("_h", c)
+        at = F.array_position("_names", c)
         text = F.when(at > 0, F.get("_v", (at - 1).cast("int")))
         out.append((text if kind == "string" else F.trim(text).try_cast(kind)).alias(c))
-    return rows.select(entity, F.col("_no").alias("row_no"), *out)
+    return rows.select(entity, *out)
 
 
 def union_variants(frames: list[DataFrame]) -> DataFrame:

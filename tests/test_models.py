@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dwellkit.models import aft, cox, impute, ordinal
+from dwellkit.models import aft, cox, impute, ordinal, select
 from dwellkit.operators.aggregates import vif
 from dwellkit.plans.catalog import QUERIES
 
@@ -183,3 +183,48 @@ def test_bakeoff_null_model_is_one_half(spark):
 def test_recent_scores_cover_open_stints_once(spark):
     out = QUERIES["score_recent"](spark, SF)
     assert out.count() == out.select("entity", "start_season").distinct().count()
+
+
+def test_weibull_newton_agrees_with_the_single_fit_estimator(sample):
+    _, df = sample
+    ours = aft.fit(df, "weibull", "t", "e", ["a", "b"])[0]
+    theirs, _ = aft.fit_weibull(df, "t", "e", ["a", "b"], max_iter=200)
+    assert ours.coef == pytest.approx(theirs.coefficients.toArray(), abs=1e-3)
+    assert ours.sigma == pytest.approx(theirs.scale, rel=1e-3)
+    assert np.abs(ours.gradient).max() < 1e-5
+
+
+def test_contrast_is_survival_at_the_means(spark, sample):
+    _, df = sample
+    m = cox.fit(df, "t", "e", ["a", "b"])[0]
+    got = {(r["profile"], r["season"]): r for r in cox.contrast(spark, m, "a", -1.0, 1.0, [1, 2, 3]).collect()}
+    at = spark.createDataFrame([(v, float(m.mean[1])) for v in (-1.0, 1.0)], "a double, b double")
+    want = {r["a"]: r for r in cox.with_survival(at, m, [1, 2, 3]).collect()}
+    for name, v in (("low", -1.0), ("high", 1.0)):
+        assert [got[name, t]["survival"] for t in (1, 2, 3)] == pytest.approx([want[v][f"s_{t}"] for t in (1, 2, 3)])
+        assert got[name, 2]["season_survival"] == pytest.approx(want[v]["s_2"] / want[v]["s_1"])
+        assert got[name, 1]["median"] == want[v]["median"]
+
+
+def test_fills_come_from_the_training_side_only(spark):
+    rows = [(0, "train", 1.0), (0, "train", None), (0, "test", None), (0, "test", 50.0), (1, "train", 4.0), (1, "test", None), (1, "test", float("nan"))]
+    df = spark.createDataFrame(rows, "seed int, side string, v double")
+    for extra in (50.0, -7.0):
+        changed = df.withColumn("v", F.when((F.col("side") == "test") & (F.col("v") == 50.0), extra).otherwise(F.col("v")))
+        out = select.fill_from(changed.filter("side = 'train'"), changed, {"f": "v"}, ["seed"]).collect()
+        assert sorted((r["seed"], r["side"], r["f"]) for r in out) == sorted(
+            [(0, "train", 1.0), (0, "train", 1.0), (0, "test", 1.0), (0, "test", extra), (1, "train", 4.0), (1, "test", 4.0), (1, "test", 4.0)])
+
+
+def test_any_model_can_rank_in_stability_selection(sample):
+    _, df = sample
+    rows = df.select("id", "t", "e", "a", F.col("b").alias("z"))
+
+    def by_correlation(taken):
+        per = taken.groupBy(F.col("b").alias("fit")).agg(F.abs(F.corr("t", "a")).alias("a"), F.abs(F.corr("t", "z")).alias("z"))
+        first = F.when(F.col("a") >= F.col("z"), 1).otherwise(2)
+        ranks = F.array(F.struct(F.lit("a").alias("feature"), first.alias("rank")), F.struct(F.lit("z").alias("feature"), (3 - first).alias("rank")))
+        return per.select("fit", F.explode(ranks).alias("r")).select("fit", "r.*")
+    out = select.stability_selection(rows, "id", "t", "e", ["a", "z"], [1, 2], times=6, importance_fn=by_correlation).collect()
+    assert {(r["k"], r["feature"]) for r in out} == {(k, f) for k in (1, 2) for f in "az"}
+    assert all(r["frequency"] == 1.0 for r in out if r["k"] == 2)
