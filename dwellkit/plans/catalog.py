@@ -2,6 +2,7 @@
 
 from dwellkit.plans import (  # noqa: F401
     aggregate_jobs,
+    invariant_jobs,
     join_jobs,
     label_jobs,
     metric_jobs,

@@ -47,17 +47,11 @@ def km_median_ci(spark, sf):
     return sv.km_median_ci(sv.km_curve(targets(spark, sf), "duration", "event"), "duration")
 
 
-ERFC = "0.17087277"
-for _c in ("-0.82215223", "1.48851587", "-1.13520398", "0.27886807", "-0.18628806",
-           "0.09678418", "0.37409196", "1.00002368", "-1.26551223"):
-    ERFC = f"({_c}::DOUBLE + t * {ERFC})"
-
-
 def two_sided(z: str) -> str:
-    """SQL of the two-sided normal tail used by the Spark side."""
-    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
-    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.5 * {x}))"
-    return f"({t} * exp(-{x} * {x} + {ERFC.replace('t *', t + ' *')}))"
+    """SQL of the two-sided normal tail: each term of the series by itself, its odd double factorial from gamma functions."""
+    x = f"greatest(least(abs({z}), 30.0::DOUBLE), 1e-300::DOUBLE)"
+    term = f"exp((2 * k + 1) * ln({x}) - lgamma(2.0::DOUBLE * k + 2) + k * ln(2.0::DOUBLE) + lgamma(k + 1.0::DOUBLE) - {x} * {x} / 2)"
+    return f"greatest(1 - 2 * list_sum(list_transform(generate_series(0, 1200), lambda k: {term})) / sqrt(2 * pi()), 0)"
 
 
 @job("logrank", sql(f"""
