@@ -23,13 +23,12 @@ def width(df: DataFrame) -> int:
     return shuffle_partitions(df.sparkSession)
 
 
-def hot_keys(counts: DataFrame, n: str, parts: int) -> DataFrame:
-    """Rows of ``counts`` (one per key, ``n`` rows each) whose key is hot, with ``limit``.
+def hot_keys(counts: DataFrame, n: str, parts: int, total: Column) -> DataFrame:
+    """Rows of ``counts`` (one per key, ``n`` rows each, ``total`` in all) whose key is hot, with ``limit``.
 
     A key is hot beyond 1 / (HOT_SHARE * parts) of all rows, so there are fewer than
     HOT_SHARE * parts of them whatever the data: this is the proof that makes them fit a
     broadcast.
     """
-    total = counts.agg(F.sum(n)).scalar()
     limit = F.ceil(F.greatest(total, F.lit(1)) / F.lit(HOT_SHARE * parts)).cast("bigint")
     return counts.withColumn("limit", limit).filter(F.col(n) > F.col("limit"))

@@ -63,7 +63,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, keep: str, normalise: C
                        (normalise(text) if normalise else text).alias("_text"))
     rows = rows.withColumn("_sha256", F.unhex(F.sha2("_text", 256)))
     counts = rows.groupBy("_sha256").agg(F.count(F.lit(1)).alias("_n"), best("_id").alias("_top"))
-    hot = hot_keys(counts, "_n", parts).select(
+    # The number of rows comes from the files' footers, not from a second count of the digests.
+    hot = hot_keys(counts, "_n", parts, docs.agg(F.count(F.lit(1))).scalar()).select(
         F.col("_sha256").alias("_hot_sha"), F.col("_n").alias("_hot_n"), F.col("_top").alias("_hot_top"),
         F.ceil(F.col("_n") / F.col("limit")).alias("_splits"))
     rows = rows.join(F.broadcast(hot), F.col("_sha256") == F.col("_hot_sha"), "left")
