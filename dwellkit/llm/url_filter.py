@@ -62,14 +62,15 @@ def possible(rows: DataFrame, keys: DataFrame, max_blocks: int = MAX_BLOCKS) ->
             .filter(there).select(*rows.columns))
 
 
-def candidates(urls: DataFrame, path_lengths: list[int]) -> DataFrame:
-    """(url, key, kind, reach): the canonical form of each URL, and each host suffix with each path prefix.
+def candidates(urls: DataFrame, path_lengths: list[int], label_counts: list[int]) -> DataFrame:
+    """(url, key, kind): the canonical form of each URL, and each host suffix with each path prefix.
 
-    Prefixes have lengths that a rule's path has, so a URL gives labels x lengths rows at most.
+    Only suffixes of as many labels and prefixes of as many characters as some rule has are
+    made, so a URL of any length gives counts x lengths rows at most.
     """
     labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                        lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    hosts = F.array_compact(F.array(*[
+        F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.size(labels) - (n - 1), F.lit(n)), ".")) for n in label_counts]))
     paths = F.array_distinct(F.array(*[F.substring("path", 1, n) for n in path_lengths]))
     rules = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(
         F.concat(h, p).alias("key"), F.lit("rule").alias("kind")))))
@@ -101,8 +102,11 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str =
         form.alias("key"), F.lit("listed").alias("kind"), F.lit("block").alias("_verdict"),
         F.lit(-1).alias("_reach")).distinct()
     exact = materialized(exact_rules.unionByName(exact_listed))
-    lengths = sorted(r[0] for r in rules.filter("path IS NOT NULL").select(F.char_length("path")).distinct().collect())
-    hits = possible(candidates(urls, lengths), exact.select("key").distinct(), max_blocks)
+    # Two short lists of small numbers: how long the rules' paths are, and how many labels their hosts have.
+    known = rules.filter("host IS NOT NULL AND path IS NOT NULL")
+    lengths = sorted(r[0] for r in known.select(F.char_length("path")).distinct().collect())
+    counts = sorted(r[0] for r in known.select(F.size(F.split("host", r"\."))).distinct().collect())
+    hits = possible(candidates(urls, lengths, counts), exact.select("key").distinct(), max_blocks)
     found = hits.withColumnsRenamed({"key": "_k", "kind": "_kind"}).join(
         exact.hint("shuffle_hash"), (F.col("_k") == F.col("key")) & (F.col("_kind") == F.col("kind")))
     best = found.groupBy("url").agg(F.max(F.struct(
