@@ -61,7 +61,7 @@ def round_keys(n: Column, key: Column, rounds: int = ROUNDS) -> Column:
     """For each round of ``permuted`` its centre below n and its multiplier, from a key below PRIME."""
     def one(r):
         k = F.pmod(key * 48271 + r * 69621 + 12345, F.lit(PRIME))
-        return F.struct(F.pmod(k * F.pmod(key * 16807 + r * 40692 + 1, F.lit(PRIME)), n).alias("c"),
+        return F.struct(F.pmod(k * F.pmod(key * 16807 + r * 40692 + 1, F.lit(PRIME)), F.greatest(n, F.lit(1))).alias("c"),
                         F.pmod(k * k + r, F.lit(PRIME)).alias("m"))
     return F.transform(F.sequence(F.lit(1).cast("bigint"), F.lit(rounds).cast("bigint")), one)
 
