@@ -1,20 +1,22 @@
 """Personal data: patterns, and terms that reveal a protected entity.
 
 Information-theoretic sanitisation: an entity (an address, number or card found by pattern) is
-protected. A term that stands near it reveals it as far as the corpus says so: with n(t)
-documents that hold the term and n(t, e) that hold it near the entity, the term discloses
+protected. A term in the same text reveals it as far as the corpus says so: with n(t)
+different texts that hold the term and n(t, e) that hold both, of N, the term discloses
 log n(t, e) / n(t) + log N / n(e) of the entity's information log N / n(e). Terms that disclose at least
-``threshold`` of it are generalised or removed where they stand near the entity.
+``threshold`` of it are generalised or removed wherever they stand in a text with the entity.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
+import sys
+import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellkit.llm.common import text_or_empty
@@ -22,19 +24,22 @@ from dwellkit.session import materialized
 
 #: Kinds in the order of the report; ``term`` is added by the method.
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 8
 THRESHOLD = 0.9
-MIN_CONTEXTS = 3
-MIN_LETTERS = 4
+#: Different texts that must hold a pair: one text, however often copied, tells nothing of what goes together.
+MIN_TEXTS = 2
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: A term, as the pattern that both Spark and Python read: a run of ASCII or Latin letters.
-TERM = r"[A-Za-zÀ-ÖØ-öø-ɏ]{" + str(MIN_LETTERS) + ",}"
-TERM_RE = re.compile(TERM)
+#: A term: a run of letters of any script with their combining marks.
+MARKS = re.escape("".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Mn", "Mc")))
+TERM = re.compile(rf"[^\W\d_]+(?:[{MARKS}]+[^\W\d_]*)*")
+ASCII_TERM = re.compile("[A-Za-z]+")
+#: Scripts without spaces between words (Thai, Lao, Khmer, Burmese, kana, Han): there each substring of these lengths is a term too.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{2,}")
+UNSPACED_LENGTHS = (2, 3, 4)
 DIGITS = re.compile(r"[^0-9]")
 
 
@@ -83,39 +88,39 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else DIGITS.sub('', value)}"
 
 
-def contexts(text: str, spans: list[tuple[int, int, str]], window: int) -> list[tuple[str, str, int, int, int]]:
-    """(entity, term, start, end, context) for the ``window`` terms on each side of each span.
-
-    ``context`` tells apart surroundings: equal ones, as in copies of a document, have one number.
-    """
-    if not spans:
-        return []
-    covered = sorted((a, b) for a, b, _ in spans)
-    terms, i = [], 0
-    for m in TERM_RE.finditer(text):
+def terms(text: str, spans: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, term in lower case) along the text, outside ``spans``."""
+    covered, i = sorted((a, b) for a, b, _ in spans), 0
+    for m in TERM.finditer(text):
         while i < len(covered) and covered[i][1] <= m.start():
             i += 1
-        if i == len(covered) or m.end() <= covered[i][0]:
-            terms.append((m.start(), m.end(), m[0].lower()))
-    starts = [t[0] for t in terms]
-    out = []
-    for a, b, kind in spans:
-        at = bisect.bisect_left(starts, a)
-        near = terms[max(0, at - window):at + window]
-        name = entity(kind, text[a:b])
-        mark = int.from_bytes(hashlib.blake2b(" ".join(t[2] for t in near).encode(), digest_size=7).digest(), "big")
-        out += [(name, term, s, e, mark) for s, e, term in near]
-    return out
+        if i < len(covered) and covered[i][0] < m.end():
+            continue
+        yield m.start(), m.end(), m[0].lower()
+        if m[0].isascii():
+            continue
+        for run in UNSPACED.finditer(m[0]):
+            for n in UNSPACED_LENGTHS:
+                for at in range(run.start(), run.end() - n + 1):
+                    if n < len(m[0]):
+                        yield m.start() + at, m.start() + at + n, m[0][at:at + n].lower()
 
 
 def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in sorted(spans, key=lambda s: (KINDS.index(s[2]), s[0], s[1])))
 
 
-def scan(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, text hash, base counts and spans, and the terms around them."""
+def different_terms(text: str, spans: list[tuple[int, int, str]]) -> list[str]:
+    """All terms of the text once each, in order."""
+    if spans or UNSPACED.search(text):
+        return sorted({t for _, _, t in terms(text, spans)})
+    return sorted({w.lower() for w in set((ASCII_TERM if text.isascii() else TERM).findall(text))})
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, text hash, base counts and spans; with an entity also the entities, terms and text."""
     schema = ("n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, "
-              "near array<struct<entity:string,term:string,start:int,end:int,context:long>>")
+              "entities array<string>, terms array<string>, held string")
 
     @F.pandas_udf(schema)
     def of(texts: pd.Series) -> pd.DataFrame:
@@ -125,51 +130,72 @@ def scan(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col
             kinds = [k for _, _, k in base]
             line = listed(base)
             rows.append((*(kinds.count(k) for k in KINDS[:4]), line, hashlib.sha256(line.encode()).hexdigest(),
-                         contexts(text, base, window) if base else []))
-        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "near"])
+                         sorted({entity(k, text[a:b]) for a, b, k in base}),
+                         different_terms(text, base) if base else [], text if base else None))
+        return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "entities", "terms", "held"])
     text = text_or_empty(text_col)
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), of(text).alias("s")).select("id", "h", "s.*")
 
 
-def disclosing(docs: DataFrame, near: DataFrame, threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS,
+def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD, min_texts: int = MIN_TEXTS,
                text_col: str = "text") -> DataFrame:
     """(entity, term): terms that give away at least ``threshold`` of the entity's information.
 
-    n(t) counts all documents that hold the term. A pair seen in fewer than ``min_contexts`` different
-    surroundings tells nothing: copies of one document are one surrounding.
+    All counts are of different texts (by hash), so neither copies nor identifiers matter. The texts with
+    entities bound n(t) from below; only terms that may still disclose are counted in all texts.
     """
-    pairs = near.groupBy("entity", "term").agg(
-        F.count_distinct("id", "h").alias("_n"), F.count_distinct("context").alias("_c"))
-    held = near.groupBy("entity").agg(F.count_distinct("id", "h").alias("ne")).withColumnRenamed("entity", "_entity")
-    pairs = materialized(pairs.filter(F.col("_c") >= min_contexts).join(held, F.col("entity") == F.col("_entity")))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower(text_or_empty(text_col)), F.lit(TERM), F.lit(0)))).alias("_term"))
-    counts = terms.groupBy("_term").agg(F.count(F.lit(1)).alias("nt"))
-    total = docs.select(F.count(F.lit(1)).alias("n")).scalar()
+    texts = materialized(scanned.filter(F.size("entities") > 0).groupBy("h").agg(
+        F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    held = texts.select(F.explode("entities").alias("_entity")).groupBy("_entity").agg(F.count(F.lit(1)).alias("ne"))
+    least = texts.select(F.explode("terms").alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).alias("nt"))
+    pairs = (texts.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
+             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_texts))
+    total = scanned.select(F.count_distinct("h").alias("n")).scalar()
     info = F.log(total / F.col("ne"))
-    told = F.log(F.col("_n") / F.col("nt")) + info
-    return (pairs.join(counts, F.col("term") == F.col("_term"))
-            .filter((F.col("ne") < total) & (told >= F.lit(threshold) * info)).select("entity", "term"))
+    told = (F.col("ne") < total) & (F.log(F.col("_n") / F.col("nt")) + info >= F.lit(threshold) * info)
+    pairs = materialized(pairs.join(held, F.col("entity") == F.col("_entity")).join(least, F.col("term") == F.col("_term"))
+                         .filter(told).select("entity", "term", "_n", "ne"))
+    wanted = materialized(pairs.select(F.col("term").alias("_wanted")).distinct())
+
+    @F.pandas_udf("array<string>")
+    def of(all_texts: pd.Series) -> pd.Series:
+        return pd.Series([different_terms(t, base_spans(t)) for t in all_texts], dtype=object)
+    text = text_or_empty(text_col)
+    counts = (docs.select(F.xxhash64(text).alias("h"), F.explode(of(text)).alias("_term"))
+              .join(wanted, F.col("_term") == F.col("_wanted"), "left_semi").distinct()
+              .groupBy("_term").agg(F.count(F.lit(1)).alias("nt")))
+    return pairs.join(counts, F.col("term") == F.col("_term")).filter(told).select("entity", "term")
+
+
+def term_spans(text_col: str, told_col: str) -> Column:
+    """term:start:end of every occurrence of the told terms outside the base spans; null where there is none."""
+    @F.pandas_udf("string")
+    def of(texts: pd.Series, told: pd.Series) -> pd.Series:
+        out = []
+        for text, names in zip(texts, told):
+            names = set() if names is None or text is None else set(names)
+            found = sorted({(a, b) for a, b, t in terms(text, base_spans(text)) if t in names}) if names else []
+            out.append(",".join(f"term:{a}:{b}" for a, b in found) or None)
+        return pd.Series(out, dtype=object)
+    return of(F.col(text_col), F.col(told_col))
 
 
-def find_pii(docs: DataFrame, window: int = WINDOW, threshold: float = THRESHOLD, min_contexts: int = MIN_CONTEXTS,
+def find_pii(docs: DataFrame, threshold: float = THRESHOLD, min_texts: int = MIN_TEXTS,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, n_email, n_ip, n_card, n_phone, base_sha256, spans) for every row of ``docs``; h hashes the text.
 
-    ``spans`` lists kind:start:end (code points, end exclusive): the base ones, then the terms
-    that disclose an entity beside them. Null and empty texts have none. Repeated rows each
-    give a row; all documents enter the counts, and texts are read whole.
+    ``spans`` lists kind:start:end (code points, end exclusive): the base ones, then every
+    occurrence of the terms that disclose an entity of the text. Null and empty texts have none.
+    Repeated rows each give a row; all texts enter the counts, once each, and are read whole.
     """
-    scanned = materialized(scan(docs, window, id_col, text_col))
-    near = scanned.filter(F.size("near") > 0).select("id", "h", F.explode("near").alias("n")).select("id", "h", "n.*")
-    pairs = disclosing(docs, near, threshold, min_contexts, text_col).withColumnsRenamed({"entity": "_e", "term": "_t"})
-    told = near.join(pairs, (F.col("entity") == F.col("_e")) & (F.col("term") == F.col("_t")))
-    spans = F.transform(F.array_sort(F.collect_set(F.struct("start", "end"))),
-                        lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
-    told = told.groupBy("id", "h").agg(spans.alias("_terms")).withColumnsRenamed({"id": "_id", "h": "_h"})
-    out = scanned.join(told, (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")), "left")
+    scanned = materialized(scan(docs, id_col, text_col))
+    pairs = disclosing(docs, scanned, threshold, min_texts, text_col).groupBy("entity").agg(F.collect_list("term").alias("_told"))
+    owners = scanned.select("h", F.explode("entities").alias("_e")).distinct()
+    told = owners.join(pairs, F.col("_e") == F.col("entity")).groupBy(F.col("h").alias("_h")).agg(
+        F.array_distinct(F.flatten(F.collect_list("_told"))).alias("_told"))
+    out = scanned.drop("terms", "entities").join(told, F.col("h") == F.col("_h"), "left")
     return out.select("id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.concat_ws(
-        ",", F.when(F.col("base") != "", F.col("base")), F.array_join("_terms", ",")).alias("spans"))
+        ",", F.when(F.col("base") != "", F.col("base")), term_spans("held", "_told")).alias("spans"))
 
 
 def sanitised(docs: DataFrame, found: DataFrame, general: dict[str, str] | None = None,

@@ -304,3 +304,40 @@ def test_terms_that_reveal_are_found(spark):
     assert "Zorblax" not in dict(texts)[0] and "[EMAIL]" in dict(texts)[0] and "common words" in dict(texts)[0]
     assert dict(texts)[300] is None and pii.replaced("ab", "", {}) == "ab"
     assert pii.find_pii(df.filter("false")).count() == 0
+
+
+def told_terms(rows, found):
+    """The words that term spans mark, by row."""
+    return [(r["id"], {t[int(s.split(":")[1]):int(s.split(":")[2])] for s in r["spans"].split(",") if s.startswith("term")})
+            for r in found for t in [dict((i, x) for i, x in rows)[r["id"]]]]
+
+
+@pytest.mark.parametrize("ids", ["own", "null", "doubled"])
+def test_counts_stand_null_ids_and_repeated_rows(spark, ids):
+    rows = [(i, f"Zorblax{chr(32)}word{'abcdefgh'[i]} ann@mail.org") for i in range(4)]
+    rows += [(50 + i, f"other words {'abcdefghij'[i]}x") for i in range(10)]
+    if ids == "null":
+        rows = [(None, t) for _, t in rows]
+    if ids == "doubled":
+        rows *= 2
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    marked = [r for r in found if r["n_email"]]
+    assert len(marked) == 4 * (2 if ids == "doubled" else 1) and all("term:0:7" in r["spans"].split(",") for r in marked)
+    assert all(r["spans"] == "" for r in found if not r["n_email"])
+
+
+def test_terms_far_away_short_and_of_any_script(spark):
+    filler = " ".join(f"filler{a}" for a in "abcdefghijklmnopqrst")
+    names = "Li Пётр Γιώργος 王小明"
+    rows = [(i, f"{names}; {filler} {'uvwxyz'[i]} ann@mail.org {filler} Li") for i in range(2)]
+    rows += [(10 + i, f"{filler} {'ghijklmn'[i]}") for i in range(8)]
+    # 王小明 stands in a run of other letters here, and the address in two texts only.
+    rows += [(20, "我叫王小明 ann@mail.org")]
+    rows += [(30 + i, f"{'opqrs'[i]}z {filler}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(told_terms(rows, pii.find_pii(df).collect()))
+    assert {"Li", "Пётр", "Γιώργος", "王小明"} <= got[0] and "fillera" not in got[0] and "王小明" in got[20]
+    spans = {r["id"]: r["spans"] for r in pii.find_pii(df).collect()}
+    assert f"term:{rows[0][1].rindex('Li')}:{len(rows[0][1])}" in spans[0].split(",")
+    assert all(not got[i] for i in (10, 30))
