@@ -21,6 +21,11 @@ ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}(?:KEY|KEY BLOCK|CERTIFICATE))-
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 #: Kinds in the order of the report; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "armour", "der", "ssh")
+#: Line ends written as a backslash and a letter, as in JSON.
+ESCAPED_END = re.compile(r"\\+[nr]")
+ENCRYPTED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED")
+CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,\s*([0-9A-Fa-f]+)\s*\Z")
+CHECKSUM = re.compile(r"=[A-Za-z0-9+/]{4}")
 OPENSSH = b"openssh-key-v1\0"
 SSH_NAME = re.compile(rb"(?:ssh-(?:rsa|dss|ed25519|ed448)|ecdsa-sha2-[a-z0-9-]+|sk-[a-z0-9@.-]+)\Z")
 
@@ -104,6 +109,43 @@ def is_ssh(data: bytes) -> bool:
     return len(fields) >= 2 and bool(SSH_NAME.match(fields[0]))
 
 
+def is_encrypted(headers: list[str], data: bytes) -> bool:
+    """The body of an encrypted PEM key: its headers say so, and it fills whole blocks as long as the initial vector."""
+    vector = next((m[1] for m in map(CIPHER.search, headers) if m), "")
+    return (any(map(ENCRYPTED.search, headers)) and len(vector) in (16, 32)
+            and len(data) >= 16 and len(data) % (len(vector) // 2) == 0)
+
+
+def is_openpgp(data: bytes) -> bool:
+    """OpenPGP packets that fill the data, the first a secret or public key of a known version."""
+    at, first = 0, None
+    while at < len(data):
+        head = data[at]
+        at += 1
+        if head & 0xC0 == 0xC0:
+            tag, n = head & 0x3F, data[at] if at < len(data) else 255
+            width = 1 if n < 192 else 2 if n < 224 else 5 if n == 255 else 0
+            if not width or at + width > len(data):
+                return False
+            size = n if width == 1 else ((n - 192) << 8) + data[at + 1] + 192 if width == 2 else int.from_bytes(data[at + 1:at + 5], "big")
+        elif head & 0x80 and head & 3 != 3:
+            tag, width = head >> 2 & 0x0F, 1 << (head & 3)
+            if at + width > len(data):
+                return False
+            size = int.from_bytes(data[at:at + width], "big")
+        else:
+            return False
+        at += width
+        if tag == 0 or at + size > len(data):
+            return False
+        if first is None:
+            first = tag
+            if tag not in (5, 6) or size < 12 or data[at] not in (2, 3, 4, 5, 6):
+                return False
+        at += size
+    return first is not None
+
+
 def is_token(text: str) -> bool:
     """A signed token: its header is JSON with an algorithm, its claims a JSON object."""
     head, body, _ = text.split(".", 2)
@@ -130,9 +172,11 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
             if upto < 0 or 0 <= following < upto:
                 continue
             # Header lines hold a colon, base64 never does.
-            lines = [x for x in text[m.end():upto].splitlines() if ":" not in x]
-            data = decoded("".join("".join(lines).split()))
-            if data and (is_der(data) or is_ssh(data)):
+            lines = [x.strip() for x in ESCAPED_END.sub("\n", text[m.end():upto]).splitlines()]
+            headers = [x for x in lines if ":" in x]
+            body = [x for x in lines if ":" not in x and not CHECKSUM.fullmatch(x)]
+            data = decoded("".join("".join(body).split()))
+            if data and (is_der(data) or is_ssh(data) or is_encrypted(headers, data) or m[1].startswith("PGP ") and is_openpgp(data)):
                 end = upto + len(close)
                 found.append((m.start(), end, "armour"))
     for m in BASE64.finditer(text):
