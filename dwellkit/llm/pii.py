@@ -15,6 +15,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 THRESHOLD = 0.9
 #: Different texts that must hold a pair: one text, however often copied, tells nothing of what goes together.
 MIN_TEXTS = 2
+#: Bits of the map of hashes with copies: one MB.
+COPY_BITS = 1 << 23
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -137,12 +140,37 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), of(text).alias("s")).select("id", "h", "s.*")
 
 
+def once_each(docs: DataFrame, scanned: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text): every text of ``docs`` once; only texts that may have copies are shuffled.
+
+    Hashes with copies set a bit in a map of ``COPY_BITS`` bits, whatever their number. A row whose
+    bit is not set has no copy; the others meet by hash.
+    """
+    bit = F.pmod(F.col("h"), F.lit(COPY_BITS))
+    words = (scanned.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+             .groupBy(F.shiftright(bit, 5).alias("word"))
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits")).collect())
+    bits = np.zeros(COPY_BITS // 32, np.int64)
+    for r in words:
+        bits[r["word"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def copied(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy(np.int64) % COPY_BITS
+        return pd.Series((shared.value[at >> 5] >> (at & 31)) & 1 == 1)
+    text = text_or_empty(text_col)
+    rows = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).withColumn("_copied", copied("h"))
+    return rows.filter(~F.col("_copied")).select("text").unionByName(
+        rows.filter("_copied").groupBy("h").agg(F.first("text").alias("text")).select("text"))
+
+
 def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD, min_texts: int = MIN_TEXTS,
                text_col: str = "text") -> DataFrame:
     """(entity, term): terms that give away at least ``threshold`` of the entity's information.
 
     All counts are of different texts (by hash), so neither copies nor identifiers matter. The texts with
-    entities bound n(t) from below; only terms that may still disclose are counted in all texts.
+    entities bound n(t) from below, so most pairs fall before all texts are counted.
     """
     texts = materialized(scanned.filter(F.size("entities") > 0).groupBy("h").agg(
         F.first("entities").alias("entities"), F.first("terms").alias("terms")))
@@ -155,14 +183,11 @@ def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD
     told = (F.col("ne") < total) & (F.log(F.col("_n") / F.col("nt")) + info >= F.lit(threshold) * info)
     pairs = materialized(pairs.join(held, F.col("entity") == F.col("_entity")).join(least, F.col("term") == F.col("_term"))
                          .filter(told).select("entity", "term", "_n", "ne"))
-    wanted = materialized(pairs.select(F.col("term").alias("_wanted")).distinct())
 
     @F.pandas_udf("array<string>")
     def of(all_texts: pd.Series) -> pd.Series:
         return pd.Series([different_terms(t, base_spans(t)) for t in all_texts], dtype=object)
-    text = text_or_empty(text_col)
-    counts = (docs.select(F.xxhash64(text).alias("h"), F.explode(of(text)).alias("_term"))
-              .join(wanted, F.col("_term") == F.col("_wanted"), "left_semi").distinct()
+    counts = (once_each(docs, scanned, text_col).select(F.explode(of("text")).alias("_term"))
               .groupBy("_term").agg(F.count(F.lit(1)).alias("nt")))
     return pairs.join(counts, F.col("term") == F.col("_term")).filter(told).select("entity", "term")
 

@@ -218,6 +218,27 @@ def test_structures_confirm():
     assert not secrets.is_der(deep)
 
 
+def armour(label, data, between="\n", headers=(), tail=()):
+    lines = re.findall(".{1,64}", base64.b64encode(data).decode())
+    return between.join([f"-----BEGIN {label}-----", *headers, *lines, *tail, f"-----END {label}-----"])
+
+
+@pytest.mark.parametrize("between", ["\n", "\\n", "\\r\\n", "\\\\n"])
+def test_armour_with_escapes_ciphers_and_packets(between):
+    cipher = hashlib.sha512(b"x").digest() * 9
+    dek = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC," + "0A" * 16, ""]
+    packet = bytes([0xC5, 200 - 192 + 192, 0x10]) + b"\4" + bytes(range(215)) + bytes(7)
+    packet = packet[:1] + bytes([192 + (len(packet) - 3 - 192 >> 8), (len(packet) - 3 - 192) & 255]) + packet[3:]
+    block = packet + b"\xcd\3ann" + bytes([0x88, 5]) + bytes(5)
+    for text in (armour("PRIVATE KEY", KEY, between), armour("RSA PRIVATE KEY", cipher, between, dek),
+                 armour("PGP PRIVATE KEY BLOCK", block, between, ["Version: 1", ""], ["=aB3+"])):
+        assert f"armour:2:{2 + len(text)}" in secrets.listed(secrets.structural_spans(f"x {text} y")).split(",")
+    assert "armour" not in kinds(armour("RSA PRIVATE KEY", cipher, between, dek[1:]))
+    assert "armour" not in kinds(armour("RSA PRIVATE KEY", cipher[:-1], between, dek))
+    assert "armour" not in kinds(armour("PGP PRIVATE KEY BLOCK", block[:-1], between, ["Version: 1", ""], ["=aB3+"]))
+    assert "armour" not in kinds(armour("PGP PRIVATE KEY BLOCK", cipher, between, (), ["=aB3+"]))
+
+
 def test_secret_queries_against_slow_patterns(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in jobs.op7_secret_scan(spark, SF).collect():
