@@ -13,6 +13,7 @@ import hashlib
 import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ THRESHOLD = 0.9
 MIN_TEXTS = 2
 #: Bits of the map of hashes with copies: one MB.
 COPY_BITS = 1 << 23
+#: Different terms that a task holds before it hands their counts on.
+FLUSH = 1 << 16
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -184,11 +187,17 @@ def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD
     pairs = materialized(pairs.join(held, F.col("entity") == F.col("_entity")).join(least, F.col("term") == F.col("_term"))
                          .filter(told).select("entity", "term", "_n", "ne"))
 
-    @F.pandas_udf("array<string>")
-    def of(all_texts: pd.Series) -> pd.Series:
-        return pd.Series([different_terms(t, base_spans(t)) for t in all_texts], dtype=object)
-    counts = (once_each(docs, scanned, text_col).select(F.explode(of("text")).alias("_term"))
-              .groupBy("_term").agg(F.count(F.lit(1)).alias("nt")))
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+        for pdf in batches:
+            for t in pdf["text"]:
+                found.update(different_terms(t, base_spans(t)))
+                if len(found) >= FLUSH:
+                    yield pd.DataFrame(list(found.items()), columns=["_term", "n"])
+                    found.clear()
+        yield pd.DataFrame(list(found.items()), columns=["_term", "n"])
+    counts = (once_each(docs, scanned, text_col).mapInPandas(count, "_term string, n long")
+              .groupBy("_term").agg(F.sum("n").alias("nt")))
     return pairs.join(counts, F.col("term") == F.col("_term")).filter(told).select("entity", "term")
 
 
