@@ -11,6 +11,7 @@ from dwellkit.llm import (
     exact_dedup,
     html_extract,
     langid,
+    line_dedup,
     mixing,
     packing,
     pii,
@@ -211,3 +212,21 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     return pii.find_pii(docs).select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone",
                                      "base_sha256", "spans")
+
+
+# ------------------------------------------------------------------ 12
+
+@job("op12_line_dedup", """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS found FROM documents),
+lines AS (SELECT rid, doc_id, unnest(found) AS line, generate_subscripts(found, 1) AS pos FROM docs),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+repeated AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rid) >= 5),
+judged AS (SELECT k.*, r.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM keyed k LEFT JOIN repeated r USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY rid""")
+def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs).select(
+        "row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
