@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from dwellkit.llm import (
     line_dedup,
     mixing,
     packing,
+    periodic_runs,
     pii,
     secrets,
     simhash,
@@ -230,3 +232,29 @@ def op12_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     return line_dedup.drop_repeated_lines(docs).select(
         "row.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------------ 13
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of the contract: a tenth of the documents repeat a stretch of their own. A null id counts as empty."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g = h // 10
+    a = g % len(words)
+    left = len(words) - a
+    p = 1 + left // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * -(-left // p))[:left]
+
+
+@job("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    found = docs.select("doc_id", periodic_runs.periodic_runs(F.col("text"), F.col("doc_id"), planted).alias("r"))
+    best = F.array_max(F.transform("r.runs", lambda x: F.struct(x.length.alias("length"), (-x.start).alias("s"), (-x.period).alias("p"))))
+    lines = F.transform("r.runs", lambda x: F.concat_ws(",", x.start, x.length, F.concat(x.period.cast("string"), F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("r.runs").cast("bigint").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.p")).alias("period"), F.expr("1000 * best.length div -best.p").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", lines), 256).alias("runs_sha256"), F.sha2("r.collapsed", 256).alias("collapsed_sha256"))
