@@ -21,6 +21,7 @@ from dwellkit.llm import (
     simhash,
     topk,
     url_filter,
+    vector_codes,
 )
 from dwellkit.llm.common import read, text_or_empty
 
@@ -216,6 +217,43 @@ def op10_pii(spark: SparkSession, sf: str) -> DataFrame:
                                      "base_sha256", "spans")
 
 
+# ------------------------------------------------------------------ 11
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        # Every part meets every entry; the least distance wins, ties the lower index.
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT rid, vec_id, p, q, min(d * {entries} + entry) % {entries} AS entry, min(d) AS d FROM
+    (SELECT c.rid, c.vec_id, c.p, c.q, b.entry, CAST(list_sum(list_transform(list_zip(c.q, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS HUGEINT) AS d
+    FROM cut c JOIN b{r} b USING (p)) GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT p, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM
+    (SELECT p, entry, i, sum(x) AS s, count(*) AS n FROM (SELECT p, entry, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r})
+    GROUP BY ALL) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT b.p, b.entry, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (p, entry))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor({vector_codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS MATERIALIZED (SELECT rid, vec_id, p, q[p * (len(q) // {parts}) + 1 : (p + 1) * (len(q) // {parts})] AS q
+    FROM v, range({parts}) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, rid - 1 AS entry, q AS c FROM cut WHERE rid <= {entries}),
+{", ".join(steps)},
+words AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) AS codebooks_sha256 FROM b{rounds}),
+coded AS (SELECT rid, string_agg(printf('%02x', CAST(entry AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+    FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN coded USING (rid), words"""
+
+
+@job("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    codes, books = vector_codes.encode(read(spark, sf, "embeddings"))
+    code = F.concat_ws("", F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
+    return codes.select(F.col("id").alias("vec_id"), code.alias("code"), "error", "label_error",
+                        F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 # ------------------------------------------------------------------ 12
 
 @job("op12_line_dedup", """
