@@ -125,7 +125,8 @@ def _one_by_one(hashed: DataFrame, *more: str) -> DataFrame:
 def build_index(hashed: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per shard of the distinct hashes of ``hashed``, with the columns of INDEX. No hashes, no rows."""
     n = hashed.agg(F.sum(F.size("h")).alias("n")).first()["n"] or 0
-    shards = max(1, -(-n // shard_keys))
+    # Several shards a part, or most of them would be copied to more parts than one.
+    shards = max(1, -(-n // shard_keys), min(n, 4 * width(hashed)))
     counted = _one_by_one(hashed, "own").groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("last"))
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
@@ -148,25 +149,24 @@ def _shard(shards: int):
 
 
 def repeated_lines(hashed: DataFrame, index: DataFrame, min_docs: int = 5) -> DataFrame:
-    """The rows (own, t1, t2, h, g) of lines that at least ``min_docs`` documents of the index hold and that
+    """(row_no, h, g) of the lines that at least ``min_docs`` documents of the index hold and that
     do not stay in this document: another identifier is the largest.
 
     Shards come first in their part and stay in memory, hashes stream past. A shard that a hot
     line makes large is copied to several parts.
     """
-    spark = hashed.sparkSession
+    spark, empty = hashed.sparkSession, {"row_no": "bigint", "own": "bigint", "h": "bigint", "g": "bigint"}
     shards = index.agg(F.max("shards").alias("n")).first()["n"]
     if shards is None:
-        return spark.createDataFrame([], "own bigint, t1 bigint, t2 bigint, h bigint, g bigint")
+        return spark.createDataFrame([], "row_no bigint, h bigint, g bigint")
     parts = width(hashed)
-    sent = _one_by_one(hashed, "row_no", "own", "t1", "t2").withColumn("shard", _shard(shards))
+    sent = _one_by_one(hashed, "row_no", "own").withColumn("shard", _shard(shards))
     asked = materialized(sent.groupBy("shard").agg(F.count(F.lit(1)).alias("n")))
     total = asked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     # Fewer than HOT_SHARE * parts shards are hot, so they fit a broadcast.
     hot = F.broadcast(hot_keys(asked, "n", parts, F.lit(total)).select(
         F.col("shard").alias("_s"), F.ceil(F.col("n") / F.col("limit")).cast("int").alias("copies")))
     copies = F.coalesce("copies", F.lit(1))
-    empty = {"own": "bigint", "t1": "bigint", "t2": "bigint", "h": "bigint", "g": "bigint"}
     arrays = [c for c in index.columns if c not in ("shard", "shards")]
     tables = index.join(hot, F.col("shard") == F.col("_s"), "left").select(
         "shard", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), *[F.lit(None).cast(t).alias(c) for c, t in empty.items()],
@@ -192,7 +192,7 @@ def repeated_lines(hashed: DataFrame, index: DataFrame, min_docs: int = 5) -> Da
                     lo += 1
                 if lo < hi and shard[lo] == at:
                     yield from _staying(arrays_at, rows.slice(lo, hi - lo), min_docs)
-    return met.mapInArrow(probe, ", ".join(f"{c} {t}" for c, t in empty.items()))
+    return met.mapInArrow(probe, "row_no bigint, h bigint, g bigint")
 
 
 class _Arrays:
@@ -214,7 +214,7 @@ def _staying(arrays: _Arrays, rows: pa.Table, min_docs: int) -> list[pa.RecordBa
     has = own.is_valid().to_numpy(zero_copy_only=False)
     named = arrays.named[place]
     largest = np.where(named, has & (own.fill_null(0).to_numpy(zero_copy_only=False) == arrays.last[place]), ~has)
-    return rows.filter(pa.array(known & ~largest)).select(["own", "t1", "t2", "h", "g"]).to_batches()
+    return rows.filter(pa.array(known & ~largest)).select(["row_no", "h", "g"]).to_batches()
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id",
@@ -232,9 +232,11 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40,
     """
     hashed = materialized(hashed_lines(docs, id_col, text_col, min_chars))
     index = materialized(build_index(hashed, shard_keys))
-    gone = repeated_lines(hashed, index, min_docs).groupBy("own", "t1", "t2").agg(
-        F.collect_set(F.struct("h", "g")).alias("gone")).select(
-        F.col("own").alias("_own"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "gone")
+    lists = repeated_lines(hashed, index, min_docs).groupBy("row_no").agg(
+        F.collect_list(F.struct("h", "g")).alias("gone")).withColumnRenamed("row_no", "_row_no")
+    # Rows that repeat identifier and text have the same list.
+    gone = hashed.join(lists, F.col("row_no") == F.col("_row_no")).groupBy("own", "t1", "t2").agg(
+        F.first("gone").alias("gone")).select(F.col("own").alias("_own"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "gone")
 
     @F.arrow_udf("struct<n: bigint, kept: string>")
     def without(texts: pa.Array, gone: pa.Array) -> pa.Array:
@@ -251,10 +253,10 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40,
             out.append({"n": len(hit), "kept": "\n".join(line for i, line in enumerate(lines) if i not in hit)})
         return pa.array(out, pa.struct([("n", pa.int64()), ("kept", pa.string())]))
     text = text_or_empty(text_col)
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own"), text.alias("text"),
-                       *_text_hash(text))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("own"), *_text_hash(text))
     met = rows.join(gone, F.col("own").eqNullSafe(F.col("_own")) & (F.col("t1") == F.col("_t1"))
-                    & (F.col("t2") == F.col("_t2")), "left")
+                    & (F.col("t2") == F.col("_t2")), "left").withColumn(
+                        "text", F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")))
     # Texts that lose nothing stay in the JVM.
     cut = met.withColumn("_cut", without(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
