@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from hashlib import md5
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,3 +29,67 @@ def hash_wide(seed, *keys: Column) -> Column:
 def hash_below(n, seed, *keys: Column) -> Column:
     """Uniform long in [0, n); 60 hash bits keep the modulo unbiased for any table size."""
     return hash_wide(seed, *keys) % (n if isinstance(n, Column) else F.lit(n))
+
+
+_SINES = np.array([int(abs(math.sin(i + 1)) * 2 ** 32) for i in range(64)], np.uint32)
+_TURNS = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+_START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
+#: Messages hashed together: their words stay in the cache.
+_TOGETHER = 1 << 13
+
+
+def _md5_block(words: np.ndarray) -> np.ndarray:
+    """The four state words of messages of one block, [16, n] to [4, n]."""
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in _START)
+    for i in range(64):
+        turn, step = divmod(i, 16)
+        if turn == 0:
+            f, g = d ^ (b & (c ^ d)), step
+        elif turn == 1:
+            f, g = c ^ (d & (b ^ c)), (5 * step + 1) % 16
+        elif turn == 2:
+            f, g = b ^ c ^ d, (3 * step + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * step % 16
+        f += a
+        f += _SINES[i]
+        f += words[g]
+        left = _TURNS[turn][step % 4]
+        high = f << np.uint32(left)
+        f >>= np.uint32(32 - left)
+        f |= high
+        f += b
+        a, d, c, b = d, c, b, f
+    return np.stack((a, b, c, d)) + _START[:, None]
+
+
+def md5_table(before: list[bytes], keys: list[bytes]) -> np.ndarray:
+    """md5 of each of ``before`` followed by each key, as two unsigned longs in the order of the digests:
+    [key, before, 2]. Many short texts are hashed at once, long ones one by one."""
+    out = np.empty((len(keys), len(before), 2), np.uint64)
+    for size_p in {len(p) for p in before}:
+        ps = [i for i, p in enumerate(before) if len(p) == size_p]
+        front = np.frombuffer(b"".join(before[i] for i in ps), np.uint8).reshape(len(ps), size_p)
+        for size_k in {len(k) for k in keys}:
+            ks = [i for i, k in enumerate(keys) if len(k) == size_k]
+            size = size_p + size_k
+            if size > 55:
+                for i in ks:
+                    for j in ps:
+                        out[i, j] = np.frombuffer(md5(before[j] + keys[i]).digest(), ">u8")
+                continue
+            back = np.frombuffer(b"".join(keys[i] for i in ks), np.uint8).reshape(len(ks), size_k)
+            many = max(1, _TOGETHER // len(ps))
+            for at in range(0, len(ks), many):
+                part = back[at:at + many]
+                text = np.zeros((len(part), len(ps), 64), np.uint8)
+                text[:, :, :size_p] = front
+                text[:, :, size_p:size] = part[:, None, :]
+                text[:, :, size] = 0x80
+                text[:, :, 56] = size * 8 & 255
+                text[:, :, 57] = size * 8 >> 8
+                state = _md5_block(np.ascontiguousarray(text.reshape(-1, 64).view("<u4").T).astype(np.uint32))
+                # The digest is the little-endian words; its order is that of the bytes.
+                high = np.ascontiguousarray(state.T).view(np.uint8).view(">u8").astype(np.uint64)
+                out[np.ix_(ks[at:at + many], ps)] = high.reshape(len(part), len(ps), 2)
+    return out

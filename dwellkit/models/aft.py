@@ -1,8 +1,8 @@
 """Accelerated failure time models: log T = x b + sigma * error, with right censoring.
 
 Log-normal, log-logistic and Weibull share one Newton loop: each step adds up gradient and
-Hessian over the rows (for all fits in one job) and solves locally. ``fit_weibull`` is Spark's own
-estimator, for a single fit.
+Hessian over one copy of the rows, for all fits in one job (see ``design``), and solves locally.
+``fit_weibull`` is Spark's own estimator, for a single fit.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.ml.regression import AFTSurvivalRegression, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dwellkit.models.sums import assemble, grouped, keyed_sums, matrix, scale_of
+from dwellkit.models.design import Batch, Design, design, fit_sums, square
 from dwellkit.operators.stints import step_read
 from dwellkit.operators.survival import censoring_curve
 
@@ -80,76 +80,80 @@ ERRORS = {"lognormal": _normal, "loglogistic": _logistic, "weibull": _extreme}
 MEDIANS = {"lognormal": 0.0, "loglogistic": 0.0, "weibull": math.log(math.log(2.0))}
 
 
-def fit(df: DataFrame, kind: str, duration: str, event: str, features: list[str], fit_col: str | None = None,
-        max_iter: int = 40, tol: float = 1e-8) -> dict:
-    """{fit number: AftModel} for ``lognormal``, ``loglogistic`` or ``weibull`` times."""
-    err = ERRORS[kind]
-    rows = assemble(df, features, {"fit": F.lit(0) if fit_col is None else F.col(fit_col).cast("int"),
-                                   "y": F.ln(F.col(duration).cast("double")), "e": F.col(event).cast("int")}).persist()
-    k = len(features)
-    try:
-        scale = scale_of(rows, features)
-        start = {r["fit"]: (r["m"], r["s"]) for r in rows.groupBy("fit").agg(
-            F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).collect()}
-        theta = {f: np.concatenate([[start[f][0]], np.zeros(k), [math.log(max(start[f][1] or 0.0, 0.1))]]) for f in scale}
-        best: dict = {}
-        active = set(scale)
-        for it in range(1, max_iter + 1):
-            now = {f: theta[f] for f in active}
-            sums = keyed_sums(rows, {"fit": "int"}, _contribution(now, scale, err))
-            for f in list(active):
-                v = sums[(f,)]
-                ll, g, h = v[0], v[1:k + 3], v[k + 3:].reshape(k + 2, k + 2)
-                if f in best and ll < best[f][0] - 1e-10 and it < max_iter:
-                    theta[f] = 0.5 * (theta[f] + best[f][1])
-                    continue
-                best[f] = (ll, theta[f].copy(), g, it)
-                # Keep the negative Hessian positive definite far from the optimum.
-                val, vec = np.linalg.eigh(-h)
-                step = vec @ ((vec.T @ g) / np.maximum(np.abs(val), 1e-6 * np.abs(val).max()))
-                if np.max(np.abs(step)) < tol:
-                    active.discard(f)
-                else:
-                    theta[f] = theta[f] + step * min(1.0, 2.0 / np.max(np.abs(step)))
-            if not active:
-                break
-    finally:
-        rows.unpersist()
-    return {f: AftModel(kind, features, scale[f][1], scale[f][2], th, ll, g, scale[f][0], it)
+def fit(df: DataFrame, kind: str, duration: str, event: str, features: list[str], mask: Column | None = None, n_fits: int = 1,
+        max_iter: int = 40, tol: float = 1e-8, fill: dict[str, str] | None = None) -> dict:
+    """{fit number: AftModel} for ``lognormal``, ``loglogistic`` or ``weibull`` times; rows, fits and ``fill`` as in ``design``."""
+    return fit_design(design(df, F.col(duration), F.col(event), features, mask, n_fits, fill), kind, max_iter, tol)
+
+
+def fit_design(d: Design, kind: str, max_iter: int = 40, tol: float = 1e-8) -> dict:
+    k, every = len(d.features), np.arange(d.n_fits)
+
+    def logs(batch: Batch) -> np.ndarray:
+        y = np.log(batch.t)
+        return batch.mask.T @ np.stack((np.ones(len(y)), y, y * y), axis=1)
+    sums = fit_sums(d.rows, d.width, d.n_fits, every, logs)
+    theta = {}
+    for f in every.tolist():
+        if d.n[f] > 0:
+            n, s, q = sums[f]
+            sd = math.sqrt(max(q / n - (s / n) ** 2, 0.0))
+            theta[f] = np.concatenate([[s / n], np.zeros(k), [math.log(max(sd, 0.1))]])
+    # Intercept and standardised features from (1, y).
+    maps = np.concatenate((np.zeros((d.n_fits, 1, d.width)), d.maps), axis=1)
+    maps[:, 0, 0] = 1.0
+    best: dict = {}
+    open_ = list(theta)
+    for it in range(1, max_iter + 1):
+        if not open_:
+            break
+        fits = np.array(open_)
+        coefs = np.stack([theta[f][:-1] @ maps[f] for f in open_], axis=1)
+        found = fit_sums(d.rows, d.width, d.n_fits, fits, _contribution(coefs, np.array([theta[f][-1] for f in open_]), ERRORS[kind]))
+        for at, f in enumerate(fits.tolist()):
+            ll, g, h = _in_features(found[at], maps[f])
+            if f in best and ll < best[f][0] - 1e-10 and it < max_iter:
+                theta[f] = 0.5 * (theta[f] + best[f][1])
+                continue
+            best[f] = (ll, theta[f].copy(), g, it)
+            # Keep the negative Hessian positive definite far from the optimum.
+            val, vec = np.linalg.eigh(-h)
+            step = vec @ ((vec.T @ g) / np.maximum(np.abs(val), 1e-6 * np.abs(val).max()))
+            if np.max(np.abs(step)) < tol:
+                open_.remove(f)
+            else:
+                theta[f] = theta[f] + step * min(1.0, 2.0 / np.max(np.abs(step)))
+    return {f: AftModel(kind, d.features, d.mean[f], d.sd[f], th, ll, g, int(round(d.n[f])), it)
             for f, (ll, th, g, it) in best.items()}
 
 
-def _contribution(theta, scale, err):
-    fits_u = np.array(sorted(theta))
-    means, sds, thetas = (np.array([of(f) for f in fits_u.tolist()]) for of in (
-        lambda f: scale[f][1], lambda f: scale[f][2], lambda f: theta[f]))
-
-    def contribution(pdf):
-        fits = pdf["fit"].to_numpy()
-        open_ = np.isin(fits, fits_u)
-        if not open_.any():
-            return {}
-        pdf, fits = pdf[open_], fits[open_]
-        i = np.searchsorted(fits_u, fits)
-        x = np.hstack([np.ones((len(pdf), 1)), (matrix(pdf["x"]) - means[i]) / sds[i]])
-        y, died, th = pdf["y"].to_numpy(), pdf["e"].to_numpy() == 1, thetas[i]
-        sigma = np.exp(th[:, -1])
-        z = (y - (x * th[:, :-1]).sum(axis=1)) / sigma
-        ll, a, b = err(z, died)
-        m = x.shape[1]
-        # Per row: log-likelihood, gradient and Hessian in (intercept and b, log sigma).
-        gradient = np.hstack([-(a / sigma)[:, None] * x, (-a * z - died)[:, None]])
-        hessian = np.empty((len(x), m + 1, m + 1))
-        hessian[:, :m, :m] = (x[:, :, None] * x[:, None, :]) * (b / sigma ** 2)[:, None, None]
-        hessian[:, :m, m] = hessian[:, m, :m] = ((b * z + a) / sigma)[:, None] * x
-        hessian[:, m, m] = b * z * z + a * z
-        total = ll - np.where(died, th[:, -1] + y, 0.0)
-        keys, sums = grouped(np.hstack([total[:, None], gradient, hessian.reshape(len(x), -1)]), fits)
-        return dict(zip(keys, sums))
+def _contribution(coefs, log_sigma, err):
+    """Per fit: log-likelihood, then its first and second derivatives in the weights of (1, y) and in log sigma."""
+    sigma = np.exp(log_sigma)
 
+    def contribution(batch: Batch) -> np.ndarray:
+        died = (batch.e == 1)[:, None]
+        y = np.log(batch.t)[:, None]
+        z = (y - batch.y @ coefs) / sigma
+        ll, a, b = err(z, np.broadcast_to(died, z.shape))
+        a, b = a * batch.mask, b * batch.mask
+        total = (ll - np.where(died, log_sigma + y, 0.0)) * batch.mask
+        return np.concatenate((total.sum(0)[:, None], -(a / sigma).T @ batch.y, (-a * z - died * batch.mask).sum(0)[:, None],
+                               (b / sigma ** 2).T @ batch.z, ((b * z + a) / sigma).T @ batch.y, (b * z * z + a * z).sum(0)[:, None]), axis=1)
     return contribution
 
 
+def _in_features(v: np.ndarray, map_: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    width, m = map_.shape[1], len(map_)
+    cut = np.cumsum([1, width, 1, width * (width + 1) // 2, width])
+    ll, g, gs, h, hs, hss = np.split(v, cut)
+    hessian = np.empty((m + 1, m + 1))
+    hessian[:m, :m] = map_ @ square(h, width) @ map_.T
+    hessian[:m, m] = hessian[m, :m] = map_ @ hs
+    hessian[m, m] = hss[0]
+    return float(ll[0]), np.concatenate((map_ @ g, gs)), hessian
+
+
 def fit_weibull(df: DataFrame, duration: str, event: str, features: list[str], max_iter: int = 50):
     """Spark's Weibull AFT; returns (model, scorer) where the scorer adds ``log_time``."""
     va = VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip")

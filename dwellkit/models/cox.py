@@ -1,9 +1,10 @@
-"""Cox proportional hazards with Efron ties on whole-season durations.
+"""Cox proportional hazards with Efron ties, for any number of distinct durations and of fits.
 
-One Newton step needs, per distinct duration, the sums of w, w x and w x x' over all rows
-and over the events, with w = exp(x b). They are added up by Spark; the driver cumulates
-them over the durations and solves a k x k system. Many fits (resamples, seeds) run in the
-same jobs: rows carry a fit number and each step serves all fits.
+One Newton step needs, at each event time, the sums of w, w x and w x x' over the rows still at risk and over
+those that die, with w = exp(x b). Rows are added up per distinct time; the times are cut into ranges, totals
+of later ranges are carried into each range, and the range turns its times into log-likelihood, gradient and
+information. Only these, fits x k x k numbers, come to the driver. Fits (subsamples, seeds) share one copy of
+the rows, see ``design``.
 
 Objective: partial log-likelihood / n - penalizer * ((1 - l1) / 2 * |b|^2 + l1 * |b|_1) with
 b on standardised features.
@@ -12,14 +13,21 @@ b on standardised features.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dwellkit.functions.dist import chi2_sf, norm_sf
-from dwellkit.models.sums import assemble, grouped, keyed_sums, matrix, scale_of
+from dwellkit.models.design import Design, design, fits_in_block, read_batches, square, sum_rows
+from dwellkit.models.sums import assemble, keyed_sums, matrix
+from dwellkit.operators.running import last_step
+from dwellkit.session import materialized
 
 
 @dataclass
@@ -31,19 +39,23 @@ class CoxModel:
     cov: np.ndarray               # of beta, model-based
     loglik: float
     n: int
-    times: np.ndarray
-    deaths: np.ndarray
-    h0: np.ndarray                # cumulative baseline hazard at the mean
-    xbar: np.ndarray              # risk-set means per time (standardised)
-    xsum: np.ndarray              # event sums of x per time (standardised)
-    step: dict = field(default_factory=dict)
-    gradient: np.ndarray | None = None
-    iterations: int = 0
+    gradient: np.ndarray
+    iterations: int
+    source: tuple                 # what the life table is made of
+    _life: DataFrame | None = field(default=None, repr=False)
 
     @property
     def coef(self) -> np.ndarray:
         return self.beta / self.sd
 
+    @property
+    def life(self) -> DataFrame:
+        """One row per distinct time, written on first use: t, deaths, deaths before, the cumulative hazard h0 at the mean, risk-set
+        means xbar and event sums xsum of standardised features, and the sums that score residuals need."""
+        if self._life is None:
+            self._life = materialized(_life_table(*self.source))
+        return self._life
+
     def linear_predictor(self) -> Column:
         """b (x - mean) as a column expression."""
         out = F.lit(0.0)
@@ -95,45 +107,166 @@ def _efron(s0: float, e0: float, d: int) -> np.ndarray:
             + (_slopes(end, s0, e0) - _slopes(0.0, s0, e0)) / (12 * d))
 
 
-def _unpack(table: dict, k: int):
-    """Sorted times with (n, d, event x sum, risk sums, event sums)."""
-    times = sorted(table)
-    m = np.array([table[t] for t in times])
-    c = 2 + k
-    size = 1 + k + k * k
-    risk, ev = m[:, c:c + size], m[:, c + size:c + 2 * size]
-    risk = np.cumsum(risk[::-1], axis=0)[::-1]
-    return np.array(times), m[:, 0], m[:, 1].round().astype(int), m[:, 2:c], risk, ev
-
-
-def _evaluate(table: dict, beta: np.ndarray):
-    """Log-likelihood, gradient, information and the per-time pieces."""
-    k = len(beta)
-    times, _, deaths, xsum, risk, ev = _unpack(table, k)
-    ll, g, info = 0.0, np.zeros(k), np.zeros((k, k))
-    t_n = len(times)
-    xbar = np.zeros((t_n, k))
-    a_full, a_die = np.zeros(t_n), np.zeros(t_n)
-    b_full, b_die = np.zeros((t_n, k)), np.zeros((t_n, k))
-    for i in range(t_n):
-        d = int(deaths[i])
-        if d == 0:
-            continue
-        s0, s1, s2 = risk[i, 0], risk[i, 1:1 + k], risk[i, 1 + k:].reshape(k, k)
-        e0, e1, e2 = ev[i, 0], ev[i, 1:1 + k], ev[i, 1 + k:].reshape(k, k)
-        i0, u1, q0, q1, q2, lg = _efron(s0, e0, d)
-        mean = s1 * i0 - e1 * u1
-        ll += float(xsum[i] @ beta) - lg
-        g += xsum[i] - mean
-        cross = np.outer(s1, e1)
-        info += s2 * i0 - e2 * u1 - (np.outer(s1, s1) * q0 - (cross + cross.T) * q1 + np.outer(e1, e1) * q2)
-        xbar[i] = mean / d
-        a_full[i], b_full[i] = i0, s1 * q0 - e1 * q1
-        a_die[i], b_die[i] = i0 - u1, s1 * (q0 - q1) - e1 * (q1 - q2)
-    h0 = np.cumsum(np.where(deaths > 0, deaths / np.maximum(risk[:, 0], 1e-300), 0.0))
-    step = {"a": np.cumsum(a_full), "b": np.cumsum(b_full, axis=0), "a_full": a_full, "b_full": b_full,
-            "a_die": a_die, "b_die": b_die}
-    return ll, g, info, times, deaths, h0, xbar, xsum, step
+#: Distinct times that meet in one task, and the most ranges of times.
+RANGE_TIMES, MOST_RANGES = 2000, 2048
+
+
+def _sizes(width: int) -> tuple[int, int]:
+    """Numbers of a risk set, and of one time of one fit: event sums of y, then products under w, of all and of the dead."""
+    products = width * (width + 1) // 2
+    return products, width + 2 * products
+
+
+def _time_cuts(rows: DataFrame) -> list[float]:
+    times = rows.select("t").distinct()
+    n = times.count()
+    parts = min(MOST_RANGES, -(-n // RANGE_TIMES))
+    if parts < 2:
+        return []
+    return sorted(set(times.approxQuantile("t", [i / parts for i in range(1, parts)], 1 / (4 * parts))))
+
+
+def _time_sums(d: Design, fits: np.ndarray, coefs: np.ndarray, cuts: list[float]) -> DataFrame:
+    """(range, block, t, v): the sums of each time for blocks of fits; ``coefs`` weigh y, [width, fit]."""
+    width, n_fits = d.width, d.n_fits
+    products, numbers = _sizes(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[float, np.ndarray] = {}
+        for b in read_batches(width, n_fits, fits, batches, len(fits)):
+            order = np.argsort(b.t, kind="stable")
+            t, y, z, mask = b.t[order], b.y[order], b.z[order], b.mask[order]
+            died = (b.e[order] == 1)[:, None]
+            w = np.exp(np.clip(y @ coefs, -50, 50)) * mask
+            starts = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1))
+            if len(t) > 8 * len(starts):
+                sums = [np.concatenate(((mask * died)[i:j].T @ y[i:j], w[i:j].T @ z[i:j], (w * died)[i:j].T @ z[i:j]), axis=1)
+                        for i, j in zip(starts, [*starts[1:], len(t)])]
+            else:
+                # Nearly every row has a time of its own.
+                sums = np.empty((len(starts), len(fits), numbers))
+                for f in range(len(fits)):
+                    one = np.concatenate(((mask[:, f:f + 1] * died) * y, w[:, f:f + 1] * z, (w[:, f:f + 1] * died) * z), axis=1)
+                    sums[:, f] = np.add.reduceat(one, starts, axis=0)
+            for at, total in zip(t[starts].tolist(), sums):
+                table[at] = table[at] + total if at in table else total
+            if len(table) * len(fits) * numbers > 1 << 23:
+                yield from sum_rows(table, True)
+                table = {}
+        yield from sum_rows(table, True)
+    # A time's range is the number of cuts at or below it.
+    bins = F.lit(0) if not cuts else F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("t")))
+    partial = d.rows.mapInArrow(run, "t double, block int, v array<double>").select(
+        bins.cast("int").alias("range"), "block", "t", array_to_vector("v").alias("v"))
+    return partial.groupBy("range", "block", "t").agg(Summarizer.sum(F.col("v")).alias("v"))
+
+
+def _by_range(sums: DataFrame, numbers: int, cuts: list[float], of, schema: str) -> DataFrame:
+    """``of(range, block, times, values, offset)`` for each range and block: times descend, ``offset`` adds up what later
+    ranges hold."""
+    def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        t = table["t"].to_numpy()
+        v = table["v"].combine_chunks().flatten().to_numpy().reshape(len(t), -1, numbers)
+        order = np.argsort(-t)
+        return t[order], v[order]
+    if not cuts:
+        alone = sums.select("block", "t", vector_to_array("v").alias("v"))
+        return alone.groupBy("block").applyInArrow(
+            lambda key, table: of(0, key[0].as_py(), *arrays(table), 0.0), schema)
+    sums = materialized(sums.select("range", "block", "t", vector_to_array("v").alias("v")))
+    totals = sums.groupBy("range", "block").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select(
+        "range", "block", vector_to_array("v").alias("v"))
+
+    def later(key: tuple, table: pa.Table) -> pa.Table:
+        # One row per range.
+        r = table["range"].to_numpy()
+        order = np.argsort(-r)
+        v = table["v"].combine_chunks().flatten().to_numpy().reshape(len(r), -1)[order]
+        return pa.table({"range": pa.array(r[order]), "block": pa.array([key[0].as_py()] * len(r), pa.int32()),
+                         "v": pa.array(list(np.cumsum(v, axis=0) - v), pa.list_(pa.float64()))})
+    offsets = totals.groupBy("block").applyInArrow(later, "range int, block int, v array<double>")
+
+    def meet(key: tuple, table: pa.Table, offset: pa.Table) -> pa.Table:
+        off = offset["v"].combine_chunks().flatten().to_numpy().reshape(-1, numbers)
+        return of(key[0].as_py(), key[1].as_py(), *arrays(table), off)
+    return sums.groupBy("range", "block").cogroup(offsets.groupBy("range", "block")).applyInArrow(meet, schema)
+
+
+def _ties(v: np.ndarray, offset, width: int) -> tuple[np.ndarray, ...]:
+    """Per time and fit: deaths, event sums, risk and event products, and Efron's sums over the ties, [6, times, fits]."""
+    products, _ = _sizes(width)
+    dead, own = v[:, :, :width], v[:, :, width + products:]
+    risk = np.cumsum(v[:, :, width:width + products], axis=0) + (offset if np.isscalar(offset) else offset[:, width:width + products])
+    d = np.rint(dead[:, :, 0]).astype(np.int64)
+    sums = np.zeros((6, *d.shape))
+    s0 = risk[:, :, 0]
+    one = d == 1
+    sums[0][one], sums[2][one], sums[5][one] = 1 / s0[one], 1 / s0[one] ** 2, np.log(s0[one])
+    for i, f in np.argwhere(d > 1).tolist():
+        sums[:, i, f] = _efron(s0[i, f], own[i, f, 0], int(d[i, f]))
+    return d, dead, risk, own, sums
+
+
+def _newton_sums(sums: DataFrame, width: int, n_fits: int, cuts: list[float]) -> np.ndarray:
+    """fits x (log of the ties, event sums of y, gradient in y, information in y)."""
+    products, numbers = _sizes(width)
+
+    def of(_, block, times, v, offset) -> pa.Table:
+        d, dead, risk, own, (i0, u1, q0, q1, q2, log) = _ties(v, offset, width)
+        s1, e1 = risk[:, :, :width], own[:, :, :width]
+        seen = np.where((d > 0)[:, :, None], dead, 0).sum(0)
+        g = seen - (s1 * i0[:, :, None] - e1 * u1[:, :, None]).sum(0)
+        info = square((risk * i0[:, :, None] - own * u1[:, :, None]).sum(0), width)
+        cross = np.einsum("tfi,tfj,tf->fij", s1, e1, q1)
+        info -= np.einsum("tfi,tfj,tf->fij", s1, s1, q0) - cross - cross.transpose(0, 2, 1) + np.einsum("tfi,tfj,tf->fij", e1, e1, q2)
+        out = np.concatenate((log.sum(0)[:, None], seen, g, info.reshape(len(info), -1)), axis=1)
+        return pa.table({"block": pa.array([block], pa.int32()), "v": pa.array([out.ravel()], pa.list_(pa.float64()))})
+    parts = _by_range(sums, numbers, cuts, of, "block int, v array<double>")
+    found = parts.groupBy("block").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()
+    flat = np.concatenate([r["v"].toArray() for r in sorted(found, key=lambda r: r["block"])])
+    return flat.reshape(n_fits, -1)
+
+
+def _life_table(d: Design, f: int, coef: np.ndarray, cuts: list[float]) -> DataFrame:
+    """See ``CoxModel.life``; one fit."""
+    width, map_ = d.width, d.maps[f]
+    k = len(map_)
+    names = ["deaths", "h", "a_full", "a_die", *[f"{n}{j}" for n in ("bf", "bd", "xbar", "xsum") for j in range(k)]]
+
+    def of(range_, _, times, v, offset) -> pa.Table:
+        died, dead, risk, own, efron = _ties(v, offset, width)
+        died, dead, risk, own, (i0, u1, q0, q1, q2, _log) = died[:, 0], dead[:, 0], risk[:, 0], own[:, 0], efron[:, :, 0]
+        s1, e1, xsum = risk[:, :width] @ map_.T, own[:, :width] @ map_.T, dead @ map_.T
+        bf, bd = s1 * q0[:, None] - e1 * q1[:, None], s1 * (q0 - q1)[:, None] - e1 * (q1 - q2)[:, None]
+        xbar = (s1 * i0[:, None] - e1 * u1[:, None]) / np.maximum(died, 1)[:, None]
+        h = died / np.maximum(risk[:, 0], 1e-300)
+        columns = [died.astype(float), h, i0, i0 - u1, *bf.T, *bd.T, *xbar.T, *xsum.T]
+        return pa.table([pa.array([range_] * len(times), pa.int32()), pa.array(times), *[pa.array(np.ascontiguousarray(c)) for c in columns]],
+                        names=["range", "t", *names])
+    sums = _time_sums(d, np.array([f]), coef[:, None], cuts)
+    steps = materialized(_by_range(sums, _sizes(width)[1], cuts, of, "range int, t double, " + ", ".join(f"{n} double" for n in names)))
+    added = ["deaths", "h", "a_full", *[f"bf{j}" for j in range(k)]]
+    # At most MOST_RANGES rows.
+    totals = {r["range"]: np.array(r[1:]) for r in steps.groupBy("range").agg(*[F.sum(c).alias(c) for c in added]).collect()}
+    before = {r: sum((v for q, v in totals.items() if q < r), np.zeros(len(added))) for r in totals}
+
+    def cumulate(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        upto = np.cumsum(np.stack([table[c].to_numpy() for c in added], axis=1), axis=0) + before[key[0].as_py()]
+
+        def lists(name):
+            return pa.array(list(np.stack([table[f"{name}{j}"].to_numpy() for j in range(k)], axis=1)), pa.list_(pa.float64()))
+        deaths = table["deaths"].to_numpy()
+        return pa.table({"t": table["t"], "deaths": pa.array(np.rint(deaths).astype(np.int64)), "deaths_before": pa.array(upto[:, 0] - deaths),
+                         "h0": pa.array(np.ascontiguousarray(upto[:, 1])), "a": pa.array(np.ascontiguousarray(upto[:, 2])),
+                         "a_own": pa.array(table["a_full"].to_numpy() - table["a_die"].to_numpy()),
+                         "b": pa.array(list(upto[:, 3:]), pa.list_(pa.float64())),
+                         "b_own": pa.array(list(np.stack([table[f"bf{j}"].to_numpy() - table[f"bd{j}"].to_numpy() for j in range(k)], axis=1)),
+                                           pa.list_(pa.float64())),
+                         "xbar": lists("xbar"), "xsum": lists("xsum")})
+    return steps.groupBy("range").applyInArrow(
+        cumulate, "t double, deaths bigint, deaths_before double, h0 double, a double, a_own double, b array<double>, b_own array<double>, "
+                  "xbar array<double>, xsum array<double>")
 
 
 def _newton_direction(g, info, beta, n, lam, l1):
@@ -159,73 +292,52 @@ def _objective(ll, beta, n, lam, l1):
     return ll / n - lam * (0.5 * (1 - l1) * float(beta @ beta) + l1 * float(np.abs(beta).sum()))
 
 
-def fit(df: DataFrame, duration: str, event: str, features: list[str], fit_col: str | None = None,
-        penalizer: float = 0.0, l1_ratio: float = 0.0, max_iter: int = 30, tol: float = 1e-9) -> dict:
-    """{fit number: CoxModel}; a single fit has number 0. Rows with missing features are left out."""
-    k = len(features)
-    rows = assemble(df, features, {"fit": F.lit(0) if fit_col is None else F.col(fit_col).cast("int"),
-                                   "t": F.col(duration).cast("double"), "e": F.col(event).cast("int")}).persist()
-    try:
-        scale = scale_of(rows, features)
-        beta = {f: np.zeros(k) for f in scale}
-        best: dict = {}
-        active = set(scale)
-        for it in range(1, max_iter + 1):
-            tables: dict = {}
-            sums = _time_sums(rows, {f: beta[f] for f in active}, scale, k)
-            for (f, t), v in sums.items():
-                tables.setdefault(f, {})[t] = v
-            for f in list(active):
-                n = scale[f][0]
-                out = _evaluate(tables[f], beta[f])
-                obj = _objective(out[0], beta[f], n, penalizer, l1_ratio)
-                if f in best and obj < best[f][0] - 1e-12 and it < max_iter:
-                    beta[f] = 0.5 * (beta[f] + best[f][1])    # went too far: halve the step
-                    continue
-                moved = np.inf if f not in best else float(np.max(np.abs(beta[f] - best[f][1])))
-                best[f] = (obj, beta[f].copy(), out, it)
-                nxt = _newton_direction(out[1], out[2], beta[f], n, penalizer, l1_ratio)
-                if moved < tol or float(np.max(np.abs(nxt - beta[f]))) < tol:
-                    active.discard(f)
-                else:
-                    beta[f] = nxt
-            if not active:
-                break
-    finally:
-        rows.unpersist()
+def fit(df: DataFrame, duration: str, event: str, features: list[str], mask: Column | None = None, n_fits: int = 1,
+        penalizer: float = 0.0, l1_ratio: float = 0.0, max_iter: int = 30, tol: float = 1e-9,
+        fill: dict[str, str] | None = None) -> dict:
+    """{fit number: CoxModel}; a single fit has number 0. Rows with missing features are left out, but for
+    those of ``fill``; ``mask`` has one bit per fit (see ``design``)."""
+    d = design(df, F.col(duration), F.col(event), features, mask, n_fits, fill)
+    return fit_design(d, penalizer, l1_ratio, max_iter, tol)
+
+
+def fit_design(d: Design, penalizer: float = 0.0, l1_ratio: float = 0.0, max_iter: int = 30, tol: float = 1e-9) -> dict:
+    k, width = len(d.features), d.width
+    cuts = _time_cuts(d.rows)
+    open_ = [f for f in range(d.n_fits) if d.n[f] > 0]
+    beta = {f: np.zeros(k) for f in open_}
+    best: dict = {}
+    for it in range(1, max_iter + 1):
+        if not open_:
+            break
+        fits = np.array(open_)
+        coefs = np.stack([beta[f] @ d.maps[f] for f in open_], axis=1)
+        found = _newton_sums(_time_sums(d, fits, coefs, cuts), width, len(fits), cuts)
+        for at, f in enumerate(fits.tolist()):
+            v, map_, n = found[at], d.maps[f], d.n[f]
+            seen, g_y = v[1:1 + width], v[1 + width:1 + 2 * width]
+            ll, g = float(seen @ coefs[:, at] - v[0]), map_ @ g_y
+            info = map_ @ v[1 + 2 * width:].reshape(width, width) @ map_.T
+            obj = _objective(ll, beta[f], n, penalizer, l1_ratio)
+            if f in best and obj < best[f][0] - 1e-12 and it < max_iter:
+                beta[f] = 0.5 * (beta[f] + best[f][1])    # went too far: halve the step
+                continue
+            moved = np.inf if f not in best else float(np.max(np.abs(beta[f] - best[f][1]), initial=0.0))
+            best[f] = (obj, beta[f].copy(), ll, g, info, it)
+            nxt = _newton_direction(g, info, beta[f], n, penalizer, l1_ratio)
+            if moved < tol or float(np.max(np.abs(nxt - beta[f]), initial=0.0)) < tol:
+                open_.remove(f)
+            else:
+                beta[f] = nxt
     models = {}
-    for f, (_, b, out, it) in best.items():
-        ll, g, info, times, deaths, h0, xbar, xsum, step = out
-        n, mean, sd = scale[f]
+    for f, (_, b, ll, g, info, it) in best.items():
+        n = int(round(d.n[f]))
         cov = np.linalg.pinv(info + n * penalizer * (1 - l1_ratio) * np.eye(k))
-        models[f] = CoxModel(features, mean, sd, b, cov, ll, n, times, deaths, h0, xbar, xsum, step,
-                             g - n * penalizer * (1 - l1_ratio) * b, it)
+        models[f] = CoxModel(d.features, d.mean[f], d.sd[f], b, cov, ll, n, g - n * penalizer * (1 - l1_ratio) * b, it,
+                             (d, f, b @ d.maps[f], cuts))
     return models
 
 
-def _time_sums(rows: DataFrame, beta: dict, scale: dict, k: int) -> dict:
-    """Per (fit, time): rows, deaths, event sum of x, and the 0th to 2nd moments of x under w over all and over the dead."""
-    fits_u = np.array(sorted(beta))
-    means, sds, betas = (np.array([of(f) for f in fits_u.tolist()]) for of in (
-        lambda f: scale[f][1], lambda f: scale[f][2], lambda f: beta[f]))
-
-    def contribution(pdf):
-        fits = pdf["fit"].to_numpy()
-        open_ = np.isin(fits, fits_u)
-        if not open_.any():
-            return {}
-        pdf, fits = pdf[open_], fits[open_]
-        i = np.searchsorted(fits_u, fits)
-        x = (matrix(pdf["x"]) - means[i]) / sds[i]
-        w = np.exp(np.clip((x * betas[i]).sum(axis=1), -50, 50))[:, None]
-        e = (pdf["e"].to_numpy() == 1).astype(float)[:, None]
-        moments = np.hstack([np.ones_like(w), x, (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)]) * w
-        keys, sums = grouped(np.hstack([np.ones_like(e), e, e * x, moments, e * moments]), fits, pdf["t"].to_numpy())
-        return dict(zip(keys, sums))
-
-    return keyed_sums(rows, {"fit": "int", "t": "double"}, contribution)
-
-
 def hazard_ratios(spark, model: CoxModel, cov: np.ndarray | None = None) -> DataFrame:
     """(feature, coef, hr, se, z, p, hr_low, hr_high); pass the robust covariance if wanted."""
     cov = model.cov if cov is None else cov
@@ -242,15 +354,12 @@ def hazard_ratios(spark, model: CoxModel, cov: np.ndarray | None = None) -> Data
 def cluster_covariance(df: DataFrame, model: CoxModel, duration: str, event: str, cluster: str) -> np.ndarray:
     """Sandwich covariance with score residuals summed per cluster.
 
-    The residual of a row needs only its own x and two cumulated vectors at its duration, so
-    one map pass makes it; the sums per cluster are a combined aggregation and the k x k meat
-    is aggregated from those.
+    The residual of a row needs only its own x and the life table at its duration, which is joined; the sums per
+    cluster are a combined aggregation, and one k x k sum of their products is left.
     """
     k = len(model.features)
     rows = assemble(df, model.features, {"c": F.col(cluster), "t": F.col(duration).cast("double"), "e": F.col(event).cast("int")})
-    times, st, xbar = model.times, model.step, model.xbar
     mean, sd, beta = model.mean, model.sd, model.beta
-    names = [f"r{j}" for j in range(k)]
     kind = dict(df.dtypes)[cluster]
 
     def residuals(batches):
@@ -259,53 +368,62 @@ def cluster_covariance(df: DataFrame, model: CoxModel, duration: str, event: str
                 continue
             x = (matrix(pdf["x"]) - mean) / sd
             w = np.exp(np.clip(x @ beta, -50, 50))[:, None]
-            i = np.searchsorted(times, pdf["t"].to_numpy())
             died = (pdf["e"].to_numpy() == 1)[:, None]
             # An event leaves during its own tied step, others stay for all of it.
-            a = st["a"][i][:, None] - np.where(died, (st["a_full"] - st["a_die"])[i][:, None], 0.0)
-            b = st["b"][i] - np.where(died, (st["b_full"] - st["b_die"])[i], 0.0)
-            r = np.where(died, x - xbar[i], 0.0) - w * (x * a - b)
+            a = pdf["a"].to_numpy()[:, None] - np.where(died, pdf["a_own"].to_numpy()[:, None], 0.0)
+            b = matrix(pdf["b"]) - np.where(died, matrix(pdf["b_own"]), 0.0)
+            r = np.where(died, x - matrix(pdf["xbar"]), 0.0) - w * (x * a - b)
             out = pdf[["c"]].copy()
-            for j, n in enumerate(names):
-                out[n] = r[:, j]
+            out["r"] = list(r)
             yield out
 
-    res = rows.mapInPandas(residuals, f"c {kind}, " + ", ".join(f"{n} double" for n in names))
-    per = res.groupBy("c").agg(*[F.sum(n).alias(n) for n in names])
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    one = per.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"m_{i}_{j}") for i, j in pairs]).first()
-    meat = np.zeros((k, k))
-    for i, j in pairs:
-        meat[i, j] = meat[j, i] = one[f"m_{i}_{j}"]
+    life = model.life.select(F.col("t").alias("_t"), "a", "a_own", "b", "b_own", "xbar")
+    met = rows.join(life, F.col("t") == F.col("_t")).drop("_t")
+    res = met.mapInPandas(residuals, f"c {kind}, r array<double>")
+    per = res.groupBy("c").agg(Summarizer.sum(array_to_vector("r")).alias("r")).select(vector_to_array("r").alias("r"))
+
+    def products(pdf):
+        r = matrix(pdf["r"])
+        return {(): (r.T @ r).ravel()}
+    meat = keyed_sums(per, {}, products)[()].reshape(k, k)
     return model.cov @ meat @ model.cov
 
 
 def ph_test(spark, model: CoxModel) -> DataFrame:
     """Scaled Schoenfeld residuals against the rank of the event time: (feature, statistic, p).
 
-    The residuals enter only through their sum per time, which the fit already holds.
+    The residuals enter only through their sum per time, which the life table holds.
     """
-    d = model.deaths.astype(float)
-    total = d.sum()
-    rank = np.cumsum(d) - d + (d + 1) / 2.0
-    g = rank - (rank * d).sum() / total
-    raw = model.xsum - d[:, None] * model.xbar
-    scaled = total * (g @ raw) @ model.cov
-    stat = scaled ** 2 / (total * np.diag(model.cov) * float((d * g * g).sum()))
+    rank = F.col("deaths_before") + (F.col("deaths") + 1) / 2.0
+    life = model.life.filter("deaths > 0").select(F.col("deaths").cast("double").alias("d"), rank.alias("g"), "xbar", "xsum")
+    total, middle = life.agg(F.sum("d"), F.sum(F.col("d") * F.col("g"))).first()
+
+    def sums(pdf):
+        d, g = pdf["d"].to_numpy(), pdf["g"].to_numpy() - middle / total
+        return {(): np.concatenate((g @ (matrix(pdf["xsum"]) - d[:, None] * matrix(pdf["xbar"])), [(d * g * g).sum()]))}
+    v = keyed_sums(life, {}, sums)[()]
+    scaled = total * v[:-1] @ model.cov
+    stat = scaled ** 2 / (total * np.diag(model.cov) * float(v[-1]))
     rows = [(f, float(s), chi2_sf(float(s), 1)) for f, s in zip(model.features, stat)]
     return spark.createDataFrame(rows, "feature string, statistic double, p double")
 
 
+def _hazards_at(model: CoxModel, times: list[float]) -> list[float]:
+    """The cumulative baseline hazard at each time; one number each."""
+    one = model.life.agg(*[F.max(F.when(F.col("t") <= t, F.col("h0"))).alias(f"h{i}") for i, t in enumerate(times)]).first()
+    return [one[i] or 0.0 for i in range(len(times))]
+
+
 def with_survival(df: DataFrame, model: CoxModel, horizons: list[float], prefix: str = "s_") -> DataFrame:
     """Add S(h | x) per horizon and the median season (NULL when never reached)."""
     out = df.withColumn("_hz", F.exp(model.linear_predictor()))
-    for h in horizons:
-        i = int(np.searchsorted(model.times, h, side="right")) - 1
-        h0 = float(model.h0[i]) if i >= 0 else 0.0
-        out = out.withColumn(f"{prefix}{h:g}", F.exp(-F.lit(h0) * F.col("_hz")))
-    steps = F.array(*[F.struct(F.lit(float(t)).alias("t"), F.lit(float(v)).alias("h")) for t, v in zip(model.times, model.h0)])
-    reached = F.filter(steps, lambda p: p["h"] * F.col("_hz") >= math.log(2.0))
-    return out.withColumn("median", F.get(reached, F.lit(0)).getField("t")).drop("_hz")
+    for h, h0 in zip(horizons, _hazards_at(model, horizons)):
+        out = out.withColumn(f"{prefix}{h:g}", F.exp(-F.lit(float(h0)) * F.col("_hz")))
+    # The median is the first time at which the hazard reaches ln 2 / hz: the last step of the falling order.
+    out = materialized(out.withColumn("_need", -F.lit(math.log(2.0)) / F.col("_hz")))
+    steps = model.life.groupBy((-F.col("h0")).alias("_h")).agg(F.min("t").alias("median"))
+    reached = last_step(out.select("_need").distinct(), "_need", steps, "_h", "median").withColumnRenamed("_need", "_at")
+    return out.join(reached, F.col("_need") == F.col("_at"), "left").drop("_hz", "_need", "_at")
 
 
 def contrast(spark, model: CoxModel, feature: str, low: float, high: float, seasons: list[int]) -> DataFrame:
@@ -314,21 +432,19 @@ def contrast(spark, model: CoxModel, feature: str, low: float, high: float, seas
     They differ in one feature only; ``season_survival`` is S(t) over S of the season before.
     """
     j = model.features.index(feature)
+    asked = sorted({t for s in seasons for t in (s, s - 1)})
+    h0 = dict(zip(asked, _hazards_at(model, asked)))
     rows = []
     for name, value in (("low", low), ("high", high)):
         risk = math.exp(float(model.coef[j]) * (value - float(model.mean[j])))
-
-        def at(t, risk=risk):
-            i = int(np.searchsorted(model.times, t, side="right")) - 1
-            return math.exp(-risk * float(model.h0[i])) if i >= 0 else 1.0
-        reached = [float(t) for t, h in zip(model.times, model.h0) if risk * h >= math.log(2.0)]
-        rows += [(name, float(value), int(t), at(t), at(t) / at(t - 1), reached[0] if reached else None) for t in seasons]
+        median = model.life.filter(F.col("h0") * risk >= math.log(2.0)).agg(F.min("t")).first()[0]
+        s = {t: math.exp(-risk * h) for t, h in h0.items()}
+        rows += [(name, float(value), int(t), s[t], s[t] / s[t - 1], median) for t in seasons]
     return spark.createDataFrame(rows, "profile string, value double, season int, survival double, season_survival double, median double")
 
 
 def baseline(spark, model: CoxModel) -> DataFrame:
-    rows = [(float(t), int(d), float(h), math.exp(-float(h))) for t, d, h in zip(model.times, model.deaths, model.h0)]
-    return spark.createDataFrame(rows, "time double, deaths int, h0 double, s0 double")
+    return model.life.select(F.col("t").alias("time"), F.col("deaths").cast("int").alias("deaths"), "h0", F.exp(-F.col("h0")).alias("s0"))
 
 
 def importance(spark, models: dict) -> DataFrame:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dwellkit.functions.hashing import hash_hex
 from dwellkit.models import aft, cox
+from dwellkit.models.design import Design, design, read_batches
 from dwellkit.operators.concordance import harrell, uno
 from dwellkit.operators.hypothesis import t_interval
 from dwellkit.operators.running import mark_first
-from dwellkit.operators.splits import subsample
+from dwellkit.operators.splits import draws_of, hash_cuts, mask_of, subsample, subsample_cuts
 from dwellkit.operators.survival import censoring_curve
-from dwellkit.session import materialized
+from dwellkit.session import materialized, shuffle_partitions
 
 
 def fill_from(train: DataFrame, rows: DataFrame, fill: dict[str, str], by: list[str] | None = None) -> DataFrame:
@@ -35,17 +39,17 @@ def stability_selection(df: DataFrame, group: str, duration: str, event: str, fe
                         threshold: float = 0.6, fill: dict[str, str] | None = None,
                         importance_fn: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(k, feature, frequency, selected): how often a feature ranks in the top k over group
-    subsamples. All subsamples are fitted by the same jobs; ``fill`` (see ``fill_from``) takes its
-    means from each subsample. ``importance_fn`` takes the rows with their subsample ``b`` and gives
-    (fit, feature, value, rank), so any model can rank; the default is Cox."""
-    taken = subsample(df, group, fraction, times, seed)
-    rows = df.join(taken, group)
-    if fill:
-        rows = fill_from(rows, rows, fill, ["b"])
-    rank = importance_fn or (lambda r: cox.importance(
-        df.sparkSession, cox.fit(r, duration, event, features, "b", penalizer)))
-    ranks = rank(rows)
-    return membership(ranks, ks, threshold)
+    subsamples. All subsamples are fitted by the same jobs over one copy of the rows, which carries a bit for each
+    of them; ``fill`` (see ``fill_from``) takes its means from each subsample. ``importance_fn`` takes rows copied for their
+    subsamples ``b`` and gives (fit, feature, value, rank), so any model can rank; the default is Cox."""
+    if importance_fn is not None:
+        rows = df.join(subsample(df, group, fraction, times, seed), group)
+        return membership(importance_fn(fill_from(rows, rows, fill, ["b"]) if fill else rows), ks, threshold)
+    groups = materialized(df.select(group).distinct())
+    taken = groups.repartition(shuffle_partitions(df.sparkSession)).select(
+        group, mask_of(F.col(group), *subsample_cuts(groups, group, fraction, times, seed)).alias("_mask"))
+    models = cox.fit(df.join(taken, group), duration, event, features, F.col("_mask"), times, penalizer, fill=fill)
+    return membership(cox.importance(df.sparkSession, models), ks, threshold)
 
 
 def membership(ranks: DataFrame, ks: list[int], threshold: float = 0.6) -> DataFrame:
@@ -65,10 +69,29 @@ def seed_splits(df: DataFrame, group: str, seeds: list[int], fraction: float = 0
     return df.join(sides, group)
 
 
-def _score_linear(test: DataFrame, models: dict, expr: Callable) -> DataFrame:
-    """Score test rows of each seed with that seed's model, all as one expression."""
-    score = F.coalesce(*[F.when(F.col("seed") == s, expr(m)) for s, m in models.items()])
-    return test.withColumn("score", score)
+def _held_out(df: DataFrame, group: str, seeds: list[int], fraction: float) -> DataFrame:
+    """The rows once, with the numbers of the seeds whose test side they are on (``_test``) and a bit for each
+    other seed (``_train``): the same sides as ``seed_splits``."""
+    groups = materialized(df.select(group).distinct())
+    before = [f"{s}:" for s in seeds]
+    cuts = hash_cuts(groups, group, before, lambda n: math.floor(n * fraction))
+    sides = groups.repartition(shuffle_partitions(df.sparkSession)).select(
+        group, draws_of(F.col(group), before, cuts).alias("_test"), mask_of(F.col(group), before, cuts, rest=True).alias("_train"))
+    return materialized(df.join(sides, group))
+
+
+def _test_scores(d: Design, coefs: dict[str, np.ndarray]) -> DataFrame:
+    """(seed number, t, e, model, score) for each fit and each row outside it; ``coefs[model]`` weigh (1, y), [fit, width]."""
+    width, n_fits, names = d.width, d.n_fits, list(coefs)
+
+    def run(batches):
+        for b in read_batches(width, n_fits, np.arange(n_fits), batches, n_fits):
+            row, fit = np.nonzero(b.mask == 0)
+            scores = [(b.y[row] * coefs[n][fit]).sum(1) for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fit, b.t[row], b.e[row].astype(np.int32), *scores)],
+                                             names=["number", "t", "e", *names])
+    wide = d.rows.mapInArrow(run, "number bigint, t double, e int, " + ", ".join(f"`{n}` double" for n in names))
+    return wide.unpivot(["number", "t", "e"], names, "model", "score")
 
 
 def bakeoff(df: DataFrame, group: str, duration: str, event: str, features: list[str], seeds: list[int],
@@ -76,39 +99,44 @@ def bakeoff(df: DataFrame, group: str, duration: str, event: str, features: list
             penalizer: float = 0.1, fill: dict[str, str] | None = None) -> DataFrame:
     """Long (seed, model, metric, value) of Harrell's and Uno's C on the test side.
 
-    ``models`` may also name ``boosted``, whose trees are fitted seed by seed.
+    All seeds are fitted over one copy of the rows. ``models`` may also name ``boosted``, whose trees are fitted seed by seed.
     ``fill`` (see ``fill_from``) takes its means from the training side of each seed.
     """
-    rows = seed_splits(df, group, seeds, fraction)
-    if fill:
-        rows = fill_from(rows.filter("side = 'train'"), rows, fill, ["seed"])
-    rows = materialized(rows)  # every model reads the same rows
-    train, test = rows.filter("side = 'train'"), rows.filter("side = 'test'")
-    out = None
-    scored = []
+    held = _held_out(df, group, seeds, fraction)
+    kind = df.schema[duration].dataType
+    seed = F.element_at(F.array(*[F.lit(s) for s in seeds]), F.col("number").cast("int") + 1)
+    d = design(held, F.col(duration), F.col(event), features, F.col("_train"), len(seeds), fill)
+    coefs = {}
     for name in models:
-        if name == "null":
-            s = test.withColumn("score", F.lit(0.0))
-        elif name == "cox":
-            s = _score_linear(test, cox.fit(train, duration, event, features, "seed", penalizer),
-                              lambda m: -m.linear_predictor())
-        elif name == "boosted":
-            s = None
-            for seed in seeds:
-                _, score = aft.fit_boosted(train.filter(F.col("seed") == seed), duration, event, features, seed=seed)
-                one = score(test.filter(F.col("seed") == seed)).withColumnRenamed("log_time", "score")
-                s = one if s is None else s.unionByName(one)
-        else:
-            s = _score_linear(test, aft.fit(train, name, duration, event, features, "seed"), lambda m: m.log_time())
-        scored.append(s.withColumn("model", F.lit(name)))
-    for s in scored:
-        out = s if out is None else out.unionByName(s)
+        coefs[name] = np.zeros((len(seeds), d.width))
+        if name == "cox":
+            for f, m in cox.fit_design(d, penalizer).items():
+                coefs[name][f] = -m.beta @ d.maps[f]
+        elif name not in ("null", "boosted"):
+            for f, m in aft.fit_design(d, name).items():
+                coefs[name][f] = m.theta[1:-1] @ d.maps[f]
+                coefs[name][f, 0] += m.theta[0]
+    coefs.pop("boosted", None)
+    scored = _test_scores(d, coefs).select(
+        seed.alias("seed"), F.col("t").cast(kind).alias(duration), F.col("e").alias(event), "model", "score")
+    if "boosted" in models:
+        for number, s in enumerate(seeds):
+            test = held.filter(F.array_contains("_test", number))
+            train = held.filter(~F.array_contains("_test", number))
+            if fill:
+                train, test = fill_from(train, train, fill), fill_from(train, test, fill)
+            _, score = aft.fit_boosted(train, duration, event, features, seed=s)
+            scored = scored.unionByName(score(test).select(
+                F.lit(s).alias("seed"), duration, event, F.lit("boosted").alias("model"), F.col("log_time").alias("score")))
+    scored = materialized(scored)
     by = ["model", "seed"]
     # Test pairs are weighted by the censoring curve of the training side.
-    g = censoring_curve(train, duration, event, by=["seed"])
-    h = harrell(out, duration, event, "score", by=by).select(*by, F.lit("harrell").alias("metric"), F.col("c_index").alias("value"))
+    numbers = F.array_except(F.sequence(F.lit(0), F.lit(len(seeds) - 1)), "_test")
+    train = held.select(F.explode(numbers).alias("number"), duration, event).withColumn("seed", seed)
+    g = materialized(censoring_curve(train, duration, event, by=["seed"]))
+    h = harrell(scored, duration, event, "score", by=by).select(*by, F.lit("harrell").alias("metric"), F.col("c_index").alias("value"))
     g = g.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-    u = uno(out, duration, event, "score", g, by=by).select(*by, F.lit("uno").alias("metric"), F.col("c_uno").alias("value"))
+    u = uno(scored, duration, event, "score", g, by=by).select(*by, F.lit("uno").alias("metric"), F.col("c_uno").alias("value"))
     return h.unionByName(u)
 
 

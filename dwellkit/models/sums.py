@@ -23,15 +23,6 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.concatenate(column.to_numpy()).reshape(len(column), -1)
 
 
-def grouped(rows: np.ndarray, *keys: np.ndarray) -> tuple[list[tuple], np.ndarray]:
-    """Sums of the rows of each key combination: (keys in order, one sum per key)."""
-    order = np.lexsort(keys[::-1])
-    cols = [k[order] for k in keys]
-    new = np.concatenate(([True], np.logical_or.reduce([c[1:] != c[:-1] for c in cols])))
-    at = np.flatnonzero(new)
-    return list(zip(*[c[at].tolist() for c in cols])), np.add.reduceat(rows[order], at, axis=0)
-
-
 def keyed_sums(rows: DataFrame, keys: dict[str, str], contribution: Callable[[pd.DataFrame], dict]) -> dict:
     """Sum vectors per key: ``contribution(batch)`` gives {key tuple: vector}.
 
@@ -57,16 +48,3 @@ def keyed_sums(rows: DataFrame, keys: dict[str, str], contribution: Callable[[pd
     vectors = partial.select(*names, array_to_vector("v").alias("v"))
     total = vectors.groupBy(*names).agg(Summarizer.sum(F.col("v")).alias("v"))
     return {tuple(r[n] for n in names): r["v"].toArray() for r in total.collect()}
-
-
-def scale_of(rows: DataFrame, features: list[str], fit: str = "fit") -> dict:
-    """{fit: (n, mean, sd)} of the assembled features, sd 1 where constant."""
-    k = len(features)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for j in range(k):
-        aggs += [F.avg(F.col("x")[j]).alias(f"m{j}"), F.stddev_pop(F.col("x")[j]).alias(f"s{j}")]
-    out = {}
-    for r in rows.groupBy(fit).agg(*aggs).collect():
-        sd = np.array([r[f"s{j}"] or 0.0 for j in range(k)])
-        out[r[fit]] = (r["n"], np.array([r[f"m{j}"] for j in range(k)]), np.where(sd > 0, sd, 1.0))
-    return out

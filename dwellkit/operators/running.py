@@ -143,3 +143,23 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: list
                   + F.when((frac > 0) & holds(low + 1), frac).otherwise(0.0))
         parts.append(F.sum(F.col(value).cast("double") * weight).alias(name))
     return pos.groupBy(*by).agg(*parts) if by else pos.agg(*parts)
+
+
+def last_step(points: DataFrame, at: str, steps: DataFrame, time: str, value: str) -> DataFrame:
+    """(at, value): for each distinct point the value of the last step at or before it, null before the first.
+
+    Steps have distinct times. Points and steps are cut into ranges along their common order; a range needs
+    only its own rows and the last step of the ranges before, of which there is one row each.
+    """
+    kind = steps.schema[value].dataType
+    both = points.select(F.col(at).cast("double").alias("_o"), F.lit(True).alias("_p"), F.lit(None).cast(kind).alias("_v")).unionByName(
+        steps.select(F.col(time).cast("double").alias("_o"), F.lit(False).alias("_p"), F.col(value).alias("_v")))
+    src = with_ranges(materialized(both.filter("_o IS NOT NULL")), "_o")
+    step = F.when(~F.col("_p"), F.struct("_v"))
+    ends = src.filter(~F.col("_p")).groupBy(RANGE).agg(F.max_by(F.struct("_v"), "_o").alias("_end"))
+    earlier = W.partitionBy(F.lit(0)).orderBy(RANGE).rowsBetween(W.unboundedPreceding, -1)
+    ranges = src.select(RANGE).distinct().join(ends, RANGE, "left").select(
+        F.col(RANGE).alias("_r"), F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    inside = W.partitionBy(RANGE).orderBy("_o", "_p").rowsBetween(W.unboundedPreceding, 0)
+    out = src.join(ranges, F.col(RANGE) == F.col("_r")).withColumn("_last", F.coalesce(F.last(step, ignorenulls=True).over(inside), "_carried"))
+    return out.filter("_p").select(F.col("_o").alias(at), F.col("_last")["_v"].alias(value))

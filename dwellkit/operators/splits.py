@@ -2,17 +2,29 @@
 
 A group is ordered by md5(seed:group). The leading hash digits cut that order into even ranges,
 so quotas and fold positions come from running sums and never from one sorted task.
+
+Where many draws take the first groups in orders of their own, no group is copied per draw: counts in narrow
+ranges around the expected place give each draw the hash at which it ends (``hash_cuts``), and a group is in a
+draw when its hash is not beyond it (``draws_of``, ``mask_of``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dwellkit.functions.hashing import hash_hex
+from dwellkit.functions.hashing import hash_hex, md5_table
 from dwellkit.operators.running import mark_first, running, with_hash_ranges
 from dwellkit.operators.stints import mode_per_group
-from dwellkit.session import materialized
+from dwellkit.session import materialized, shuffle_partitions
 
 
 def _running_hash(df: DataFrame, group: str, sums, by=None) -> DataFrame:
@@ -54,9 +66,139 @@ def kfold(df: DataFrame, group: str, k: int, seed: int, label: str | None = None
     return ordered.select(group, *(by or []), fold.cast("int").alias("fold"))
 
 
+#: Ranges in which hashes are counted, within so many standard deviations of where a draw should end.
+CUT_BINS, CUT_WIDTH = 64, 8.0
+#: Draws whose counts travel in one row, and hashes made at a time.
+DRAW_BLOCK, HASHES = 64, 1 << 18
+
+
+def prefixes(seed: int, times: int) -> list[str]:
+    """What stands before the group in the hash of each of ``times`` draws."""
+    return [f"{seed}:{b}:" for b in range(times)]
+
+
+def _hashes(before: list[bytes], keys: list[str]) -> np.ndarray:
+    """Two unsigned longs, in order, for each key and draw."""
+    return md5_table(before, [k.encode() for k in keys])
+
+
+def _chunks(batches, draws: int):
+    """Lists of keys, short enough for one array of hashes."""
+    size = max(1, HASHES // draws)
+    for batch in batches:
+        keys = batch.column(0).to_pylist()
+        for at in range(0, len(keys), size):
+            yield keys[at:at + size]
+
+
+def hash_cuts(groups: DataFrame, group: str, before: list[str], take: Callable[[int], int]) -> list[tuple[int, int]]:
+    """For each draw the hash, as two longs, of the last of its first ``take(n)`` of the n distinct groups.
+
+    Draw b orders the groups by md5 of ``before[b]`` and the group. One pass counts hashes in ranges, another one
+    ranks those of the range with the cut: about the square root of n per draw, divided by the ranges. Only the
+    counts and the cuts come to the driver, numbers per draw whatever n is.
+    """
+    spark, draws = groups.sparkSession, len(before)
+    # Few small rows are much work here: deal them to all tasks.
+    keys = groups.select(F.col(group).cast("string").alias("key")).filter("key IS NOT NULL").repartition(shuffle_partitions(spark))
+    n = keys.count()
+    m = min(take(n), n)
+    if m <= 0:
+        return [(-1, -1)] * draws
+    starts = [p.encode() for p in before]
+    share, spread = m / n, CUT_WIDTH * math.sqrt(max(m / n * (1 - m / n), 1.0 / n) / n)
+    low, high = (min(max(x, 0.0), 1.0) for x in (share - spread, share + spread))
+    edges = [int((low + (high - low) * i / CUT_BINS) * 2 ** 64) for i in range(CUT_BINS + 1)]
+    edges = np.array(sorted({min(e, 2 ** 64 - 1) for e in edges}), np.uint64)
+    bins = len(edges) + 1
+
+    def count(batches):
+        total = np.zeros((draws, bins), np.int64)
+        for some in _chunks(batches, draws):
+            top = _hashes(starts, some)[:, :, 0]
+            place = np.searchsorted(edges, top, side="right") + np.arange(draws) * bins
+            total += np.bincount(place.ravel(), minlength=draws * bins).reshape(draws, bins)
+        blocks = range(0, draws, DRAW_BLOCK)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([b // DRAW_BLOCK for b in blocks], pa.int32()),
+             pa.array([total[b:b + DRAW_BLOCK].ravel().astype(float) for b in blocks], pa.list_(pa.float64()))], names=["block", "v"])
+    # Spark keeps vector sums as means, so counts come back a rounding error away from whole numbers.
+    counted = keys.mapInArrow(count, "block int, v array<double>").select("block", array_to_vector("v").alias("v"))
+    counts = counted.groupBy("block").agg(Summarizer.sum(F.col("v")).alias("v")).collect()
+    table = np.rint(np.concatenate([r["v"].toArray() for r in sorted(counts, key=lambda r: r["block"])])).astype(np.int64).reshape(draws, bins)
+    upto = np.cumsum(table, axis=1)
+    at = (upto < m).sum(1)
+    rank = m - np.where(at > 0, upto[np.arange(draws), np.maximum(at - 1, 0)], 0)
+
+    def near(batches):
+        for some in _chunks(batches, draws):
+            hashes = _hashes(starts, some)
+            here, b = np.nonzero(np.searchsorted(edges, hashes[:, :, 0], side="right") == at)
+            found = hashes[here, b].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())],
+                                             names=["b", "h", "l"])
+    # Signed longs in the order of the unsigned ones.
+    ordered = [F.col(c).bitwiseXOR(F.lit(-(1 << 63))) for c in ("h", "l")]
+    row = F.row_number().over(W.partitionBy("b").orderBy(*ordered))
+    wanted = spark.createDataFrame([(b, int(r)) for b, r in enumerate(rank)], "b int, wanted int")
+    last = keys.mapInArrow(near, "b int, h long, l long").withColumn("_r", row).join(wanted, "b").filter("_r = wanted")
+    cuts = {r["b"]: (r["h"] % 2 ** 64, r["l"] % 2 ** 64) for r in last.select("b", "h", "l").collect()}
+    return [cuts[b] for b in range(draws)]
+
+
+def _within(before: list[str], cuts: list[tuple[int, int]]) -> Callable[[list], np.ndarray]:
+    starts, none = [p.encode() for p in before], np.array([c[0] < 0 for c in cuts])
+    high, low = (np.array([max(c[i], 0) for c in cuts], np.uint64) for i in (0, 1))
+
+    def of(keys: list) -> np.ndarray:
+        hashes = _hashes(starts, ["" if k is None else k for k in keys])
+        inside = (hashes[:, :, 0] < high) | ((hashes[:, :, 0] == high) & (hashes[:, :, 1] <= low))
+        return inside & ~none & np.array([k is not None for k in keys])[:, None]
+    return of
+
+
+def _by_chunk(keys: pa.Array, draws: int):
+    size = max(1, HASHES // draws)
+    for at in range(0, len(keys), size):
+        yield keys[at:at + size].to_pylist()
+
+
+def draws_of(key: Column, before: list[str], cuts: list[tuple[int, int]]) -> Column:
+    """The draws that take a group, as an array of their numbers; none for a null group."""
+    within = _within(before, cuts)
+
+    @F.arrow_udf("array<int>")
+    def of(keys: pa.Array) -> pa.Array:
+        ends, found = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
+        for some in _by_chunk(keys, len(before)):
+            inside = within(some)
+            ends.append(ends[-1][-1] + np.cumsum(inside.sum(1)))
+            found.append(np.nonzero(inside)[1].astype(np.int32))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(found)))
+    return of(key.cast("string"))
+
+
+def mask_of(key: Column, before: list[str], cuts: list[tuple[int, int]], rest: bool = False) -> Column:
+    """The same as one bit per draw, lowest bit first; with ``rest`` the draws that do not take the group."""
+    within = _within(before, cuts)
+
+    @F.arrow_udf("binary")
+    def of(keys: pa.Array) -> pa.Array:
+        out = []
+        for some in _by_chunk(keys, len(before)):
+            out += [bits.tobytes() for bits in np.packbits(within(some) ^ rest, axis=1, bitorder="little")]
+        return pa.array(out, pa.binary())
+    return of(key.cast("string"))
+
+
+def subsample_cuts(groups: DataFrame, group: str, fraction: float, times: int, seed: int) -> tuple[list[str], list[tuple[int, int]]]:
+    """What ``draws_of`` and ``mask_of`` need for ``subsample`` of distinct groups."""
+    before = prefixes(seed, times)
+    return before, hash_cuts(groups, group, before, lambda n: max(1, math.floor(n * fraction)))
+
+
 def subsample(df: DataFrame, group: str, fraction: float, times: int, seed: int) -> DataFrame:
-    """(b, group): max(1, floor(groups x fraction)) groups without replacement, B times."""
-    groups = materialized(df.select(group).distinct()).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    groups = groups.withColumn("_h", hash_hex(seed, F.col("b"), F.col(group)))
-    marked = mark_first(groups, "_h", group, lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(fraction))), ["b"])
-    return marked.filter("picked").select("b", group)
+    """(b, group): max(1, floor(groups x fraction)) groups without replacement, B times. Null groups take no part."""
+    groups = materialized(df.select(group).distinct())
+    before, cuts = subsample_cuts(groups, group, fraction, times, seed)
+    return groups.repartition(shuffle_partitions(df.sparkSession)).select(F.explode(draws_of(F.col(group), before, cuts)).alias("b"), group)

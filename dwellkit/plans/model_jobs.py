@@ -100,9 +100,7 @@ def cox_survival_at(spark, sf):
 
 @job("aft_weibull")
 def aft_weibull(spark, sf):
-    p = panel(spark, sf)
-    _, score = aft.fit_weibull(p, "duration", "event", COX)
-    return score(p).select("entity", "stint_no", "duration", "log_time")
+    return _aft(spark, sf, "weibull").drop("sigma")
 
 
 def _aft(spark, sf, kind):
