@@ -33,6 +33,21 @@ def fit_score_equations(spark, sf):
     return spark.createDataFrame(rows, "model string, parameter int, score double").withColumn("score", rounded(F.col("score")))
 
 
+@job("cox_days_score_equations", " UNION ALL ".join(
+    f"SELECT CAST({j} AS INTEGER) AS parameter, 0.0::DOUBLE AS score, (SELECT count(DISTINCT days) FROM d) AS n_times" for j in range(2)).join(
+    ["WITH d AS (SELECT c_custkey, date_diff('day', min(o_orderdate), max(o_orderdate)) + 1 AS days FROM customer JOIN orders ON c_custkey = o_custkey "
+     "GROUP BY 1) SELECT * FROM (", ")"]))
+def cox_days_score_equations(spark, sf):
+    """The same for durations in days, of which there are as many as customers: from the first to the last order."""
+    orders = mj.table(spark, sf, "orders").groupBy("o_custkey").agg(
+        F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.count(F.lit(1)).alias("n_orders"))
+    d = mj.table(spark, sf, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey")).select(
+        (F.datediff("last", "first") + 1).alias("days"), (F.col("last") < "1998-06-01").cast("int").alias("over"), "n_orders", "c_acctbal")
+    m = cox.fit(d, "days", "over", ["n_orders", "c_acctbal"])[0]
+    rows = [(j, float(g) / m.n, m.life.count()) for j, g in enumerate(m.gradient)]
+    return spark.createDataFrame(rows, "parameter int, score double, n_times bigint").withColumn("score", rounded(F.col("score")))
+
+
 @job("cox_survival_shape", sql("SELECT count(*) AS n, 0 AS n_rising, 0 AS n_outside FROM features", "features"))
 def cox_survival_shape(spark, sf):
     """Predicted survival never rises with the horizon and stays between 0 and 1."""
