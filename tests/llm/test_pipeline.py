@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from test_dedup import slow_fingerprint
+from test_near_texts import shingle_set
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -17,8 +17,8 @@ EDGE = [(1, "the cat sat on the mat", "en", "a", 22), (2, "the cat sat on the ma
 
 
 def brute_near(rows):
-    """Of each group of rows within two bits the ones with the smallest doc_id."""
-    fps = [slow_fingerprint(r["text"]) for r in rows]
+    """Of each group of rows whose five-word shingles link at Jaccard 0.8 or more, the text with the smallest doc_id."""
+    sets = [shingle_set(r["text"]) for r in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -27,15 +27,16 @@ def brute_near(rows):
         return x
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
                 parent[root(i)] = root(j)
     groups = {}
     for i, r in enumerate(rows):
         groups.setdefault(root(i), []).append(r)
     out = []
     for g in groups.values():
-        first = min((r["doc_id"] for r in g if r["doc_id"] is not None), default=None)
-        out += [r for r in g if r["doc_id"] == first]
+        first = min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+        out += [r for r in g if (r["text"] or "") == (first["text"] or "")]
     return out
 
 
@@ -70,7 +71,9 @@ def test_stages_one_by_one(spark, which, tmp_path):
             best[t] = r
     assert sorted(map(key, after)) == sorted(map(key, best.values()))
     before, after = seen["simhash_near_dedup"]
-    assert sorted(map(key, after)) == sorted(map(key, brute_near(before)))
+    # Candidates are found with a recall below one: what may go goes, but for a tenth at most; nothing else does.
+    left, should = set(map(key, after)), set(map(key, brute_near(before)))
+    assert should <= left and len(left - should) <= 0.1 * (len(set(map(key, before))) - len(should))
     before, after = seen["mix_sources"]
     sizes = spark.createDataFrame([(r["source"], len((r["text"] or "").encode().split())) for r in before], "source string, n long")
     sizes = sizes.groupBy("source").agg(F.sum("n").alias("source_size"))
@@ -117,7 +120,7 @@ def test_no_documents(spark, tmp_path):
 
 def test_one_query_for_each_operator():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(jobs.SQL) <= set(names)
 
 
@@ -130,12 +133,15 @@ def test_queries_stand_nulls_repeats_and_clashes(spark, name, tmp_path):
                                    (None, "no url", "", 2), (3, "x://casino-win.net/" + "p" * 5000, "<div>" * 2000, 3)],
                                   "page_id long, url string, html string, _at int")
     pages.write.parquet(f"{tmp_path}/pages.parquet")
-    vectors = spark.createDataFrame([(i, [float(i % 5) / 3, -0.5], 1) for i in range(30)] + [(40, None, 1), (60, [None, 1.0], 2), (None, [1.0, 1.0], 3)],
-                                    "vec_id long, embedding array<float>, rank int")
+    vectors = spark.createDataFrame([(i, [float(i % 5) / 3, -0.5, 0.25, 1.0], 1, i % 2 or None) for i in range(30)]
+                                    + [(40, None, 1, 2), (60, [None, 1.0, 1.0, 1.0], 2, 2), (None, [1.0] * 4, 3, 2)],
+                                    "vec_id long, embedding array<float>, rank int, label int")
     vectors.write.parquet(f"{tmp_path}/embeddings.parquet")
     rows = jobs.QUERIES[name](spark, str(tmp_path)).collect()
     if name.startswith(("op2", "op8")):
         assert len(rows) == 5
+    elif name.startswith("op11"):
+        assert len(rows) == 31
     elif name.startswith("op9"):
         assert len(rows) == 2 * 20 and {r["query_id"] for r in rows} == {0, 20}
     elif name.startswith("op3"):
