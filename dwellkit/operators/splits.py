@@ -83,67 +83,105 @@ def _hashes(before: list[bytes], keys: list[str]) -> np.ndarray:
 
 
 def _chunks(batches, draws: int):
-    """Lists of keys, short enough for one array of hashes."""
+    """Lists of keys, short enough for one array of hashes, and their values."""
     size = max(1, HASHES // draws)
     for batch in batches:
-        keys = batch.column(0).to_pylist()
+        keys, values = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         for at in range(0, len(keys), size):
-            yield keys[at:at + size]
+            yield keys[at:at + size], values[at:at + size]
 
 
-def hash_cuts(groups: DataFrame, group: str, before: list[str], take: Callable[[int], int]) -> list[tuple[int, int]]:
-    """For each draw the hash, as two longs, of the last of its first ``take(n)`` of the n distinct groups.
+def _counted(rows: DataFrame, before: list[str], edges: np.ndarray, weighted: bool) -> np.ndarray:
+    """Per draw and hash range the keys, and with ``weighted`` behind them the sums of their values."""
+    starts, draws, bins = [p.encode() for p in before], len(before), len(edges) + 1
+    blocks, width = range(0, draws, DRAW_BLOCK), bins * (1 + weighted)
 
-    Draw b orders the groups by md5 of ``before[b]`` and the group. One pass counts hashes in ranges, another one
-    ranks those of the range with the cut: about the square root of n per draw, divided by the ranges. Only the
-    counts and the cuts come to the driver, numbers per draw whatever n is.
-    """
-    spark, draws = groups.sparkSession, len(before)
-    # Few small rows are much work here: deal them to all tasks.
-    keys = groups.select(F.col(group).cast("string").alias("key")).filter("key IS NOT NULL").repartition(shuffle_partitions(spark))
-    n = keys.count()
+    def count(batches):
+        total = np.zeros((draws, 1 + weighted, bins))
+        for some, values in _chunks(batches, draws):
+            top = _hashes(starts, some)[:, :, 0]
+            place = (np.searchsorted(edges, top, side="right") + np.arange(draws) * bins).ravel()
+            total[:, 0] += np.bincount(place, minlength=draws * bins).reshape(draws, bins)
+            if weighted:
+                total[:, 1] += np.bincount(place, np.repeat(values, draws), draws * bins).reshape(draws, bins)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([b // DRAW_BLOCK for b in blocks], pa.int32()),
+             pa.array([total[b:b + DRAW_BLOCK].ravel() for b in blocks], pa.list_(pa.float64()))], names=["block", "v"])
+    counted = rows.mapInArrow(count, "block int, v array<double>").select("block", array_to_vector("v").alias("v"))
+    sums = counted.groupBy("block").agg(Summarizer.sum(F.col("v")).alias("v")).collect()
+    return np.concatenate([r["v"].toArray() for r in sorted(sums, key=lambda r: r["block"])]).reshape(draws, width)
+
+
+def _cut(rows: DataFrame, before: list[str], take: Callable[[int], int], weighted: bool) -> tuple[DataFrame | None, np.ndarray]:
+    """(b, h, l, v, last): of each draw the first rows of the hash range in which it ends, up to its end; and the
+    sums of the values in the ranges before. ``rows`` are (key, value), dealt to all tasks, as few small rows are much work."""
+    spark, draws = rows.sparkSession, len(before)
+    n = rows.count()
     m = min(take(n), n)
     if m <= 0:
-        return [(-1, -1)] * draws
+        return None, np.zeros(draws)
     starts = [p.encode() for p in before]
     share, spread = m / n, CUT_WIDTH * math.sqrt(max(m / n * (1 - m / n), 1.0 / n) / n)
     low, high = (min(max(x, 0.0), 1.0) for x in (share - spread, share + spread))
     edges = [int((low + (high - low) * i / CUT_BINS) * 2 ** 64) for i in range(CUT_BINS + 1)]
     edges = np.array(sorted({min(e, 2 ** 64 - 1) for e in edges}), np.uint64)
     bins = len(edges) + 1
-
-    def count(batches):
-        total = np.zeros((draws, bins), np.int64)
-        for some in _chunks(batches, draws):
-            top = _hashes(starts, some)[:, :, 0]
-            place = np.searchsorted(edges, top, side="right") + np.arange(draws) * bins
-            total += np.bincount(place.ravel(), minlength=draws * bins).reshape(draws, bins)
-        blocks = range(0, draws, DRAW_BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b // DRAW_BLOCK for b in blocks], pa.int32()),
-             pa.array([total[b:b + DRAW_BLOCK].ravel().astype(float) for b in blocks], pa.list_(pa.float64()))], names=["block", "v"])
+    table = _counted(rows, before, edges, weighted)
     # Spark keeps vector sums as means, so counts come back a rounding error away from whole numbers.
-    counted = keys.mapInArrow(count, "block int, v array<double>").select("block", array_to_vector("v").alias("v"))
-    counts = counted.groupBy("block").agg(Summarizer.sum(F.col("v")).alias("v")).collect()
-    table = np.rint(np.concatenate([r["v"].toArray() for r in sorted(counts, key=lambda r: r["block"])])).astype(np.int64).reshape(draws, bins)
-    upto = np.cumsum(table, axis=1)
+    upto = np.cumsum(np.rint(table[:, :bins]).astype(np.int64), axis=1)
     at = (upto < m).sum(1)
     rank = m - np.where(at > 0, upto[np.arange(draws), np.maximum(at - 1, 0)], 0)
+    sums = np.where(np.arange(bins) < at[:, None], table[:, bins:], 0.0).sum(1) if weighted else np.zeros(draws)
 
     def near(batches):
-        for some in _chunks(batches, draws):
+        for some, values in _chunks(batches, draws):
             hashes = _hashes(starts, some)
             here, b = np.nonzero(np.searchsorted(edges, hashes[:, :, 0], side="right") == at)
             found = hashes[here, b].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())],
-                                             names=["b", "h", "l"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b.astype(np.int32)), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), pa.array(values[here])],
+                names=["b", "h", "l", "v"])
     # Signed longs in the order of the unsigned ones.
     ordered = [F.col(c).bitwiseXOR(F.lit(-(1 << 63))) for c in ("h", "l")]
     row = F.row_number().over(W.partitionBy("b").orderBy(*ordered))
     wanted = spark.createDataFrame([(b, int(r)) for b, r in enumerate(rank)], "b int, wanted int")
-    last = keys.mapInArrow(near, "b int, h long, l long").withColumn("_r", row).join(wanted, "b").filter("_r = wanted")
-    cuts = {r["b"]: (r["h"] % 2 ** 64, r["l"] % 2 ** 64) for r in last.select("b", "h", "l").collect()}
-    return [cuts[b] for b in range(draws)]
+    found = rows.mapInArrow(near, "b int, h long, l long, v double").withColumn("_r", row).join(wanted, "b")
+    return found.filter("_r <= wanted").select("b", "h", "l", "v", (F.col("_r") == F.col("wanted")).alias("last")), sums
+
+
+def _dealt(keys: DataFrame) -> DataFrame:
+    return keys.filter("key IS NOT NULL").repartition(shuffle_partitions(keys.sparkSession))
+
+
+def hash_cuts(groups: DataFrame, group: str, before: list[str], take: Callable[[int], int]) -> list[tuple[int, int]]:
+    """For each draw the hash, as two longs, of the last of its first ``take(n)`` of the n distinct groups.
+
+    Draw b orders the groups by md5 of ``before[b]`` and the group. One pass counts hashes in ranges, another one
+    ranks those of the range with the cut: about the square root of n per draw, divided by the ranges. Only the
+    counts and the cuts come to the driver, numbers per draw whatever n is.
+    """
+    keys = _dealt(groups.select(F.col(group).cast("string").alias("key"), F.lit(0.0).alias("value")))
+    found, _ = _cut(keys, before, take, False)
+    if found is None:
+        return [(-1, -1)] * len(before)
+    cuts = {r["b"]: (r["h"] % 2 ** 64, r["l"] % 2 ** 64) for r in found.filter("last").select("b", "h", "l").collect()}
+    return [cuts[b] for b in range(len(before))]
+
+
+def hash_sums(rows: DataFrame, key: str, value: str, before: list[str], take: Callable[[int], int]) -> DataFrame:
+    """(b, picked): the sum of ``value`` over the first ``take(n)`` of the n rows in the order of draw b, as in ``hash_cuts``.
+
+    ``key`` is unique and neither column null. No row is copied per draw: tasks add up counts and sums in hash
+    ranges, and only rows of the range in which a draw ends are written, about the square root of n for each.
+    """
+    spark = rows.sparkSession
+    keys = materialized(_dealt(rows.select(F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))))
+    found, sums = _cut(keys, before, take, True)
+    whole = spark.createDataFrame([(b, float(s)) for b, s in enumerate(sums)], "b int, _whole double")
+    if found is None:
+        return whole.select("b", F.col("_whole").alias("picked"))
+    part = found.groupBy("b").agg(F.sum("v").alias("_part"))
+    return whole.join(part, "b", "left").select("b", (F.col("_whole") + F.coalesce("_part", F.lit(0.0))).alias("picked"))
 
 
 def _within(before: list[str], cuts: list[tuple[int, int]]) -> Callable[[list], np.ndarray]:

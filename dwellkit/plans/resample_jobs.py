@@ -186,9 +186,10 @@ def bootstrap_median_diff(spark, sf):
     return ci.select(*[rounded(F.col(x), 4).alias(x) for x in ("mean", "ci_low", "ci_high")])
 
 
+SHUFFLES = 10000
 PERM = f"""SELECT b, avg(price) FILTER (i >= k) - avg(price) FILTER (i < k) AS diff FROM (
-  SELECT b, price, row_number() OVER (PARTITION BY b ORDER BY {md5_of(f"'{SEED}'", 'b', 'record')}) - 1 AS i, (SELECT count(*) FROM sample WHERE status = 'F') AS k
-  FROM sample, range(20) r(b)) GROUP BY b"""
+  SELECT b, price, row_number() OVER (PARTITION BY b ORDER BY {wide_of(f"'{SEED}'", 'b', 'record')}) - 1 AS i, (SELECT count(*) FROM sample WHERE status = 'F') AS k
+  FROM sample, range({SHUFFLES}) r(b)) GROUP BY b"""
 OBSERVED = "(SELECT avg(price) FILTER (status = 'O') - avg(price) FILTER (status = 'F') FROM sample)"
 
 
@@ -196,7 +197,7 @@ OBSERVED = "(SELECT avg(price) FILTER (status = 'O') - avg(price) FILTER (status
                              "history", sample="SELECT * FROM history WHERE status IN ('F', 'O')", perm=PERM))
 def permutation_test(spark, sf):
     s = history(spark, sf).filter(F.col("status").isin("F", "O"))
-    out = rs.permutation_test(s, "record", "price", F.col("status") == "F", 20, SEED)
+    out = rs.permutation_test(s, "record", "price", F.col("status") == "F", SHUFFLES, SEED)
     return out.select(rounded(F.col("observed"), 4).alias("observed"), rounded(F.col("p")).alias("p"), "n_shuffles")
 
 

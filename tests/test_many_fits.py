@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from dwellkit.functions.hashing import md5_table
 from dwellkit.models import aft, cox, select
 from dwellkit.models.design import design
+from dwellkit.operators import resample as rs
 from dwellkit.operators import splits as sp
 from dwellkit.operators.running import last_step
 
@@ -147,3 +148,27 @@ def test_one_hot_time_and_no_events(spark):
     calm = cox.fit(df.withColumn("e", F.lit(0)), "t", "e", ["a"])[0]
     assert calm.loglik == 0 and calm.beta[0] == 0
     assert cox.fit(df.limit(0), "t", "e", ["a"]) == {}
+
+
+def test_shuffles_add_up_the_first_rows_in_hash_order_without_copying_rows(spark):
+    rows = [(i, float(i % 7) - 2.5, i % 3 == 0) for i in range(400)] + [(400, None, True)]
+    df = spark.createDataFrame(rows, "id int, v double, f boolean")
+    got = {r["b"]: r["diff"] for r in rs.permutation_diffs(df, "id", "v", F.col("f"), 30, 5).collect()}
+    kept = [r for r in rows if r[1] is not None]
+    k = sum(r[2] for r in kept)
+    for b in range(30):
+        order = sorted(kept, key=lambda r: md5(f"5:{b}:{r[0]}".encode()).hexdigest())
+        left, right = [r[1] for r in order[:k]], [r[1] for r in order[k:]]
+        assert got[b] == pytest.approx(sum(right) / len(right) - sum(left) / len(left))
+    # Rows written for the cut: far fewer than rows x shuffles.
+    found, _ = sp._cut(df.filter("v is not null").select(F.col("id").cast("string").alias("key"), F.col("v").alias("value")),
+                           sp.prefixes(5, 30), lambda n: k, True)
+    assert found.count() < 400 * 30 / 10
+
+
+@pytest.mark.parametrize("first", [0, 1, 5])
+def test_shuffles_with_an_empty_or_a_full_group(spark, first):
+    df = spark.createDataFrame([(i, 1.0, i < first) for i in range(5)], "id int, v double, f boolean")
+    diffs = [r["diff"] for r in rs.permutation_diffs(df, "id", "v", F.col("f"), 3, 5).collect()]
+    assert diffs == ([0.0] * 3 if first == 1 else [None] * 3)
+    assert rs.permutation_diffs(df.limit(0), "id", "v", F.col("f"), 3, 5).filter("diff IS NOT NULL").count() == 0
