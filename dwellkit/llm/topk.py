@@ -9,7 +9,9 @@ order of the selected ones, are resolved by exact integer products.
 
 from __future__ import annotations
 
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -23,20 +25,38 @@ from dwellkit.session import materialized
 #: Components in a block, and queries that meet a block at once: these bound a task's memory.
 BLOCK_VALUES = 1 << 22
 QUERY_ROWS = 4096
-#: Quantised components lie within this, so that products of up to 2,048 of them fit a long.
-LIMIT = 1 << 26
+#: Quantised components within this are sliced in longs: products of up to 2,048 of them fit one. Larger ones take Python integers.
+LIMIT, LONG_DIMS = 1 << 26, 1 << 11
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): floor(scale * x) of each component as longs.
+    """(id, v, big): floor(scale * x) of each component as longs; of ``big`` rows, with a component beyond
+    2 ** 26, as decimal numerals of any length.
 
-    Left out are null vectors and ids, empty vectors, vectors with a component that is null
-    or not finite, and those with a component beyond 2 ** 26 after scaling.
+    Left out are null vectors and ids, empty vectors, and vectors with a component that is null or not finite.
     """
-    v = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(scale) * x.cast("double")))
-    fine = F.forall(F.col(vector_col), lambda x: x.isNotNull() & (F.abs(F.lit(scale) * x.cast("double")) < LIMIT))
-    rows = vectors.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0) & F.coalesce(fine, F.lit(False)))
-    return rows.select(F.col(id_col).cast("bigint").alias("id"), v.cast("array<bigint>").alias("v"))
+    vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    rows = vectors.filter(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).select(
+        F.col(id_col).cast("bigint").alias("id"), vector.alias("x"),
+        F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))).alias("fine"),
+        (~F.forall(vector, lambda x: F.abs(F.lit(scale) * x) < LIMIT)).alias("big"))
+    small = F.transform("x", lambda x: F.floor(F.lit(scale) * x)).cast("array<bigint>")
+    # Null for all but the big rows, so that no other vector goes to Python here.
+    return rows.filter("fine").select("id", "big", F.when(~F.col("big"), small).alias("v"),
+                                      floors(scale)(F.when(F.col("big"), F.col("x"))).alias("numerals"), F.size("x").alias("dim"))
+
+
+def floors(scale: int):
+    """floor(scale * x) of each double as decimal numerals, exact for every finite x."""
+    @F.pandas_udf("array<string>")
+    def of(vectors: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else [str(math.floor(Fraction(float(x)) * scale)) for x in v] for v in vectors], dtype=object)
+    return of
+
+
+def integers(v, numerals) -> np.ndarray:
+    """A row's components, as longs or as Python integers where they are big."""
+    return np.asarray(v, np.int64) if numerals is None else np.array([int(x) for x in numerals], object)
 
 
 class SlicedBlock:
@@ -48,9 +68,9 @@ class SlicedBlock:
         self.rows, self.dims = self.values.shape
         self.words = -(-self.rows // 64)
         self.low = self.values.min(0)
-        spread = (self.values - self.low).astype(np.uint64)
+        spread = self.values - self.low
         self.bits = [int(x).bit_length() for x in spread.max(0)]
-        self.slices = [[self._bitmap((spread[:, d] >> np.uint64(b)) & np.uint64(1)) for b in range(self.bits[d])]
+        self.slices = [[self._bitmap((spread[:, d] >> b) & 1) for b in range(self.bits[d])]
                        for d in range(self.dims)]
         self.inverse = [[~bitmap for bitmap in of] for of in self.slices]
         self.there = self._bitmap(np.ones(self.rows, np.uint64))
@@ -112,8 +132,10 @@ class SlicedBlock:
             # The open rows tie; they stand in the order of their ids.
             ties = np.flatnonzero(np.unpackbits(open_.view(np.uint8), bitorder="little"))[:k - n_sure]
             rows = np.concatenate((rows, ties))
-        exact = self.values[rows] @ query
-        return [(int(self.ids[rows[i]]), int(exact[i])) for i in np.lexsort((self.ids[rows], -exact))]
+        long = self.dims <= LONG_DIMS and query.dtype != object and self.values.dtype != object
+        exact = self.values[rows] @ query if long else self.values[rows].astype(object) @ query.astype(object)
+        best = [(int(self.ids[r]), int(score)) for r, score in zip(rows, exact)]
+        return sorted(best, key=lambda row: (-row[1], row[0]))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, id_col: str = "vec_id",
@@ -123,10 +145,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     The score is the inner product of the quantised vectors; ties go to the smaller id. Rows
     with the query's own id are no candidates, nor are vectors of another length. A query with
     fewer candidates gets all of them. Repeated candidates each take a rank, a repeated query
-    (same id and vector) counts once. See ``quantised`` for the rows that take no part.
+    (same id and vector) counts once. See ``quantised`` for the rows that take no part; an empty table
+    gives an empty result, other columns are not read. A returned score beyond a long is an error.
     """
-    rows = materialized(quantised(vectors, id_col, vector_col, scale).withColumn("dim", F.size("v")))
-    asked = materialized(quantised(queries, id_col, vector_col, scale).withColumn("dim", F.size("v")).distinct())
+    rows = materialized(quantised(vectors, id_col, vector_col, scale))
+    asked = materialized(quantised(queries, id_col, vector_col, scale).distinct())
     # One entry per vector length.
     sizes = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = {d: -(-n * d // block_values) for d, n in sizes.items()}
@@ -135,23 +158,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     parts = max(-(-width(vectors) // sum(blocks.values())), -(-asked.count() // QUERY_ROWS), 1)
     of_dim = F.create_map(*[F.lit(x) for d, n in blocks.items() for x in (d, n)])
     n_blocks = F.coalesce(of_dim[F.col("dim")], F.lit(1))
+    # Big rows have blocks of their own. Rows are dealt one by one, so that an id on many rows fills no block.
+    dealt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), n_blocks).cast("int")
     left = rows.select(
-        "dim", F.pmod(F.xxhash64("id"), n_blocks).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", F.col("v").cast("array<int>").alias("v"))
+        "dim", "big", dealt.alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "id", F.col("v").cast("array<int>").alias("v"), "numerals")
+    kinds = F.array(*[F.lit(r["big"]) for r in rows.select("big").distinct().collect()]).cast("array<boolean>")
     right = asked.select(
         "dim", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"),
-        F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias("part"), "id", F.col("v").cast("array<int>").alias("v"))
+        F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int").alias("part"), "id", F.col("v").cast("array<int>").alias("v"), "numerals")
+    right = right.withColumn("big", F.explode(kinds))
 
     def search(block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(block) and len(some):
-            index = SlicedBlock(block["id"].to_numpy(np.int64), np.stack(block["v"].to_numpy()).astype(np.int64))
-            for own, v in zip(some["id"].tolist(), some["v"]):
-                query = np.asarray(v, np.int64)
-                key = zlib.crc32(query.tobytes())
+            index = SlicedBlock(block["id"].to_numpy(np.int64), np.stack([integers(*r) for r in zip(block["v"], block["numerals"])]))
+            for own, v, numerals in zip(some["id"].tolist(), some["v"], some["numerals"]):
+                query = integers(v, numerals)
+                key = zlib.crc32(query.tobytes() if numerals is None else ",".join(numerals).encode())
                 out += [(own, key, vec, score) for vec, score in index.top(own, query, k)]
         return pd.DataFrame(out, columns=["query_id", "key", "vec_id", "score"])
-    keys = ("dim", "block", "part")
+    keys = ("dim", "big", "block", "part")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
         search, "query_id long, key long, vec_id long, score long")
     best = W.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")

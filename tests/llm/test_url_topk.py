@@ -111,3 +111,24 @@ def test_scores_are_sums_of_bitmaps():
 def test_top_k_without_rows(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, df).count() == 0
+
+
+def test_large_components_keep_their_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    rows += [(60, [2000000.0, 1.0, 0.0, -1.0]), (61, [-3e15, 0.5, 0.25, 2.0]), (62, [1e300, 0.0, 0.0, 0.0]), (80, [0.0, 4e6, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # Of these queries none has a score beyond a long.
+    asked = [(100, [0.0, 1.0, 0.5, 2.0]), (120, [1.0, 0.0, 0.0, 0.0]), (140, [0.0, 0.0, 5e6, 0.25])]
+    queries = spark.createDataFrame(asked[:1] + asked[2:], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.top_k(df, queries, k=70).collect()))
+    assert got == brute(rows, asked[:1] + asked[2:], 70) and len(got) == 2 * len(rows)
+    with pytest.raises(Exception):
+        topk.top_k(df, spark.createDataFrame(asked[1:2], "vec_id long, embedding array<double>"), k=70).collect()
+
+
+def test_an_id_on_many_rows_is_dealt_over_blocks(spark):
+    rows = [(7, [float(i % 3), 1.0]) for i in range(300)] + [(i, [0.5, float(i)]) for i in range(20, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(df, df.filter("vec_id = 20"), k=400, block_values=40).collect()))
+    assert got == brute(rows, [r for r in rows if r[0] == 20], 400)
