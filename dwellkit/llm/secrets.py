@@ -17,7 +17,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}(?:KEY|KEY BLOCK|CERTIFICATE))-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}(?:KEY|KEY BLOCK))-----")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 #: Kinds in the order of the report; the first three are the base.
 KINDS = ("assign", "access", "hex", "jwt", "armour", "der", "ssh")
@@ -52,18 +52,19 @@ def decoded(text: str) -> bytes | None:
 
 
 def is_der(data: bytes) -> bool:
-    """A key or certificate: a DER sequence that fills the data, whose nested lengths all fit.
+    """A private key: a DER sequence that fills the data, whose nested lengths all fit.
 
-    It must hold an integer, an object identifier or a bit or octet string of 16 bytes or more.
+    It begins with a version number (PKCS 1 and 8, SEC 1), as public keys and certificates do not, or with an
+    algorithm and an octet string only (encrypted PKCS 8); and it holds an integer or a bit or octet string of 16 bytes or more.
     """
     if len(data) < 24 or data[0] != 0x30:
         return False
-    stack, at, material, ended = [len(data)], 0, False, 0
+    stack, at, material, ended, outer = [len(data)], 0, False, 0, []
     while stack:
         if at == stack[-1]:
             stack.pop()
             continue
-        if at + 2 > stack[-1] or len(stack) > 32:
+        if at + 2 > stack[-1]:
             return False
         tag, size = data[at], data[at + 1]
         at += 2
@@ -79,6 +80,8 @@ def is_der(data: bytes) -> bool:
             return False
         if len(stack) == 1:
             ended += 1
+        elif len(stack) == 2:
+            outer.append((tag, size))
         kind = tag & 0x1F
         if kind == 0 and tag < 0x80:
             return False
@@ -87,26 +90,36 @@ def is_der(data: bytes) -> bool:
         else:
             material |= tag in (2, 3, 4) and size >= 16
             at += size
-    return ended == 1 and material
+    tags = [tag for tag, _ in outer]
+    # A version is one byte; a bare pair of integers is a public key, a signature or nothing.
+    private = outer[:1] == [(2, 1)] and (len(tags) >= 3 or tags[1:] == [4]) or tags == [0x30, 4]
+    return ended == 1 and material and private
 
 
 def is_ssh(data: bytes) -> bool:
-    """A key in wire form: fields with four-byte lengths, the first a key type, that fill the data."""
-    if data.startswith(OPENSSH):
-        data = data[len(OPENSSH):]
-        n = int.from_bytes(data[:4], "big")
-        return 0 < n <= 64 and len(data) >= 4 + n
-    at, fields = 0, []
-    while at < len(data):
-        if at + 4 > len(data):
-            return False
-        n = int.from_bytes(data[at:at + 4], "big")
-        at += 4
-        if at + n > len(data):
+    """An OpenSSH private key: cipher, derivation and its options, the number of keys, so many public keys, and the
+    private part, each of the stated length, that fill the data. Each public key begins with the name of a key type."""
+    if not data.startswith(OPENSSH):
+        return False
+    at = len(OPENSSH)
+
+    def field() -> bytes | None:
+        nonlocal at
+        start, at = at + 4, at + 4 + int.from_bytes(data[at:at + 4], "big")
+        return data[start:at] if start <= at <= len(data) else None
+    head = [field() for _ in range(3)]
+    if None in head or not head[0] or not head[1]:
+        return False
+    many, at = int.from_bytes(data[at:at + 4], "big"), at + 4
+    # A key takes four bytes at least, so that the data bound the loop.
+    if not 1 <= many <= len(data) // 4:
+        return False
+    for _ in range(many):
+        public = field()
+        if public is None or not SSH_NAME.match(public[4:4 + int.from_bytes(public[:4], "big")]):
             return False
-        fields.append(data[at:at + n] if len(fields) < 1 else b"")
-        at += n
-    return len(fields) >= 2 and bool(SSH_NAME.match(fields[0]))
+    private = field()
+    return bool(private) and at == len(data)
 
 
 def is_encrypted(headers: list[str], data: bytes) -> bool:
@@ -117,7 +130,7 @@ def is_encrypted(headers: list[str], data: bytes) -> bool:
 
 
 def is_openpgp(data: bytes) -> bool:
-    """OpenPGP packets that fill the data, the first a secret or public key of a known version."""
+    """OpenPGP packets that fill the data, the first a secret key of a known version."""
     at, first = 0, None
     while at < len(data):
         head = data[at]
@@ -140,7 +153,7 @@ def is_openpgp(data: bytes) -> bool:
             return False
         if first is None:
             first = tag
-            if tag not in (5, 6) or size < 12 or data[at] not in (2, 3, 4, 5, 6):
+            if tag != 5 or size < 12 or data[at] not in (2, 3, 4, 5, 6):
                 return False
         at += size
     return first is not None
@@ -163,13 +176,15 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_token(m[0])]
     end = 0
     if "-----BEGIN " in text:
-        for m in ARMOUR.finditer(text):
+        starts = [m for m in ARMOUR.finditer(text) if "PUBLIC" not in m[1]]
+        for m in starts:
             if m.start() < end:
                 continue
-            close = f"-----END {m[1]}-----"
-            upto = text.find(close, m.end())
+            # No further than the next beginning, so that the text is passed over once.
             following = text.find("-----BEGIN ", m.end())
-            if upto < 0 or 0 <= following < upto:
+            close = f"-----END {m[1]}-----"
+            upto = text.find(close, m.end(), following if following >= 0 else len(text))
+            if upto < 0:
                 continue
             # Header lines hold a colon, base64 never does.
             lines = [x.strip() for x in ESCAPED_END.sub("\n", text[m.end():upto]).splitlines()]

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -205,7 +206,7 @@ def test_structures_confirm():
         "\n-----END RSA PRIVATE KEY-----"
     assert "armour" in kinds(f"x {pem} y")
     assert kinds(base64.b64encode(KEY).decode()) == ["der"] and kinds(KEY.hex()) == ["der"]
-    assert kinds("ssh-ed25519 " + base64.b64encode(SSH).decode()) == ["ssh"]
+    assert kinds("ssh-ed25519 " + base64.b64encode(SSH).decode()) == []
     assert kinds(f"Bearer {JWT}, ok") == ["jwt"]
     assert kinds(url64(b"\x30" + bytes(200))) == [] and kinds("A" * 500) == [] and kinds("eyJhbGci.eyJz.x") == []
     assert kinds("-----BEGIN RSA PRIVATE KEY-----\n" * 50) == [] and kinds(base64.b64encode(KEY[:-1]).decode()) == []
@@ -218,6 +219,40 @@ def test_structures_confirm():
     assert not secrets.is_der(deep)
 
 
+def fields(*parts):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+
+def test_public_material_is_no_secret():
+    modulus = der(2, bytes(range(1, 129)))
+    name = der(0x30, der(6, bytes(9)) + der(5, b""))
+    public = der(0x30, name + der(3, b"\0" + der(0x30, modulus + der(2, b"\1\0\1"))))
+    signed = der(0x30, der(0x30, modulus + name + public) + name + der(3, bytes(129)))
+    for data in (public, signed, der(0x30, modulus + der(2, b"\1\0\1"))):
+        assert kinds(base64.b64encode(data).decode()) == [] and kinds(data.hex()) == []
+    for label in ("PUBLIC KEY", "CERTIFICATE", "PGP PUBLIC KEY BLOCK", "SSH2 PUBLIC KEY"):
+        assert "armour" not in kinds(armour(label, KEY))
+    eight = der(0x30, der(2, b"\0") + name + der(4, KEY))
+    locked = der(0x30, name + der(4, bytes(range(64))))
+    for data in (eight, locked):
+        assert kinds(base64.b64encode(data).decode()) == ["der"] and "armour" in kinds(armour("PRIVATE KEY", data))
+
+
+def test_openssh_keys_are_read_to_the_end():
+    key = secrets.OPENSSH + fields(b"none", b"none", b"") + (1).to_bytes(4, "big") + fields(SSH, bytes(range(136)))
+    assert secrets.is_ssh(key) and "armour" in kinds(armour("OPENSSH PRIVATE KEY", key))
+    assert not any(map(secrets.is_ssh, (key[:-1], key + b"x", secrets.OPENSSH + bytes(20), secrets.OPENSSH + fields(b"none") + b"junk" * 3, b"")))
+    many = secrets.OPENSSH + fields(b"none", b"none", b"") + b"\xff" * 4
+    assert not secrets.is_ssh(many)
+
+
+def test_many_beginnings_take_linear_time():
+    text = "-----BEGIN RSA PRIVATE KEY-----\n" * 32000 + armour("RSA PRIVATE KEY", KEY)
+    at = time.process_time()
+    assert [k for k in kinds(text) if k == "armour"] == ["armour"]
+    assert time.process_time() - at < 5
+
+
 def armour(label, data, between="\n", headers=(), tail=()):
     lines = re.findall(".{1,64}", base64.b64encode(data).decode())
     return between.join([f"-----BEGIN {label}-----", *headers, *lines, *tail, f"-----END {label}-----"])
