@@ -27,8 +27,8 @@ from dwellkit.session import materialized
 #: Kinds in the order of the report; ``term`` is added by the method.
 KINDS = ("email", "ip", "card", "phone", "term")
 THRESHOLD = 0.9
-#: Different texts that must hold a pair: one text, however often copied, tells nothing of what goes together.
-MIN_TEXTS = 2
+#: Different texts that must hold a pair. All copies of a text are one text, and one text counts.
+MIN_TEXTS = 1
 #: Bits of the map of hashes with copies: one MB.
 COPY_BITS = 1 << 23
 #: Different terms that a task holds before it hands their counts on.
@@ -170,22 +170,23 @@ def once_each(docs: DataFrame, scanned: DataFrame, text_col: str = "text") -> Da
 
 def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD, min_texts: int = MIN_TEXTS,
                text_col: str = "text") -> DataFrame:
-    """(entity, term): terms that give away at least ``threshold`` of the entity's information.
+    """(h, term): the terms of each text, by its hash, that give away at least ``threshold`` of one of its entities.
 
-    All counts are of different texts (by hash), so neither copies nor identifiers matter. The texts with
-    entities bound n(t) from below, so most pairs fall before all texts are counted.
+    All counts are of different texts (by hash), so neither copies nor identifiers matter. A term reveals an
+    entity only if n(t) <= n(t, e) (N / n(e)) ** (1 - threshold), and n(t, e) is n(e) at most: so terms that are
+    frequent for the entities of their text fall before any pair is made. A term of one text alone reveals each
+    entity of it that not every text holds, and needs no pair either.
     """
     texts = materialized(scanned.filter(F.size("entities") > 0).groupBy("h").agg(
         F.first("entities").alias("entities"), F.first("terms").alias("terms")))
-    held = texts.select(F.explode("entities").alias("_entity")).groupBy("_entity").agg(F.count(F.lit(1)).alias("ne"))
-    least = texts.select(F.explode("terms").alias("_term")).groupBy("_term").agg(F.count(F.lit(1)).alias("nt"))
-    pairs = (texts.select(F.explode("entities").alias("entity"), "terms").select("entity", F.explode("terms").alias("term"))
-             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_texts))
-    total = scanned.select(F.count_distinct("h").alias("n")).scalar()
-    info = F.log(total / F.col("ne"))
-    told = (F.col("ne") < total) & (F.log(F.col("_n") / F.col("nt")) + info >= F.lit(threshold) * info)
-    pairs = materialized(pairs.join(held, F.col("entity") == F.col("_entity")).join(least, F.col("term") == F.col("_term"))
-                         .filter(told).select("entity", "term", "_n", "ne"))
+    total = scanned.select(F.count_distinct("h")).first()[0]
+
+    def most(ne: Column) -> Column:
+        # A little more than the bound: the exact test follows.
+        return ne * F.pow(F.lit(total) / ne, F.lit(1 - threshold)) * F.lit(1 + 1e-9)
+    held = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("ne"))
+    owned = materialized(texts.select("h", F.explode("entities").alias("entity")).join(held, "entity").filter(F.col("ne") < total)
+                         .groupBy("h").agg(F.collect_list(F.struct("entity", "ne")).alias("owns"), F.max(most(F.col("ne"))).alias("most")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
@@ -198,7 +199,17 @@ def disclosing(docs: DataFrame, scanned: DataFrame, threshold: float = THRESHOLD
         yield pd.DataFrame(list(found.items()), columns=["_term", "n"])
     counts = (once_each(docs, scanned, text_col).mapInPandas(count, "_term string, n long")
               .groupBy("_term").agg(F.sum("n").alias("nt")))
-    return pairs.join(counts, F.col("term") == F.col("_term")).filter(told).select("entity", "term")
+    rare = materialized(texts.join(owned, "h").select("h", "most", F.explode("terms").alias("term"))
+                        .join(counts, F.col("term") == F.col("_term")).filter("nt <= most").select("h", "term", "nt"))
+    alone = F.col("nt") == 1 if min_texts <= 1 else F.lit(False)
+    possible = F.filter("owns", lambda o: F.col("nt") <= most(o["ne"]))
+    pairs = materialized(rare.filter(~alone).join(owned, "h").select("h", "term", "nt", F.explode(possible).alias("_o"))
+                         .select("h", "term", "nt", "_o.*"))
+    info = F.log(F.lit(total) / F.col("ne"))
+    told = (pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"), F.first("nt").alias("nt"), F.first("ne").alias("ne"))
+            .filter((F.col("n") >= min_texts) & (F.log(F.col("n") / F.col("nt")) + info >= F.lit(threshold) * info)))
+    told = told.select("entity", "term")
+    return rare.filter(alone).select("h", "term").unionByName(pairs.join(told, ["entity", "term"]).select("h", "term")).distinct()
 
 
 def term_spans(text_col: str, told_col: str) -> Column:
@@ -220,13 +231,12 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD, min_texts: int = MIN
 
     ``spans`` lists kind:start:end (code points, end exclusive): the base ones, then every
     occurrence of the terms that disclose an entity of the text. Null and empty texts have none.
-    Repeated rows each give a row; all texts enter the counts, once each, and are read whole.
+    Repeated rows each give a row; all texts enter the counts, once each, and are read whole. Other columns
+    are not read; an empty table gives an empty result.
     """
     scanned = materialized(scan(docs, id_col, text_col))
-    pairs = disclosing(docs, scanned, threshold, min_texts, text_col).groupBy("entity").agg(F.collect_list("term").alias("_told"))
-    owners = scanned.select("h", F.explode("entities").alias("_e")).distinct()
-    told = owners.join(pairs, F.col("_e") == F.col("entity")).groupBy(F.col("h").alias("_h")).agg(
-        F.array_distinct(F.flatten(F.collect_list("_told"))).alias("_told"))
+    # A list per text, of its own terms.
+    told = disclosing(docs, scanned, threshold, min_texts, text_col).groupBy(F.col("h").alias("_h")).agg(F.collect_list("term").alias("_told"))
     out = scanned.drop("terms", "entities").join(told, F.col("h") == F.col("_h"), "left")
     return out.select("id", "h", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.concat_ws(
         ",", F.when(F.col("base") != "", F.col("base")), term_spans("held", "_told")).alias("spans"))

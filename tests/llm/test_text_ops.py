@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import json
+import math
+import random
 import re
 import time
 from collections import Counter
@@ -342,7 +344,7 @@ def test_pii_queries_against_slow_patterns(spark):
 def test_terms_that_reveal_are_found(spark):
     rows = [(i, f"number{'abcdefghijklmnopqrstuvwxyz'[i % 26]} common words Zorblax writes to ann@mail.org from common places {i}") for i in range(8)]
     rows += [(100 + i, "common words without anything") for i in range(50)]
-    # Copies of one document are one surrounding and reveal nothing.
+    # Copies of one document are one surrounding, which counts once.
     rows += [(200 + i, "Quixotl mails to bob@mail.org today") for i in range(9)]
     rows += [(300, None), (301, ""), (None, "Zorblax to ann@mail.org"), (302, "bob@mail.org alone"), (302, "bob@mail.org alone")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -352,7 +354,10 @@ def test_terms_that_reveal_are_found(spark):
     at = text.index("Zorblax")
     spans = dict(got)[0].split(",")
     assert f"term:{at}:{at + 7}" in spans and f"term:{text.index('common')}:{text.index('common') + 6}" not in spans
-    assert all("term" not in s for i, s in got if i is not None and 100 <= i)
+    assert all("term" not in s for i, s in got if i is not None and (100 <= i < 200 or i in (300, 301)))
+    assert {s for i, s in got if i is not None and 200 <= i < 300} == {"email:17:29,term:0:7,term:8:13,term:30:35"}
+    pairs = {r["id"]: r["spans"] for r in pii.find_pii(df, min_texts=2).collect()}
+    assert all("term" not in s for i, s in pairs.items() if i is not None and 100 <= i) and f"term:{at}:{at + 7}" in pairs[0].split(",")
     assert found.count() == len(rows)
     clean = pii.sanitised(df, found)
     texts = [(r["doc_id"], r["text"]) for r in clean.collect()]
@@ -368,6 +373,47 @@ def told_terms(rows, found):
             for r in found for t in [dict((i, x) for i, x in rows)[r["id"]]]]
 
 
+def slow_told(texts, threshold=0.9):
+    """For each different text the terms that reveal one of its entities, from plain counts of all pairs."""
+    found = {}
+    for text in set(texts):
+        base = pii.base_spans(text)
+        found[text] = ({pii.entity(k, text[a:b]) for a, b, k in base}, {t for _, _, t in pii.terms(text, base)})
+    n_e = Counter(e for es, _ in found.values() for e in es)
+    n_t = Counter(t for _, ts in found.values() for t in ts)
+    n_te = Counter((e, t) for es, ts in found.values() for e in es for t in ts)
+
+    def tells(e, t):
+        info = math.log(len(found) / n_e[e])
+        return n_e[e] < len(found) and math.log(n_te[e, t] / n_t[t]) + info >= threshold * info
+    return {text: {t for t in ts if any(tells(e, t) for e in es)} for text, (es, ts) in found.items()}
+
+
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01", "made"])
+def test_disclosed_terms_against_plain_counts(spark, table):
+    if table == "made":
+        rng = random.Random(3)
+
+        def letters(n):
+            return "".join("abcdefghij"[int(c)] for c in str(n))
+        texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 3) for _ in range(rng.randint(0, 12)))
+                 + "".join(f" {x}@mail.org" for x in "pqr" if rng.random() < 0.2)
+                 + "".join(f" {x}{letters(i // n)}" for x, n in (("k", 2), ("l", 5), ("m", 9)) if rng.random() < 0.8)
+                 + (f" u{i // 3}@mail.org" if rng.random() < 0.6 else "") for i in range(300)]
+        df = spark.createDataFrame(list(enumerate(texts + texts[:50])), "doc_id long, text string")
+    else:
+        df = spark.read.parquet(f"/root/testdata/{table}/documents.parquet").select("doc_id", "text")
+    text_of = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    want = slow_told(text_of.values())
+    marked = 0
+    for r in pii.find_pii(df).collect():
+        text = text_of[r["id"]]
+        got = {s for s in r["spans"].split(",") if s.startswith("term")}
+        assert got == {f"term:{a}:{b}" for a, b, t in pii.terms(text, pii.base_spans(text)) if t in want[text]}
+        marked += bool(got)
+    assert marked > 0 or table == "sf0.001"
+
+
 @pytest.mark.parametrize("ids", ["own", "null", "doubled"])
 def test_counts_stand_null_ids_and_repeated_rows(spark, ids):
     rows = [(i, f"Zorblax{chr(32)}word{'abcdefgh'[i]} ann@mail.org") for i in range(4)]
