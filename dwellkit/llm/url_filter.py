@@ -87,7 +87,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str =
     with the longer host. ``listed``: one column url. Without a rule a URL is blocked if its
     canonical form (host and path) is that of a listed one, else allowed. A null URL, or one
     without ``://``, has an empty host and path, and no rule or listed URL fits it. Repeated
-    pages give repeated rows. Rules and lists may be empty or hold nulls, which fit nothing.
+    pages give repeated rows. Rules and lists may be empty or hold nulls, which fit nothing. Columns of ``pages``
+    named host, path, rule or verdict are replaced; all others stay, whatever their names.
     """
     # A verdict depends on the URL alone, so each is judged once, however many rows share it.
     urls = pages.select(F.col(url_col).alias("url")).distinct().filter(F.col("url").contains("://"))
@@ -112,9 +113,11 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str =
     best = found.groupBy("url").agg(F.max(F.struct(
         (F.col("kind") == "rule").alias("is_rule"), F.char_length("key").alias("n"), F.col("_reach").alias("reach"),
         F.col("key").alias("key"), F.col("_verdict").alias("verdict"))).alias("_b")).withColumnRenamed("url", "_url")
-    out = pages.join(best, F.col(url_col) == F.col("_url"), "left")
+    # One column, so that no name of the pages meets one of the join's.
+    out = pages.select(F.struct("*").alias("_row")).join(best, F.col("_row")[url_col] == F.col("_url"), "left")
+    url = F.col("_row")[url_col]
     return out.select(
-        *[pages[c] for c in pages.columns if c not in ("host", "path", "rule", "verdict")],
-        host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"),
+        *[F.col("_row")[c].alias(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict")],
+        host_of(url).alias("host"), path_of(url).alias("path"),
         F.when(F.col("_b.is_rule"), F.col("_b.key")).alias("rule"),
         F.coalesce(F.col("_b.verdict"), F.lit("allow")).alias("verdict"))

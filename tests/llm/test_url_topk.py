@@ -50,6 +50,16 @@ def test_verdicts_by_brute_force(spark, blocks):
         sorted((str(i), *(str(x) if n == 2 else x for n, x in enumerate(verdict(u, RULES, LISTED)))) for i, u, _ in rows)
 
 
+def test_clashing_columns_stay(spark):
+    names = ["_url", "_b", "_row", "key", "kind", "verdict"]
+    pages = spark.createDataFrame([(1, URLS[0])], "page_id long, url string").select("*", *[F.lit("x").alias(c) for c in names])
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    got = url_filter.judge(pages, rules, spark.createDataFrame([(u,) for u in LISTED], "url string"))
+    assert got.columns == ["page_id", "url", *names[:-1], "host", "path", "rule", "verdict"]
+    row = got.first()
+    assert [row[c] for c in names[:-1]] == ["x"] * 5 and row["verdict"] == verdict(URLS[0], RULES, LISTED)[3]
+
+
 def test_no_rules_no_list_no_pages(spark):
     pages = spark.createDataFrame([(1, URLS[0])], "page_id long, url string")
     rules = spark.createDataFrame([], "host string, path string, verdict string")
