@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,14 +27,27 @@ BLOCKS = ("address", "article", "aside", "blockquote", "body", "caption", "cente
           "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 ARTICLE = ("article", "main")
-#: Words in class, id or role that mark a part of a page as no content.
+#: Words in class, id or role that mark a part of a page as no content, if the whole name is made of them and of ``PLACES``.
 MARKS = ("ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments",
          "cookie", "consent", "disclaimer", "disqus", "footer", "header", "masthead", "menu", "nav", "navbar", "navigation", "newsletter",
          "notice", "popup", "promo", "promoted", "related", "share", "sharing", "sidebar", "social", "sponsor",
          "sponsored", "subscribe", "toolbar", "widget")
-
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+#: Words that say only where or how large a part is: ``site-footer`` is a footer, but ``has-sidebar``, ``related-work``
+#: and ``article-header`` say something else about what they hold.
+PLACES = ("area", "bar", "block", "bottom", "box", "buttons", "container", "content", "fixed", "global", "icons", "inner", "left", "links", "list",
+          "main", "page", "panel", "posts", "right", "section", "site", "slot", "sticky", "top", "wrap", "wrapper")
+#: Elements whose end tag may be left out, with those that end them.
+IMPLIED_END = {"p": BLOCKS, "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
+               "td": ("td", "th", "tr"), "th": ("td", "th", "tr")}
+
+BEGIN = re.compile(r"<(?:/?[A-Za-z]|[!?/])")
+# Possessive, so that a tag is tried in one way from its beginning.
+_NAME, _REST = r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)", r"<!--.*?(?:-->|\Z)|{}|<(?:[!?]|/(?![A-Za-z]))[^>]*+>"
+TOKEN = re.compile(_REST.format(_NAME + r"((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"), re.S)
+#: The same where a quote is never closed: a tag then ends at the first ``>``.
+UNQUOTED = re.compile(_REST.format(_NAME + r"([^>]*+)>"), re.S)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+LABEL = re.compile("<(?:article|main)", re.I)
 NAME_PART = re.compile(r"[A-Za-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -43,7 +57,7 @@ PRIOR_WORD, PRIOR_TAG, PRIOR_TOKENS = 1.0, -3.0, 4.0
 INLINE_TAG = -0.01
 PROSE = ("a abbr b bdi bdo big blockquote br cite code del dfn em font h1 h2 h3 h4 h5 h6 i img ins kbd mark p pre q rp rt ruby s samp small "
          "span strike strong sub sup time tt u var wbr").split()
-_RAW, _BOILER, _BLOCK, _VOID, _ARTICLE, _MARKS = map(frozenset, (RAW, BOILERPLATE, BLOCKS, VOID, ARTICLE, MARKS))
+_RAW, _BOILER, _BLOCK, _VOID, _ARTICLE, _MARKS, _PLACES = map(frozenset, (RAW, BOILERPLATE, BLOCKS, VOID, ARTICLE, MARKS, PLACES))
 _KNOWN = _RAW | _BOILER | _BLOCK | _VOID | frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output picture progress q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var".split())
@@ -54,11 +68,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
     Names outside the standard are given as ``other``, so the weights are a short table.
     """
-    at, end = 0, len(page)
+    at, end, tag = 0, len(page), TOKEN
     while at < end:
-        m = TOKEN.search(page, at)
+        begin = BEGIN.search(page, at)
+        m = tag.match(page, begin.start()) if begin else None
+        if begin and m is None and tag is TOKEN:
+            # A quote is never closed; from here on quotes are not looked at, so only one tag is read in vain.
+            tag = UNQUOTED
+            m = tag.match(page, begin.start())
         if m is None:
-            yield "text", "", page[at:]
+            # No tag ends behind this place.
+            yield "text", "", page[at:].partition("<!--")[0]
             return
         if m.start() > at:
             yield "text", "", page[at:m.start()]
@@ -76,10 +96,17 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         yield ("close" if m[1] else "open"), name, m[3] or ""
 
 
+@lru_cache(maxsize=4096)
+def _mark(name: str) -> bool:
+    parts = {part.lower() for part in NAME_PART.findall(name)}
+    return bool(parts & _MARKS) and parts <= _MARKS | _PLACES
+
+
 def marked(attributes: str) -> bool:
+    """Whether one of the names in class, id or role is made of ``MARKS`` and ``PLACES``, with a mark among them."""
     if "=" not in attributes:
         return False
-    return any(part.lower() in _MARKS for a in ATTRIBUTE.findall(attributes) for part in NAME_PART.findall("".join(a)))
+    return any(_mark(name) for a in ATTRIBUTE.findall(attributes) for name in "".join(a).split())
 
 
 class Scanner:
@@ -89,21 +116,31 @@ class Scanner:
         self.skip, self.depth, self.article, self.seen = "", 0, 0, False
 
     def step(self, kind: str, name: str, attributes: str) -> bool:
-        """Whether the token belongs to boilerplate; the body and the first article end an unclosed part."""
+        """Whether the token belongs to boilerplate; the body and the first article end an unclosed part.
+
+        A part whose end tag may be left out also ends at the next element that ends it and with its parent.
+        """
         if self.skip:
+            implied = self.skip in IMPLIED_END
             if kind == "open":
                 if name == "body" or name in _ARTICLE and not self.seen:
                     self.skip = ""
-                elif name == self.skip and name not in _VOID:
+                elif implied and self.depth == 1 and name in IMPLIED_END[self.skip]:
+                    self.skip = ""
+                elif (name in _BLOCK and name not in IMPLIED_END if implied else name == self.skip) and name not in _VOID:
                     self.depth += 1
             elif kind == "close":
-                if name == self.skip:
+                if name == self.skip and (not implied or self.depth == 1):
                     self.depth -= 1
                     if not self.depth:
                         self.skip = ""
                         return True
                 elif name in ("body", "html") or name in _ARTICLE and self.article:
                     self.skip = ""
+                elif implied and name in _BLOCK and name not in IMPLIED_END:
+                    self.depth -= 1
+                    if not self.depth:
+                        self.skip = ""
             if self.skip:
                 return True
         if name in _ARTICLE:
@@ -139,7 +176,7 @@ def prior(feature: str) -> float:
 
 def count_tokens(page: str, found: Counter) -> None:
     """Adds (feature, inside the labelled article or not) counts of a page that has such a label."""
-    if "<article" not in page and "<main" not in page:
+    if not LABEL.search(page):
         return
     scan, inside = Scanner(), 0
     for kind, name, text in tokens(page):
@@ -222,7 +259,8 @@ def fit(pages: DataFrame, html_col: str = "html") -> dict[str, float]:
 def extract(weight: dict[str, float], html_col: str = "html") -> Column:
     """The main text of each page: empty for null, for empty and for pages without words.
 
-    Repeated pages give repeated results; a page of any length is read once, in linear time.
+    Repeated pages give repeated results, an empty table an empty one; of equal runs the first is taken. No other
+    column is read. A page of any length is read once, in linear time; a tag whose quotes never close ends at the first ``>``.
     """
     @F.pandas_udf("string")
     def of(pages: pd.Series) -> pd.Series:
