@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled rows that the fit reads for each language, about; beyond it a hash-chosen share is read.
+#: Different labelled texts that the fit reads of each language, about; beyond it a hash-chosen share is read.
 ROWS_PER_LANG = 4000
 MAX_LANGS = 512
 SMOOTHING = 0.5
@@ -84,23 +84,28 @@ class Model:
 def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, buckets: int = BUCKETS) -> Model:
     """Learn from the rows of ``docs`` (text, lang) whose lang is not null.
 
-    At most about ``rows_per_lang`` rows of a language are read (all if there are fewer): a share of
-    the rows by hash of the text. The counts are buckets x languages numbers; more than
+    Each different text counts once. About ``rows_per_lang`` texts of a language are read (all if there are fewer):
+    those with the smallest hashes, so that copies neither fill the sample nor keep others out of it. The
+    counts are buckets x languages numbers; more than
     ``MAX_LANGS`` languages are an error. Without labelled rows every prediction is ``und``.
     """
     known = docs.select(F.coalesce("text", F.lit("")).alias("text"), "lang").filter(F.col("lang").isNotNull())
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()
+    sizes = (known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("texts"))
+             .orderBy("lang").limit(MAX_LANGS + 1).collect())
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs = [r["lang"] for r in sizes]
     if not langs:
         return Model([], np.zeros((buckets, 0)), np.zeros(0))
-    share = {r["lang"]: min(1.0, rows_per_lang / r["n"]) for r in sizes}
     number = {lang: i for i, lang in enumerate(langs)}
     pick = F.lit(False)
-    for lang, part in share.items():
-        pick = pick | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(part * (1 << 20))))
-    sample = known.filter(pick)
+    for r in sizes:
+        mine = F.col("lang") == r["lang"]
+        if r["texts"] > rows_per_lang:
+            # A share of 63 bits, which no number of texts brings down to nothing.
+            mine &= F.shiftrightunsigned(F.xxhash64("text"), 1) < (rows_per_lang << 63) // r["texts"]
+        pick |= mine
+    sample = known.filter(pick).dropDuplicates(["lang", "text"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = {}

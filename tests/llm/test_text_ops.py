@@ -67,6 +67,18 @@ def test_language_edges(spark):
     assert langid.accepted(df.filter("false"), model).count() == 0
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    said = {"en": "the cat and the dog", "de": "der hund und die katze"}
+    rows = [(said["en"], "en")] * 2000 + [(f"{text} {i}", lang) for lang, text in said.items() for i in range(1000)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), rows_per_lang=200)
+    for lang, text in said.items():
+        assert model.score(text)[0] == lang
+        # About as many texts as asked for, each once.
+        grams = sum(len(g) for g in langid.gram_slices(langid._codes(text + " 1"), langid.BUCKETS))
+        learned = (math.exp(-float(model.logp.min(0)[model.langs.index(lang)])) - langid.BUCKETS) * langid.SMOOTHING
+        assert 140 < learned / grams < 260
+
+
 def test_prediction_is_naive_bayes():
     counts = np.zeros((1 << 12, 2))
     for n, text in enumerate(["aab aab", "bba"]):
@@ -138,12 +150,37 @@ BODY = "<p>" + "word " * 30 + "</p>"
      ("word " * 30).strip() + "\ntail"),
     ("<!-- <p>no</p> --><p>one two three</p><style>p{}</style>", "one two three"),
     (f"<div class='sidebar'><p>{'links ' * 40}</p></div><main>{BODY}</main>", ("word " * 30).strip()),
+    *[(f"{before}<article>{BODY}{part}<p>{'end ' * 50}</p></article>{after}", ("word " * 30).strip() + f"\n{said}" + ("end " * 50).strip())
+      for before, part, said, after in [
+          ("", "<section id='related-work'><p>others did so</p></section>", "others did so\n", ""),
+          ("", "<h2 id='social-history'>How it was</h2>", "How it was\n", ""),
+          ("", "<div class='article-header'><h1>Title</h1></div>", "Title\n", ""),
+          ("", "<div class='menu-item'>soup and bread</div>", "soup and bread\n", ""),
+          ("<div class='has-sidebar'>", "", "", "</div>"), ("<div class='no-comments'>", "", "", "</div>"),
+          ("", "<p class='notice'>read this first", "", ""), ("", "<ul><li class='ad'>buy<ul><li>now</ul><li>an item</ul>", "an item\n", ""),
+          ("", "<p class='notice'>read <b>this</b> first<div>a part</div>", "a part\n", ""),
+          ("", "<div class='site-footer wide'>all rights</div><table><tr><td class='ad'>buy<td>a cell</table>", "a cell\n", "")]],
+    ("<p>one two</p><i title=\"x>three</i> 'four' <b>five", "one two\nthree 'four' five"), ("<p>one two <a title='", "one two <a title='"),
     ("<p>unclosed <b>bold", "unclosed bold"), ("< 3 and <> 4 <p>x", "< 3 and <> 4\nx"), ("<p title='a>b'>t</p>", "t"),
 ])
 def test_content_by_hand(page, want):
     assert html_extract.content(page, WEIGHT) == want
 
 
+@pytest.mark.parametrize("page", ["<a " * 400_000, "<a '" * 300_001 + ">", "<a \"x" * 300_001 + "'>", "<" + "a" * 1_000_000 + "\">",
+                                  "<!--" * 300_000, "</" * 500_000, "<p class=ad>" * 100_000, "<a b=\"" * 150_000 + "<!-- '>" * 100_001])
+def test_hostile_pages_take_linear_time(page):
+    at = time.monotonic()
+    html_extract.content(page, WEIGHT)
+    assert time.monotonic() - at < 5
+
+
+def test_labels_in_upper_case_count():
+    found = Counter()
+    html_extract.count_tokens("<ARTICLE><P>one two</P></ARTICLE>", found)
+    assert found["word", True] == 2
+
+
 def test_best_run_is_the_maximum():
     page = "".join(f"<p>{'w ' * n}</p><li><a>{'v ' * m}</a></li>" for n, m in [(3, 1), (40, 2), (1, 9), (25, 1), (2, 30)])
     scores, words, scan = [], [], html_extract.Scanner()
