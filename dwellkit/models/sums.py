@@ -46,5 +46,6 @@ def keyed_sums(rows: DataFrame, keys: dict[str, str], contribution: Callable[[pd
 
     partial = rows.mapInPandas(run, schema)
     vectors = partial.select(*names, array_to_vector("v").alias("v"))
-    total = vectors.groupBy(*names).agg(Summarizer.sum(F.col("v")).alias("v"))
+    # Without keys one constant, as Spark's vector sum fails on no rows at all.
+    total = vectors.groupBy(*(names or [F.lit(0).alias("_all")])).agg(Summarizer.sum(F.col("v")).alias("v"))
     return {tuple(r[n] for n in names): r["v"].toArray() for r in total.collect()}

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dwellkit.functions.numeric import nan_to_null, safe_div
+from dwellkit.models.sums import assemble, keyed_sums, matrix
 from dwellkit.operators.running import exact_quantiles
 
 
@@ -132,12 +134,41 @@ def corr_with_target(df: DataFrame, columns: list[str], target: str, min_n: int
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of each unordered column pair, one pass for all."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    one = df.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)]
-    return one.select(F.explode(F.array(*rows)).alias("_r")).select("_r.*")
+    """Pearson correlation of each unordered column pair over the rows that hold both, in one pass for all.
+
+    Sums of all pairs are products of a batch's matrix with itself, so the plan is the same for any number of
+    columns and the driver receives 4 k x k numbers. NaN is missing; NULL where fewer than two rows hold both or one does not vary.
+    """
+    k = len(columns)
+    x = df.select(F.array(*[nan_to_null(F.col(c).cast("double")) for c in columns]).alias("x"))
+    mean = _means(x, k)
+
+    def sums(batch):
+        values = matrix(batch["x"])
+        held = ~np.isnan(values)
+        present, shifted = held.astype(float), np.where(held, values - mean, 0.0)
+        return {(): np.concatenate([(present.T @ present).ravel(), (shifted.T @ present).ravel(),
+                                    ((shifted * shifted).T @ present).ravel(), (shifted.T @ shifted).ravel()])}
+    total = keyed_sums(x, {}, sums).get((), np.zeros(4 * k * k))
+    n, sx, sxx, sxy = total.reshape(4, k, k)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        # Row: the column itself, over the rows that the other one holds.
+        spread = sxx - sx * sx / n
+        varies = spread > n * (1e-13 * np.abs(mean))[:, None] ** 2
+        r = (sxy - sx * sx.T / n) / np.sqrt(spread * spread.T)
+        known = (n >= 2) & varies & varies.T
+    rows = [(columns[i], columns[j], float(r[i, j]) if known[i, j] else None) for i in range(k) for j in range(i + 1, k)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+
+
+def _means(rows: DataFrame, k: int) -> np.ndarray:
+    """Mean of each place of the arrays ``x``, 0 where no row holds it."""
+    def sums(batch):
+        values = matrix(batch["x"])
+        held = ~np.isnan(values)
+        return {(): np.concatenate([held.sum(0), np.where(held, values, 0.0).sum(0)])}
+    n, total = keyed_sums(rows, {}, sums).get((), np.zeros(2 * k)).reshape(2, k)
+    return total / np.maximum(n, 1)
 
 
 def slope_last_k(df: DataFrame, keys: list[str], season: str, value: str, k: int = 3) -> DataFrame:
@@ -173,29 +204,22 @@ def two_group_ratio(rollup: DataFrame, top: str, bottom: str) -> DataFrame:
     return rollup.agg(safe_div(mean_of(top), mean_of(bottom)).alias("ratio"))
 
 
-def moments(df: DataFrame, columns: list[str]) -> tuple[int, "list", "list"]:
-    """(n, means, covariance) of complete rows by one pass of plain sums (k x k values)."""
-    import numpy as np
-
+def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, means, covariance) of complete rows: k x k sums, each batch's as one matrix product."""
     k = len(columns)
-    rows = df.select(*[F.col(c).cast("double") for c in columns]).dropna()
+    rows = assemble(df, columns, {})
     # Shift by the overall mean first so that the sums stay well conditioned.
-    mean = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in columns]).first()
-    n = mean["n"]
-    mu = np.array([mean[c] if mean[c] is not None else 0.0 for c in columns])
-    idx = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = rows.agg(*[F.sum((F.col(columns[i]) - float(mu[i])) * (F.col(columns[j]) - float(mu[j])))
-                      .alias(f"_{i}_{j}") for i, j in idx]).first()
-    cov = np.zeros((k, k))
-    for i, j in idx:
-        cov[i, j] = cov[j, i] = (sums[f"_{i}_{j}"] or 0.0) / max(n, 1)
-    return n, mu, cov
+    mean = _means(rows, k)
+
+    def sums(batch):
+        values = matrix(batch["x"]) - mean
+        return {(): np.concatenate([[len(values)], (values.T @ values).ravel()])}
+    total = keyed_sums(rows, {}, sums).get((), np.zeros(1 + k * k))
+    return int(total[0]), mean, total[1:].reshape(k, k) / max(total[0], 1.0)
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     """Variance inflation 1 / (1 - R^2) per column: the diagonal of the inverse correlation."""
-    import numpy as np
-
     _, _, cov = moments(df, columns)
     sd = np.sqrt(np.diag(cov))
     sd[sd == 0] = 1.0

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Length of the substrings that names are indexed by.
+GRAM = 3
+
 
 def lookup_default(df: DataFrame, dim: DataFrame, on: list[str], value: str, default) -> DataFrame:
     """Equality lookup with a default for missing keys."""
@@ -72,23 +75,47 @@ def learned_mapping(pairs: DataFrame, name: str, code: str, n: str) -> DataFrame
             .select(name, F.col("_b.c").alias(code), (-F.col("_b.m")).alias("support")))
 
 
+def _grams(text: str, lengths: Column) -> Column:
+    """The different substrings of ``text`` of the given lengths (an array), each once."""
+    def of(n):
+        last = F.length(text) - n + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substring(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(lengths, of)))
+
+
+def containing(tokens: DataFrame, token: str, names: DataFrame, name: str) -> DataFrame:
+    """(token, _found): the smallest name that contains each token, letter case aside.
+
+    An index lists the names of every substring of up to ``GRAM`` characters, a few rows per character
+    of a name whatever its length. A token asks for the rarest of its own and the names found
+    there are compared in full; names travel by hash until then. Null and empty tokens find nothing.
+    """
+    asked = tokens.select(F.lower(token).alias("_token")).filter(F.length("_token") > 0).distinct()
+    held = names.select(F.col(name).alias("_found"), F.lower(name).alias("_low")).filter(F.col("_low").isNotNull()).distinct()
+    every = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
+    index = held.select(F.xxhash64("_found").alias("_h"), F.explode(_grams("_low", every)).alias("_gram"))
+    sizes = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    longest = F.array(F.least(F.length("_token"), F.lit(GRAM)))
+    rarest = (asked.select("_token", F.explode(_grams("_token", longest)).alias("_gram")).join(sizes, "_gram", "left")
+              .groupBy("_token").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_r"))
+              .filter("_r.n > 0").select("_token", F.col("_r.gram").alias("_gram")))
+    found = (rarest.join(index, "_gram").select("_token", "_h").join(held.withColumn("_h", F.xxhash64("_found")), "_h")
+             .filter(F.col("_low").contains(F.col("_token"))))
+    return found.groupBy("_token").agg(F.min("_found").alias("_found")).withColumnRenamed("_token", token)
+
+
 def exact_then_substring(df: DataFrame, name: str, dim: DataFrame, dim_name: str,
                          values: dict[str, object]) -> DataFrame:
     """Exact name match, else the first dimension name that contains the last token, else defaults.
 
-    Only names without an exact match take the second step. A dimension name is expanded to
-    its substrings, so containment becomes an equality join; the smallest name wins.
+    Only names without an exact match take the second step (see ``containing``); the smallest name wins.
     """
-    low = F.lower(dim_name)
     names = df.select(name).distinct()
     exact = names.join(dim.select(F.col(dim_name).alias(name)), name, "left_semi")
     rest = (names.join(exact, name, "left_anti")
-            .withColumn("_token", F.lower(F.element_at(F.split(name, " "), -1))))
-    starts = F.explode(F.sequence(F.lit(1), F.length(low)))
-    parts = (dim.select(F.col(dim_name).alias("_found"), low.alias("_low"), starts.alias("_s"))
-             .withColumn("_len", F.explode(F.sequence(F.lit(1), F.length("_low") - F.col("_s") + 1)))
-             .select("_found", F.expr("substring(_low, _s, _len)").alias("_token")).distinct())
-    near = (rest.join(parts, "_token").groupBy(name).agg(F.min("_found").alias("_found")))
+            .withColumn("_last", F.lower(F.element_at(F.split(name, " "), -1))))
+    near = rest.join(containing(rest, "_last", dim, dim_name), "_last").select(name, "_found")
     matched = (exact.withColumn("_found", F.col(name)).withColumn("match_kind", F.lit("exact"))
                .unionByName(near.withColumn("match_kind", F.lit("token"))))
     d = dim.select(F.col(dim_name).alias("_found"), *values)
