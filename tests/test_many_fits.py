@@ -172,3 +172,19 @@ def test_shuffles_with_an_empty_or_a_full_group(spark, first):
     diffs = [r["diff"] for r in rs.permutation_diffs(df, "id", "v", F.col("f"), 3, 5).collect()]
     assert diffs == ([0.0] * 3 if first == 1 else [None] * 3)
     assert rs.permutation_diffs(df.limit(0), "id", "v", F.col("f"), 3, 5).filter("diff IS NOT NULL").count() == 0
+
+
+def test_the_hashes_of_all_draws_are_made_once(spark):
+    """The rows are read for their number and for their hashes; what is ranked after that comes from the written windows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("key"), F.lit(1.0).alias("value")).mapInArrow(seen, "key string, value double")
+    found, sums = sp._cut(rows, sp.prefixes(3, 20), lambda n: n // 2, True)
+    part = {r["b"]: r["n"] for r in found.groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert [part[b] + sums[b] for b in range(20)] == pytest.approx([2000] * 20)
+    # A draw that ends outside its window (here rather never) reads once more.
+    assert read.value <= 2 * 4000
