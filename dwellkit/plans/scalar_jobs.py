@@ -11,7 +11,7 @@ from dwellkit.operators.running import running
 from dwellkit.operators.survival import argmax
 from dwellkit.plans.base import history, rnd, seasons, sql, stints, table
 from dwellkit.plans.registry import job
-from dwellkit.plans.units import SIDES_SQL, UNITS_SQL, unit_seasons, unit_sides
+from dwellkit.plans.units import SIDES_SQL, unit_sides
 
 # Role texts that exercise every branch of the rules; an order picks one by its key.
 ROLES = ["Head Coach", "Interim Head Coach", "Assistant Head Coach/Linebackers", "Offensive Coordinator",
@@ -166,9 +166,14 @@ def ratio_with_ties(spark, sf):
 @job("rank_to_percentile", sql(f"""
 SELECT unit, season, CAST(rank() OVER (PARTITION BY season ORDER BY price DESC) AS BIGINT) AS rank_no,
   {rnd('CASE WHEN count(*) OVER (PARTITION BY season) > 1 THEN 1.0 - (rank() OVER (PARTITION BY season ORDER BY price DESC) - 1.0) / (count(*) OVER (PARTITION BY season) - 1.0) END')} AS percentile
-FROM (SELECT unit, season, round(price) AS price FROM units)""", units=UNITS_SQL))
+FROM units""", units="""SELECT l_suppkey AS unit, CAST(year(l_shipdate) AS INTEGER) AS season,
+  CAST(round(sum(TRY_CAST(l_extendedprice AS DECIMAL(18, 2)))) AS DOUBLE) AS price FROM lineitem GROUP BY 1, 2"""))
 def rank_to_percentile(spark, sf):
-    u = unit_seasons(spark, sf).select("unit", "season", F.round("price").alias("price"))
+    # Whole units of exact sums of cents: sums of doubles depend on their order, and half units would go either way.
+    u = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("unit"), F.year("l_shipdate").alias("season")).agg(
+        F.round(F.sum(F.col("l_extendedprice").try_cast("decimal(18, 2)"))).cast("double").alias("price"))
+    # A unit without any price comes last.
+    u = u.withColumn("price", F.coalesce("price", F.lit(-1.7976931348623157e308)))
     # A season may hold very many units: rank its distinct values by running counts.
     values = u.groupBy("season", "price").agg(F.count(F.lit(1)).alias("n"))
     r = running(values, "price", {"c": F.col("n")}, ["season"])
