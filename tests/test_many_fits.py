@@ -188,3 +188,13 @@ def test_the_hashes_of_all_draws_are_made_once(spark):
     assert [part[b] + sums[b] for b in range(20)] == pytest.approx([2000] * 20)
     # A draw that ends outside its window (here rather never) reads once more.
     assert read.value <= 2 * 4000
+
+
+def test_sides_of_a_split_are_written_once(spark):
+    from dwellkit.plans import model_jobs
+    df = spark.createDataFrame([(i, i % 3) for i in range(60)], "entity int, label int")
+    train, test = model_jobs.split(df)
+    for side in (train, test):
+        plan = side._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Window" not in plan
+    assert train.count() + test.count() == 60
