@@ -8,8 +8,10 @@ threshold meets in some shard. Shards are searched with BK-trees: a child hangs
 only edges within the radius are followed. A shard beyond ``LEAF`` is searched in pieces that agree in
 more bits; only texts with very many near copies make one, and each of them keeps near copies in its piece.
 
-Each text keeps its nearest smaller neighbours; their word shingles are compared exactly, so no text is
-dropped that has no partner of the wanted similarity. Components of the confirmed links are the groups.
+First each text's nearest smaller neighbours are asked; their word shingles are compared exactly, so no text is
+dropped that has no partner of the wanted similarity. Components of the confirmed links are groups. Then all other pairs
+within the radius that meet in a shard, also across its pieces, are asked if their texts are in different groups: pairs inside
+a group can join nothing, so the groups in the end are those of all candidates.
 """
 
 from __future__ import annotations
@@ -35,8 +37,9 @@ SHINGLE, JACCARD, RECALL = 5, 0.8, 0.96
 SHARD, LEAF = 128, 1024
 #: Tables of a small corpus, where they cost little.
 LEAST_TABLES = 16
-#: Neighbours of a text whose shingles are compared.
+#: Neighbours of a text whose shingles are compared first.
 NEAREST = 4
+KEY = "t1 bigint, t2 bigint"
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -98,19 +101,22 @@ def _order(table: int) -> np.ndarray:
     return np.random.default_rng((SEED, table)).permutation(BITS)
 
 
-def _search(values: list[int], radius: int) -> list[tuple[int, int, int]]:
-    """(value, earlier value, distance) for the nearest earlier values within the radius."""
-    tree, out = BkTree(radius), []
+def _search(values: list[int], radius: int) -> tuple[list[tuple[int, int, int]], bool]:
+    """(value, earlier value, distance) for the nearest earlier values within the radius; whether there are others."""
+    tree, out, more = BkTree(radius), [], False
     for v in values:
         near = sorted(((v ^ o).bit_count(), o) for o in tree.link(v))
         out += [(v, o, d) for d, o in near[:NEAREST]]
-    return out
+        more |= len(near) > NEAREST
+    return out, more
 
 
-def candidates(prints: DataFrame, similarity: float = JACCARD, recall: float = RECALL) -> DataFrame:
-    """(a, b, d): for distinct fingerprints ``fp`` (binary) their nearest smaller ones, with the bits that differ."""
+def searched(prints: DataFrame, k: int, tables: int, radius: int) -> DataFrame:
+    """Rows (a, b, d) for distinct fingerprints ``fp`` (binary): their nearest smaller ones in each piece of a shard, with
+    the bits that differ. Rows (shard, piece, members) for every piece that may have other pairs within the radius, in
+    itself or with other pieces of its shard.
+    """
     n = prints.count()
-    k, tables, radius = plan(n, similarity, recall)
     orders = [_order(t) for t in range(tables)]
 
     @F.arrow_udf("array<binary>")
@@ -119,44 +125,101 @@ def candidates(prints: DataFrame, similarity: float = JACCARD, recall: float = R
         # The table's number leads, so that one order serves all tables.
         keys = [np.packbits(bits[:, order], axis=1) for order in orders]
         return pa.array([[t.to_bytes(2, "big") + keys[t][i].tobytes() for t in range(tables)] for i in range(len(bits))], pa.list_(pa.binary()))
-    # A range may cut a shard, so ranges hold many; a hot shard is cut by its size, and its pieces share more bits.
+    # Ranges hold many shards; one that a range cuts, or that is cut by its size, is reported with its members.
     ranges = max(1, min(4 * width(prints), n * tables // (8 * LEAF)))
     sent = prints.select("fp", F.explode(permuted("fp")).alias("key")).repartitionByRange(ranges, "key").sortWithinPartitions("key")
     lead = 2 + k // 8
     spare = 8 - k % 8
 
-    def shard_of(key: bytes) -> tuple[bytes, int]:
-        return key[:lead], key[lead] >> spare if k % 8 else 0
+    def shard_of(key: bytes) -> bytes:
+        return key[:lead] + bytes([key[lead] >> spare] if k % 8 else [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
+        now, first, held = None, None, []
+        # The first and the last shard of a range may go on in another.
+        is_cut = True
 
-        def flush(out):
+        def flush(links, pieces, cut):
             # Smaller fingerprints first: every text looks for smaller ones.
-            out += _search(sorted(held), radius)
+            near, more = _search(sorted(held), radius)
+            links += near
+            if held and (cut or more):
+                pieces.append((now, first, [_bytes(v) for v in held]))
             held.clear()
         for pdf in batches:
-            out = []
+            links, pieces = [], []
             for fp, key in zip(pdf["fp"], pdf["key"]):
                 shard = shard_of(key)
                 if shard != now or len(held) >= LEAF:
-                    flush(out)
-                    now = shard
+                    is_cut |= shard == now
+                    flush(links, pieces, is_cut)
+                    is_cut = is_cut and (now is None or shard == now)
+                    now, first = shard, key
                 held.append(int.from_bytes(fp, "big"))
-            yield _frame(out)
-        out = []
-        flush(out)
-        yield _frame(out)
-    found = sent.mapInPandas(run, "a binary, b binary, d int").distinct()
+            yield _frame(links, pieces)
+        links, pieces = [], []
+        flush(links, pieces, True)
+        yield _frame(links, pieces)
+    return sent.mapInPandas(run, "a binary, b binary, d int, shard binary, piece binary, members array<binary>")
+
+
+def nearest(links: DataFrame) -> DataFrame:
+    """(a, b): of the links of ``searched`` those to the nearest smaller fingerprints; most groups hang together by these."""
     best = F.row_number().over(W.partitionBy("a").orderBy("d", "b"))
     # At most NEAREST candidates per text and table meet here.
-    return found.withColumn("_r", best).filter(F.col("_r") <= NEAREST).drop("_r")
+    return links.withColumn("_r", best).filter(F.col("_r") <= NEAREST).select("a", "b")
+
 
+def others(links: DataFrame, found: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
+    """(a, b): every pair of ``searched`` within the radius in one shard, and of different ``labels`` (fp, label of 16 bytes).
 
-def _frame(rows: list[tuple[int, int, int]]) -> pd.DataFrame:
-    size = BITS // 8
-    return pd.DataFrame({"a": [a.to_bytes(size, "big") for a, _, _ in rows], "b": [b.to_bytes(size, "big") for _, b, _ in rows],
-                         "d": np.array([d for _, _, d in rows], np.int32)})
+    Pieces are compared two at a time, wherever their shard was cut; pairs of pieces that have the same single label fall away.
+    """
+    of = labels.select(F.col("fp").alias("_fp"), "label")
+    members = found.filter(F.col("piece").isNotNull()).select("shard", "piece", F.explode("members").alias("fp"))
+    pieces = materialized(members.join(of, F.col("fp") == F.col("_fp")).groupBy("shard", "piece").agg(
+        F.collect_list(F.concat("fp", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")))
+    left, right = (pieces.select(F.col("shard").alias(f"s{i}"), F.col("piece").alias(f"p{i}"), F.col("lo").alias(f"l{i}"), F.col("hi").alias(f"h{i}"))
+                   for i in (0, 1))
+    alike = (F.col("l0") == F.col("h1")) & (F.col("l1") == F.col("h0"))
+    # Only names are paired by shard; members join by piece, so that a hot shard is many tasks.
+    two = left.join(right, (F.col("s0") == F.col("s1")) & (F.col("p0") <= F.col("p1")) & ~alike).select("p0", "p1")
+    two = two.repartition(4 * width(pieces), "p0", "p1")
+    for i in (0, 1):
+        two = two.join(pieces.select(F.col("piece").alias(f"_p{i}"), F.col("m").alias(f"m{i}")), F.col(f"p{i}") == F.col(f"_p{i}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p0, p1, x, y in zip(*(batch.column(c) for c in ("p0", "p1", "m0", "m1"))):
+                yield from _unlike(x.as_py(), y.as_py(), p0 == p1, radius)
+    made = two.select("p0", "p1", "m0", "m1").mapInArrow(run, "a binary, b binary")
+    linked = links.select("a", "b")
+    for side in ("a", "b"):
+        linked = linked.join(of.withColumnsRenamed({"_fp": f"_{side}", "label": f"label_{side}"}), F.col(side) == F.col(f"_{side}"))
+    return made.unionByName(linked.filter("label_a <> label_b").select("a", "b")).distinct()
+
+
+def _unlike(x: list[bytes], y: list[bytes], same: bool, radius: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of two pieces, or of one with itself: larger and smaller fingerprint, for labels that differ."""
+    u, v = (np.frombuffer(b"".join(m), ">u8").astype(np.uint64).reshape(-1, 4) for m in (x, y))
+    step = max(1, (1 << 17) // len(v))
+    for at in range(0, len(u), step):
+        w = u[at:at + step, None]
+        far = sum(np.bitwise_count(w[:, :, i] ^ v[None, :, i]).astype(np.int16) for i in (0, 1))
+        i, j = np.nonzero((far <= radius) & ((w[:, :, 2] != v[None, :, 2]) | (w[:, :, 3] != v[None, :, 3])))
+        if same:
+            i, j = i[i + at < j], j[i + at < j]
+        pairs = [(max(p, q), min(p, q)) for p, q in ((x[a + at][:BITS // 8], y[b][:BITS // 8]) for a, b in zip(i.tolist(), j.tolist()))]
+        yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.binary()) for c in (0, 1)], ["a", "b"])
+
+
+def _bytes(value: int) -> bytes:
+    return value.to_bytes(BITS // 8, "big")
+
+
+def _frame(links: list[tuple[int, int, int]], pieces: list[tuple[bytes, bytes, list[bytes]]]) -> pd.DataFrame:
+    rows = [(_bytes(a), _bytes(b), d, None, None, None) for a, b, d in links] + [(None, None, None, *p) for p in pieces]
+    return pd.DataFrame({c: pd.Series([r[i] for r in rows], dtype=object) for i, c in enumerate(("a", "b", "d", "shard", "piece", "members"))})
 
 
 def groups(docs: DataFrame, similarity: float = JACCARD, recall: float = RECALL, id_col: str = "doc_id",
@@ -171,34 +234,57 @@ def groups(docs: DataFrame, similarity: float = JACCARD, recall: float = RECALL,
     @F.arrow_udf("binary")
     def print_of(texts: pa.Array) -> pa.Array:
         return pa.array([fingerprint(t.as_py()) for t in texts], pa.binary())
+    @F.arrow_udf("boolean")
+    def near(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(a, b)], pa.bool_())
+
     # One row per different text, with its number; equal texts are one.
     hashed = docs.select(text.alias("text"), *hash_of(text))
+
+    def confirmed(asked: DataFrame) -> DataFrame:
+        # Texts meet by hash; only those in a pair travel. Rows that repeat a text count once.
+        wanted = asked.select(F.col("x").alias("k")).unionByName(asked.select(F.col("y").alias("k"))).distinct()
+        texts = hashed.join(wanted, (F.col("t1") == F.col("k.t1")) & (F.col("t2") == F.col("k.t2"))).select("t1", "t2", "text")
+        texts = materialized(texts.dropDuplicates(["t1", "t2"]))
+        left = texts.select(F.col("t1").alias("_x1"), F.col("t2").alias("_x2"), F.col("text").alias("_x"))
+        right = texts.select(F.col("t1").alias("_y1"), F.col("t2").alias("_y2"), F.col("text").alias("_y"))
+        met = asked.join(left, (F.col("x.t1") == F.col("_x1")) & (F.col("x.t2") == F.col("_x2"))).select("x", "y", "_x").join(
+            right, (F.col("y.t1") == F.col("_y1")) & (F.col("y.t2") == F.col("_y2")))
+        return met.filter(near("_x", "_y")).select(F.to_json("x").alias("a"), F.to_json("y").alias("b"))
+
     marked = materialized(hashed.select("t1", "t2", print_of("text").alias("fp")).dropDuplicates(["t1", "t2"]))
     firsts = materialized(marked.groupBy("fp").agg(F.min(F.struct("t1", "t2")).alias("first")))
-    pairs = candidates(firsts.select("fp"), similarity, recall)
+    k, tables, radius = plan(firsts.count(), similarity, recall)
+    found = materialized(searched(firsts.select("fp"), k, tables, radius))
+    links = materialized(found.filter(F.col("a").isNotNull()).select("a", "b", "d").distinct())
     of = firsts.select(F.col("fp").alias("_fp"), "first")
-    linked = pairs.join(of, F.col("a") == F.col("_fp")).select(F.col("first").alias("x"), "b").join(
+    linked = nearest(links).join(of, F.col("a") == F.col("_fp")).select(F.col("first").alias("x"), "b").join(
         of, F.col("b") == F.col("_fp")).select("x", F.col("first").alias("y"))
     # Different texts with one fingerprint are candidates of their first.
     same = marked.join(firsts.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp")).select(
         F.struct("t1", "t2").alias("x"), F.col("first").alias("y")).filter("x <> y")
     asked = materialized(linked.unionByName(same).select("x", "y"))
-    # Texts meet by hash; only those in a pair travel. Rows that repeat a text count once.
-    wanted = asked.select(F.col("x").alias("k")).unionByName(asked.select(F.col("y").alias("k"))).distinct()
-    texts = hashed.join(wanted, (F.col("t1") == F.col("k.t1")) & (F.col("t2") == F.col("k.t2"))).select("t1", "t2", "text")
-    texts = materialized(texts.dropDuplicates(["t1", "t2"]))
-
-    @F.arrow_udf("boolean")
-    def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(a, b)], pa.bool_())
-    left = texts.select(F.col("t1").alias("_x1"), F.col("t2").alias("_x2"), F.col("text").alias("_x"))
-    right = texts.select(F.col("t1").alias("_y1"), F.col("t2").alias("_y2"), F.col("text").alias("_y"))
-    met = asked.join(left, (F.col("x.t1") == F.col("_x1")) & (F.col("x.t2") == F.col("_x2"))).select("x", "y", "_x").join(
-        right, (F.col("y.t1") == F.col("_y1")) & (F.col("y.t2") == F.col("_y2")))
-    edges = met.filter(near("_x", "_y")).select(F.to_json("x").alias("a"), F.to_json("y").alias("b"))
-    named = components(edges)
+    named = components(confirmed(asked))
+
+    # The rest: all candidates that the nearest have not joined, of all texts of a fingerprint.
+    group = named.select(F.from_json("node", KEY).alias("n"), F.from_json("root", KEY).alias("root"))
+    rooted = materialized(marked.join(group, (F.col("t1") == F.col("n.t1")) & (F.col("t2") == F.col("n.t2")), "left").select(
+        "fp", F.struct("t1", "t2").alias("x"), F.coalesce("root", F.struct("t1", "t2")).alias("root")))
+    # A fingerprint of one group is named by it; one of several is like no other.
+    roots = materialized(rooted.groupBy("fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
+    name = F.concat(*[F.unhex(F.lpad(F.hex(f"lo.{t}"), 16, "0")) for t in ("t1", "t2")])
+    labels = roots.select("fp", F.when(F.col("lo") == F.col("hi"), name).otherwise(F.col("fp")).alias("label"))
+    several = roots.filter("lo <> hi").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+    pairs = others(links, found, labels, radius).unionByName(several)
+    one, two = (rooted.select(F.col("fp").alias(f"_{c}"), F.col("x").alias(c), F.col("root").alias(f"root_{c}")) for c in ("x", "y"))
+    apart = pairs.join(one, F.col("a") == F.col("_x")).select("a", "b", "x", "root_x").join(two, F.col("b") == F.col("_y")).filter(
+        (F.col("root_x") != F.col("root_y")) & ((F.col("a") != F.col("b")) | (F.col("x") > F.col("y"))))
+    known = asked.select(F.col("x").alias("_x"), F.col("y").alias("_y"))
+    rest = materialized(apart.select("x", "y").join(known, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_anti"))
+    if not rest.isEmpty():
+        named = components(confirmed(rest).unionByName(named.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return named.unionByName(named.select(F.col("root").alias("node"), "root").distinct()).select(
-        F.from_json("node", "t1 bigint, t2 bigint").alias("n"), F.col("root").alias("group")).select("n.t1", "n.t2", "group")
+        F.from_json("node", KEY).alias("n"), F.col("root").alias("group")).select("n.t1", "n.t2", "group")
 
 
 def hash_of(text) -> list:

@@ -119,3 +119,49 @@ def test_plan_keeps_its_recall_at_every_size():
                 chance *= max(0, agree - i) / (near_texts.BITS - i)
             met += sum(bits) <= radius and rng.random() < 1 - (1 - chance) ** tables
         assert met >= 0.87 * trials
+
+
+def test_no_candidate_is_lost_to_a_cap(spark, monkeypatch):
+    """Families whose nearest are mostly not similar enough, in shards cut to pieces: the groups are those of all candidates."""
+    monkeypatch.setattr(near_texts, "LEAF", 16)
+    monkeypatch.setattr(near_texts, "NEAREST", 1)
+    rng = random.Random(3)
+    texts = []
+    for f in range(6):
+        base = [f"f{f}w{i}" for i in rng.choices(range(3000), k=200)]
+        # Two texts with two edits are similar enough, those with three mostly are not.
+        texts += [" ".join(edited(rng, base, (2 if i % 4 == 0 else 3) / 200)) for i in range(32)]
+    prints = [int.from_bytes(near_texts.fingerprint(t), "big") for t in texts]
+    k, tables, radius = near_texts.plan(len(set(prints)))
+    bits = [f"{p:0128b}" for p in prints]
+    firsts = [{(t, "".join(b[o] for o in near_texts._order(t)[:k])) for t in range(tables)} for b in bits]
+    parent = list(range(len(texts)))
+    for i, j in near_pairs(texts):
+        if firsts[i] & firsts[j] and (prints[i] ^ prints[j]).bit_count() <= radius:
+            parent[root_of(parent, i)] = root_of(parent, j)
+    smallest = {}
+    for i in range(len(texts)):
+        smallest.setdefault(root_of(parent, i), i)
+    kept = {r["doc_id"] for r in near_texts.one_per_group(frame(spark, list(enumerate(texts)))).collect()}
+    assert kept == set(smallest.values())
+
+
+def test_the_rest_is_all_pairs_of_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "LEAF", 16)
+    rng = random.Random(4)
+    base, k, tables, radius = rng.getrandbits(128), 4, 3, 9
+    values = sorted({base ^ sum(1 << b for b in rng.sample(range(128), 5)) for _ in range(150)} | {rng.getrandbits(128) for _ in range(50)})
+    label = {v: (v % 5).to_bytes(16, "big") for v in values}
+    as_bytes = {v: v.to_bytes(16, "big") for v in values}
+    wanted = set()
+    for t in range(tables):
+        order = near_texts._order(t)
+        first = {v: "".join(f"{v:0128b}"[o] for o in order)[:k] for v in values}
+        wanted |= {(as_bytes[a], as_bytes[b]) for a in values for b in values
+                   if b < a and first[a] == first[b] and (a ^ b).bit_count() <= radius and label[a] != label[b]}
+    prints = spark.createDataFrame([(as_bytes[v],) for v in values], "fp binary")
+    labels = spark.createDataFrame([(as_bytes[v], label[v]) for v in values], "fp binary, label binary")
+    found = near_texts.materialized(near_texts.searched(prints, k, tables, radius))
+    links = found.filter("a is not null").select("a", "b", "d").distinct()
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in near_texts.others(links, found, labels, radius).collect()} == wanted
+    assert len(wanted) > 1000
