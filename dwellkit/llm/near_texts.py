@@ -11,7 +11,9 @@ more bits; only texts with very many near copies make one, and each of them keep
 First each text's nearest smaller neighbours are asked; their word shingles are compared exactly, so no text is
 dropped that has no partner of the wanted similarity. Components of the confirmed links are groups. Then all other pairs
 within the radius that meet in a shard, also across its pieces, are asked if their texts are in different groups: pairs inside
-a group can join nothing, so the groups in the end are those of all candidates.
+a group can join nothing, so the groups in the end are those of all candidates. A pair is not asked if its sketches prove it
+unlike: a sketch holds the parities of a text's shingles by hash, and two sketches differ in no more bits than the sets in shingles.
+First a piece asks a spanning forest of such pairs, then what is still apart.
 """
 
 from __future__ import annotations
@@ -39,6 +41,10 @@ SHARD, LEAF = 128, 1024
 LEAST_TABLES = 16
 #: Neighbours of a text whose shingles are compared first.
 NEAREST = 4
+#: Bits of a sketch for each shingle, rounded up to a power of two, and at least and at most; fewer only prove less.
+SKETCH, SKETCH_LEAST, SKETCH_MOST = 4, 64, 1 << 16
+#: Slots of the filter that keeps texts nobody asks for out of a shuffle; 64 share a row of its broadcast, whatever the input.
+SLOTS = 1 << 24
 KEY = "t1 bigint, t2 bigint"
 
 
@@ -61,7 +67,14 @@ def _shingles(words: list[bytes], size: int) -> Iterator[bytes]:
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> bytes:
     """128 majority bits of the XXH3 hashes of a text's different shingles."""
-    hashes = list({xxhash.xxh3_128_digest(s) for s in _shingles(_words(text), size)})
+    return _majority(_hashes(text, size))
+
+
+def _hashes(text: str | None, size: int = SHINGLE) -> list[bytes]:
+    return list({xxhash.xxh3_128_digest(s) for s in _shingles(_words(text), size)})
+
+
+def _majority(hashes: list[bytes]) -> bytes:
     if not hashes:
         return bytes(BITS // 8)
     ones = np.zeros(BITS, np.int64)
@@ -72,6 +85,33 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
+def sketch(hashes: list[bytes]) -> bytes:
+    """For each residue of a hash whether an odd number of the different hashes has it; the first half folded on the
+    second is the sketch of half as many bits.
+    """
+    bits = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << (SKETCH * len(hashes) - 1).bit_length())) if hashes else SKETCH_LEAST
+    at = np.frombuffer(b"".join(hashes), np.uint64)[::2] % np.uint64(bits)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _opened(n: int, bits: bytes) -> tuple[int, int, int, int]:
+    """A set's size, its sketch's bits, the sketch and the sketch of half as many bits."""
+    v, half = int.from_bytes(bits, "little"), 4 * len(bits)
+    return n, 2 * half, v, (v >> half) ^ (v & ((1 << half) - 1))
+
+
+def may_be_alike(x: tuple[int, int, int, int], y: tuple[int, int, int, int], similarity: float = JACCARD) -> bool:
+    """False only if the sets cannot have this similarity; size 0 is not known."""
+    (n, m, v, w), (o, p, u, t) = x, y
+    if not n or not o:
+        return True
+    if min(n, o) < similarity * max(n, o) - 1e-6:
+        return False
+    # Sets of similar sizes have sketches of the same number of bits, or of twice as many.
+    apart = v ^ u if m == p else w ^ u if m == 2 * p else v ^ t if 2 * m == p else 0
+    return apart.bit_count() <= (n + o) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def jaccard(a: str | None, b: str | None, size: int = SHINGLE) -> float:
     """Of the sets of shingles; two texts without words are equal."""
     x, y = ({xxhash.xxh3_128_digest(s) for s in _shingles(_words(t), size)} for t in (a, b))
@@ -170,15 +210,20 @@ def nearest(links: DataFrame) -> DataFrame:
     return links.withColumn("_r", best).filter(F.col("_r") <= NEAREST).select("a", "b")
 
 
-def others(links: DataFrame, found: DataFrame, labels: DataFrame, radius: int) -> DataFrame:
+def others(links: DataFrame, found: DataFrame, labels: DataFrame, radius: int, similarity: float = JACCARD,
+           spanning: bool = False) -> DataFrame:
     """(a, b): every pair of ``searched`` within the radius in one shard, and of different ``labels`` (fp, label of 16 bytes).
 
+    If ``labels`` has ``size`` and ``bits`` (of the set, and its sketch), pairs that these prove less similar fall away.
     Pieces are compared two at a time, wherever their shard was cut; pairs of pieces that have the same single label fall away.
+    ``spanning``: of the pairs of two pieces only so many that they connect the same labels.
     """
-    of = labels.select(F.col("fp").alias("_fp"), "label")
+    known = {"size", "bits"} <= set(labels.columns)
+    of = labels.select(F.col("fp").alias("_fp"), "label", *(
+        [F.col("size"), F.col("bits")] if known else [F.lit(0).alias("size"), F.lit(b"").alias("bits")]))
     members = found.filter(F.col("piece").isNotNull()).select("shard", "piece", F.explode("members").alias("fp"))
     pieces = materialized(members.join(of, F.col("fp") == F.col("_fp")).groupBy("shard", "piece").agg(
-        F.collect_list(F.concat("fp", "label")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")))
+        F.collect_list(F.struct("fp", "label", "size", "bits")).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")))
     left, right = (pieces.select(F.col("shard").alias(f"s{i}"), F.col("piece").alias(f"p{i}"), F.col("lo").alias(f"l{i}"), F.col("hi").alias(f"h{i}"))
                    for i in (0, 1))
     alike = (F.col("l0") == F.col("h1")) & (F.col("l1") == F.col("h0"))
@@ -191,17 +236,37 @@ def others(links: DataFrame, found: DataFrame, labels: DataFrame, radius: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p0, p1, x, y in zip(*(batch.column(c) for c in ("p0", "p1", "m0", "m1"))):
-                yield from _unlike(x.as_py(), y.as_py(), p0 == p1, radius)
+                yield from _unlike(x.as_py(), y.as_py(), p0 == p1, radius, similarity, spanning)
+
+    @F.arrow_udf("boolean")
+    def may_be(n: pa.Array, v: pa.Array, o: pa.Array, u: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in (n, v, o, u)))
+        return pa.array([may_be_alike(_opened(*r[:2]), _opened(*r[2:]), similarity) for r in rows], pa.bool_())
     made = two.select("p0", "p1", "m0", "m1").mapInArrow(run, "a binary, b binary")
     linked = links.select("a", "b")
     for side in ("a", "b"):
-        linked = linked.join(of.withColumnsRenamed({"_fp": f"_{side}", "label": f"label_{side}"}), F.col(side) == F.col(f"_{side}"))
-    return made.unionByName(linked.filter("label_a <> label_b").select("a", "b")).distinct()
+        linked = linked.join(of.withColumnsRenamed({"_fp": f"_{side}", **{c: f"{c}_{side}" for c in ("label", "size", "bits")}}),
+                             F.col(side) == F.col(f"_{side}"))
+    linked = linked.filter("label_a <> label_b").filter(may_be("size_a", "bits_a", "size_b", "bits_b") if known else F.lit(True))
+    return made.unionByName(linked.select("a", "b")).distinct()
 
 
-def _unlike(x: list[bytes], y: list[bytes], same: bool, radius: int) -> Iterator[pa.RecordBatch]:
+def _unlike(x: list[dict], y: list[dict], same: bool, radius: int, similarity: float, spanning: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of two pieces, or of one with itself: larger and smaller fingerprint, for labels that differ."""
-    u, v = (np.frombuffer(b"".join(m), ">u8").astype(np.uint64).reshape(-1, 4) for m in (x, y))
+    u, v = (np.frombuffer(b"".join(r["fp"] + r["label"] for r in m), ">u8").astype(np.uint64).reshape(-1, 4) for m in (x, y))
+    sets, others_ = ([_opened(r["size"], r["bits"]) for r in m] for m in (x, y))
+    joined = {}
+
+    def root(label):
+        while (up := joined.get(label, label)) != label:
+            joined[label] = joined.get(up, up)
+            label = up
+        return label
+
+    def joins(p, q):
+        a, b = root(p["label"]), root(q["label"])
+        joined[a] = b
+        return a != b
     step = max(1, (1 << 17) // len(v))
     for at in range(0, len(u), step):
         w = u[at:at + step, None]
@@ -209,7 +274,8 @@ def _unlike(x: list[bytes], y: list[bytes], same: bool, radius: int) -> Iterator
         i, j = np.nonzero((far <= radius) & ((w[:, :, 2] != v[None, :, 2]) | (w[:, :, 3] != v[None, :, 3])))
         if same:
             i, j = i[i + at < j], j[i + at < j]
-        pairs = [(max(p, q), min(p, q)) for p, q in ((x[a + at][:BITS // 8], y[b][:BITS // 8]) for a, b in zip(i.tolist(), j.tolist()))]
+        likely = ((x[a], y[b]) for a, b in zip((i + at).tolist(), j.tolist()) if may_be_alike(sets[a], others_[b], similarity))
+        pairs = [(max(p["fp"], q["fp"]), min(p["fp"], q["fp"])) for p, q in likely if not spanning or joins(p, q)]
         yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in pairs], pa.binary()) for c in (0, 1)], ["a", "b"])
 
 
@@ -231,9 +297,12 @@ def groups(docs: DataFrame, similarity: float = JACCARD, recall: float = RECALL,
     """
     text = text_or_empty(text_col)
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<fp: binary, size: int, bits: binary>")
     def print_of(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint(t.as_py()) for t in texts], pa.binary())
+        sets = [_hashes(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array([_majority(h) for h in sets], pa.binary()), pa.array(map(len, sets), pa.int32()),
+                                           pa.array(map(sketch, sets), pa.binary())], ["fp", "size", "bits"])
+
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([jaccard(x.as_py(), y.as_py()) >= similarity for x, y in zip(a, b)], pa.bool_())
@@ -244,7 +313,8 @@ def groups(docs: DataFrame, similarity: float = JACCARD, recall: float = RECALL,
     def confirmed(asked: DataFrame) -> DataFrame:
         # Texts meet by hash; only those in a pair travel. Rows that repeat a text count once.
         wanted = asked.select(F.col("x").alias("k")).unionByName(asked.select(F.col("y").alias("k"))).distinct()
-        texts = hashed.join(wanted, (F.col("t1") == F.col("k.t1")) & (F.col("t2") == F.col("k.t2"))).select("t1", "t2", "text")
+        wanted = materialized(wanted)
+        texts = maybe_among(hashed, wanted.select("k.t1")).filter("_maybe").join(wanted, (F.col("t1") == F.col("k.t1")) & (F.col("t2") == F.col("k.t2"))).select("t1", "t2", "text")
         texts = materialized(texts.dropDuplicates(["t1", "t2"]))
         left = texts.select(F.col("t1").alias("_x1"), F.col("t2").alias("_x2"), F.col("text").alias("_x"))
         right = texts.select(F.col("t1").alias("_y1"), F.col("t2").alias("_y2"), F.col("text").alias("_y"))
@@ -252,8 +322,11 @@ def groups(docs: DataFrame, similarity: float = JACCARD, recall: float = RECALL,
             right, (F.col("y.t1") == F.col("_y1")) & (F.col("y.t2") == F.col("_y2")))
         return met.filter(near("_x", "_y")).select(F.to_json("x").alias("a"), F.to_json("y").alias("b"))
 
-    marked = materialized(hashed.select("t1", "t2", print_of("text").alias("fp")).dropDuplicates(["t1", "t2"]))
-    firsts = materialized(marked.groupBy("fp").agg(F.min(F.struct("t1", "t2")).alias("first")))
+    marked = materialized(hashed.select("t1", "t2", print_of("text").alias("p")).select("t1", "t2", "p.*").dropDuplicates(["t1", "t2"]))
+    # Texts of one fingerprint mostly have one sketch; it stands for them only if all do.
+    shown = F.xxhash64("size", "bits")
+    firsts = materialized(marked.groupBy("fp").agg(
+        F.min(F.struct("t1", "t2")).alias("first"), F.min("size").alias("size"), F.min("bits").alias("bits"), (F.min(shown) == F.max(shown)).alias("one")))
     k, tables, radius = plan(firsts.count(), similarity, recall)
     found = materialized(searched(firsts.select("fp"), k, tables, radius))
     links = materialized(found.filter(F.col("a").isNotNull()).select("a", "b", "d").distinct())
@@ -266,27 +339,45 @@ def groups(docs: DataFrame, similarity: float = JACCARD, recall: float = RECALL,
     asked = materialized(linked.unionByName(same).select("x", "y"))
     named = components(confirmed(asked))
 
-    # The rest: all candidates that the nearest have not joined, of all texts of a fingerprint.
-    group = named.select(F.from_json("node", KEY).alias("n"), F.from_json("root", KEY).alias("root"))
-    rooted = materialized(marked.join(group, (F.col("t1") == F.col("n.t1")) & (F.col("t2") == F.col("n.t2")), "left").select(
-        "fp", F.struct("t1", "t2").alias("x"), F.coalesce("root", F.struct("t1", "t2")).alias("root")))
-    # A fingerprint of one group is named by it; one of several is like no other.
-    roots = materialized(rooted.groupBy("fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
-    name = F.concat(*[F.unhex(F.lpad(F.hex(f"lo.{t}"), 16, "0")) for t in ("t1", "t2")])
-    labels = roots.select("fp", F.when(F.col("lo") == F.col("hi"), name).otherwise(F.col("fp")).alias("label"))
-    several = roots.filter("lo <> hi").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    pairs = others(links, found, labels, radius).unionByName(several)
-    one, two = (rooted.select(F.col("fp").alias(f"_{c}"), F.col("x").alias(c), F.col("root").alias(f"root_{c}")) for c in ("x", "y"))
-    apart = pairs.join(one, F.col("a") == F.col("_x")).select("a", "b", "x", "root_x").join(two, F.col("b") == F.col("_y")).filter(
-        (F.col("root_x") != F.col("root_y")) & ((F.col("a") != F.col("b")) | (F.col("x") > F.col("y"))))
+    # The rest: all candidates that the nearest have not joined, of all texts of a fingerprint; what a spanning forest joins first.
     known = asked.select(F.col("x").alias("_x"), F.col("y").alias("_y"))
-    rest = materialized(apart.select("x", "y").join(known, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_anti"))
-    if not rest.isEmpty():
+    drawn = firsts.select(F.col("fp").alias("_fp"), F.when(F.col("one"), F.col("size")).otherwise(0).alias("size"), "bits")
+    for spanning in (True, False):
+        group = named.select(F.from_json("node", KEY).alias("n"), F.from_json("root", KEY).alias("root"))
+        rooted = materialized(marked.select("t1", "t2", "fp").join(group, (F.col("t1") == F.col("n.t1")) & (F.col("t2") == F.col("n.t2")), "left").select(
+            "fp", F.struct("t1", "t2").alias("x"), F.coalesce("root", F.struct("t1", "t2")).alias("root")))
+        # A fingerprint of one group is named by it; one of several is like no other.
+        roots = materialized(rooted.groupBy("fp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
+        name = F.concat(*[F.unhex(F.lpad(F.hex(f"lo.{t}"), 16, "0")) for t in ("t1", "t2")])
+        labels = roots.select("fp", F.when(F.col("lo") == F.col("hi"), name).otherwise(F.col("fp")).alias("label"))
+        labels = labels.join(drawn, F.col("fp") == F.col("_fp")).drop("_fp")
+        several = roots.filter("lo <> hi").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+        pairs = others(links, found, labels, radius, similarity, spanning).unionByName(several)
+        one, two = (rooted.select(F.col("fp").alias(f"_{c}"), F.col("x").alias(c), F.col("root").alias(f"root_{c}")) for c in ("x", "y"))
+        apart = pairs.join(one, F.col("a") == F.col("_x")).select("a", "b", "x", "root_x").join(two, F.col("b") == F.col("_y")).filter(
+            (F.col("root_x") != F.col("root_y")) & ((F.col("a") != F.col("b")) | (F.col("x") > F.col("y"))))
+        rest = materialized(apart.select("x", "y").join(known, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left_anti"))
+        if rest.isEmpty():
+            continue
         named = components(confirmed(rest).unionByName(named.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        known = known.unionByName(rest.select(F.col("x").alias("_x"), F.col("y").alias("_y")))
     return named.unionByName(named.select(F.col("root").alias("node"), "root").distinct()).select(
         F.from_json("node", KEY).alias("n"), F.col("root").alias("group")).select("n.t1", "n.t2", "group")
 
 
+def maybe_among(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``_maybe``: false only if no row of ``keys`` has its ``t1``.
+
+    Each key marks one of ``SLOTS`` slots. The broadcast has a row for 64 of them, so its size is bounded; with very many keys more
+    rows are let through, none is lost.
+    """
+    slot = F.col("t1").bitwiseAND(F.lit(SLOTS - 1).cast("bigint"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+    words = keys.select(F.shiftright(slot, 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_marks"))
+    met = rows.join(F.broadcast(words), F.shiftright(slot, 6) == F.col("_word"), "left")
+    return met.withColumn("_maybe", F.coalesce(F.col("_marks").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_marks")
+
+
 def hash_of(text) -> list:
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
 
@@ -306,5 +397,7 @@ def one_per_group(docs: DataFrame, similarity: float = JACCARD, recall: float =
     gone = materialized(grouped.join(kept, F.col("group") == F.col("_group")).filter(
         (F.col("_t1") != F.col("k.t1")) | (F.col("_t2") != F.col("k.t2"))).select("_t1", "_t2"))
     rows = docs.select(F.struct("*").alias("_row"), *hash_of(text))
-    left = rows.join(gone, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left_anti")
-    return left.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    # Most rows are no copies and take no part in the shuffle.
+    rows = maybe_among(rows, gone.select(F.col("_t1").alias("t1")))
+    left = rows.filter("_maybe").join(gone, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2")), "left_anti")
+    return rows.filter("NOT _maybe").unionByName(left).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -165,3 +165,53 @@ def test_the_rest_is_all_pairs_of_a_shard(spark, monkeypatch):
     links = found.filter("a is not null").select("a", "b", "d").distinct()
     assert {(bytes(r["a"]), bytes(r["b"])) for r in near_texts.others(links, found, labels, radius).collect()} == wanted
     assert len(wanted) > 1000
+
+
+def test_sketches_prove_nothing_false():
+    rng = random.Random(8)
+    proved = alike = 0
+    for n in (3, 40, 300, 20000):
+        for _ in range(60 if n < 20000 else 4):
+            base = [str(i) for i in rng.choices(range(10 ** 6), k=n)]
+            x, y = ([near_texts.xxhash.xxh3_128_digest(w) for w in set(edited(rng, base, rng.uniform(0, 0.12)) + extra)]
+                    for extra in ([], [str(i) for i in range(rng.choice((0, n // 10)))]))
+            both = len(set(x) & set(y))
+            like = both >= 0.8 * (len(x) + len(y) - both)
+            may = near_texts.may_be_alike(*(near_texts._opened(len(h), near_texts.sketch(h)) for h in (x, y)))
+            assert may or not like
+            proved += not may
+            alike += like
+    assert proved > 30 and alike > 30
+    words = [near_texts.xxhash.xxh3_128_digest(str(i)) for i in range(50)]
+    few, none = (near_texts._opened(len(h), near_texts.sketch(h)) for h in (words, []))
+    assert near_texts.may_be_alike(few, none) and near_texts.may_be_alike(none, few)
+
+
+def test_a_family_of_unlike_texts_asks_few_pairs(spark, monkeypatch):
+    """Texts within the radius of each other, none similar enough: before, each pair was asked."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in rng.choices(range(3000), k=300)]
+    texts = [" ".join(edited(rng, base, 0.035)) for _ in range(300)]
+    asked = []
+
+    def kept(df, real=near_texts.materialized):
+        out = real(df)
+        asked.extend([out.count()] if df.columns == ["x", "y"] else [])
+        return out
+    monkeypatch.setattr(near_texts, "materialized", kept)
+    left = {r["doc_id"] for r in near_texts.one_per_group(frame(spark, list(enumerate(texts)))).collect()}
+    linked = list(near_pairs(texts))
+    assert {i for i in range(300) if all(i not in p for p in linked if p[0] != p[1])} <= left
+    assert sum(asked[1:]) < 3000
+
+
+def test_the_filter_of_wanted_texts_loses_none(spark, monkeypatch):
+    rows = spark.range(-3000, 3000).select(F.xxhash64("id").alias("t1"), "id")
+    wanted = {r["t1"] for r in rows.filter("id % 50 = 0").collect()}
+    keys = spark.createDataFrame([(t,) for t in wanted], "t1 long")
+    for slots in (near_texts.SLOTS, 256):
+        monkeypatch.setattr(near_texts, "SLOTS", slots)
+        out = near_texts.maybe_among(rows, keys).collect()
+        assert len(out) == 6000 and wanted <= {r["t1"] for r in out if r["_maybe"]}
+        assert slots == 256 or sum(r["_maybe"] for r in out) < 200
+    assert not near_texts.maybe_among(rows, keys.limit(0)).filter("_maybe").count()
