@@ -245,9 +245,14 @@ def others(links: DataFrame, found: DataFrame, labels: DataFrame, radius: int, s
     made = two.select("p0", "p1", "m0", "m1").mapInArrow(run, "a binary, b binary")
     linked = links.select("a", "b")
     for side in ("a", "b"):
-        linked = linked.join(of.withColumnsRenamed({"_fp": f"_{side}", **{c: f"{c}_{side}" for c in ("label", "size", "bits")}}),
-                             F.col(side) == F.col(f"_{side}"))
-    linked = linked.filter("label_a <> label_b").filter(may_be("size_a", "bits_a", "size_b", "bits_b") if known else F.lit(True))
+        linked = linked.join(labels.select(F.col("fp").alias(f"_{side}"), F.col("label").alias(f"label_{side}")), F.col(side) == F.col(f"_{side}"))
+    linked = linked.filter("label_a <> label_b").select("a", "b")
+    if known:
+        # Sketches travel only with the few that are left.
+        for side in ("a", "b"):
+            linked = linked.join(labels.select(F.col("fp").alias(f"_{side}"), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")),
+                                 F.col(side) == F.col(f"_{side}"))
+        linked = linked.filter(may_be("size_a", "bits_a", "size_b", "bits_b"))
     return made.unionByName(linked.select("a", "b")).distinct()
 
 
